@@ -35,6 +35,7 @@ EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 CRLF = b"\r\n"
 INDEX = "urlkey string, ts string, page_id long, digest string, record_type string, file string, offset long, length long, run int"
 NAMES = [x.split()[0] for x in INDEX.split(", ")]
+KINDS = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
 
 
 def url_key(url: str | None) -> str:
@@ -123,11 +124,15 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST) -> DataFra
         store.move(draft, name)
         rows.sort()
         for i in range(0, len(rows), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 10_000], strict=True)], names=NAMES)
+            yield _batch(rows[i : i + 10_000])
 
     return cut(with_responses(pages, least).select("page_id", "url", "html", "response", "sha1").mapInArrow(run, INDEX), "runs")
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KINDS, strict=True)], names=NAMES)
+
+
 class LoserTree:
     """k-way merge: inner nodes hold the losers of their matches, the winner is replayed along one path."""
 
@@ -179,10 +184,10 @@ def merge_runs(index: DataFrame) -> DataFrame:
         for row in LoserTree([iter(r) for r in runs.values()]):
             out.append(row)
             if len(out) == 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=NAMES)
+                yield _batch(out)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=NAMES)
+            yield _batch(out)
 
     return index.select(*NAMES).repartitionByRange("urlkey", "ts", "page_id").mapInArrow(run, INDEX)
 
