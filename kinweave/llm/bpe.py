@@ -15,6 +15,7 @@ tokens encode to themselves, and every such pair is in one of the sides.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import unicodedata
 from collections.abc import Iterator
@@ -47,6 +48,31 @@ def _kind(c: str) -> str:
     return k if k in "LN" and unicodedata.category(c)[0] == k else ""
 
 
+#: Fixed value: how byte-level vocabularies of this kind split text into pretokens.
+PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _ranked(tok):
+    """The same vocabulary as ranks, for a faster encoder of equal results; None unless ids go in merge order."""
+    try:
+        import tiktoken
+    except ImportError:
+        return None
+    spec = json.loads(tok.to_str())
+    model, pre, added = spec["model"], spec["pre_tokenizer"] or {}, spec["added_tokens"]
+    plain = model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and spec["normalizer"] is None
+    level = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+    exact = all(t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added)
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if not (plain and level and exact) or any(model["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+        return None
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    special = {t["content"]: t["id"] for t in added}
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    return tiktoken.Encoding("ranked", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens=special)
+
+
 class TreeEncoder:
     """Encodes as the vocabulary's own library does on the whole text."""
 
@@ -61,8 +87,19 @@ class TreeEncoder:
         self.leaf, self.window = max(2, leaf), window
         special = {i: len(t.content.encode()) for i, t in self.tok.get_added_tokens_decoder().items()}
         n = self.tok.get_vocab_size()
+        self.quick = _ranked(self.tok)
         self.bytes_of = np.array([special.get(i, len(self.tok.id_to_token(i) or "")) for i in range(n)], np.int64)
 
+    def _short(self, texts: list[str]) -> list[list[int]]:
+        if self.quick is not None:
+            return [self.quick.encode(t, allowed_special="all") for t in texts]
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def decode(self, ids: list[int]) -> str:
+        if self.quick is not None:
+            return self.quick.decode_bytes(ids).decode("utf-8", "replace")
+        return self.tok.decode(ids, skip_special_tokens=False)
+
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         parts: list[str] = []
         spans: list[tuple[int, int]] = []
@@ -76,11 +113,11 @@ class TreeEncoder:
                 parts.append(t)
             spans.append((at, len(parts)))
         if len(parts) == len(texts):
-            return [e.ids for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
+            return self._short(parts)
         whole = [k for k, (a, b) in enumerate(spans) if b - a == 1]
         out: list[list[int]] = [[]] * len(texts)
-        for k, e in zip(whole, self.tok.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False), strict=True):
-            out[k] = e.ids
+        for k, ids in zip(whole, self._short([texts[k] for k in whole]), strict=True):
+            out[k] = ids
         for k, (a, b) in enumerate(spans):
             if b - a > 1:
                 nodes = [(*self._arrays(e), p.encode()) for e, p in zip(self.tok.encode_batch(parts[a:b], add_special_tokens=False), parts[a:b], strict=True)]
@@ -195,7 +232,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, leaf: int =
                 count = pa.array([len(x) for x in ids], pa.int64())
                 if digests:
                     of_ids = [hashlib.sha256(",".join([digits[i] for i in x]).encode()).hexdigest() for x in ids]
-                    back = [hashlib.sha256(encoder.tok.decode(x, skip_special_tokens=False).encode()).hexdigest() for x in ids]
+                    back = [hashlib.sha256(encoder.decode(x).encode()).hexdigest() for x in ids]
                     new = [count, pa.array(of_ids, pa.string()), pa.array(back, pa.string())]
                 else:
                     new = [count, pa.array(ids, pa.list_(pa.int32()))]
@@ -213,7 +250,7 @@ def decode_tokens(df: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TreeEncoder(shared.value)
         for batch in batches:
-            back = [encoder.tok.decode(x.as_py() or [], skip_special_tokens=False) for x in batch.column("tokens")]
+            back = [encoder.decode(x.as_py() or []) for x in batch.column("tokens")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return kept.mapInArrow(run, schema)

@@ -22,3 +22,14 @@ def test_rows(spark):
     out = decode_tokens(encode_documents(df)).collect()
     assert sorted((r["doc_id"] or 0, r["n_tokens"] > 0, r["decoded"] == (r["text"] or "")) for r in out) == [(0, True, True), (1, True, True), (2, False, True), (2, False, True)]
     assert encode_documents(df.limit(0)).count() == 0
+
+
+def test_every_character_as_the_library():
+    enc = TreeEncoder(default_vocabulary())
+    assert enc.quick is not None
+    chars = [chr(i) for i in range(0, 0x110000, 7) if not 0xD800 <= i < 0xE000] + [chr(i) for i in range(0x3000)]
+    texts = ["a" + c + "a 1" + c + "1 !" + c + "! " + c + " " + c for c in chars]
+    for text, ids, want in zip(texts, enc.encode_all(texts), enc.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert list(ids) == want.ids
+        assert enc.decode(ids) == enc.tok.decode(want.ids, skip_special_tokens=False) == text
+    assert enc.decode([50256, 170, 50256]) == enc.tok.decode([50256, 170, 50256], skip_special_tokens=False)
