@@ -9,6 +9,7 @@ from kinweave.llm.lines import OP4_SQL, op4_lines
 from kinweave.llm.mixing import OP5_SQL, op5_mixing
 from kinweave.llm.simhash import op10_simhash
 from kinweave.llm.spotsigs import op9_spotsigs
+from kinweave.llm.suffixes import op8_suffixes
 from kinweave.llm.toxicity import op7_toxicity
 from kinweave.llm.warc import OP6_SQL, op6_warc
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_warc": op6_warc,
     "op7_toxicity": op7_toxicity,
+    "op8_suffixes": op8_suffixes,
     "op9_spotsigs": op9_spotsigs,
     "op10_simhash": op10_simhash,
 }
