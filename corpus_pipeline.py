@@ -1,12 +1,33 @@
-"""From raw documents to tokens: the corpus operators one after another."""
+"""From raw documents to tokens: five corpus operators one after another.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before
+kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinweave.llm.bpe import encode_documents
+from kinweave.llm.bpe import decode_tokens, encode_documents
 from kinweave.llm.common import cut, table
+from kinweave.llm.lines import dedup_lines
+from kinweave.llm.mixing import mix
 from kinweave.llm.simhash import drop_near_duplicates
+from kinweave.llm.toxicity import fit, score
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go; it learns from `labels` that are not held out."""
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model, ("__score", "__toxic")).where("__toxic = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated multi-line chunks go; documents stay, with n_chars brought up to date."""
+    out = dedup_lines(docs)
+    new = F.when(F.col("__n_chunks") > 0, F.length("text").cast("long"))
+    return out.select(*[F.coalesce(new, F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,23 +35,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return drop_near_duplicates(docs)
 
 
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mix(docs)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with the ids of its whole text."""
-    return encode_documents(docs)
+    """Token ids of each whole text, and the text decoded from them."""
+    coded = encode_documents(docs.select("doc_id", "source", "lang", "text"))
+    return decode_tokens(coded.drop("text"))
 
 
 STAGES = [
+    ("toxicity", toxicity),
+    ("line dedup", line_dedup),
     ("SimHash near-dedup", near_duplicates),
-    ("BPE encoding", tokens),
+    ("mixing to target weights", mixture),
+    ("BPE encoding and decoding", tokens),
 ]
 
-#: Trained scores and XXH64 fingerprints are beyond SQL; tests hold each stage against brute force.
+#: Trained scores, XXH64 fingerprints and BPE are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = cut(docs, f"stage{k}")

@@ -148,16 +148,16 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, ordinary: int =
     return train(kept(1, toxic), kept(0, ordinary))
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """Rows of docs plus `score` and `predicted`; only the text counts.
+def score(docs: DataFrame, model: dict, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Rows of docs plus a score and a prediction under the given names; only the text counts.
 
     With s the share of windows at or over the margin, the score is
     s / (s + share): one half just at the calibrated share. Null and empty texts
     score 0. Columns of the added names are replaced; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few KB
-    kept = docs.drop("score", "predicted").withColumn("__text", text_of())
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text"] + ["score double", "predicted int"])
+    kept = docs.drop(*names).withColumn("__text", text_of())
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text"] + [f"{names[0]} double", f"{names[1]} int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -170,7 +170,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 part = float((got >= m["margin"]).mean()) if len(got) else 0.0
                 scores.append(part / (part + m["share"]))
             s = np.array(scores, float)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*rest, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*rest, *names])
 
     return kept.mapInArrow(run, schema)
 
