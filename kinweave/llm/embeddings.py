@@ -27,7 +27,7 @@ from kinweave.llm.components import connected_components, unite
 
 COSINE = 0.95
 BLOCK = 8
-TILE = 3000
+TILE = 8192
 STEP = 512
 SLACK = 1e-9
 
@@ -72,7 +72,13 @@ def _places(vectors: DataFrame, cosine: float, width: int) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, n long, embedding array<float>, d int, block int, slab int")
 
 
-def _pairs(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray, edge: list[int], b: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+def _sides(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Single-precision factors whose product is the squared distance of any two rows, to about 1e-6."""
+    s, one = (r**2).sum(1, keepdims=True), np.ones((len(r), 1))
+    return np.hstack([r, s, one]).astype(np.float32), np.hstack([-2 * r, one, s]).astype(np.float32)
+
+
+def _pairs(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray, fx: np.ndarray, fy: np.ndarray, edge: list[int], b: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Indices of linked pairs that block b is the first to find."""
     budget = (2 - 2 * cosine) * (1 + SLACK) + 1e-9
 
@@ -82,10 +88,7 @@ def _pairs(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray, edge: l
             far += (rx[i, c] - ry[j, c]) ** 2
         return far <= budget * (edge[k + 1] - edge[k]) / edge[-1]
 
-    s = slice(edge[b], edge[b + 1])
-    xs, ys = rx[:, s], ry[:, s]
-    near = (xs**2).sum(1)[:, None] + (ys**2).sum(1)[None, :] - 2 * xs @ ys.T
-    i, j = np.nonzero(near <= budget * (edge[b + 1] - edge[b]) / edge[-1] + 1e-7)
+    i, j = np.nonzero(fx @ fy.T <= np.float32(budget * (edge[b + 1] - edge[b]) / edge[-1] + 1e-5))
     keep = within(b, i, j)
     i, j = i[keep], j[keep]
     keep = np.einsum("ij,ij->i", x[i], y[j]) >= cosine
@@ -116,20 +119,22 @@ def link_counts(vectors: DataFrame, cosine: float = COSINE, width: int = BLOCK,
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         r, edge = x @ rotation(d), block_edges(d, width)
         counts, labels = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        first, second = np.flatnonzero(mine == p), np.flatnonzero(mine == q)
-        for at in range(0, len(first), STEP):
-            own = first[at : at + STEP]
-            for to in range(0, len(second), STEP):
-                other = second[to : to + STEP]
-                i, j = _pairs(x[own], x[other], r[own], r[other], edge, b, cosine)
-                i, j = own[i], other[j]
-                keep = ~(guest[i] & guest[j])  # two guests meet at home
-                if p == q:
-                    keep &= i < j
-                i, j = i[keep], j[keep]
-                np.add.at(counts, i, n[j])
-                np.add.at(counts, j, n[i])
-                unite(labels, i, j)
+        left, right = _sides(r[:, edge[b] : edge[b + 1]])
+        tiles = [np.flatnonzero((mine == t) & (guest == g)) for t in (p, q) for g in (False, True)]
+        meet = [(tiles[0], tiles[2]), (tiles[0], tiles[3])] + ([(tiles[1], tiles[2])] if p != q else [])  # two guests meet at home
+        for first, second in meet:
+            for at in range(0, len(first), STEP):
+                own = first[at : at + STEP]
+                for to in range(at if p == q and second is tiles[2] else 0, len(second), STEP):
+                    other = second[to : to + STEP]
+                    i, j = _pairs(x[own], x[other], r[own], r[other], left[own], right[other], edge, b, cosine)
+                    i, j = own[i], other[j]
+                    if p == q:
+                        keep = (i < j) | guest[j]
+                        i, j = i[keep], j[keep]
+                    np.add.at(counts, i, n[j])
+                    np.add.at(counts, j, n[i])
+                    unite(labels, i, j)
         at = np.flatnonzero((counts > 0) | (labels != np.arange(len(ids))))
         return pa.table({"vec_id": ids[at], "links": counts[at], "root": ids[labels[at]]})
 
