@@ -32,6 +32,8 @@ from kinweave.llm.common import table, text_of
 TOXIC, ORDINARY, LONGEST = 1_500, 4_000, 20_000
 FOLDS = 5
 DICTIONARY = 1_000
+#: The ordinary dictionary is so many times as large, so that common syllables cost least in it.
+WIDER = 30
 HEAD = bytes(range(1, 9)) + bytes(range(14, 32)) + bytes(range(127, 141))
 TAIL = bytes(range(141, 165))
 MEMO = 300_000
@@ -87,26 +89,30 @@ def _dictionary(pieces: list[bytes], size: int) -> bytes:
     return TAIL + b"".join(reversed(out)) + b" " + HEAD
 
 
-def train(toxic: list[str], ordinary: list[str], size: int = DICTIONARY) -> dict:
-    """Labelled texts -> {toxic, ordinary: dictionaries, margin, share: thresholds}."""
-    toxic, ordinary = toxic[:], ordinary[:]
-    random.Random(7).shuffle(toxic)
-    random.Random(8).shuffle(ordinary)
-    cut_t, cut_o = len(toxic) - len(toxic) // 4, len(ordinary) - len(ordinary) // 4
-    seen_t, seen_o = toxic[:cut_t], ordinary[:cut_o]
+def dictionaries(toxic: list[str], ordinary: list[str], size: int = DICTIONARY) -> tuple[bytes, bytes]:
+    """The contents of both dictionaries.
+
+    The toxic one holds the words and beginnings that more toxic documents have
+    than chance allows (log-likelihood ratio against the number of candidates);
+    the ordinary one the commonest words of ordinary documents.
+    """
     in_toxic: Counter = Counter()
-    for x in seen_t:
-        in_toxic.update(set().union(*map(_keys, set(words(x)))) if x.strip() else ())
-    least = max(4 if len(seen_t) < 100 else 5, len(seen_t) / 100)
-    in_toxic = Counter({k: n for k, n in in_toxic.items() if n >= least and k})
+    for x in toxic:
+        in_toxic.update(set().union(*map(_keys, set(words(x)))))
+    in_toxic = Counter({k: n for k, n in in_toxic.items() if n >= max(3, len(toxic) / 150) and k})
     in_ordinary: Counter = Counter()
     common: Counter = Counter()
-    for x in seen_o:
+    for x in ordinary:
         own = set(words(x))
         common.update(w.strip(b".,;:!?\"'()") for w in own)
-        in_ordinary.update(k for k in set().union(*map(_keys, own)) if k in in_toxic) if own else None
-    odds = {k: math.log((n + 0.5) / (len(seen_t) + 1)) - math.log((in_ordinary[k] + 0.5) / (len(seen_o) + 1)) for k, n in in_toxic.items()}
-    marks = {k for k, v in odds.items() if v > 3.5}
+        in_ordinary.update(k for k in set().union(*map(_keys, own)) if k in in_toxic)
+    part, least = len(toxic) / max(1, len(toxic) + len(ordinary)), 2 * math.log(max(2, len(in_toxic))) + 4
+
+    def strength(k: bytes) -> float:
+        a, b = in_toxic[k], in_ordinary[k]
+        return 2 * sum(n * math.log(n / ((a + b) * p)) for n, p in ((a, part), (b, 1 - part)) if n)
+
+    marks = {k for k, n in in_toxic.items() if n / len(toxic) > 20 * in_ordinary[k] / max(1, len(ordinary)) and strength(k) > least}
     longer = defaultdict(list)
     for k in marks:
         for n in range(4, len(k)):
@@ -119,33 +125,43 @@ def train(toxic: list[str], ordinary: list[str], size: int = DICTIONARY) -> dict
             k = max(same, key=lambda q: (len(q), q))
         return k
 
-    pieces = sorted({grown(k) for k in marks}, key=lambda k: (-in_toxic[k], k))
-    bad = _dictionary(pieces, size)
-    fine = _dictionary([w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0])) if len(w) > 3 and w not in marks], len(bad) - len(HEAD) - len(TAIL) - 1)
-    model = {"toxic": bad, "ordinary": fine, "margin": 5, "share": 0.003}
-    own = Compressor(bad, fine)
+    bad = _dictionary(sorted({grown(k) for k in marks}, key=lambda k: (-in_toxic[k], k)), size)
+    fine = _dictionary([w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0])) if len(w) > 3 and w not in marks], WIDER * size)
+    return bad, fine
+
+
+def train(toxic: list[str], ordinary: list[str], size: int = DICTIONARY) -> dict:
+    """Labelled texts -> {toxic, ordinary: dictionaries, margin, share: thresholds}.
+
+    Thresholds are calibrated on a quarter of the texts with dictionaries of the
+    other three; the dictionaries are then trained on all.
+    """
+    toxic, ordinary = toxic[:], ordinary[:]
+    random.Random(7).shuffle(toxic)
+    random.Random(8).shuffle(ordinary)
+    cut_t, cut_o = len(toxic) - len(toxic) // 4, len(ordinary) - len(ordinary) // 4
+    own = Compressor(*dictionaries(toxic[:cut_t], ordinary[:cut_o], size))
     judged = [(1, own.margins(x)) for x in toxic[cut_t:]] + [(0, own.margins(x)) for x in ordinary[cut_o:]]
-    if sum(y for y, _ in judged) < 3:
-        judged += [(1, own.margins(x)) for x in seen_t]
-    best = (-1.0,)
-    for margin in range(2, 9):
+    best = (0.0, 0, 0, 5, 0.003)
+    for margin in range(3, 8):
         shares = [(y, (m >= margin).sum() / max(1, len(m))) for y, m in judged]
-        for share in (0.0005, 0.001, 0.002, 0.003, 0.005, 0.01, 0.02):
+        for share in (0.001, 0.002, 0.003, 0.005, 0.01):
             hit = sum(y for y, s in shares if s >= share)
             said = sum(s >= share for _, s in shares)
             f1 = 2 * hit / max(1, said + sum(y for y, _ in shares))
-            best = max(best, (f1, -abs(margin - 5), -abs(math.log(share / 0.003)), margin, share))
-    if best[0] > 0:
-        model |= {"margin": best[3], "share": best[4]}
-    return model
+            best = max(best, (round(f1, 2 if len(toxic) < 400 else 3), -abs(margin - 5), -abs(math.log(share / 0.003)), margin, share))
+    bad, fine = dictionaries(toxic, ordinary, size)
+    return {"toxic": bad, "ordinary": fine, "margin": best[3], "share": best[4]}
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, ordinary: int = ORDINARY, longest: int = LONGEST) -> dict:
-    """Train on a bounded sample: per label the documents of least hash, none held out, none over `longest` characters."""
-    free = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").alias("__toxic"))
-    pool = docs.select("doc_id", text_of().alias("text")).where(F.length("text") <= longest).join(free, "doc_id")
-    kept = lambda y, n: [r[0] for r in pool.where(F.col("__toxic") == y).select("text").orderBy(F.xxhash64("doc_id", "text")).limit(n).collect()]
-    return train(kept(1, toxic), kept(0, ordinary))
+    """Train on a bounded sample: per label the ids of least hash, none held out; of these, documents up to `longest` characters."""
+    free = labels.where(~held_out(F.col("doc_id"))).select("doc_id", "toxic").distinct()
+    pick = lambda y, n: free.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    ids = pick(1, toxic).unionAll(pick(0, ordinary)).select("doc_id", F.col("toxic").alias("__toxic"))
+    sample = docs.select("doc_id", text_of().alias("text")).where(F.length("text") <= longest)
+    got = sample.join(F.broadcast(ids), "doc_id").select("__toxic", "text").collect()  # toxic + ordinary ids, and their texts, at most
+    return train(sorted(t for y, t in got if y == 1), sorted(t for y, t in got if y == 0))
 
 
 def score(docs: DataFrame, model: dict, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
