@@ -1,0 +1 @@
+"""Clustering is a batch job over a closed set of sequences; there is no streaming operator to express."""
