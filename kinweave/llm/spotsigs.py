@@ -8,13 +8,16 @@ hexadecimal hashes. Likeness is the Jaccard index of two sets.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import node_id, shown_id, table, text_of
+from kinweave.llm.common import cut, node_id, shown_id, table, text_of
+from kinweave.llm.components import connected_components
 
 CHAIN = 3
 ANCHORS = frozenset(
@@ -126,5 +129,57 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     return sorted_.mapInArrow(run, SCHEMA).withColumn("doc_id", shown_id("doc_id"))
 
 
+def near_groups(docs: DataFrame, least: float = 0.8, chain: int = CHAIN) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, component_id): classes of documents linked by a likeness of `least` or more.
+
+    Equal sets collapse first. Sets are partitioned by length, so that those in
+    reach are in the same or the next partition, and meet there by the rarest of
+    their signatures, as many as a set in reach must share one of. Pairs are
+    compared through pruned Jaccard, and not at all once they are in one class.
+    """
+    rate = math.log(1 / least)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs = [sorted(signatures(t.as_py(), chain)) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "sigs"])
+
+    rows = cut(docs.select(node_id("doc_id").alias("doc_id"), text_of().alias("text")).mapInArrow(sets, "doc_id long, sigs array<long>"), "spots")
+    same = cut(rows.groupBy("sigs").agg(F.min("doc_id").alias("rep")).withColumn("id", F.monotonically_increasing_id()), "spotsets")
+    often = same.select(F.explode("sigs").alias("sig")).groupBy("sig").count()
+    ranked = same.select("id", F.size("sigs").alias("n"), F.explode("sigs").alias("sig")).join(often, "sig")
+    order = W.partitionBy("id").orderBy("count", "sig")
+    prefix = ranked.withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("id", "n", "sig")
+    part = F.floor(F.log("n") / rate + 1e-9).cast("int")
+    placed = prefix.join(same.select("id", "rep", "sigs"), "id").withColumn("part", part)
+    dealt = placed.withColumn("home", F.lit(True)).unionAll(placed.withColumn("part", F.col("part") + 1).withColumn("home", F.lit(False)))
+
+    def compare(t: pa.Table) -> pa.Table:
+        rep, home = t.column("rep").to_pylist(), t.column("home").to_pylist()
+        own = [frozenset(x) for x in t.column("sigs").to_pylist()]
+        by = sorted(range(len(own)), key=lambda i: (len(own[i]), rep[i]))
+        labels, links = list(range(len(own))), []
+
+        def top(i: int) -> int:
+            while labels[i] != i:
+                labels[i] = labels[labels[i]]
+                i = labels[i]
+            return i
+
+        for x, i in enumerate(by):
+            for j in by[x + 1 :]:
+                if len(own[i]) < least * len(own[j]) - 1e-9:
+                    break
+                if (home[i] or home[j]) and top(i) != top(j) and likeness(own[i], own[j]) >= least - 1e-12:
+                    labels[top(j)] = top(i)
+                    links.append((rep[i], rep[j]))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    links = dealt.select("sig", "part", "home", "rep", "sigs").groupBy("sig", "part").applyInArrow(compare, "a long, b long")
+    classes = connected_components(links.distinct())
+    named = rows.join(same.select("sigs", "rep"), "sigs").join(classes, F.col("rep") == F.col("node"), "left")
+    return named.select(shown_id("doc_id").alias("doc_id"), shown_id(F.coalesce("component", "rep")).alias("component_id"))
+
+
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))

@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from kinweave.llm.spotsigs import edited, fingerprint, fingerprints, likeness, signatures
+from kinweave.llm.spotsigs import edited, fingerprint, fingerprints, likeness, near_groups, signatures
 
 
 def test_signatures():
@@ -32,3 +32,34 @@ def test_equals_brute_force(spark):
     assert fingerprints(df.limit(0)).count() == 0
     (one,) = fingerprints(df.where("doc_id = 501")).collect()
     assert one["near_next"] == 1.0
+
+
+def test_groups_equal_brute_force(spark):
+    rng = random.Random(12)
+    stock = ["the", "of", "und", "que"] + [f"w{i}" for i in range(60)]
+    rows = []
+    for _ in range(40):
+        base = [rng.choice(stock) for _ in range(rng.choice([4, 60, 300]))]
+        for _ in range(rng.choice([1, 2, 6])):
+            own = base[:]
+            for _ in range(rng.choice([0, 1, 3])):
+                own[rng.randrange(len(own))] = rng.choice(stock)
+            rows.append((len(rows), " ".join(own)))
+    rows += [(900, None), (901, ""), (902, " ")]
+    at = list(range(len(rows)))
+
+    def find(i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    sigs = [signatures(t or "") for _, t in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if likeness(sigs[i], sigs[j]) >= 0.8:
+                a, b = find(i), find(j)
+                at[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in near_groups(df).collect())
+    assert got == sorted((d, rows[find(i)][0]) for i, (d, _) in enumerate(rows))
+    assert near_groups(df.limit(0)).count() == 0
