@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from kinweave.llm.common import cut, node_id, shown_id, table, text_of
 
-LENGTH, GRAM = 100, 12
+LENGTH, GRAM = 100, 32
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
@@ -35,7 +35,8 @@ def suffix_array(text: list[int]) -> list[int]:
     n = len(text) + 1
     if n == 1:
         return []
-    s = [*(x - min(text) + 1 for x in text), 0]
+    low = min(text) - 1
+    s = [*(x - low for x in text), 0]
     order = sorted(range(n), key=s.__getitem__)
     place, group, size = [0] * n, [0] * n, [0] * n
     start = 0
