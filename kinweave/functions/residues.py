@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The residue order, the two reduced alphabets and the diagonals
-# of the public BLOSUM matrices in that order.
+# The residue order, the two reduced alphabets, the diagonals of
+# the public BLOSUM matrices in that order, their blend, the mask letter and the
+# two shapes of protein accessions.
 AA_ORDER = "ACDEFGHIKLMNPQRSTVWY"
 ALPHABETS = {
     "murphy8": ["ILVM", "FYW", "STNQ", "KRH", "DE", "C", "GA", "P"],
@@ -19,6 +20,8 @@ DIAGONALS = {
 }
 BLEND = {"BLOSUM45": 0.20, "BLOSUM62": 0.60, "BLOSUM80": 0.20}
 MASK = "X"
+PIPED_ACCESSION = r"(?i)^(?:sp|tr)\|([A-Z][A-Z0-9]{5})\|"
+BARE_ACCESSION = r"(?i)^([OPQ][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9](?:[A-Z][A-Z0-9]{2}[0-9]){1,2})(?:\.\d+)?$"
 
 
 def register_matrix(name: str, diagonal: list[int]) -> None:
@@ -75,6 +78,6 @@ def total_weight(seq: Column, matrix: str) -> Column:
 
 def accession(seq_id: Column) -> Column:
     """The protein database accession in a sequence id, or null."""
-    piped = F.regexp_extract(seq_id, r"(?i)^(?:sp|tr)\|([A-Z][A-Z0-9]{5})\|", 1)
-    bare = F.regexp_extract(seq_id, r"(?i)^([OPQ][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9](?:[A-Z][A-Z0-9]{2}[0-9]){1,2})(?:\.\d+)?$", 1)
+    piped = F.regexp_extract(seq_id, PIPED_ACCESSION, 1)
+    bare = F.regexp_extract(seq_id, BARE_ACCESSION, 1)
     return F.upper(F.coalesce(F.nullif(piped, F.lit("")), F.nullif(bare, F.lit(""))))

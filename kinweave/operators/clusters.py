@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -102,21 +103,38 @@ def kneedle(values: DataFrame, column: str = "cosim") -> float:
     return float(per.withColumn("rank", rank).withColumn("d", diff).orderBy(F.desc("d"), "rank").select("v").first()[0])
 
 
-def gmm(values: DataFrame, column: str = "cosim") -> float:
-    """Where two fitted normal curves cross between their means; their midpoint if they do not, Otsu under six values."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.functions import array_to_vector
+def gmm(values: DataFrame, column: str = "cosim", bins: int = 4096) -> float:
+    """Where two fitted normal curves cross between their means; their midpoint if they do not, Otsu under six values.
 
-    v = values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
-    span = v.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    One pass sums the values in narrow bins; expectation and maximisation then
+    run over the bins' means, started from the classes that Otsu's threshold makes.
+    """
+    v = F.col(column)
+    known = values.where(v.isNotNull())
+    span = known.agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).first()
+    at = otsu(known, column)
     if span["n"] < 6 or span["lo"] == span["hi"]:
-        return otsu(v, "v")
-    try:
-        fit = GaussianMixture(k=2, seed=42, maxIter=200, tol=1e-3).fit(v.select(array_to_vector(F.array("v")).alias("features")))
-        parts = sorted((float(g.mean[0]), math.sqrt(max(1e-6, float(g.cov.toArray()[0, 0]))), w) for g, w in zip(fit.gaussians, fit.weights, strict=True))
-    except Exception:
-        return otsu(v, "v")
-    return crossing(*parts)
+        return at
+    place = F.floor((v - span["lo"]) / (span["hi"] - span["lo"]) * (bins - 1))
+    rows = known.groupBy(place.alias("b"), (v <= at).alias("low")).agg(F.avg(v).alias("x"), F.count(v).alias("n")).orderBy("b", "low").collect()
+    x, n = np.array([r["x"] for r in rows]), np.array([float(r["n"]) for r in rows])
+    first = np.array([float(r["low"]) for r in rows])
+    share = np.stack([first, 1 - first])
+    before = -math.inf
+    for _ in range(200):
+        mass = (share * n).sum(axis=1) + 1e-12
+        mean = (share * n) @ x / mass
+        dev = np.sqrt(np.array([(share[k] * n) @ (x - mean[k]) ** 2 / mass[k] for k in (0, 1)]) + 1e-6)
+        part = mass / mass.sum()
+        log = np.log(part)[:, None] - np.log(dev)[:, None] - 0.5 * ((x - mean[:, None]) / dev[:, None]) ** 2
+        most = log.max(axis=0)
+        total = most + np.log(np.exp(log - most).sum(axis=0))
+        share = np.exp(log - total)
+        now = float(total @ n / n.sum())
+        if abs(now - before) < 1e-3:
+            break
+        before = now
+    return crossing(*sorted(zip(mean.tolist(), dev.tolist(), part.tolist(), strict=True)))
 
 
 def crossing(first: tuple[float, float, float], second: tuple[float, float, float]) -> float:

@@ -135,7 +135,7 @@ def cosine_similarity(vectors: DataFrame) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
-    blocks = max(1, round((vectors.count() / 512) ** 1.0))
+    blocks = max(1, -(-vectors.count() // 512))
     placed = vectors.select("seq_idx", "embedding", F.pmod(F.xxhash64("seq_idx"), F.lit(blocks)).cast("int").alias("b"))
     pairs = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("seq_idx", "embedding", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
 

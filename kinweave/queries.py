@@ -397,19 +397,19 @@ cs AS (SELECT v.node_id, CASE WHEN l.weight + r.weight = 0 THEN 0.0 ELSE l.weigh
   FROM v JOIN nw l ON l.node_id = 2 * v.node_id JOIN nw r ON r.node_id = 2 * v.node_id + 1 WHERE NOT is_leaf)"""
 
 
-@query(f"WITH {_HEAP} SELECT node_id, round(weight, 6) AS weight FROM lw")
+@query(f"WITH {_HEAP} SELECT node_id, round(weight + 1e-9, 6) AS weight FROM lw")
 def leaf_weights(spark: SparkSession, sf: str) -> DataFrame:
-    return cl.leaf_weights(_heap(spark, sf)).select("node_id", F.round("weight", 6).alias("weight"))
+    return cl.leaf_weights(_heap(spark, sf)).select("node_id", F.round(F.col("weight") + 1e-9, 6).alias("weight"))
 
 
-@query(f"WITH {_HEAP} SELECT node_id, round(weight, 6) AS weight FROM nw")
+@query(f"WITH {_HEAP} SELECT node_id, round(weight + 1e-9, 6) AS weight FROM nw")
 def node_weights(spark: SparkSession, sf: str) -> DataFrame:
-    return cl.node_weights(_heap(spark, sf)).select("node_id", F.round("weight", 6).alias("weight"))
+    return cl.node_weights(_heap(spark, sf)).select("node_id", F.round(F.col("weight") + 1e-9, 6).alias("weight"))
 
 
-@query(f"WITH {_HEAP} SELECT node_id, round(cosim, 6) AS cosim FROM cs")
+@query(f"WITH {_HEAP} SELECT node_id, round(cosim + 1e-9, 6) AS cosim FROM cs")
 def cosimilarity(spark: SparkSession, sf: str) -> DataFrame:
-    return cl.cosimilarity(_heap(spark, sf)).select("node_id", F.round("cosim", 6).alias("cosim"))
+    return cl.cosimilarity(_heap(spark, sf)).select("node_id", F.round(F.col("cosim") + 1e-9, 6).alias("cosim"))
 
 
 @query("WITH c AS (SELECT count(*)::BIGINT AS n FROM part), k AS (SELECT unnest(range(1, 2 * n)) AS node_id FROM c) SELECT k.node_id, count(*)::INT - 1 AS depth FROM k, range(0, 40) r(t) WHERE k.node_id >> t > 0 GROUP BY 1")
@@ -419,9 +419,9 @@ def depths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {_HEAP}, s AS (SELECT a.id AS node_id, sum(x.bl) AS x FROM a JOIN v x ON x.node_id = a.up GROUP BY 1),
 o AS (SELECT node_id, row_number() OVER (ORDER BY node_id * (1 << (20 - floor(log2(node_id + 0.5))::INT))) - 1 AS rank FROM v WHERE is_leaf)
-SELECT node_id, round(x, 6) AS x, rank::BIGINT AS rank FROM s LEFT JOIN o USING (node_id)""")
+SELECT node_id, round(x + 1e-9, 6) AS x, rank::BIGINT AS rank FROM s LEFT JOIN o USING (node_id)""")
 def tree_layout(spark: SparkSession, sf: str) -> DataFrame:
-    return cl.layout(_heap(spark, sf)).select("node_id", F.round("x", 6).alias("x"), "rank")
+    return cl.layout(_heap(spark, sf)).select("node_id", F.round(F.col("x") + 1e-9, 6).alias("x"), "rank")
 
 
 @query(f"""WITH {_HEAP}, s AS (SELECT a.id AS node_id, sum(x.bl) AS r FROM a JOIN v x ON x.node_id = a.up GROUP BY 1),
@@ -520,7 +520,7 @@ def heatmap_order(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH o AS (SELECT 'c' || c_custkey AS seq_id, n_name AS organism FROM customer JOIN nation ON c_nationkey = n_nationkey), k AS (SELECT organism, count(*) AS c FROM o GROUP BY 1)
 SELECT seq_id, round((SELECT sum(c) FROM k) / (c * (SELECT count(*) FROM k)), 6) AS weight FROM o JOIN k USING (organism)""")
 def taxon_simple(spark: SparkSession, sf: str) -> DataFrame:
-    return prep.taxon_weights(_organisms(spark, sf)).select("seq_id", F.round("weight", 6).alias("weight"))
+    return prep.taxon_weights(_organisms(spark, sf)).select("seq_id", F.round(F.col("weight") + 1e-9, 6).alias("weight"))
 
 
 def _organisms(spark: SparkSession, sf: str) -> DataFrame:
@@ -533,7 +533,7 @@ w AS (SELECT a.organism, a.c, 1 / (1 + sum(CASE WHEN a.organism = b.organism THE
 SELECT seq_id, round(raw * (SELECT n FROM n) / (SELECT sum(raw * c) FROM w), 6) AS weight FROM o JOIN w USING (organism)""")
 def taxon_phylogenetic(spark: SparkSession, sf: str) -> DataFrame:
     lineages = _t(spark, sf, "nation").join(_t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("organism"), F.array("r_name", "n_name").alias("lineage"))
-    return prep.taxon_weights_phylogenetic(_organisms(spark, sf), lineages).select("seq_id", F.round("weight", 6).alias("weight"))
+    return prep.taxon_weights_phylogenetic(_organisms(spark, sf), lineages).select("seq_id", F.round(F.col("weight") + 1e-9, 6).alias("weight"))
 
 
 def _labelled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -37,7 +37,7 @@ def numbered(rows: DataFrame, by: str) -> DataFrame:
     added to the places within each.
     """
     rows = rows.repartitionByRange(F.col(by)).sortWithinPartitions(by).withColumn("__part", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id())
-    rows = rows.withColumn("__place", F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = rows.withColumn("__place", F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))).persist()  # both uses must see the same ranges
     sizes = rows.groupBy("__part").count()
     before = sizes.withColumn("__before", F.coalesce(F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")
     return rows.join(F.broadcast(before), "__part").withColumn("seq_idx", (F.col("__before") + F.col("__place")).cast("long")).drop("__part", "__place", "__before")
