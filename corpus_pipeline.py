@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.bpe import decode_tokens, encode_documents
+from kinweave.llm.bpe import encode_documents
 from kinweave.llm.common import cut, table
 from kinweave.llm.lines import dedup_lines
 from kinweave.llm.mixing import mix
@@ -42,8 +42,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each whole text, and the text decoded from them."""
-    coded = encode_documents(docs.select("doc_id", "source", "lang", "text"))
-    return decode_tokens(coded.drop("text"))
+    return encode_documents(docs.select("doc_id", "source", "lang", "text"), decoded=True).drop("text")
 
 
 STAGES = [

@@ -205,8 +205,8 @@ class TreeEncoder:
         return None
 
 
-def encode_documents(docs: DataFrame, vocabulary: str | None = None, leaf: int = LEAF, digests: bool = False) -> DataFrame:
-    """Rows of docs plus `tokens` (array of ids) and `decoded`, or with digests=True their count and SHA-256 only.
+def encode_documents(docs: DataFrame, vocabulary: str | None = None, leaf: int = LEAF, digests: bool = False, decoded: bool = False) -> DataFrame:
+    """Rows of docs plus `n_tokens` and `tokens` (array of ids), and with decoded=True the text decoded from them; with digests=True the count and SHA-256 digests of both only.
 
     Null text counts as empty, the empty text has no tokens, texts of any
     length are encoded whole; other columns pass through, and columns of the
@@ -214,7 +214,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, leaf: int =
     """
     vocabulary = vocabulary or default_vocabulary()
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # 1.5 MB, fixed
-    added = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, tokens array<int>"
+    added = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, tokens array<int>" + ", decoded string" * decoded
     names = [x.split()[0] for x in added.split(", ")]
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     source = docs.select(*kept).withColumn("__text", text_of())
@@ -236,6 +236,8 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, leaf: int =
                     new = [count, pa.array(of_ids, pa.string()), pa.array(back, pa.string())]
                 else:
                     new = [count, pa.array(ids, pa.list_(pa.int32()))]
+                    if decoded:
+                        new.append(pa.array([encoder.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays([*rest, *new], names=[*(c for c in part.schema.names if c != "__text"), *names])
 
     return source.mapInArrow(run, schema)

@@ -21,6 +21,8 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, "a b" * 10_000, "x"), (2, None, "y"), (2, "", None), (None, "<|endoftext|> hi", "z")], "doc_id long, text string, tokens string")
     out = decode_tokens(encode_documents(df)).collect()
     assert sorted((r["doc_id"] or 0, r["n_tokens"] > 0, r["decoded"] == (r["text"] or "")) for r in out) == [(0, True, True), (1, True, True), (2, False, True), (2, False, True)]
+    both = encode_documents(df, decoded=True).collect()
+    assert all(r["decoded"] == (r["text"] or "") for r in both)
     assert encode_documents(df.limit(0)).count() == 0
 
 
