@@ -54,10 +54,8 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 
 def _ranked(tok):
     """The same vocabulary as ranks, for a faster encoder of equal results; None unless ids go in merge order."""
-    try:
-        import tiktoken
-    except ImportError:
-        return None
+    import tiktoken
+
     spec = json.loads(tok.to_str())
     model, pre, added = spec["model"], spec["pre_tokenizer"] or {}, spec["added_tokens"]
     plain = model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and spec["normalizer"] is None
