@@ -21,12 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import cut, node_id, shown_id, table, text_of
 
 LENGTH, GRAM = 100, 32
+#: Anchors that a task settles among themselves before they are shuffled.
+BATCH = 400_000
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
@@ -162,24 +165,59 @@ class Anchors:
 
 
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc_id, twin, text) -> (gram, slice, doc_id, twin, at): at packs place, lo and hi."""
+    """(doc_id, twin, text) -> rows (route, span, doc_id, twin, a, b).
+
+    Before anything is shuffled, equal slices of one batch are settled: the
+    first stays as an anchor (span = 0; route the gram, a the slice, b its packed
+    place), the spans of the others are joined (span = 1; from a to b) and routed
+    by document. So neither a periodic text nor a passage that many documents
+    share sends more than an anchor a batch.
+    """
+    names = ["route", "span", "doc_id", "twin", "a", "b"]
+
+    def flush(got: list) -> pa.RecordBatch:
+        g, s, doc, twin, at = (np.concatenate(c) for c in zip(*got, strict=True))
+        order = np.lexsort((at, doc, s))
+        new = _runs(s[order])
+        head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        first = order[new]
+        later = order[(doc[order] != doc[head]) | (at[order] != at[head])]
+        later = later[np.lexsort((at[later], twin[later], doc[later]))]
+        d, t, p = doc[later], twin[later], at[later] >> 16
+        begin, end = p - (at[later] & 255), p - ((at[later] >> 8) & 255) + length
+        opens = _runs(d, t)
+        opens[1:] |= begin[1:] > end[:-1]
+        k = np.flatnonzero(opens)
+        last = np.concatenate([k[1:], [len(later)]]) - 1 if len(k) else k
+        spread = _mixed(d[k].astype(np.uint64)).view(np.int64)
+        columns = (
+            (g[first], spread),
+            (np.zeros(len(first), np.int32), np.ones(len(k), np.int32)),
+            (doc[first], d[k]),
+            (twin[first], t[k]),
+            (s[first], begin[k]),
+            (at[first], end[last]),
+        )
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Anchors(length, gram)
+        got, n = [], 0
         for batch in batches:
-            got = []
             for doc, twin, text in zip(batch.column("doc_id").to_pylist(), batch.column("twin").to_pylist(), batch.column("text"), strict=True):
                 found = finder.find(text.as_py().encode())
-                if found is not None:
-                    g, s, p, lo, hi = found
-                    got.append((g, s, np.full(len(g), doc), np.full(len(g), twin, np.int32), (p << 16) | (lo << 8) | hi))
-                if len(got) >= 256:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got, strict=True)], names=["gram", "slice", "doc_id", "twin", "at"])
-                    got = []
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got, strict=True)], names=["gram", "slice", "doc_id", "twin", "at"])
+                if found is None:
+                    continue
+                g, s, p, lo, hi = found
+                got.append((g, s, np.full(len(g), doc), np.full(len(g), twin, np.int32), (p << 16) | (lo << 8) | hi))
+                n += len(g)
+                if n >= BATCH:
+                    yield flush(got)
+                    got, n = [], 0
+        if got:
+            yield flush(got)
 
-    return docs.mapInArrow(run, "gram long, slice long, doc_id long, twin int, at long")
+    return docs.mapInArrow(run, "route long, span int, doc_id long, twin int, a long, b long")
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -202,8 +240,14 @@ def _settle(anchors: DataFrame, length: int) -> DataFrame:
         t = pa.Table.from_batches(got) if (got := list(batches)) else None
         if t is None or not t.num_rows:
             return
-        gram, slice_, doc, twin, at = (t.column(c).to_numpy() for c in ("gram", "slice", "doc_id", "twin", "at"))
-        del t, got
+        ready = t.filter(pc.equal(t.column("span"), 1))
+        if ready.num_rows:
+            yield from pa.table({"open": pa.array(np.zeros(ready.num_rows, np.int32)), "doc_id": ready.column("doc_id"), "twin": ready.column("twin"), "a": ready.column("a"), "b": ready.column("b")}).to_batches(max_chunksize=1 << 20)
+        t = t.filter(pc.equal(t.column("span"), 0))
+        gram, slice_, doc, twin, at = (t.column(c).to_numpy() for c in ("route", "a", "doc_id", "twin", "b"))
+        del t, got, ready
+        if not len(gram):
+            return
         new = np.argsort(gram, kind="stable")  # most grams occur once; only the others are sorted on
         run_ = _runs(gram[new])
         many = ~(run_ & np.concatenate([run_[1:], [True]]))
@@ -224,7 +268,7 @@ def _settle(anchors: DataFrame, length: int) -> DataFrame:
         k = np.flatnonzero(first_s & (kinds[group] > 1))
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int32)), pa.array(doc[k]), pa.array(twin[k]), pa.array(gram[k]), pa.array(at[k])], names=names)
 
-    return anchors.repartition("gram").mapInArrow(run, "open int, doc_id long, twin int, a long, b long")
+    return anchors.repartition("route").mapInArrow(run, "open int, doc_id long, twin int, a long, b long")
 
 
 def _slices(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
