@@ -37,8 +37,9 @@ def entropy(text: Column) -> Column:
 
 def entropy_windows(sequences: DataFrame, window: int = WINDOW) -> DataFrame:
     """(seq_idx, pos, h): entropy of each full window by its 0-based start."""
-    starts = F.sequence(F.lit(1), F.length("seq") - window + 1)
-    rows = sequences.where(F.length("seq") >= window).select("seq_idx", F.posexplode(F.transform(starts, lambda i: F.substr(F.col("seq"), i, F.lit(window)))).alias("pos", "w"))
+    rows = sequences.select("seq_idx", letters(F.col("seq")).alias("s")).where(F.size("s") >= window)
+    pieces = F.transform(F.sequence(F.lit(1), F.size("s") - window + 1), lambda i: F.array_join(F.slice("s", i, window), ""))
+    rows = rows.select("seq_idx", F.posexplode(pieces).alias("pos", "w"))
     return rows.select("seq_idx", "pos", entropy(F.col("w")).alias("h"))
 
 

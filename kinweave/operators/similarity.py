@@ -20,8 +20,9 @@ PROPERTY_WEIGHT = 0.3
 
 def lmers(sequences: DataFrame, l: int = L, seq: Column | None = None) -> DataFrame:
     """(seq_idx, p, kmer): unmasked windows by 0-based start."""
-    s = sequences.select("seq_idx", (F.col("seq") if seq is None else seq).alias("s")).where(F.length("s") >= l)
-    windows = F.transform(F.sequence(F.lit(1), F.length("s") - l + 1), lambda i: F.substr(F.col("s"), i, F.lit(l)))
+    # windows are put together from an array: cutting the n-th piece out of a string walks it from its start
+    s = sequences.select("seq_idx", letters(F.col("seq") if seq is None else seq).alias("s")).where(F.size("s") >= l)
+    windows = F.transform(F.sequence(F.lit(0), F.size("s") - l), lambda i: F.concat(*[F.get("s", i + k) for k in range(l)]))
     return s.select("seq_idx", F.posexplode(windows).alias("p", "kmer")).where(~F.col("kmer").contains(MASK))
 
 
