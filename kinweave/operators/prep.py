@@ -19,7 +19,7 @@ def _reason(seq: Column, min_len: int) -> Column:
     n = F.length(seq)
     short = F.concat(F.lit("too short ("), n.cast("string"), F.lit(f" aa; min={min_len})"))
     strange = F.concat(F.lit("invalid characters: ["), F.array_join(F.transform(odd, lambda c: F.concat(F.lit("'"), c, F.lit("'"))), ", "), F.lit("]"))
-    return F.when(n < min_len, short).when(F.size(odd) > 0, strange)
+    return F.when(n < min_len, short).when(seq.rlike(f"[^{AA_ORDER}{MASK}]"), strange)
 
 
 def validate(sequences: DataFrame, min_len: int = MIN_LEN) -> tuple[DataFrame, DataFrame]:
