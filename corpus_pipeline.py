@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinweave.llm.bpe import encode_documents
 from kinweave.llm.common import cut, table
-from kinweave.llm.lines import dedup_lines
+from kinweave.llm.lines import dedup_lines, dedup_passages
 from kinweave.llm.mixing import mix
 from kinweave.llm.simhash import drop_near_duplicates
 from kinweave.llm.toxicity import fit, score
@@ -23,13 +23,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score(docs, model, ("__score", "__toxic")).where("__toxic = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks go; documents stay, with n_chars brought up to date."""
-    out = dedup_lines(docs)
-    new = F.when(F.col("__n_chunks") > 0, F.length("text").cast("long"))
+def _counted(docs: DataFrame, out: DataFrame, changes: str) -> DataFrame:
+    """The columns of docs from out, with n_chars brought up to date."""
+    new = F.when(F.col(changes) > 0, F.length("text").cast("long"))
     return out.select(*[F.coalesce(new, F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated multi-line chunks go; documents stay. The stage is passage_dedup, which removes all of these and more."""
+    return _counted(docs, dedup_lines(docs), "__n_chunks")
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages of two or more lines go; documents stay."""
+    return _counted(docs, dedup_passages(docs), "__n_passages")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays."""
     return drop_near_duplicates(docs)
@@ -47,7 +56,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", toxicity),
-    ("line dedup", line_dedup),
+    ("line dedup", passage_dedup),
     ("SimHash near-dedup", near_duplicates),
     ("mixing to target weights", mixture),
     ("BPE encoding and decoding", tokens),

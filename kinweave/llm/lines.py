@@ -6,10 +6,15 @@ but those beside it. Of chunks of two or more lines that occur again anywhere,
 the first occurrence stays (smallest doc_id, then text, then place) and the
 others go. Chunks meet by hash first, and whole texts are grouped byte by byte
 before any is removed.
+
+A passage whose ends fall within chunks can escape that rule. `dedup_passages`
+unites it with a comparison of every two neighbouring lines.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,34 +46,39 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__id", node_id("doc_id")).withColumn("__text", text_of()).withColumn("__sum", F.unhex(F.md5(F.col("__text").cast("binary"))))
 
 
-def repeated_chunks(docs: DataFrame, every: int = EVERY, least: int = LEAST_LINES) -> DataFrame:
-    """docs -> (__id, __sum, gone): the chunks, counted from 0, that each document loses."""
-    rows = _chunked(_named(docs.select("doc_id", "text")), every)
-    wide = F.filter(F.transform("__chunks", lambda c, k: F.struct(k.alias("k"), c["at"].alias("at"), c["n"].alias("n"))), lambda c: c["n"] >= least)
-    keys = cut(
-        rows.select("__id", "__sum", F.explode(F.transform(wide, lambda c: F.struct(c["k"].alias("k"), F.unhex(F.md5(_body(c).cast("binary"))).alias("key")))).alias("c")).select("__id", "__sum", "c.k", "c.key"),
-        "chunkkeys",
-    )
-    again = cut(keys.groupBy("key").count().where("count > 1").select("key"), "chunkagain")
+def _repeats(rows: DataFrame, keys: DataFrame, body: Callable[[Column], Column], name: str) -> DataFrame:
+    """keys (__id, __sum, k, key) of parts of rows, `body(k)` their text -> (__id, __sum, k, first): parts that repeat an earlier one byte for byte, and the place of the first."""
+    again = cut(keys.groupBy("key").count().where("count > 1").select("key"), f"{name}again")
     marked = keys.join(again, "key", "left_semi")
-    marked = cut(marked, "chunkmarked")
-    # bytes of the marked chunks only: the documents that hold any, by their list of places
+    marked = cut(marked, f"{name}marked")
+    # bytes of the marked parts only: the documents that hold any, by their list of places
     places = marked.groupBy("__id", "__sum").agg(F.collect_set(F.struct("k", "key")).alias("marks"))
     bodies = (
-        rows.select("__id", "__sum", "__lines", "__chunks")
-        .join(places.hint("shuffle_hash"), ["__id", "__sum"])
-        .select("__id", "__sum", F.explode(F.transform("marks", lambda m: F.struct(m["k"].alias("k"), m["key"].alias("key"), _body(F.element_at("__chunks", m["k"] + 1)).alias("body")))).alias("c"))
+        rows.join(places.hint("shuffle_hash"), ["__id", "__sum"])
+        .select("__id", "__sum", F.explode(F.transform("marks", lambda m: F.struct(m["k"].alias("k"), m["key"].alias("key"), body(m["k"]).alias("body")))).alias("c"))
         .select("__id", "__sum", "c.k", "c.key", "c.body")
     )
     place = F.struct("__id", "__sum", "k")
-    groups = cut(bodies.groupBy("key", "body").agg(F.min(place).alias("first")), "chunkgroups")
+    groups = cut(bodies.groupBy("key", "body").agg(F.min(place).alias("first")), f"{name}groups")
     per_key = groups.groupBy("key").agg(F.count("*").alias("bodies"), F.min("first").alias("first"))
     same = per_key.where("bodies = 1").select("key", "first")
-    out = marked.join(same, "key").where(place != F.col("first")).select("__id", "__sum", "k")
+    out = marked.join(same, "key").where(place != F.col("first")).select("__id", "__sum", "k", "first")
     clash = groups.join(per_key.where("bodies > 1").select("key"), "key", "left_semi")
-    apart = bodies.join(clash.select("key", "body", "first"), ["key", "body"]).where(place != F.col("first")).select("__id", "__sum", "k")
+    apart = bodies.join(clash.select("key", "body", "first"), ["key", "body"]).where(place != F.col("first")).select("__id", "__sum", "k", "first")
     if not clash.isEmpty():
         out = out.unionAll(apart)
+    return out
+
+
+def repeated_chunks(docs: DataFrame, every: int = EVERY, least: int = LEAST_LINES) -> DataFrame:
+    """docs -> (__id, __sum, gone): the chunks, counted from 0, that each document loses."""
+    rows = _chunked(_named(docs.select("doc_id", "text")), every)
+    wide = F.filter(F.transform("__chunks", lambda c, k: F.struct(k.alias("k"), c["at"].alias("at"), c["n"].alias("n"))), lambda c: c["n"] >= least)
+    keys = cut(
+        rows.select("__id", "__sum", F.explode(F.transform(wide, lambda c: F.struct(c["k"].alias("k"), F.unhex(F.md5(_body(c).cast("binary"))).alias("key")))).alias("c")).select("__id", "__sum", "c.k", "c.key"),
+        "chunkkeys",
+    )
+    out = _repeats(rows.select("__id", "__sum", "__lines", "__chunks"), keys, lambda k: _body(F.element_at("__chunks", k + 1)), "chunk")
     return out.groupBy("__id", "__sum").agg(F.collect_set("k").alias("gone"))
 
 
@@ -92,6 +102,61 @@ def dedup_lines(docs: DataFrame, every: int = EVERY, least: int = LEAST_LINES) -
     return rows.select(*columns, n.cast("long").alias("__n_lines"), (n - left).cast("long").alias("__n_removed"), F.coalesce(F.greatest(F.size("__gone"), F.lit(0)), F.lit(0)).cast("long").alias("__n_chunks"))
 
 
+def _numbers(start: Column | int, stop: Column) -> Column:
+    """start, ..., stop; none where stop is less."""
+    start = F.lit(start) if isinstance(start, int) else start
+    return F.when(start <= stop, F.sequence(start, stop)).otherwise(F.array().cast("array<int>"))
+
+
+def repeated_lines(docs: DataFrame, every: int = EVERY, least: int = LEAST_LINES) -> DataFrame:
+    """docs -> (__id, __sum, gone): the lines, counted from 1, that each document loses to `dedup_passages`."""
+    rows = _named(docs.select("doc_id", "text"))
+    gone = repeated_chunks(docs, every, least)
+    spots = _chunked(rows, every).select("__id", "__sum", "__chunks", F.transform("__lines", lambda x: F.xxhash64(x)).alias("spots"))
+    taken = F.transform("gone", lambda k: F.element_at("__chunks", k + 1))
+    spots = (
+        spots.join(gone.hint("shuffle_hash"), ["__id", "__sum"], "left")
+        .withColumn("taken", F.coalesce(taken, F.array().cast("array<struct<at:int,n:int>>")))
+        .select("__id", "__sum", "spots", F.flatten(F.transform("taken", lambda c: _numbers(c["at"], c["at"] + c["n"] - 1))).alias("lines"), F.flatten(F.transform("taken", lambda c: _numbers(c["at"], c["at"] + c["n"] - 2))).alias("inner"))
+    )
+    spots = cut(spots, "linespots")
+    # the first of equal pairs lies in no chunk that went, so pairs inside those need no comparison
+    pairs = F.array_except(_numbers(1, F.size("spots") - 1), "inner")
+    key = lambda i: F.xxhash64(F.element_at("spots", i), F.element_at("spots", i + 1))
+    keys = cut(spots.select("__id", "__sum", F.explode(F.transform(pairs, lambda i: F.struct(i.alias("k"), key(i).alias("key")))).alias("c")).select("__id", "__sum", "c.k", "c.key"), "pairkeys")
+    lines = rows.select("__id", "__sum", F.split("__text", "\n").alias("__lines"))
+    again = _repeats(lines, keys, lambda k: F.array_join(F.slice("__lines", k, 2), "\n"), "pair")
+    apart = (F.col("first.__id") != F.col("__id")) | (F.col("first.__sum") != F.col("__sum")) | (F.col("k") > F.col("first.k") + 1)
+    found = again.where(apart).select("__id", "__sum", F.array("k", F.col("k") + 1).alias("lines"))
+    found = found.unionAll(spots.where(F.size("lines") > 0).select("__id", "__sum", "lines"))
+    return found.groupBy("__id", "__sum").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("gone"))
+
+
+def dedup_passages(docs: DataFrame, every: int = EVERY, least: int = LEAST_LINES) -> DataFrame:
+    """Rows of docs with `text` without passages of two or more lines that came before, plus __n_lines, __n_removed (lines) and __n_passages (runs of removed lines).
+
+    The chunks that `dedup_lines` removes go, and so does each pair of
+    neighbouring lines that an earlier pair equals byte for byte: no passage
+    stays because of where chunk boundaries fall, and its lines go up to its
+    very ends. Earlier is by doc_id, then text, then place; pairs that share a
+    line do not count as repeats of each other. The first occurrence of every
+    line stays. All else is as in `dedup_lines`.
+    """
+    gone = repeated_lines(docs, every, least).withColumnRenamed("gone", "__gone")
+    rows = _named(docs).join(gone.hint("shuffle_hash"), ["__id", "__sum"], "left").withColumn("__lines", F.split("__text", "\n"))
+    rows = rows.withColumn("__kept", F.array_except(_numbers(1, F.size("__lines")), F.coalesce("__gone", F.array().cast("array<int>"))))
+    new = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__kept", lambda i: F.element_at("__lines", i)), "\n"))
+    columns = [new.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    n = F.size("__lines")
+    runs = F.size(F.array_except("__gone", F.transform("__gone", lambda i: i + 1)))
+    return rows.select(*columns, n.cast("long").alias("__n_lines"), (n - F.size("__kept")).cast("long").alias("__n_removed"), F.when(F.col("__gone").isNull(), 0).otherwise(runs).cast("long").alias("__n_passages"))
+
+
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.col("__n_passages").alias("n_passages"), F.sha2(text_of().cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.col("__n_chunks").alias("n_chunks"), F.sha2(text_of().cast("binary"), 256).alias("kept_sha256"))
@@ -119,3 +184,28 @@ o AS (
 SELECT o.doc_id, n_lines, n_removed, n_chunks, kept_sha256
 FROM documents t JOIN o ON t.doc_id IS NOT DISTINCT FROM o.doc_id AND md5(coalesce(t.text, '')) = o.s
 """
+
+OP4_PASSAGES_SQL = """
+WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, md5(text) AS s, string_split(text, chr(10)) AS lines FROM d),
+u AS (SELECT doc_id, s, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM l),
+p AS (
+  SELECT a.doc_id, a.s, a.i, a.line AS a, b.line AS b
+  FROM u a JOIN u b ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND a.s = b.s AND a.i + 1 = b.i),
+f AS (
+  SELECT *, first_value(doc_id) OVER w AS doc_1, first_value(s) OVER w AS s_1, first_value(i) OVER w AS i_1
+  FROM p WINDOW w AS (PARTITION BY a, b ORDER BY doc_id NULLS FIRST, s, i)),
+g AS (
+  SELECT DISTINCT doc_id, s, unnest([i, i + 1]) AS i FROM f
+  WHERE doc_id IS DISTINCT FROM doc_1 OR s <> s_1 OR i > i_1 + 1),
+k AS (
+  SELECT u.*, g.i IS NOT NULL AS gone
+  FROM u LEFT JOIN g ON u.doc_id IS NOT DISTINCT FROM g.doc_id AND u.s = g.s AND u.i = g.i),
+r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id, s ORDER BY i), false) AS opens FROM k),
+o AS (
+  SELECT doc_id, s, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_removed, count(*) FILTER (opens)::BIGINT AS n_passages,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+  FROM r GROUP BY doc_id, s)
+SELECT o.doc_id, n_lines, n_removed, n_passages, kept_sha256
+FROM documents t JOIN o ON t.doc_id IS NOT DISTINCT FROM o.doc_id AND md5(coalesce(t.text, '')) = o.s
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from kinweave.llm.bpe import op2_bpe
 from kinweave.llm.chat import OP3_SQL, op3_chat
 from kinweave.llm.embeddings import op1_embeddings
-from kinweave.llm.lines import OP4_SQL, op4_lines
+from kinweave.llm.lines import OP4_PASSAGES_SQL, OP4_SQL, op4_lines, op4_passages
 from kinweave.llm.mixing import OP5_SQL, op5_mixing
 from kinweave.llm.simhash import op10_simhash
 from kinweave.llm.spotsigs import op9_spotsigs
@@ -18,6 +18,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_chat": op3_chat,
     "op4_lines": op4_lines,
+    "op4_passages": op4_passages,
     "op5_mixing": op5_mixing,
     "op6_warc": op6_warc,
     "op7_toxicity": op7_toxicity,
@@ -29,6 +30,7 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op3_chat": OP3_SQL,
     "op4_lines": OP4_SQL,
+    "op4_passages": OP4_PASSAGES_SQL,
     "op5_mixing": OP5_SQL,
     "op6_warc": OP6_SQL,
 }
