@@ -32,7 +32,7 @@ from kinweave.llm.common import table, text_of
 TOXIC, ORDINARY, LONGEST = 1_500, 4_000, 20_000
 FOLDS = 5
 DICTIONARY = 1_000
-#: The ordinary dictionary is so many times as large, so that common syllables cost least in it.
+#: The ordinary dictionary holds so many times as much, so that common syllables cost least in it.
 WIDER = 30
 HEAD = bytes(range(1, 9)) + bytes(range(14, 32)) + bytes(range(127, 141))
 TAIL = bytes(range(141, 165))
@@ -78,8 +78,8 @@ class Compressor:
         return np.array([margin(w) for w in words(text)], np.int64)
 
 
-def _dictionary(pieces: list[bytes], size: int) -> bytes:
-    """Pieces by falling weight fill the dictionary from its end, where offsets are cheapest."""
+def _dictionary(pieces: list[bytes], size: float = math.inf) -> bytes:
+    """Pieces by falling weight fill the dictionary from its end, where offsets are cheapest; as many as `size` holds."""
     out, n = [], 0
     for p in pieces:
         if n + len(p) + 1 > size:
@@ -93,8 +93,9 @@ def dictionaries(toxic: list[str], ordinary: list[str], size: int = DICTIONARY)
     """The contents of both dictionaries.
 
     The toxic one holds the words and beginnings that more toxic documents have
-    than chance allows (log-likelihood ratio against the number of candidates);
-    the ordinary one the commonest words of ordinary documents.
+    than chance allows (log-likelihood ratio against the number of candidates),
+    however many; the ordinary one the commonest words of ordinary documents, in
+    WIDER times `size` bytes.
     """
     in_toxic: Counter = Counter()
     for x in toxic:
@@ -125,7 +126,7 @@ def dictionaries(toxic: list[str], ordinary: list[str], size: int = DICTIONARY)
             k = max(same, key=lambda q: (len(q), q))
         return k
 
-    bad = _dictionary(sorted({grown(k) for k in marks}, key=lambda k: (-in_toxic[k], k)), size)
+    bad = _dictionary(sorted({grown(k) for k in marks}, key=lambda k: (-in_toxic[k], k)))
     fine = _dictionary([w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0])) if len(w) > 3 and w not in marks], WIDER * size)
     return bad, fine
 
