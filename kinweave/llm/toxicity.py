@@ -78,15 +78,20 @@ class Compressor:
         return np.array([margin(w) for w in words(text)], np.int64)
 
 
-def _dictionary(pieces: list[bytes], size: float = math.inf) -> bytes:
-    """Pieces by falling weight fill the dictionary from its end, where offsets are cheapest; as many as `size` holds."""
+def _dictionary(pieces: list[bytes], size: float = math.inf, least: int = 0) -> bytes:
+    """Pieces by falling weight fill the dictionary from its end, where offsets are cheapest; as many as `size` holds.
+
+    What a match costs depends on the dictionary's length: bytes that no text
+    has fill it up to `least`, so that margins mean the same with few pieces.
+    """
     out, n = [], 0
     for p in pieces:
         if n + len(p) + 1 > size:
             break
         out.append(b" " + p)
         n += len(p) + 1
-    return TAIL + b"".join(reversed(out)) + b" " + HEAD
+    filler = bytes(random.Random(9).choices(range(248, 256), k=max(0, least - n)))
+    return TAIL + filler + b"".join(reversed(out)) + b" " + HEAD
 
 
 def dictionaries(toxic: list[str], ordinary: list[str], size: int = DICTIONARY) -> tuple[bytes, bytes]:
@@ -126,7 +131,7 @@ def dictionaries(toxic: list[str], ordinary: list[str], size: int = DICTIONARY)
             k = max(same, key=lambda q: (len(q), q))
         return k
 
-    bad = _dictionary(sorted({grown(k) for k in marks}, key=lambda k: (-in_toxic[k], k)))
+    bad = _dictionary(sorted({grown(k) for k in marks}, key=lambda k: (-in_toxic[k], k)), least=size)
     fine = _dictionary([w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0])) if len(w) > 3 and w not in marks], WIDER * size)
     return bad, fine
 
@@ -135,7 +140,9 @@ def train(toxic: list[str], ordinary: list[str], size: int = DICTIONARY) -> dict
     """Labelled texts -> {toxic, ordinary: dictionaries, margin, share: thresholds}.
 
     Thresholds are calibrated on a quarter of the texts with dictionaries of the
-    other three; the dictionaries are then trained on all.
+    other three; the dictionaries are then trained on all. Of thresholds
+    with the best F1, the nearest to a margin of 5 and a share of 0.003 are
+    taken, at any number of texts.
     """
     toxic, ordinary = toxic[:], ordinary[:]
     random.Random(7).shuffle(toxic)
@@ -150,7 +157,7 @@ def train(toxic: list[str], ordinary: list[str], size: int = DICTIONARY) -> dict
             hit = sum(y for y, s in shares if s >= share)
             said = sum(s >= share for _, s in shares)
             f1 = 2 * hit / max(1, said + sum(y for y, _ in shares))
-            best = max(best, (round(f1, 2 if len(toxic) < 400 else 3), -abs(margin - 5), -abs(math.log(share / 0.003)), margin, share))
+            best = max(best, (f1, -abs(margin - 5), -abs(math.log(share / 0.003)), margin, share))
     bad, fine = dictionaries(toxic, ordinary, size)
     return {"toxic": bad, "ordinary": fine, "margin": best[3], "share": best[4]}
 
