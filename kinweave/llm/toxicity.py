@@ -1,6 +1,7 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text.
+Two zstandard dictionaries are put together by hand (zstandard's trainer is not
+used), one of toxic and one of ordinary words.
 A window is compressed with each; how many bytes fewer the toxic dictionary
 needs is its margin. A document's score rises with the share of its windows
 whose margin reaches a threshold; threshold and share are calibrated on labelled
