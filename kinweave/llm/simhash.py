@@ -1,12 +1,12 @@
 """SimHash near-duplicates over a Gray-order hierarchical index.
 
 Fingerprints of 64 bits link at `radius` or fewer differing bits. Equal
-fingerprints first collapse to one row each. Cut into radius + 1 bit blocks,
-two fingerprints in reach agree on some whole block, so every fingerprint is
-dealt once per block by that block's value. In each task the fingerprints are
-rotated so that the block leads, sorted by Gray rank and stacked into an index:
-a node holds the bits that all below it share; bits shared with the parent
-count there and not again. Pairs of nodes descend together, adding up the
+fingerprints first collapse to one row each. Cut into radius + 1 bit blocks (or
+more, for many fingerprints), two fingerprints in reach agree on some whole
+block, so every fingerprint is dealt once per block by that block's value. In
+each task the fingerprints of equal blocks are sorted by Gray rank and stacked
+into an index: a node holds the bits that all below it share; bits shared with
+the parent count there and not again. Pairs of nodes descend together, adding up the
 differing bits; a pair of groups falls as a whole once the sum is past the
 radius, or once all below both are in one class already. Only a spanning star
 per class leaves a task, never all pairs of a group.
@@ -14,6 +14,7 @@ per class leaves a task, never all pairs of a group.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +22,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import cut, node_id, shown_id, table, text_of
-from kinweave.llm.components import connected_components, unite
+from kinweave.llm.common import cut, node_id, place_of, placed, renamed, shown_id, table, text_of
+from kinweave.llm.components import connected_components, roots, settle, unite
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEED = 42
 FAN = 8
 CHUNK = 1 << 17
+#: Levels of the index up to which nodes are asked whether they are one class already.
+ASKED = 2
+#: Codes that should share a mask's bits, and codes of one such group that meet in one task.
+SHARING, TILE = 512, 65_536
+#: Tables up to this many rows are broadcast; larger ones are joined by shuffling.
+SMALL = 200_000
+#: Fingerprints that more than one in HOT documents have are broadcast: fewer than HOT, whatever the corpus.
+HOT = 1_000
 BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 
 
@@ -52,7 +61,8 @@ def fingerprint(text: str, n: int = 4) -> int:
     for at in range(0, total, CHUNK):
         to = min(total, at + CHUNK)
         s, e = start[at:to].tolist(), end[at + n - 1 : to + n - 1].tolist()
-        digests = np.array([h(joined[a:b], SEED) for a, b in zip(s, e, strict=True)], np.uint64).astype("<u8").view(np.uint8).reshape(-1, 8)
+        hashes = np.array([h(joined[a:b], SEED) for a, b in zip(s, e, strict=True)], np.uint64)
+        digests = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
         for byte in range(8):
             ones[8 * byte : 8 * byte + 8] += np.bincount(digests[:, byte], minlength=256) @ BITS
     return sum(1 << b for b in np.flatnonzero(2 * ones > total).tolist())
@@ -85,7 +95,8 @@ class GrayIndex:
         self.codes = codes
         every, any_ = codes, codes
         first, group = np.arange(n), groups
-        self.first, self.size, self.mask, self.value, self.leaf = [first], [np.zeros(n, np.int64)], [np.full(n, ~np.uint64(0))], [codes], [np.arange(n + 1)]
+        self.first, self.size, self.leaf = [first], [np.zeros(n, np.int64)], [np.arange(n + 1)]
+        self.mask, self.value = [np.full(n, ~np.uint64(0))], [codes]
         while len(group) > 1 and (group[1:] == group[:-1]).any():
             new = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
             place = np.arange(len(group)) - np.repeat(new, np.diff(np.r_[new, len(group)]))
@@ -99,31 +110,40 @@ class GrayIndex:
             self.leaf.append(np.r_[self.leaf[-1][at], n])
             group = group[at]
 
-    def link(self, radius: int, labels: np.ndarray) -> None:
-        """Unite in labels all codes of a group in reach of each other, directly or by others."""
+    def link(self, radius: int, parents: np.ndarray) -> None:
+        """Unite in parents all codes of a group in reach of each other, directly or by others."""
         top = len(self.first) - 1
         for at in range(0, len(self.first[top]), CHUNK):
             x = np.arange(at, min(len(self.first[top]), at + CHUNK))
-            self._descend(top, x, x, np.zeros(len(x), np.int64), np.zeros(len(x), np.uint64), radius, labels)
-
-    def _descend(self, level: int, x: np.ndarray, y: np.ndarray, far: np.ndarray, seen: np.ndarray, radius: int, labels: np.ndarray) -> None:
+            self._descend(top, x, x, np.zeros(len(x), np.int64), np.zeros(len(x), np.uint64), radius, parents)
+
+    def _descend(
+        self,
+        level: int,
+        x: np.ndarray,
+        y: np.ndarray,
+        far: np.ndarray,
+        seen: np.ndarray,
+        radius: int,
+        parents: np.ndarray,
+    ) -> None:
         """far: differing bits so far; seen: the bits they were counted over."""
         both = self.mask[level][x] & self.mask[level][y]
         far = far + np.bitwise_count((self.value[level][x] ^ self.value[level][y]) & both & ~seen)
         keep = far <= radius
         if level == 0:
             keep &= x != y
-            unite(labels, x[keep], y[keep])
+            unite(parents, x[keep], y[keep])
             return
         x, y, far, both = x[keep], y[keep], far[keep], both[keep]
-        keep = self._open(level, x, y, labels)
+        keep = self._open(level, x, y, parents)
         x, y, far, both = x[keep], y[keep], far[keep], both[keep]
         step = max(1, CHUNK // (FAN * FAN))
         for at in range(0, len(x), step):
             s = slice(at, at + step)
             a, b = x[s], y[s]
             if at:  # what the chunks before have joined
-                keep = self._open(level, a, b, labels)
+                keep = self._open(level, a, b, parents)
                 if not keep.any():
                     continue
             pairs = self.size[level][a] * self.size[level][b]
@@ -132,57 +152,93 @@ class GrayIndex:
             wide = self.size[level][b][k]
             cx, cy = self.first[level][a][k] + within // wide, self.first[level][b][k] + within % wide
             keep = cx <= cy
-            self._descend(level - 1, cx[keep], cy[keep], far[s][k][keep], both[s][k][keep], radius, labels)
-
-    def _open(self, level: int, x: np.ndarray, y: np.ndarray, labels: np.ndarray) -> np.ndarray:
-        """Whether the nodes' codes are not yet all in one class."""
-        at = self.leaf[level][:-1]
-        lo, hi = np.minimum.reduceat(labels, at), np.maximum.reduceat(labels, at)
-        return ~((lo[x] == hi[x]) & (lo[y] == hi[y]) & (lo[x] == lo[y]))
-
+            self._descend(level - 1, cx[keep], cy[keep], far[s][k][keep], both[s][k][keep], radius, parents)
+
+    def _open(self, level: int, x: np.ndarray, y: np.ndarray, parents: np.ndarray) -> np.ndarray:
+        """Whether the nodes' codes are not yet all in one class; asked of small nodes only, and of these nodes' codes."""
+        if level > ASKED:
+            return np.ones(len(x), bool)
+        out = np.ones(len(x), bool)
+        first = self.leaf[level]
+        ask = np.flatnonzero(roots(parents, first[x]) == roots(parents, first[y]))
+        if not len(ask):
+            return out
+        nodes, at = np.unique(np.r_[x[ask], y[ask]], return_inverse=True)
+        size = first[nodes + 1] - first[nodes]
+        start = np.cumsum(size) - size
+        codes = np.repeat(first[nodes] - start, size) + np.arange(size.sum())
+        top = roots(parents, codes)
+        one = np.minimum.reduceat(top, start) == np.maximum.reduceat(top, start)
+        out[ask] = ~(one[at[: len(ask)]] & one[at[len(ask) :]])
+        return out
+
+
+def blocks(radius: int, n: int = 0) -> list[int]:
+    """Bit masks such that codes within radius agree on one of them, for n distinct codes.
+
+    64 bits are cut into m blocks; codes within radius agree on m - radius of
+    them, whichever these are. As n grows, m does, so that a mask's bits keep
+    the codes that share them few.
+    """
+    m = radius + 1
+    while m < radius + 8 and n / 2 ** (64 * (m - radius) / m) > SHARING:
+        m += 1
+    edge = [64 * i // m for i in range(m + 1)]
+    own = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edge, edge[1:], strict=False)]
+    return [sum(c) for c in itertools.combinations(own, m - radius)]
 
-def blocks(radius: int) -> list[tuple[int, int]]:
-    """(lowest bit, width) of radius + 1 blocks that cover 64 bits."""
-    edge = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(edge, edge[1:], strict=False)]
 
+def star_links(codes: np.ndarray, groups: np.ndarray, mask: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (i, j) of a spanning star of each class within each group of codes that agree on the mask."""
+    order = np.lexsort((gray_rank(codes & ~np.uint64(mask)), groups))
+    parents = np.arange(len(codes))
+    GrayIndex(codes[order], groups[order]).link(radius, parents)
+    top = settle(parents)
+    i = np.flatnonzero(top != np.arange(len(codes)))
+    return order[i], order[top[i]]
 
-def _rotated(codes: np.ndarray, low: int, width: int) -> np.ndarray:
-    """The block's bits lead."""
-    turn = np.uint64((64 - low - width) % 64)
-    return codes if turn == 0 else (codes << turn) | (codes >> (np.uint64(64) - turn))
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
-def star_links(codes: np.ndarray, low: int, width: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (i, j) of a spanning star of each class among codes that agree on the block."""
-    turned = _rotated(codes, low, width)
-    rank = gray_rank(turned)
-    order = np.argsort(rank, kind="stable")
-    turned = turned[order]
-    labels = np.arange(len(codes))
-    GrayIndex(turned, turned >> np.uint64(64 - width)).link(radius, labels)
-    i = np.flatnonzero(labels != np.arange(len(codes)))
-    return order[i], order[labels[i]]
 
+def fingerprint_links(distinct: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
+    """distinct (fp, rep) -> (a, b): links between reps that span each class of fingerprints.
 
-def fingerprint_links(distinct: DataFrame, radius: int = 4) -> DataFrame:
-    """distinct (fp, rep) -> (a, b): links between reps that span each class of fingerprints."""
-    cuts = blocks(radius)
-    fp = F.col("fp")
-    keyed = distinct.select("fp", "rep", F.posexplode(F.array(*[F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1)) for low, width in cuts])).alias("block", "key"))
+    Codes that share a mask's bits meet in one task; more than `tile` of them
+    are dealt out as pairs of parts.
+    """
+    n = distinct.count()
+    masks = blocks(radius, n)
+    key = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")) for m in masks])
+    keyed = distinct.select("fp", "rep", F.posexplode(key).alias("mask", "key"))
+    if n > tile:
+        parts = F.ceil(F.col("count") / tile).cast("int")
+        large = keyed.groupBy("mask", "key").count().where(F.col("count") > tile).select("mask", "key", parts.alias("parts"))
+        large = cut(large, "largekeys")  # no more than len(masks) * n / tile rows
+        joined = keyed.join(F.broadcast(large) if large.count() <= SMALL else large, ["mask", "key"], "left")
+        parts = F.coalesce("parts", F.lit(1))
+        mine = F.pmod(F.xxhash64("fp"), parts).cast("int")
+        pair = lambda t: F.struct(F.least(t, mine).alias("p"), F.greatest(t, mine).alias("q"))
+        keyed = joined.select("fp", "rep", "mask", "key", F.explode(F.transform(F.sequence(F.lit(0), parts - 1), pair)).alias("t"))
+        keyed = keyed.select("fp", "rep", "mask", "key", "t.p", "t.q")
+    else:
+        keyed = keyed.withColumn("p", F.lit(0)).withColumn("q", F.lit(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if got is None or not got.num_rows:
             return
-        codes, reps, block = (got.column(c).to_numpy() for c in ("fp", "rep", "block"))
-        for b, (low, width) in enumerate(cuts):
-            own = np.flatnonzero(block == b)
+        codes, reps, mask, key, p, q = (got.column(c).to_numpy() for c in ("fp", "rep", "mask", "key", "p", "q"))
+        for b, m in enumerate(masks):
+            own = np.flatnonzero(mask == b)
             if len(own):
-                i, j = star_links(codes[own].view(np.uint64), low, width, radius)
-                yield pa.RecordBatch.from_arrays([pa.array(reps[own][i]), pa.array(reps[own][j])], names=["a", "b"])
+                order = own[np.lexsort((q[own], p[own], key[own]))]
+                same = np.r_[True, (np.diff(key[order]) != 0) | (np.diff(p[order]) != 0) | (np.diff(q[order]) != 0)]
+                i, j = star_links(codes[order].view(np.uint64), np.cumsum(same), m, radius)
+                yield pa.RecordBatch.from_arrays([pa.array(reps[order][i]), pa.array(reps[order][j])], names=["a", "b"])
 
-    return keyed.repartition("block", "key").mapInArrow(run, "a long, b long")
+    return keyed.repartition("mask", "key", "p", "q").mapInArrow(run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, n: int = 4, radius: int = 4) -> DataFrame:
@@ -190,28 +246,42 @@ def near_groups(docs: DataFrame, n: int = 4, radius: int = 4) -> DataFrame:
 
     Null texts count as empty; texts without words have fingerprint zero and
     link like others; a null doc_id takes part and is shown as null (it is the
-    smallest of its class). Rows that repeat give rows that repeat. An empty
-    table gives no rows.
+    smallest of its class). Rows that repeat give rows that repeat. No other
+    column is read. An empty table gives no rows.
     """
     fps = cut(fingerprints(docs, n), "simhash")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    classes = connected_components(fingerprint_links(distinct, radius))
-    named = distinct.join(classes, distinct["rep"] == classes["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simprints")
+    classes = connected_components(fingerprint_links(distinct.select("fp", "rep"), radius))
+    named = distinct.join(classes, distinct["rep"] == classes["node"], "left")
+    named = cut(named.select("fp", "n", F.coalesce("component", "rep").alias("component_id")), "simclasses")
+    # fingerprints of many documents, HOT at most as each has its share of all rows, go to the rows; the others meet them
+    least = fps.count() // HOT
+    often = F.broadcast(named.where(F.col("n") > least).select("fp", F.col("component_id").alias("often")))
+    marked = fps.join(often, "fp", "left")
+    hot = marked.where("often is not null").select("doc_id", "fp", F.col("often").alias("component_id"))
+    rest = marked.where("often is null").select("doc_id", "fp")
+    rest = rest.join(named.where(F.col("n") <= least).select("fp", "component_id"), "fp")
+    return hot.unionByName(rest.select("doc_id", "fp", "component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 4, radius: int = 4) -> DataFrame:
-    """The documents, one row of each near-duplicate class (smallest doc_id, then text), columns unchanged."""
-    groups = near_groups(docs, n, radius)
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    marked = docs.withColumn("__id", node_id("doc_id"))
-    kept = marked.join(keep, "__id", "left_semi")
-    repeated = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
-    single = kept.join(repeated, "__id", "left_anti")
-    first = kept.join(repeated, "__id", "left_semi")
-    columns = [c for c in docs.columns]
-    some = first.groupBy("__id").agg(F.min(F.struct(F.coalesce(F.col("text"), F.lit("")).alias("__t"), *[F.col(c) for c in columns])).alias("__r")).select(*[F.col(f"__r.{c}").alias(c) for c in columns])
-    return single.select(*columns).unionByName(some)
+    """The documents, one row of each near-duplicate class, columns unchanged whatever their names and types.
+
+    Of a class the row of smallest doc_id (null first) stays; of rows that
+    share it, the smallest text, then the smallest row as JSON. Null and empty
+    texts form one class. An empty table gives no rows.
+    """
+    rows = placed(docs)
+    doc_id, text = place_of(docs, "doc_id"), place_of(docs, "text")
+    groups = near_groups(rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), n, radius)
+    heads = cut(groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count(), "simheads")
+    heads = heads.withColumnRenamed("doc_id", "node")
+    marked = rows.withColumn("node", node_id(doc_id))
+    single = marked.join(heads.where("count = 1"), "node", "left_semi")
+    several = marked.join(heads.where("count > 1"), "node", "left_semi")
+    row = F.struct(*rows.columns)
+    first = several.groupBy("node").agg(F.min_by(row, F.struct(text_of(text), F.to_json(row))).alias("r"))
+    return renamed(single.select(*rows.columns).unionAll(first.select(*[F.col(f"r.{c}") for c in rows.columns])), docs)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,22 @@
 import itertools
+import os
 import random
 
+import numpy as np
+import pytest
 import xxhash
 
-from kinweave.llm.simhash import drop_near_duplicates, fingerprint, gray_rank, near_groups
-
-import numpy as np
+from kinweave.llm.components import settle, unite
+from kinweave.llm.simhash import (
+    blocks,
+    drop_near_duplicates,
+    fingerprint,
+    fingerprint_links,
+    gray_rank,
+    near_groups,
+    op10_simhash,
+    star_links,
+)
 
 
 def plain(text):
@@ -67,26 +78,74 @@ def test_groups_equal_brute_force(spark):
 
 
 def test_large_group_of_near_fingerprints():
-    from kinweave.llm.simhash import blocks, star_links
-
     rng = random.Random(5)
     base = rng.getrandbits(64)
     codes = list({base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(3000)}) + [rng.getrandbits(64) for _ in range(500)]
     arr = np.array(codes, np.uint64)
-    at = np.arange(len(arr))
-    from kinweave.llm.components import unite
-
-    for low, width in blocks(4):
-        key = (arr >> np.uint64(low)) & np.uint64((1 << width) - 1)
-        i, j = star_links(arr, low, width, 4)
-        assert (key[i] == key[j]).all()
-        unite(at, i, j)
     want = np.arange(len(arr))
     for i in range(len(arr)):
-        d = np.bitwise_count(arr ^ arr[i])
-        k = np.flatnonzero(d <= 4)
+        k = np.flatnonzero(np.bitwise_count(arr ^ arr[i]) <= 4)
         unite(want, np.full(len(k), i), k)
-    assert (at == want).all()
+    for n in (0, 10**9, 10**12):  # more blocks for more fingerprints
+        at = np.arange(len(arr))
+        for mask in blocks(4, n):
+            key = arr & np.uint64(mask)
+            i, j = star_links(arr, np.unique(key, return_inverse=True)[1], mask, 4)
+            assert (key[i] == key[j]).all()
+            unite(at, i, j)
+        assert (settle(at) == settle(want)).all()
+
+
+def test_masks_cover_all_pairs_in_reach():
+    rng = random.Random(8)
+    for n in (0, 10**9, 10**12):
+        masks = blocks(4, n)
+        for _ in range(300):
+            far = sum(1 << b for b in rng.sample(range(64), 4))
+            assert any(not far & m for m in masks)
+    assert len(blocks(4, 0)) == 5 < len(blocks(4, 10**9)) < len(blocks(4, 10**12))
+
+
+def test_hot_keys_are_dealt_as_pairs_of_parts(spark):
+    rng = random.Random(6)
+    base = rng.getrandbits(64)
+    codes = sorted({base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(400)})
+    df = spark.createDataFrame([(c - 2**64 if c >> 63 else c, k) for k, c in enumerate(codes)], "fp long, rep long")
+    at = np.arange(len(codes))
+    links = fingerprint_links(df, 4, tile=40).collect()
+    unite(at, np.array([r["a"] for r in links]), np.array([r["b"] for r in links]))
+    arr, want = np.array(codes, np.uint64), np.arange(len(codes))
+    for i in range(len(arr)):
+        k = np.flatnonzero(np.bitwise_count(arr ^ arr[i]) <= 4)
+        unite(want, np.full(len(k), i), k)
+    assert (settle(at) == settle(want)).all()
+
+
+def test_very_long_and_frequent_texts(spark):
+    rng = random.Random(9)
+    long_ = " ".join(f"w{rng.randrange(5000)}" for _ in range(60_000))
+    rows = [(k, long_ if k % 2 else "one two three four five") for k in range(40)]
+    got = {(r["doc_id"], r["component_id"]) for r in near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(k, k % 2) for k in range(40)}
+
+
+def test_columns_of_any_name_and_type_pass(spark):
+    schema = "doc_id long, text string, __id string, `a.b` int, fp int, node int, count int, m map<string,int>, c0 int"
+    rows = [(3, "x y", "p", 1, 2, 3, 4, {"k": 1}, 5), (3, "x y", "p", 1, 2, 3, 4, {"k": 0}, 5), (4, None, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    got = drop_near_duplicates(df)
+    assert got.columns == df.columns and got.schema["m"].dataType == df.schema["m"].dataType
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == [rows[1], rows[2]]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_query_equals_brute_force_on_a_whole_table(spark):
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"])
+    rows = [(r["doc_id"], r["text"]) for r in table.to_pylist()]
+    got = sorted((r["doc_id"], int(r["fingerprint"], 16), r["component_id"]) for r in op10_simhash(spark, "/root/testdata/sf0.001").collect())
+    assert got == brute(rows)
 
 
 def test_empty_and_extra_columns(spark):
