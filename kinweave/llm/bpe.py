@@ -23,9 +23,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kinweave.llm.common import table, text_of
+from kinweave.llm.common import own_columns, place_of, placed, renamed, table, text_of
 
 LEAF = 16_384
 SLICE = 128
@@ -203,20 +203,31 @@ class TreeEncoder:
         return None
 
 
-def encode_documents(docs: DataFrame, vocabulary: str | None = None, leaf: int = LEAF, digests: bool = False, decoded: bool = False) -> DataFrame:
-    """Rows of docs plus `n_tokens` and `tokens` (array of ids), and with decoded=True the text decoded from them; with digests=True the count and SHA-256 digests of both only.
+DIGESTS = T.StructType().add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+TOKENS = T.StructType().add("n_tokens", "long").add("tokens", T.ArrayType(T.IntegerType()))
 
-    Null text counts as empty, the empty text has no tokens, texts of any
-    length are encoded whole; other columns pass through, and columns of the
-    added names are replaced. An empty table gives no rows.
+
+def encode_documents(
+    docs: DataFrame,
+    vocabulary: str | None = None,
+    leaf: int = LEAF,
+    digests: bool = False,
+    decoded: bool = False,
+) -> DataFrame:
+    """Rows of docs plus `n_tokens` and `tokens` (array of ids), and with decoded=True the text `decoded` from them.
+
+    With digests=True the count and SHA-256 digests of both only. Null text
+    counts as empty, the empty text has no tokens, texts of any length are
+    encoded whole; other columns pass through whatever their names and types,
+    and columns of the added names are replaced. An empty table gives no rows.
     """
     vocabulary = vocabulary or default_vocabulary()
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # 1.5 MB, fixed
-    added = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, tokens array<int>" + ", decoded string" * decoded
-    names = [x.split()[0] for x in added.split(", ")]
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    source = docs.select(*kept).withColumn("__text", text_of())
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text"] + [added])
+    added = DIGESTS if digests else T.StructType(TOKENS.fields + [T.StructField("decoded", T.StringType())] * decoded)
+    names = added.names
+    own = own_columns(docs, names)
+    source = placed(docs).select(*own, text_of(place_of(docs, "text")).alias("text"))
+    schema = T.StructType([f for f in source.schema if f.name != "text"] + added.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TreeEncoder(shared.value, leaf)
@@ -224,9 +235,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, leaf: int =
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                texts = part.column("__text").to_pylist()
-                ids = encoder.encode_all(texts)
-                rest = [part.column(c) for c in part.schema.names if c != "__text"]
+                ids = encoder.encode_all(part.column("text").to_pylist())
                 count = pa.array([len(x) for x in ids], pa.int64())
                 if digests:
                     of_ids = [hashlib.sha256(",".join([digits[i] for i in x]).encode()).hexdigest() for x in ids]
@@ -236,24 +245,27 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, leaf: int =
                     new = [count, pa.array(ids, pa.list_(pa.int32()))]
                     if decoded:
                         new.append(pa.array([encoder.decode(x) for x in ids], pa.string()))
-                yield pa.RecordBatch.from_arrays([*rest, *new], names=[*(c for c in part.schema.names if c != "__text"), *names])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), *new], names=[*own, *names])
 
-    return source.mapInArrow(run, schema)
+    return renamed(source.mapInArrow(run, schema), docs, names)
 
 
 def decode_tokens(df: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Adds `decoded` to rows with `tokens`; null tokens decode to the empty text."""
+    """Adds `decoded` to rows with `tokens`; null tokens decode to the empty text. Columns pass as in `encode_documents`."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary or default_vocabulary())
-    kept = df.drop("decoded")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + ["decoded string"])
+    kept = placed(df, ["decoded"])
+    tokens = place_of(df, "tokens")
+    schema = T.StructType([*kept.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TreeEncoder(shared.value)
         for batch in batches:
-            back = [encoder.decode(x.as_py() or []) for x in batch.column("tokens")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.string())], names=[*batch.schema.names, "decoded"])
+            back = [encoder.decode(x.as_py() or []) for x in batch.column(tokens)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(back, pa.string())], names=[*batch.schema.names, "decoded"]
+            )
 
-    return kept.mapInArrow(run, schema)
+    return renamed(kept.mapInArrow(run, schema), df, ["decoded"])
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

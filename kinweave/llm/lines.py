@@ -18,88 +18,110 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import cut, node_id, shown_id, table, text_of
+from kinweave.llm.common import cut, node_id, own_columns, place_of, placed, renamed, table, text_of
 
 EVERY = 3
 LEAST_LINES = 2
+ID = ["__id", "__sum"]
+CHUNK_NAMES = ("n_lines", "n_removed", "n_chunks")
+PASSAGE_NAMES = ("n_lines", "n_removed", "n_passages")
 
 
 def _line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+def _named(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Adds __id, __text and __sum, which tells texts of one id apart."""
+    rows = docs.withColumn("__id", node_id(doc_id)).withColumn("__text", text_of(text))
+    return rows.withColumn("__sum", F.unhex(F.md5(F.col("__text").cast("binary"))))
+
+
 def _chunked(docs: DataFrame, every: int) -> DataFrame:
     """Adds __lines, and __chunks: (first line, number of lines), both from 1."""
-    rows = docs.withColumn("__lines", F.split(F.col("__text"), "\n")).withColumn("__hashes", F.transform("__lines", _line_hash))
+    rows = docs.withColumn("__lines", F.split(F.col("__text"), "\n"))
+    rows = rows.withColumn("__hashes", F.transform("__lines", _line_hash))
     n = F.size("__lines")
-    roll = lambda i: (F.element_at("__hashes", i) + 31 * F.when(i > 1, F.element_at("__hashes", F.greatest(i - 1, F.lit(1)))).otherwise(0)) % (1 << 32)
-    rows = rows.withColumn("__ends", F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (roll(i) % every == 0)))
-    first = lambda k: F.when(k > 0, F.element_at("__ends", F.greatest(k, F.lit(1)))).otherwise(0)
-    return rows.withColumn("__chunks", F.transform("__ends", lambda e, k: F.struct((first(k) + 1).alias("at"), (e - first(k)).alias("n"))))
 
+    def roll(i: Column) -> Column:
+        before = F.when(i > 1, F.element_at("__hashes", F.greatest(i - 1, F.lit(1)))).otherwise(0)
+        return (F.element_at("__hashes", i) + 31 * before) % (1 << 32)
 
-def _body(chunk: Column) -> Column:
-    return F.array_join(F.slice("__lines", chunk["at"], chunk["n"]), "\n")
+    def end_before(k: Column) -> Column:
+        return F.when(k > 0, F.element_at("__ends", F.greatest(k, F.lit(1)))).otherwise(0)
 
+    ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (roll(i) % every == 0))
+    chunk = lambda e, k: F.struct((end_before(k) + 1).alias("at"), (e - end_before(k)).alias("n"))
+    return rows.withColumn("__ends", ends).withColumn("__chunks", F.transform("__ends", chunk))
 
-def _named(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__id", node_id("doc_id")).withColumn("__text", text_of()).withColumn("__sum", F.unhex(F.md5(F.col("__text").cast("binary"))))
+
+def _body(chunk: Column) -> Column:
+    return F.array_join(F.slice("__lines", chunk["at"], chunk["n"]), "\n")
 
 
 def _repeats(rows: DataFrame, keys: DataFrame, body: Callable[[Column], Column], name: str) -> DataFrame:
-    """keys (__id, __sum, k, key) of parts of rows, `body(k)` their text -> (__id, __sum, k, first): parts that repeat an earlier one byte for byte, and the place of the first."""
+    """keys (__id, __sum, k, key) of parts of rows, `body(k)` their text -> (__id, __sum, k, first).
+
+    These are the parts that repeat an earlier one byte for byte, and the place of the first.
+    """
     again = cut(keys.groupBy("key").count().where("count > 1").select("key"), f"{name}again")
-    marked = keys.join(again, "key", "left_semi")
-    marked = cut(marked, f"{name}marked")
+    marked = cut(keys.join(again, "key", "left_semi"), f"{name}marked")
     # bytes of the marked parts only: the documents that hold any, by their list of places
-    places = marked.groupBy("__id", "__sum").agg(F.collect_set(F.struct("k", "key")).alias("marks"))
-    bodies = (
-        rows.join(places.hint("shuffle_hash"), ["__id", "__sum"])
-        .select("__id", "__sum", F.explode(F.transform("marks", lambda m: F.struct(m["k"].alias("k"), m["key"].alias("key"), body(m["k"]).alias("body")))).alias("c"))
-        .select("__id", "__sum", "c.k", "c.key", "c.body")
-    )
-    place = F.struct("__id", "__sum", "k")
+    places = marked.groupBy(*ID).agg(F.collect_set(F.struct("k", "key")).alias("marks"))
+    part = lambda m: F.struct(m["k"].alias("k"), m["key"].alias("key"), body(m["k"]).alias("body"))
+    bodies = rows.join(places.hint("shuffle_hash"), ID)
+    bodies = bodies.select(*ID, F.explode(F.transform("marks", part)).alias("c"))
+    bodies = bodies.select(*ID, "c.k", "c.key", "c.body")
+    place = F.struct(*ID, "k")
     groups = cut(bodies.groupBy("key", "body").agg(F.min(place).alias("first")), f"{name}groups")
     per_key = groups.groupBy("key").agg(F.count("*").alias("bodies"), F.min("first").alias("first"))
     same = per_key.where("bodies = 1").select("key", "first")
-    out = marked.join(same, "key").where(place != F.col("first")).select("__id", "__sum", "k", "first")
+    out = marked.join(same, "key").where(place != F.col("first")).select(*ID, "k", "first")
     clash = groups.join(per_key.where("bodies > 1").select("key"), "key", "left_semi")
-    apart = bodies.join(clash.select("key", "body", "first"), ["key", "body"]).where(place != F.col("first")).select("__id", "__sum", "k", "first")
+    apart = bodies.join(clash.select("key", "body", "first"), ["key", "body"])
+    apart = apart.where(place != F.col("first")).select(*ID, "k", "first")
     if not clash.isEmpty():
         out = out.unionAll(apart)
     return out
 
 
-def repeated_chunks(docs: DataFrame, every: int = EVERY, least: int = LEAST_LINES) -> DataFrame:
-    """docs -> (__id, __sum, gone): the chunks, counted from 0, that each document loses."""
-    rows = _chunked(_named(docs.select("doc_id", "text")), every)
-    wide = F.filter(F.transform("__chunks", lambda c, k: F.struct(k.alias("k"), c["at"].alias("at"), c["n"].alias("n"))), lambda c: c["n"] >= least)
-    keys = cut(
-        rows.select("__id", "__sum", F.explode(F.transform(wide, lambda c: F.struct(c["k"].alias("k"), F.unhex(F.md5(_body(c).cast("binary"))).alias("key")))).alias("c")).select("__id", "__sum", "c.k", "c.key"),
-        "chunkkeys",
-    )
-    out = _repeats(rows.select("__id", "__sum", "__lines", "__chunks"), keys, lambda k: _body(F.element_at("__chunks", k + 1)), "chunk")
-    return out.groupBy("__id", "__sum").agg(F.collect_set("k").alias("gone"))
+def repeated_chunks(rows: DataFrame, every: int = EVERY, least: int = LEAST_LINES) -> DataFrame:
+    """Named rows -> (__id, __sum, gone): the chunks, counted from 0, that each document loses."""
+    rows = _chunked(rows, every)
+    numbered = lambda c, k: F.struct(k.alias("k"), c["at"].alias("at"), c["n"].alias("n"))
+    wide = F.filter(F.transform("__chunks", numbered), lambda c: c["n"] >= least)
+    key = lambda c: F.struct(c["k"].alias("k"), F.unhex(F.md5(_body(c).cast("binary"))).alias("key"))
+    keys = rows.select(*ID, F.explode(F.transform(wide, key)).alias("c")).select(*ID, "c.k", "c.key")
+    lines = rows.select(*ID, "__lines", "__chunks")
+    out = _repeats(lines, cut(keys, "chunkkeys"), lambda k: _body(F.element_at("__chunks", k + 1)), "chunk")
+    return out.groupBy(*ID).agg(F.collect_set("k").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, every: int = EVERY, least: int = LEAST_LINES) -> DataFrame:
-    """Rows of docs with `text` reduced, plus __n_lines, __n_removed (lines) and __n_chunks (chunks removed).
+def dedup_lines(
+    docs: DataFrame, every: int = EVERY, least: int = LEAST_LINES, names: tuple[str, str, str] = CHUNK_NAMES
+) -> DataFrame:
+    """Rows of docs with `text` reduced, plus, under `names`, its lines, lines removed and chunks removed.
 
     Lines end at a line feed only. Null text stays null and has no lines to
     lose. Rows that repeat both id and text are one document: their chunks stay
-    or go alike. A null doc_id comes first in order. Other columns pass through;
-    an empty table gives no rows.
+    or go alike. A null doc_id comes first in order. Other columns pass through
+    whatever their names and types, but for those of the added names, which are
+    replaced; an empty table gives no rows.
     """
-    gone = repeated_chunks(docs, every, least)
-    rows = _named(docs).join(gone.withColumnRenamed("gone", "__gone").hint("shuffle_hash"), ["__id", "__sum"], "left")
-    rows = _chunked(rows, every)
-    kept = F.filter(F.transform("__chunks", lambda c, k: F.struct(c["at"].alias("at"), c["n"].alias("n"), F.coalesce(F.array_contains("__gone", k), F.lit(False)).alias("gone"))), lambda c: ~c["gone"])
-    rows = rows.withColumn("__kept", kept)
+    plain, doc_id, text = placed(docs, names), place_of(docs, "doc_id"), place_of(docs, "text")
+    gone = repeated_chunks(_named(plain.select(doc_id, text), doc_id, text), every, least)
+    gone = gone.withColumnRenamed("gone", "__gone")
+    rows = _chunked(_named(plain, doc_id, text).join(gone.hint("shuffle_hash"), ID, "left"), every)
+    stays = lambda c, k: ~F.coalesce(F.array_contains("__gone", k), F.lit(False))
+    rows = rows.withColumn("__kept", F.filter("__chunks", stays))
     left = F.aggregate("__kept", F.lit(0), lambda a, c: a + c["n"])
-    new = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(F.transform("__kept", lambda c: F.slice("__lines", c["at"], c["n"]))), "\n"))
-    columns = [new.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    parts = F.flatten(F.transform("__kept", lambda c: F.slice("__lines", c["at"], c["n"])))
+    new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(parts, "\n"))
     n = F.size("__lines")
-    return rows.select(*columns, n.cast("long").alias("__n_lines"), (n - left).cast("long").alias("__n_removed"), F.coalesce(F.greatest(F.size("__gone"), F.lit(0)), F.lit(0)).cast("long").alias("__n_chunks"))
+    chunks = F.coalesce(F.greatest(F.size("__gone"), F.lit(0)), F.lit(0))
+    added = [x.cast("long").alias(c) for x, c in zip((n, n - left, chunks), names, strict=True)]
+    own = [new.alias(c) if c == text else F.col(c) for c in own_columns(docs, names)]
+    return renamed(rows.select(*own, *added), docs, names)
 
 
 def _numbers(start: Column | int, stop: Column) -> Column:
@@ -108,33 +130,41 @@ def _numbers(start: Column | int, stop: Column) -> Column:
     return F.when(start <= stop, F.sequence(start, stop)).otherwise(F.array().cast("array<int>"))
 
 
-def repeated_lines(docs: DataFrame, every: int = EVERY, least: int = LEAST_LINES) -> DataFrame:
-    """docs -> (__id, __sum, gone): the lines, counted from 1, that each document loses to `dedup_passages`."""
-    rows = _named(docs.select("doc_id", "text"))
-    gone = repeated_chunks(docs, every, least)
-    spots = _chunked(rows, every).select("__id", "__sum", "__chunks", F.transform("__lines", lambda x: F.xxhash64(x)).alias("spots"))
+def repeated_lines(rows: DataFrame, every: int = EVERY, least: int = LEAST_LINES) -> DataFrame:
+    """Named rows -> (__id, __sum, gone): the lines, counted from 1, that each document loses to `dedup_passages`."""
+    gone = repeated_chunks(rows, every, least)
+    spots = _chunked(rows, every).select(*ID, "__chunks", F.transform("__lines", lambda x: F.xxhash64(x)).alias("spots"))
     taken = F.transform("gone", lambda k: F.element_at("__chunks", k + 1))
-    spots = (
-        spots.join(gone.hint("shuffle_hash"), ["__id", "__sum"], "left")
-        .withColumn("taken", F.coalesce(taken, F.array().cast("array<struct<at:int,n:int>>")))
-        .select("__id", "__sum", "spots", F.flatten(F.transform("taken", lambda c: _numbers(c["at"], c["at"] + c["n"] - 1))).alias("lines"), F.flatten(F.transform("taken", lambda c: _numbers(c["at"], c["at"] + c["n"] - 2))).alias("inner"))
+    none = F.array().cast("array<struct<at:int,n:int>>")
+    spots = spots.join(gone.hint("shuffle_hash"), ID, "left").withColumn("taken", F.coalesce(taken, none))
+    upto = lambda c, less: _numbers(c["at"], c["at"] + c["n"] - less)
+    spots = spots.select(
+        *ID,
+        "spots",
+        F.flatten(F.transform("taken", lambda c: upto(c, 1))).alias("lines"),
+        F.flatten(F.transform("taken", lambda c: upto(c, 2))).alias("inner"),
     )
     spots = cut(spots, "linespots")
     # the first of equal pairs lies in no chunk that went, so pairs inside those need no comparison
     pairs = F.array_except(_numbers(1, F.size("spots") - 1), "inner")
     key = lambda i: F.xxhash64(F.element_at("spots", i), F.element_at("spots", i + 1))
-    keys = cut(spots.select("__id", "__sum", F.explode(F.transform(pairs, lambda i: F.struct(i.alias("k"), key(i).alias("key")))).alias("c")).select("__id", "__sum", "c.k", "c.key"), "pairkeys")
-    lines = rows.select("__id", "__sum", F.split("__text", "\n").alias("__lines"))
+    keyed = F.transform(pairs, lambda i: F.struct(i.alias("k"), key(i).alias("key")))
+    keys = cut(spots.select(*ID, F.explode(keyed).alias("c")).select(*ID, "c.k", "c.key"), "pairkeys")
+    lines = rows.select(*ID, F.split("__text", "\n").alias("__lines"))
     again = _repeats(lines, keys, lambda k: F.array_join(F.slice("__lines", k, 2), "\n"), "pair")
-    apart = (F.col("first.__id") != F.col("__id")) | (F.col("first.__sum") != F.col("__sum")) | (F.col("k") > F.col("first.k") + 1)
-    found = again.where(apart).select("__id", "__sum", F.array("k", F.col("k") + 1).alias("lines"))
-    found = found.unionAll(spots.where(F.size("lines") > 0).select("__id", "__sum", "lines"))
-    return found.groupBy("__id", "__sum").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("gone"))
+    first = F.col("first")
+    apart = (first["__id"] != F.col("__id")) | (first["__sum"] != F.col("__sum")) | (F.col("k") > first["k"] + 1)
+    found = again.where(apart).select(*ID, F.array("k", F.col("k") + 1).alias("lines"))
+    found = found.unionAll(spots.where(F.size("lines") > 0).select(*ID, "lines"))
+    return found.groupBy(*ID).agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("gone"))
 
 
-def dedup_passages(docs: DataFrame, every: int = EVERY, least: int = LEAST_LINES) -> DataFrame:
-    """Rows of docs with `text` without passages of two or more lines that came before, plus __n_lines, __n_removed (lines) and __n_passages (runs of removed lines).
+def dedup_passages(
+    docs: DataFrame, every: int = EVERY, least: int = LEAST_LINES, names: tuple[str, str, str] = PASSAGE_NAMES
+) -> DataFrame:
+    """Rows of docs with `text` without passages of two or more lines that came before.
 
+    Adds, under `names`, its lines, lines removed and runs of removed lines.
     The chunks that `dedup_lines` removes go, and so does each pair of
     neighbouring lines that an earlier pair equals byte for byte: no passage
     stays because of where chunk boundaries fall, and its lines go up to its
@@ -142,24 +172,31 @@ def dedup_passages(docs: DataFrame, every: int = EVERY, least: int = LEAST_LINES
     line do not count as repeats of each other. The first occurrence of every
     line stays. All else is as in `dedup_lines`.
     """
-    gone = repeated_lines(docs, every, least).withColumnRenamed("gone", "__gone")
-    rows = _named(docs).join(gone.hint("shuffle_hash"), ["__id", "__sum"], "left").withColumn("__lines", F.split("__text", "\n"))
-    rows = rows.withColumn("__kept", F.array_except(_numbers(1, F.size("__lines")), F.coalesce("__gone", F.array().cast("array<int>"))))
-    new = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__kept", lambda i: F.element_at("__lines", i)), "\n"))
-    columns = [new.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    plain, doc_id, text = placed(docs, names), place_of(docs, "doc_id"), place_of(docs, "text")
+    gone = repeated_lines(_named(plain.select(doc_id, text), doc_id, text), every, least)
+    gone = gone.withColumnRenamed("gone", "__gone")
+    rows = _named(plain, doc_id, text).join(gone.hint("shuffle_hash"), ID, "left")
+    rows = rows.withColumn("__lines", F.split("__text", "\n"))
+    lost = F.coalesce("__gone", F.array().cast("array<int>"))
+    rows = rows.withColumn("__kept", F.array_except(_numbers(1, F.size("__lines")), lost))
+    parts = F.transform("__kept", lambda i: F.element_at("__lines", i))
+    new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(parts, "\n"))
     n = F.size("__lines")
     runs = F.size(F.array_except("__gone", F.transform("__gone", lambda i: i + 1)))
-    return rows.select(*columns, n.cast("long").alias("__n_lines"), (n - F.size("__kept")).cast("long").alias("__n_removed"), F.when(F.col("__gone").isNull(), 0).otherwise(runs).cast("long").alias("__n_passages"))
+    counts = (n, n - F.size("__kept"), F.when(F.col("__gone").isNull(), 0).otherwise(runs))
+    added = [x.cast("long").alias(c) for x, c in zip(counts, names, strict=True)]
+    own = [new.alias(c) if c == text else F.col(c) for c in own_columns(docs, names)]
+    return renamed(rows.select(*own, *added), docs, names)
 
 
 def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.col("__n_passages").alias("n_passages"), F.sha2(text_of().cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", *PASSAGE_NAMES, F.sha2(text_of().cast("binary"), 256).alias("kept_sha256"))
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.col("__n_chunks").alias("n_chunks"), F.sha2(text_of().cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", *CHUNK_NAMES, F.sha2(text_of().cast("binary"), 256).alias("kept_sha256"))
 
 
 OP4_SQL = f"""

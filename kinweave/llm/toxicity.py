@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kinweave.llm.common import table, text_of
+from kinweave.llm.common import cut, own_columns, place_of, placed, renamed, table, text_of
 
 #: Bounds of the training sample: documents of either label, and characters of each.
 TOXIC, ORDINARY, LONGEST = 1_500, 4_000, 20_000
@@ -61,8 +62,21 @@ class Compressor:
     def __init__(self, toxic: bytes, ordinary: bytes):
         import zstandard as z
 
-        how = z.ZstdCompressionParameters(window_log=17, hash_log=14, chain_log=14, search_log=6, min_match=3, target_length=32, strategy=z.STRATEGY_BTULTRA2, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
-        self.toxic, self.ordinary = (z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=how).compress for d in (toxic, ordinary))
+        how = z.ZstdCompressionParameters(
+            window_log=17,
+            hash_log=14,
+            chain_log=14,
+            search_log=6,
+            min_match=3,
+            target_length=32,
+            strategy=z.STRATEGY_BTULTRA2,
+            format=z.FORMAT_ZSTD1_MAGICLESS,
+            write_content_size=0,
+            write_checksum=0,
+            write_dict_id=0,
+        )
+        raw = [z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT) for d in (toxic, ordinary)]
+        self.toxic, self.ordinary = (z.ZstdCompressor(dict_data=d, compression_params=how).compress for d in raw)
         self.memo: dict[bytes, int] = {}
 
     def margin(self, word: bytes) -> int:
@@ -164,12 +178,20 @@ def train(toxic: list[str], ordinary: list[str], size: int = DICTIONARY) -> dict
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, ordinary: int = ORDINARY, longest: int = LONGEST) -> dict:
-    """Train on a bounded sample: per label the ids of least hash, none held out; of these, documents up to `longest` characters."""
+    """Train on a bounded sample: per label the ids of least hash, none held out; of these, documents up to `longest` characters.
+
+    Null ids and labels are not learnt from; an id with both labels counts for
+    both. Without any labelled text of either kind the model finds nothing.
+    """
     free = labels.where(~held_out(F.col("doc_id"))).select("doc_id", "toxic").distinct()
     pick = lambda y, n: free.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    ids = pick(1, toxic).unionAll(pick(0, ordinary)).select("doc_id", F.col("toxic").alias("__toxic"))
-    sample = docs.select("doc_id", text_of().alias("text")).where(F.length("text") <= longest)
-    got = sample.join(F.broadcast(ids), "doc_id").select("__toxic", "text").collect()  # toxic + ordinary ids, and their texts, at most
+    ids = pick(1, toxic).unionAll(pick(0, ordinary))
+    rows = placed(docs).select(F.col(place_of(docs, "doc_id")).alias("doc_id"), text_of(place_of(docs, "text")).alias("text"))
+    sample = rows.where(F.length("text") <= longest).join(F.broadcast(ids), "doc_id").select("toxic", "text")
+    # an id that many rows share counts once a distinct text, and no more texts than the bounds are gathered
+    sample = cut(sample.distinct(), "sample")
+    first = lambda y, n: sample.where(F.col("toxic") == y).orderBy(F.xxhash64("text"), "text").limit(n)
+    got = [tuple(r) for r in first(1, toxic).unionAll(first(0, ordinary)).collect()]
     return train(sorted(t for y, t in got if y == 1), sorted(t for y, t in got if y == 0))
 
 
@@ -178,26 +200,30 @@ def score(docs: DataFrame, model: dict, names: tuple[str, str] = ("score", "pred
 
     With s the share of windows at or over the margin, the score is
     s / (s + share): one half just at the calibrated share. Null and empty texts
-    score 0. Columns of the added names are replaced; an empty table gives no rows.
+    score 0; texts of any length are scored whole. Other columns pass through
+    whatever their names and types; those of the added names are replaced. An
+    empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few KB
-    kept = docs.drop(*names).withColumn("__text", text_of())
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text"] + [f"{names[0]} double", f"{names[1]} int"])
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the dictionaries of a bounded sample
+    own = own_columns(docs, names)
+    kept = placed(docs).select(*own, text_of(place_of(docs, "text")).alias("text"))
+    fields = [f for f in kept.schema if f.name != "text"]
+    schema = T.StructType([*fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        own = Compressor(m["toxic"], m["ordinary"])
+        compressor = Compressor(m["toxic"], m["ordinary"])
         for batch in batches:
-            rest = [c for c in batch.schema.names if c != "__text"]
             scores = []
-            for text in batch.column("__text"):
-                got = own.margins(text.as_py())
+            for text in batch.column("text"):
+                got = compressor.margins(text.as_py())
                 part = float((got >= m["margin"]).mean()) if len(got) else 0.0
                 scores.append(part / (part + m["share"]))
             s = np.array(scores, float)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*rest, *names])
+            added = [pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *added], names=[*own, *names])
 
-    return kept.mapInArrow(run, schema)
+    return renamed(kept.mapInArrow(run, schema), docs, names)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

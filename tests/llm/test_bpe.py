@@ -1,8 +1,10 @@
+import hashlib
+import os
 import random
 
 import pytest
 
-from kinweave.llm.bpe import TreeEncoder, decode_tokens, default_vocabulary, encode_documents
+from kinweave.llm.bpe import TreeEncoder, decode_tokens, default_vocabulary, encode_documents, op2_bpe
 
 WORDS = ["the", " of", "'s", "'ll", "'re", "  ", "\n", "\n\n\n", "é", "日本語の", "123", "4567890", "!!!", "'", "<|endoftext|>", "<|endof", "text|>", "🙂", "a" * 40, "ABCdef", "\t ", "=====", "xyzzyplugh" * 9, "́", "ß", "²", " 7", "...'s"]
 
@@ -35,3 +37,35 @@ def test_every_character_as_the_library():
         assert list(ids) == want.ids
         assert enc.decode(ids) == enc.tok.decode(want.ids, skip_special_tokens=False) == text
     assert enc.decode([50256, 170, 50256]) == enc.tok.decode([50256, 170, 50256], skip_special_tokens=False)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_query_equals_the_library_on_a_whole_table(spark):
+    """Digests of a whole table, some texts far over the leaf, by the library alone."""
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want, longest = [], 0
+    for r in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).to_pylist():
+        text = r["text"] or ""
+        ids = tok.encode(text, add_special_tokens=False).ids
+        longest = max(longest, len(text))
+        want.append((r["doc_id"], len(ids), sha(",".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False))))
+    assert sorted(map(tuple, op2_bpe(spark, "/root/testdata/sf0.001").collect())) == sorted(want)
+    assert longest > 16_384
+
+
+def test_columns_of_any_name_and_type_pass(spark):
+    schema = "doc_id long, text string, __text string, `a.b` int, n_tokens string, m map<string,int>"
+    rows = [(1, "a b", "p", 1, "q", {"k": 1}), (None,) * 6]
+    df = spark.createDataFrame(rows, schema)
+    for digests in (False, True):
+        out = encode_documents(df, digests=digests)
+        assert out.columns[:5] == ["doc_id", "text", "__text", "a.b", "m"]
+        assert {tuple(r)[:4] for r in out.collect()} == {r[:4] for r in rows}
+        assert sorted(r["n_tokens"] for r in out.collect()) == [0, 2]
+    back = decode_tokens(encode_documents(df))
+    assert sorted(r["decoded"] for r in back.collect()) == ["", "a b"]

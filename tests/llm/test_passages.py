@@ -51,7 +51,7 @@ def _held(spark, rows):
     assert {r["doc_id"]: r["text"] for r in got}[71] is None
     lines = lambda texts: {x for t in texts for x in (t or "").split("\n")}
     assert lines(t for _, t in rows) <= lines(r["text"] for r in got) | {""}
-    assert all((r["__n_passages"] > 0) == (r["__n_removed"] > 0) for r in got)
+    assert all((r["n_passages"] > 0) == (r["n_removed"] > 0) for r in got)
     assert dedup_passages(df.limit(0)).count() == 0
 
 
