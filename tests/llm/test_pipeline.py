@@ -98,3 +98,27 @@ def test_stages(spark):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_run(spark):
     assert cp.run(spark, DATA).count() > 0
+
+
+def test_stages_take_nulls_repeats_empty_tables_and_any_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __id string, `a.b` int, n_lines int, is_toxic int, m map<string,int>"
+    rest = ("x", 1, 2, 3, {"k": 1})
+    rows = [(1, "a b\nc d\ne f", "en", "s", 11, *rest), (2, "q\na b\nc d\ne f", "en", "s", 13, *rest), (2, "q\na b\nc d\ne f", "en", "s", 13, *rest)]
+    rows += [(3, None, None, None, None, *rest), (4, "", "en", None, 0, *rest), (None, "w " * 50_000, "en", "t", 100_000, *rest)]
+    df = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (df, df.limit(0)):
+        for _, stage in cp.STAGES[:-1]:
+            docs = cut(stage(spark, docs, str(tmp_path)), "t")
+            assert docs.columns == df.columns
+            assert [f.dataType for f in docs.schema] == [f.dataType for f in df.schema]
+        got = cp.tokens(spark, docs, str(tmp_path))
+        assert got.columns == ["doc_id", "source", "lang", "n_tokens", "tokens", "decoded"]
+        got.collect()
+    kept = cp.passage_dedup(spark, df, "").collect()
+    assert sorted(repr((r["doc_id"], r["text"], r["n_chars"])) for r in kept if r["doc_id"] in (1, 2, 3, 4)) == sorted(
+        map(repr, [(1, "a b\nc d\ne f", 11), (2, "q", 1), (2, "q", 1), (3, None, None), (4, "", 0)])
+    )
+    single = cp.near_duplicates(spark, df, "").collect()
+    assert sorted(map(repr, (r["doc_id"] for r in single))) == ["1", "2", "3", "None"]
+    assert all(r["m"] == {"k": 1} for r in single)
