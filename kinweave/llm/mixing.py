@@ -6,8 +6,9 @@ whose target passes its size first gives whole epochs; for the rest, documents
 are taken in key order until their prefix sum of words fills it.
 
 No source is sorted as a whole. Keys fall into bins; bin sums give the one bin
-where a source's budget ends, only that bin is sorted, and its cut key then
-decides for every row by a lookup of its source.
+where a source's budget ends, which is split into finer bins as long as it holds
+too many rows. Only the last is sorted, and its cut key then decides for every
+row by a lookup of its source.
 """
 
 from __future__ import annotations
@@ -16,14 +17,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import cut, node_id, table, text_of
+from kinweave.llm.common import cut, node_id, place_of, placed, renamed, table, text_of
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
 BINS = 1024
+#: Bins are split again while the one where a source's budget ends holds more rows; only that one is sorted.
+SORTED = 100
+#: Bins are equal steps of the key's logarithm between these; keys below 1e-17 or above 20,000 cannot be drawn.
+LOWEST, HIGHEST = -40.0, 10.0
+DEEPEST = 5
 #: Source tables up to this many rows are broadcast; larger ones are joined by shuffling.
 SMALL = 50_000
+NAMES = ("size", "source_size", "target", "times")
 
 
 def quality(text: Column) -> Column:
@@ -32,17 +39,25 @@ def quality(text: Column) -> Column:
     return F.greatest(F.lit(0.1), F.size(F.array_distinct(lines)) / F.size(lines))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds the columns __id, __size, __key and __bin."""
-    u = (F.conv(F.substring(F.md5(F.col("__id").cast("string")), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
+def _measured(rows: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
+    """Adds __id, __source, __size, __key and __at, the key's place in 0..1, of which bins are the leading digits."""
+    hashed = F.conv(F.substring(F.md5(F.col("__id").cast("string")), 1, 13), 16, 10).cast("double")
+    u = (hashed + 0.5) / float(2**52)
+    at = (F.log("__key") - LOWEST) / (HIGHEST - LOWEST)
     return (
-        docs.withColumn("__id", node_id("doc_id"))
-        .withColumn("__size", F.regexp_count(text_of(), F.lit(WORD)).cast("long"))
-        .withColumn("__key", -F.log(u) / quality(text_of()))
-        .withColumn("__bin", F.least(F.lit(BINS - 1), F.floor(BINS * (1 - F.exp(-F.col("__key"))))).cast("int"))
+        rows.withColumn("__id", node_id(doc_id))
+        .withColumn("__source", F.col(source))
+        .withColumn("__size", F.regexp_count(text_of(text), F.lit(WORD)).cast("long"))
+        .withColumn("__key", -F.log(u) / quality(text_of(text)))
+        .withColumn("__at", F.greatest(F.lit(0.0), F.least(at, F.lit(1 - 2.0**-50))))
     )
 
 
+def _bin(level: int) -> Column:
+    """Of this level; scaling by a power of two is exact, so the bins of a level lie within those of the level before."""
+    return F.floor(F.col("__at") * float(BINS**level))
+
+
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """sizes (source, source_size) -> the same plus `target`: weights share the total, none above most times its size.
 
@@ -62,56 +77,106 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
 
 
 def _lookup(rows: DataFrame, small: DataFrame, n: int) -> DataFrame:
-    """Left join on source, nulls alike; `small` has n rows."""
-    right = small.withColumnRenamed("source", "__source")
-    return rows.join(F.broadcast(right) if n <= SMALL else right, rows["source"].eqNullSafe(right["__source"]), "left").drop("__source")
-
-
-def plan(keyed: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> tuple[DataFrame, int]:
-    """One row a source: source_size, target, whole epochs, and the bin and (key, id, size) where the fraction ends."""
-    slim = cut(keyed.select("source", "__id", "__size", "__key", "__bin"), "mix")
-    bins = cut(slim.groupBy("source", "__bin").agg(F.sum("__size").alias("s")), "mixbins")
-    goal = targets(bins.groupBy("source").agg(F.sum("s").alias("source_size")), weights, share, most)
-    times = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int")
-    goal = cut(goal.withColumn("epochs", times).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mixgoal")
-    n = goal.count()
-    end = F.sum("s").over(W.partitionBy("source").orderBy("__bin"))
-    edge = _lookup(bins.withColumn("end", end), goal.select("source", "rest"), n).where(F.col("end") > F.col("rest"))
-    edge = edge.groupBy("source").agg(F.min(F.struct(F.col("__bin").alias("bin"), (F.col("end") - F.col("s")).alias("before"), "rest")).alias("e")).select("source", "e.*")
-    inside = _lookup(slim, edge, n).where(F.col("__bin") == F.col("bin"))
-    place = F.struct("__key", "__id", "__size")
-    upto = F.col("before") + F.sum("__size").over(W.partitionBy("source").orderBy("__key", "__id", "__size").rowsBetween(W.unboundedPreceding, W.currentRow))
-    last = inside.withColumn("upto", upto).where(F.col("upto") - F.col("__size") / 2 <= F.col("rest")).groupBy("source").agg(F.max(place).alias("last"))
-    out = _lookup(_lookup(goal, edge.select("source", "bin"), n), last, n)
-    return cut(out.select("source", "source_size", "target", "epochs", "bin", "last"), "mixplan"), n
+    """Left join of rows' __source on `small`'s source, nulls alike; `small` has n rows."""
+    right = F.broadcast(small) if n <= SMALL else small
+    return rows.join(right, rows["__source"].eqNullSafe(small["source"]), "left").drop("source")
+
+
+PLACE = ("__key", "__id", "__size")
 
 
-def times_taken(docs: DataFrame, **how) -> DataFrame:
-    """Rows of docs plus __size, source_size, target and __times: how often the mix takes the document.
+def plan(
+    slim: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, at_once: int = SORTED
+) -> tuple[DataFrame, int]:
+    """Measured rows -> one row a source: source_size, target, whole epochs, and the place where the fraction ends.
+
+    `whole` says that the fraction takes the source to its end; else `last` is
+    the place of the last row taken, null if none is.
+    """
+    bins = cut(slim.groupBy("__source", _bin(1).alias("bin")).agg(F.sum("__size").alias("s"), F.count("*").alias("n")), "mixbins")
+    goal = targets(bins.groupBy(F.col("__source").alias("source")).agg(F.sum("s").alias("source_size")), weights, share, most)
+    times = F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))
+    goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, times).otherwise(0).cast("int"))
+    goal = cut(goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mixgoal")
+    n = goal.count()
+    edge = _edge(_lookup(bins, goal.select("source", "rest", F.lit(0).cast("long").alias("base")), n))
+    level = 1
+    while level < DEEPEST and (edge.agg(F.max("n")).first()[0] or 0) > at_once:
+        inside = _lookup(slim, edge.select("source", "bin", "rest", "base"), n).where(_bin(level) == F.col("bin"))
+        level += 1
+        finer = inside.groupBy("__source", "rest", "base", _bin(level).alias("bin"))
+        edge = _edge(finer.agg(F.sum("__size").alias("s"), F.count("*").alias("n")))
+    inside = _lookup(slim, edge.select("source", "bin", "rest", "base"), n).where(_bin(level) == F.col("bin"))
+    # rows of one place, however many, are one row here: equal rows are taken alike
+    inside = inside.groupBy("__source", "rest", "base", *PLACE).agg(F.sum("__size").alias("s"))
+    order = W.partitionBy("__source").orderBy(*PLACE).rowsBetween(W.unboundedPreceding, -1)
+    before = F.col("base") + F.coalesce(F.sum("s").over(order), F.lit(0))
+    fits = inside.withColumn("before", before).where(F.col("before") + F.col("__size") / 2 <= F.col("rest"))
+    last = fits.groupBy(F.col("__source").alias("s")).agg(F.max(F.struct(*PLACE)).alias("last"))
+    ends = edge.select(F.col("source").alias("e"), "bin")
+    out = goal.join(ends, goal["source"].eqNullSafe(ends["e"]), "left")
+    out = out.join(last, out["source"].eqNullSafe(last["s"]), "left")
+    lots = out.select("source", "source_size", "target", "epochs", "bin", F.col("bin").isNull().alias("whole"), "last")
+    return cut(lots.withColumn("level", F.lit(level)), "mixplan"), n
+
+
+def _edge(bins: DataFrame) -> DataFrame:
+    """bins (__source, bin, s, n, rest, base) -> the one of each source in which rest ends, with what comes before it."""
+    end = F.col("base") + F.sum("s").over(W.partitionBy("__source").orderBy("bin"))
+    past = bins.withColumn("end", end).where(F.col("end") > F.col("rest"))
+    first = F.min(F.struct("bin", (F.col("end") - F.col("s")).alias("base"), "rest", "n")).alias("e")
+    return cut(past.groupBy(F.col("__source").alias("source")).agg(first).select("source", "e.*"), "mixedge")
+
+
+def _decided(rows: DataFrame, lots: DataFrame, n: int, most: int) -> DataFrame:
+    """Measured rows plus the columns of their source's lot and __times: how often the mix takes each."""
+    level = (lots.agg(F.max("level")).first()[0]) or 1
+    names = ("source_size", "target", "epochs", "bin", "whole", "last")
+    rows = _lookup(rows, lots.select("source", *[F.col(c).alias(f"__{c}") for c in names]), n)
+    at_edge = (_bin(level) == F.col("__bin")) & F.coalesce(F.struct(*PLACE) <= F.col("__last"), F.lit(False))
+    some = F.col("__whole") | (_bin(level) < F.col("__bin")) | at_edge
+    return rows.withColumn("__times", F.col("__epochs") + (some & (F.col("__epochs") < most)).cast("int"))
+
+
+def _slim(rows: DataFrame, *more: str) -> DataFrame:
+    return cut(rows.select(*more, "__source", "__id", "__size", "__key", "__at"), "mix")
+
+
+def times_taken(docs: DataFrame, names: tuple[str, str, str, str] = NAMES, most: int = MOST, **how) -> DataFrame:
+    """Rows of docs without their text, plus, under `names`, size, source_size, target, and how often the mix takes them.
 
     Sources go by code point, null last. Null text has size 0 and is in every
     selection without weight; a null doc_id draws a key of its own. Rows that
-    repeat an id share its key and are told apart by size; equal rows are taken
-    alike. Of the document where a source's budget ends, the whole is taken if
-    half or more of it fits. An empty table gives no rows.
+    repeat an id share its key if their quality is the same, and are told apart
+    by size; equal rows are taken alike. Of the document where a source's budget
+    ends, the whole is taken if half or more of it fits. Other columns pass
+    through whatever their names and types, but for those of the added names,
+    which are replaced. An empty table gives no rows.
     """
-    keyed = _keyed(docs)
-    lots, n = plan(keyed, **how)
-    place = F.struct("__key", "__id", "__size")
-    rows = _lookup(keyed, lots.withColumnRenamed("bin", "__edge").withColumnRenamed("last", "__last").withColumnRenamed("epochs", "__epochs").withColumnRenamed("source_size", "__source_size").withColumnRenamed("target", "__target"), n)
-    some = F.col("__edge").isNull() | (F.col("__bin") < F.col("__edge")) | ((F.col("__bin") == F.col("__edge")) & F.coalesce(place <= F.col("__last"), F.lit(False)))
-    return rows.withColumn("__times", F.col("__epochs") + (some & (F.col("__epochs") < how.get("most", MOST))).cast("int"))
-
-
-def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, columns unchanged."""
-    rows = times_taken(docs, **how).where(F.col("__times") > 0)
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, (doc_id, text, source) = placed(docs), (place_of(docs, c) for c in ("doc_id", "text", "source"))
+    shown = docs.drop("text")
+    slim = _slim(_measured(rows, doc_id, text, source), *[c for c in rows.columns if c != text])
+    lots, n = plan(slim, most=most, **how)
+    out = _decided(slim, lots, n, most)
+    added = [F.col(c).alias(x) for c, x in zip(("__size", "__source_size", "__target", "__times"), names, strict=True)]
+    own = [F.col(c).alias(f"c{k}") for k, c in enumerate(c for c in rows.columns if c != text)]
+    return renamed(out.select(*own, *added), shown, names)
+
+
+def mix(docs: DataFrame, most: int = MOST, **how) -> DataFrame:
+    """The mix itself: each row of docs as often as `times_taken` says, columns unchanged whatever their names and types."""
+    rows, (doc_id, text, source) = placed(docs), (place_of(docs, c) for c in ("doc_id", "text", "source"))
+    measured = _measured(rows, doc_id, text, source)
+    lots, n = plan(_slim(measured), most=most, **how)
+    taken = _decided(measured, lots, n, most).where(F.col("__times") > 0)
+    copies = F.explode(F.sequence(F.lit(1), F.col("__times")))
+    return renamed(taken.select(*rows.columns, copies.alias("__copy")), docs)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return times_taken(docs).select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__times")).alias("taken"))
+    taken = (F.col("size") * F.col("times")).alias("taken")
+    return times_taken(docs).select("doc_id", "size", "source_size", "target", taken)
 
 
 OP5_SQL = f"""
