@@ -4,11 +4,12 @@ A byte goes if a string of `length` bytes covers it that also starts earlier:
 in a document of smaller id, or earlier in the same one. Work is dealt out by
 content. Every window of `length` bytes has one anchor, the gram of least hash
 in it, so equal windows have equal anchors at equal places. Anchors meet by
-gram. An anchor's slice, the union of its windows, travels as a hash; anchors
-with equal slices are settled at once. Only where slices of one gram differ,
-at the edges of repeated passages, are their bytes gathered: the parts right
-and left of the anchor are sorted by a suffix array of 8-byte symbols, and
-windows are equal where both neighbours' common prefixes reach far enough.
+gram, and where a gram occurs again, its anchors' slices, the unions of their
+windows, are gathered. Slices that are one and the same byte for byte are
+settled at once (those of one batch before they are shuffled). Where slices of
+one gram differ, the parts right and left of the anchor are sorted by a suffix
+array of 8-byte symbols, and windows are equal where both neighbours' common
+prefixes reach far enough. Hashes only decide what meets, never what goes.
 
 The suffix array is built by linear grouping: suffixes are grouped by Lyndon
 prefix, groups taken from the greatest down, previous-smaller pointers say
@@ -30,6 +31,10 @@ from kinweave.llm.common import cut, node_id, shown_id, table, text_of
 LENGTH, GRAM = 100, 32
 #: Anchors that a task settles among themselves before they are shuffled.
 BATCH = 400_000
+#: Rows that are compared, sent and solved at a time.
+COMPARED, SENT, SOLVED = 1 << 14, 1 << 14, 1 << 16
+#: Anchors of one gram that meet whole; of more, parts by distance meet.
+MEETING = 256
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
@@ -164,27 +169,48 @@ class Anchors:
         return grams[p].view(np.int64), slices.view(np.int64), p, lo, hi
 
 
+def equal_slices(buffer: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes of buffer from a[k] and from b[k] are the same, size[k] of them; bounded memory.
+
+    Eight bytes are compared at a time, the last eight up to the very end.
+    """
+    wide = 8 if len(size) and size.min() >= 8 else 1
+    words = np.ndarray((len(buffer) - wide + 1,), f"<u{wide}", buffer.tobytes(), strides=(1,))
+    out = np.ones(len(a), bool)
+    for at in range(0, len(a), COMPARED):
+        k = slice(at, at + COMPARED)
+        place = np.minimum(np.arange(0, int(size[k].max()), wide), size[k, None] - wide)
+        out[k] = (words[a[k, None] + place] == words[b[k, None] + place]).all(axis=1)
+    return out
+
+
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(doc_id, twin, text) -> rows (route, span, doc_id, twin, a, b).
 
-    Before anything is shuffled, equal slices of one batch are settled: the
-    first stays as an anchor (span = 0; route the gram, a the slice, b its packed
-    place), the spans of the others are joined (span = 1; from a to b) and routed
-    by document. So neither a periodic text nor a passage that many documents
-    share sends more than an anchor a batch.
+    Before anything is shuffled, equal slices of one batch are settled: those
+    of equal hash are compared byte by byte, the first stays as an anchor
+    (span = 0; route the gram, a the slice, b its packed place), the spans of the
+    others are joined (span = 1; from a to b) and routed by document. So neither
+    a periodic text nor a passage that many documents share sends more than an
+    anchor a batch.
     """
     names = ["route", "span", "doc_id", "twin", "a", "b"]
 
-    def flush(got: list) -> pa.RecordBatch:
-        g, s, doc, twin, at = (np.concatenate(c) for c in zip(*got, strict=True))
+    def flush(got: list, texts: list[bytes]) -> pa.RecordBatch:
+        g, s, doc, twin, at, base = (np.concatenate(c) for c in zip(*got, strict=True))
+        buffer = np.frombuffer(b"".join(texts), np.uint8)
+        p, lo, hi = at >> 16, (at >> 8) & 255, at & 255
         order = np.lexsort((at, doc, s))
         new = _runs(s[order])
         head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        first = order[new]
-        later = order[(doc[order] != doc[head]) | (at[order] != at[head])]
+        alike = (lo[order] == lo[head]) & (hi[order] == hi[head])
+        from_, to = base[order] + p[order] - hi[order], base[head] + p[head] - hi[head]
+        same = alike & (new | equal_slices(buffer, from_, to, (hi - lo)[order] + length))
+        first = order[new | ~same]  # equal hash but other bytes: an anchor of its own
+        later = order[same & ((doc[order] != doc[head]) | (at[order] != at[head]))]
         later = later[np.lexsort((at[later], twin[later], doc[later]))]
-        d, t, p = doc[later], twin[later], at[later] >> 16
-        begin, end = p - (at[later] & 255), p - ((at[later] >> 8) & 255) + length
+        d, t = doc[later], twin[later]
+        begin, end = p[later] - hi[later], p[later] - lo[later] + length
         opens = _runs(d, t)
         opens[1:] |= begin[1:] > end[:-1]
         k = np.flatnonzero(opens)
@@ -202,20 +228,24 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Anchors(length, gram)
-        got, n = [], 0
+        got, texts, n, size = [], [], 0, 0
         for batch in batches:
-            for doc, twin, text in zip(batch.column("doc_id").to_pylist(), batch.column("twin").to_pylist(), batch.column("text"), strict=True):
-                found = finder.find(text.as_py().encode())
+            ids, twins = batch.column("doc_id").to_pylist(), batch.column("twin").to_pylist()
+            for doc, twin, text in zip(ids, twins, batch.column("text"), strict=True):
+                data = text.as_py().encode()
+                found = finder.find(data)
                 if found is None:
                     continue
                 g, s, p, lo, hi = found
-                got.append((g, s, np.full(len(g), doc), np.full(len(g), twin, np.int32), (p << 16) | (lo << 8) | hi))
-                n += len(g)
+                place = (p << 16) | (lo << 8) | hi
+                got.append((g, s, np.full(len(g), doc), np.full(len(g), twin, np.int32), place, np.full(len(g), size)))
+                texts.append(data)
+                n, size = n + len(g), size + len(data)
                 if n >= BATCH:
-                    yield flush(got)
-                    got, n = [], 0
+                    yield flush(got, texts)
+                    got, texts, n, size = [], [], 0, 0
         if got:
-            yield flush(got)
+            yield flush(got, texts)
 
     return docs.mapInArrow(run, "route long, span int, doc_id long, twin int, a long, b long")
 
@@ -229,12 +259,17 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _settle(anchors: DataFrame, length: int) -> DataFrame:
-    """Anchors -> removed spans of equal slices (open = 0), and the first anchor of each slice where slices differ (open = 1).
+FOUND = ["open", "doc_id", "twin", "a", "b", "part"]
+
 
-    Gives (open, doc_id, twin, a, b): a span from a to b, or gram and packed place.
+def _meeting(anchors: DataFrame, length: int, gram: int) -> DataFrame:
+    """Anchors -> removed spans (open = 0; from a to b), and the anchors whose gram occurs again (open = 1; gram, place).
+
+    The windows of an anchor differ by how far before it they start, and only
+    windows of equal distance can be equal. So where a gram has many anchors,
+    each is cut into parts by distance, and the parts are compared apart.
     """
-    names = ["open", "doc_id", "twin", "a", "b"]
+    reach = length - gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(got) if (got := list(batches)) else None
@@ -242,53 +277,64 @@ def _settle(anchors: DataFrame, length: int) -> DataFrame:
             return
         ready = t.filter(pc.equal(t.column("span"), 1))
         if ready.num_rows:
-            yield from pa.table({"open": pa.array(np.zeros(ready.num_rows, np.int32)), "doc_id": ready.column("doc_id"), "twin": ready.column("twin"), "a": ready.column("a"), "b": ready.column("b")}).to_batches(max_chunksize=1 << 20)
+            zero = pa.array(np.zeros(ready.num_rows, np.int32))
+            columns = [zero, *(ready.column(c) for c in ("doc_id", "twin", "a", "b")), zero]
+            yield from pa.table(dict(zip(FOUND, columns, strict=True))).to_batches(max_chunksize=1 << 20)
         t = t.filter(pc.equal(t.column("span"), 0))
-        gram, slice_, doc, twin, at = (t.column(c).to_numpy() for c in ("route", "a", "doc_id", "twin", "b"))
+        key, doc, twin, at = (t.column(c).to_numpy() for c in ("route", "doc_id", "twin", "b"))
         del t, got, ready
-        if not len(gram):
-            return
-        new = np.argsort(gram, kind="stable")  # most grams occur once; only the others are sorted on
-        run_ = _runs(gram[new])
-        many = ~(run_ & np.concatenate([run_[1:], [True]]))
-        own = new[many]
-        own = own[np.lexsort((at[own], doc[own], slice_[own], gram[own]))]
-        gram, slice_, doc, twin, at = gram[own], slice_[own], doc[own], twin[own], at[own]
-        if not len(own):
-            return
-        first_g, first_s = _runs(gram), _runs(gram, slice_)
-        head = np.maximum.accumulate(np.where(first_s, np.arange(len(own)), 0))
-        later = (doc != doc[head]) | (at != at[head])
-        k = np.flatnonzero(later)
-        p, lo, hi = at[k] >> 16, (at[k] >> 8) & 255, at[k] & 255
-        # spans of neighbouring anchors of a document that touch are not joined here: they meet in other tasks
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(k), np.int32)), pa.array(doc[k]), pa.array(twin[k]), pa.array(p - hi), pa.array(p - lo + length)], names=names)
-        group = np.cumsum(first_g) - 1
-        kinds = np.bincount(group[first_s])
-        k = np.flatnonzero(first_s & (kinds[group] > 1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int32)), pa.array(doc[k]), pa.array(twin[k]), pa.array(gram[k]), pa.array(at[k])], names=names)
-
-    return anchors.repartition("route").mapInArrow(run, "open int, doc_id long, twin int, a long, b long")
+        order = np.argsort(key, kind="stable")
+        new = _runs(key[order])
+        count = np.diff(np.r_[np.flatnonzero(new), len(order)])
+        count = count[np.cumsum(new) - 1]
+        own, count = order[count > 1], count[count > 1]
+        width = np.maximum(1, reach // -(-count // MEETING))
+        first, last = ((at[own] >> 8) & 255) // width, (at[own] & 255) // width
+        times = last - first + 1
+        for k in range(0, len(own), 1 << 20):
+            some = slice(k, k + (1 << 20))
+            i = np.repeat(own[some], times[some])
+            w = np.repeat(width[some], times[some])
+            part = np.arange(len(i)) - np.repeat(np.cumsum(times[some]) - times[some], times[some])
+            part += np.repeat(first[some], times[some])
+            lo = np.maximum((at[i] >> 8) & 255, part * w)
+            hi = np.minimum(at[i] & 255, part * w + w - 1)
+            place = (at[i] >> 16 << 16) | (lo << 8) | hi
+            columns = [np.ones(len(i), np.int32), doc[i], twin[i], key[i], place, part.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=FOUND)
+
+    schema = "open int, doc_id long, twin int, a long, b long, part int"
+    return anchors.repartition("route").mapInArrow(run, schema)
 
 
 def _slices(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
-    """The bytes of the asked slices: (gram, doc_id, twin, at, bytes)."""
-    per_doc = asked.groupBy("doc_id", "twin").agg(F.collect_set(F.struct(F.col("a").alias("gram"), F.col("b").alias("at"))).alias("asked"))
+    """The bytes of the asked slices: (gram, part, doc_id, twin, at, bytes)."""
+    place = F.struct(F.col("a").alias("gram"), F.col("b").alias("at"), "part")
+    per_doc = asked.groupBy("doc_id", "twin").agg(F.collect_set(place).alias("asked"))
     wanted = docs.join(per_doc.hint("shuffle_hash"), ["doc_id", "twin"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict = {}
-            for doc, twin, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("twin").to_pylist(), batch.column("text"), batch.column("asked"), strict=True):
-                data = text.as_py().encode()
-                for x in places.as_py():
-                    p, lo, hi = x["at"] >> 16, (x["at"] >> 8) & 255, x["at"] & 255
-                    rows[x["gram"], doc, twin, x["at"]] = data[p - hi : p - lo + length]
-            if rows:
-                gram, doc, twin, at = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(doc, pa.int64()), pa.array(twin, pa.int32()), pa.array(at, pa.int64()), pa.array(list(rows.values()), pa.binary())], names=["gram", "doc_id", "twin", "at", "bytes"])
-
-    return wanted.select("doc_id", "twin", "text", "asked").mapInArrow(run, "gram long, doc_id long, twin int, at long, bytes binary").repartition("gram")
+            places = batch.column("asked")
+            inner = places.flatten()
+            gram, at, part = (inner.field(k) for k in range(3))
+            size = places.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), size)
+            where = at.to_numpy()
+            begin = ((where >> 16) - (where & 255)).tolist()
+            end = ((where >> 16) - ((where >> 8) & 255) + length).tolist()
+            texts = [x.as_py().encode() for x in batch.column("text")]
+            for k in range(0, len(row), SENT):
+                some = slice(k, k + SENT)
+                cut_ = [texts[r][a:b] for r, a, b in zip(row[some].tolist(), begin[some], end[some], strict=True)]
+                ids = pa.array(row[some])
+                columns = [gram[some], part[some], batch.column("doc_id").take(ids), batch.column("twin").take(ids), at[some]]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(cut_, pa.binary())], names=["gram", "part", "doc_id", "twin", "at", "bytes"]
+                )
+
+    schema = "gram long, part int, doc_id long, twin int, at long, bytes binary"
+    return wanted.select("doc_id", "twin", "text", "asked").mapInArrow(run, schema).repartition("gram", "part")
 
 
 def sort_parts(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -324,18 +370,15 @@ def sort_parts(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _solve(slices: DataFrame, length: int, gram: int) -> DataFrame:
-    """Slices that differ -> spans (doc_id, twin, a, b) of their windows that also start earlier."""
+    """Slices -> spans (doc_id, twin, a, b) of their windows that also start earlier, by their bytes."""
     reach = length - gram + 1
+    names = ["doc_id", "twin", "a", "b"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(got) if (got := list(batches)) else None
-        if t is None or not t.num_rows:
-            return
-        doc, twin, at = (t.column(c).to_numpy() for c in ("doc_id", "twin", "at"))
-        data = t.column("bytes").to_pylist()
-        p, lo, hi = at >> 16, (at >> 8) & 255, at & 255
-        right = sort_parts([x[h:] for x, h in zip(data, hi.tolist(), strict=True)], length)
-        left = sort_parts([x[:h][::-1] for x, h in zip(data, hi.tolist(), strict=True)], reach)
+    def differing(doc: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, data: list[bytes]):
+        """(row, first and last distance) of runs of windows that also start earlier, by suffix arrays."""
+        after = [x[h:] for x, h in zip(data, hi.tolist(), strict=True)]
+        before = [x[:h][::-1] for x, h in zip(data, hi.tolist(), strict=True)]
+        right, left = sort_parts(after, length), sort_parts(before, reach)
         early = np.lexsort((p, doc))
         when = np.empty(len(doc), np.int64)
         when[early] = np.cumsum(_runs(doc[early], p[early])) - 1
@@ -352,8 +395,41 @@ def _solve(slices: DataFrame, length: int, gram: int) -> DataFrame:
             flag[own[sort], o] = when[own][sort] > when[own][sort][head]
         edge = np.diff(np.pad(flag, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, begin = np.nonzero(edge == 1)
-        end = np.nonzero(edge == -1)[1] - 1
-        yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(twin[row]), pa.array(p[row] - end), pa.array(p[row] - begin + length)], names=["doc_id", "twin", "a", "b"])
+        return row, begin, np.nonzero(edge == -1)[1] - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(got) if (got := list(batches)) else None
+        if t is None or not t.num_rows:
+            return
+        group = np.unique(np.stack([t.column("gram").to_numpy(), t.column("part").to_numpy()]), axis=1, return_inverse=True)[1]
+        doc, twin, at = (t.column(c).to_numpy() for c in ("doc_id", "twin", "at"))
+        which = pc.dictionary_encode(t.column("bytes").combine_chunks())
+        kind, distinct = which.indices.to_numpy(), which.dictionary
+        p, lo, hi = at >> 16, (at >> 8) & 255, at & 255
+        order = np.lexsort((p, doc, group))
+        new = _runs(group[order])
+        head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        # groups of one slice, byte for byte: all windows of all but the first go
+        odd = np.zeros(int(group.max()) + 1, bool)
+        odd[group[order][(kind[order] != kind[head]) | (hi[order] != hi[head])]] = True
+        k = order[((doc[order] != doc[head]) | (p[order] != p[head])) & ~odd[group[order]]]
+        columns = [doc[k], twin[k], p[k] - hi[k], p[k] - lo[k] + length]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+        # the others, whole groups at a time, by suffix arrays
+        rest = order[odd[group[order]]]
+        size = np.cumsum(_runs(group[rest])) if len(rest) else rest
+        done = 0
+        while done < len(rest):
+            upto = min(len(rest), done + SOLVED)
+            while upto < len(rest) and size[upto] == size[upto - 1]:
+                upto += 1
+            own = rest[done:upto]
+            data = distinct.take(pa.array(kind[own])).to_pylist()
+            row, begin, end = differing(doc[own], p[own], lo[own], hi[own], data)
+            row = own[row]
+            columns = [doc[row], twin[row], p[row] - end, p[row] - begin + length]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+            done = upto
 
     return slices.mapInArrow(run, "doc_id long, twin int, a long, b long")
 
@@ -381,8 +457,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     own = docs.select(node_id("doc_id").alias("doc_id"), text_of().alias("text"))
     needed = not own.groupBy("doc_id").count().where("count > 1").isEmpty()
     own = own.select("doc_id", _twin(F.col("text"), needed).alias("twin"), "text")
-    found = cut(_settle(_anchor_rows(own, length, gram), length), "repeats")
-    asked = found.where("open = 1").select("doc_id", "twin", "a", "b")
+    found = cut(_meeting(_anchor_rows(own, length, gram), length, gram), "repeats")
+    asked = found.where("open = 1").select("doc_id", "twin", "a", "b", "part")
     edges = _solve(_slices(own, asked, length), length, gram)
     spans = found.where("open = 0").select("doc_id", "twin", "a", "b").unionAll(edges)
     return own, spans.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("a", "b")).alias("spans"))

@@ -1,8 +1,11 @@
+import hashlib
+import os
 import random
 
 import numpy as np
+import pytest
 
-from kinweave.llm.suffixes import remove_repeats, sort_parts, suffix_array
+from kinweave.llm.suffixes import equal_slices, op8_suffixes, remove_repeats, sort_parts, suffix_array
 
 
 def test_suffix_array():
@@ -63,3 +66,43 @@ def test_equals_brute_force(spark):
         got = sorted((-1 if r[0] is None else r[0], *r[1:4], bytes(r[4])) for r in remove_repeats(df, length, gram).collect())
         assert got == brute(rows, length)
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+def test_slices_are_compared_by_bytes():
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 2, 5000).astype(np.uint8)
+    a, b, n = rng.integers(0, 4990, 40_000), rng.integers(0, 4990, 40_000), rng.integers(1, 11, 40_000)
+    want = [bytes(data[i : i + k]) == bytes(data[j : j + k]) for i, j, k in zip(a, b, n)]
+    assert equal_slices(data, a, b, n).tolist() == want and 0 < sum(want) < len(want)
+
+
+def test_grams_of_many_contexts_meet_in_parts(spark):
+    """More different slices of one gram than meet whole."""
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefghijklmnop") for _ in range(26))
+    some = lambda: "".join(rng.choice("qrs") for _ in range(rng.randint(0, 14)))
+    rows = [(i, some() + passage[rng.randint(0, 3) :] + some()) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((*r[:4], bytes(r[4])) for r in remove_repeats(df, 20, 8).collect())
+    assert got == brute(rows, 20)
+
+
+def test_very_long_texts_and_other_columns(spark):
+    rng = random.Random(10)
+    long_ = "".join(rng.choice("abcdefgh \n") for _ in range(1_500_000))
+    schema = "doc_id long, text string, spans string, twin int, `a.b` int"
+    rows = [(1, long_, "s", 1, 2), (2, "start " + long_, "s", 1, 2), (3, "z" * 300_000, "s", 1, 2)]
+    got = {r["doc_id"]: r for r in remove_repeats(spark.createDataFrame(rows, schema)).collect()}
+    assert got[1]["n_removed"] == 0 and bytes(got[2]["kept"]) == b"start " and got[2]["n_spans"] == 1
+    assert bytes(got[3]["kept"]) == b"z" and got[3]["n_removed"] == 299_999
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_query_equals_brute_force_on_a_whole_table(spark):
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"])
+    rows = [(r["doc_id"], r["text"]) for r in table.to_pylist()]
+    want = [(*r[:4], hashlib.sha256(r[4]).hexdigest()) for r in brute(rows, 100)]
+    assert sorted(map(tuple, op8_suffixes(spark, "/root/testdata/sf0.001").collect())) == want
+    assert sum(r[2] for r in want) > 1_000
