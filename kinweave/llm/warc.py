@@ -3,7 +3,8 @@
 Each task writes one archive of gzip members, one a record, under a temporary
 name that is moved into place when whole, and gives its capture index, sorted
 by (URL key, timestamp, page): one local run. Runs are dealt out by range of
-that key and, in each range, merged by a loser tree.
+that key and, in each range, merged by a loser tree; the order of the merged
+index gives each capture its rank and the capture of its URL before it.
 
 Of records with equal payloads of `least` bytes or more, the one of the largest
 page_id is a response and the others revisit it; revisit records keep the HTTP
@@ -24,6 +25,7 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import cut, node_id, scratch, shown_id, table
@@ -36,6 +38,9 @@ CRLF = b"\r\n"
 INDEX = "urlkey string, ts string, page_id long, digest string, record_type string, file string, offset long, length long, run int"
 NAMES = [x.split()[0] for x in INDEX.split(", ")]
 KINDS = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
+MERGED_KINDS = [*KINDS, pa.int32(), pa.int64(), pa.int64()]
+#: Index rows of a run that are decoded at a time, and records that are handed on together.
+DECODED, READ_AT_ONCE = 256, 256
 
 
 def url_key(url: str | None) -> str:
@@ -129,8 +134,10 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST) -> DataFra
     return cut(with_responses(pages, least).select("page_id", "url", "html", "response", "sha1").mapInArrow(run, INDEX), "runs")
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KINDS, strict=True)], names=NAMES)
+def _batch(rows: list[tuple], kinds: list = KINDS, names: list | None = None) -> pa.RecordBatch:
+    names = names or [*NAMES, "part", "place", "previous"][: len(kinds)]
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
 
 class LoserTree:
@@ -165,71 +172,138 @@ class LoserTree:
             self.tree[0] = w
 
 
+MERGED = INDEX + ", part int, place long, previous long"
+
+
+def pieces(index: pa.Table) -> list[tuple[int, int]]:
+    """Ascending pieces of a fetched range, as (start, end): a run may arrive in several, one after another."""
+    cuts, before = [0], None
+    for at in range(0, index.num_rows, DECODED):
+        keys = zip(*(index.column(c).slice(at, DECODED).to_pylist() for c in NAMES[:3]), strict=True)
+        for k, key in enumerate(keys, at):
+            if before is not None and key < before:
+                cuts.append(k)
+            before = key
+    return [(a, b) for a, b in zip(cuts, [*cuts[1:], index.num_rows], strict=True) if a < b]
+
+
+def _decoded(index: pa.Table, start: int, end: int) -> Iterator[tuple]:
+    """Rows of a piece, a few at a time."""
+    for at in range(start, end, DECODED):
+        part = index.slice(at, min(DECODED, end - at))
+        yield from zip(*(part.column(c).to_pylist() for c in NAMES), strict=True)
+
+
 def merge_runs(index: DataFrame) -> DataFrame:
-    """Local runs -> the index in global order of (urlkey, ts, page_id): by partition, then within it.
+    """Local runs -> the index in global order of (urlkey, ts, page_id), with `capture_rank` and `previous_page_id`.
 
-    Ranges end between keys, so a URL of any weight is spread by time and page;
-    a task holds one range of index rows.
+    capture_rank counts captures from 1 in that order; previous_page_id is the
+    capture of the same URL key just before, or null. Ranges end between keys,
+    so a URL of any weight is spread by time and page. A task holds one range of
+    index rows in Arrow form and decodes a few of each run at a time as the
+    loser tree asks for them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[int, list] = {}
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in NAMES), strict=True):
-                runs.setdefault(row[-1], []).append(row)
-        for rows in runs.values():
-            if any(a > b for a, b in zip(rows, rows[1:], strict=False)):  # a run read in several pieces
-                rows.sort()
+        got = list(batches)
+        if not got:
+            return
+        rows, part = pa.Table.from_batches(got), TaskContext.get().partitionId()
+        key, page = None, None
         out: list = []
-        for row in LoserTree([iter(r) for r in runs.values()]):
-            out.append(row)
+        for place, row in enumerate(LoserTree([_decoded(rows, a, b) for a, b in pieces(rows)])):
+            out.append((*row, part, place, page if row[0] == key else None))
+            key, page = row[0], row[2]
             if len(out) == 10_000:
-                yield _batch(out)
+                yield _batch(out, MERGED_KINDS)
                 out = []
         if out:
-            yield _batch(out)
-
-    return index.select(*NAMES).repartitionByRange("urlkey", "ts", "page_id").mapInArrow(run, INDEX)
-
-
-READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+            yield _batch(out, MERGED_KINDS)
+
+    ranged = index.select(*NAMES).repartitionByRange("urlkey", "ts", "page_id")
+    merged = cut(ranged.mapInArrow(run, MERGED), "history")
+    # a row a range: where it starts, and which capture comes before its first
+    last = F.max_by(F.struct("urlkey", "page_id"), "place").alias("last")
+    order = W.orderBy("part")
+    ranges = merged.groupBy("part").agg(F.count("*").alias("n"), last)
+    ranges = ranges.select(
+        "part",
+        (F.sum("n").over(order) - F.col("n")).alias("base"),
+        F.lag("last").over(order).alias("before"),
+    )
+    rows = merged.join(F.broadcast(ranges), "part")
+    crosses = (F.col("place") == 0) & (F.col("before.urlkey") == F.col("urlkey"))
+    previous = F.when(crosses, F.col("before.page_id")).otherwise(F.col("previous"))
+    return rows.select(*NAMES, (F.col("base") + F.col("place") + 1).alias("capture_rank"), previous.alias("previous_page_id"))
+
+
+READ = (
+    "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, "
+    "payload binary, capture_rank long, previous_page_id long"
+)
+READ_NAMES = [x.split()[0] for x in READ.split(", ")]
+READ_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
-    """The records that an index names, by offset; each archive is read in order by one task."""
+    """The records that an index names, by offset, with their place in the history; one task or more an archive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, at = _fs(folder)
-        name, file = None, None
+        name, file, rows = None, None, []
         for batch in batches:
-            rows = []
-            for own, offset, length in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length")), strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("file", "offset", "length", "capture_rank", "previous_page_id"))
+            for own, offset, length, rank, previous in zip(*columns, strict=True):
                 if own != name:
                     name, file = own, store.open_input_file(f"{at}/{own}")
                 r = parse(gzip.decompress(file.read_at(length, offset)))
                 claimed = base64.b32decode(r["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                 payload = r["payload"]
-                if payload is not None and (hashlib.sha1(payload).hexdigest() != claimed or len(payload) != r["payload_bytes"]):
-                    raise ValueError(f"damaged record in {own} at {offset}")
-                to = r.get("WARC-Refers-To")
-                rows.append((int(r["WARC-Record-ID"][10:-1]), r["WARC-Target-URI"], r["payload_bytes"], claimed, r["WARC-Type"], int(to[10:-1]) if to else None, payload))
-            if rows:
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in READ.split(", ")])
-
-    return index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset").mapInArrow(run, READ)
+                if payload is not None:
+                    if hashlib.sha1(payload).hexdigest() != claimed or len(payload) != r["payload_bytes"]:
+                        raise ValueError(f"damaged record in {own} at {offset}")
+                page, to = int(r["WARC-Record-ID"][10:-1]), r.get("WARC-Refers-To")
+                to = int(to[10:-1]) if to else None
+                rows.append((page, r["WARC-Target-URI"], r["payload_bytes"], claimed, r["WARC-Type"], to, payload, rank, previous))
+                if len(rows) == READ_AT_ONCE:
+                    yield _batch(rows, READ_KINDS, READ_NAMES)
+                    rows = []
+        if rows:
+            yield _batch(rows, READ_KINDS, READ_NAMES)
+
+    # the index is small beside the archives, so the number of tasks is set, not left to its size
+    n = max(1, index.select("file").distinct().count())
+    dealt = index.select("file", "offset", "length", "capture_rank", "previous_page_id").repartition(n, "file")
+    return dealt.sortWithinPartitions("file", "offset").mapInArrow(run, READ)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "warc")
     index = merge_runs(write_archives(table(spark, sf_dir, "pages"), folder))
-    return read_archives(index, folder).select(shown_id("page_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    columns = ("payload_bytes", "payload_digest", "record_type", "refers_to", "capture_rank")
+    out = read_archives(index, folder)
+    return out.select(shown_id("page_id").alias("page_id"), *columns, shown_id("previous_page_id").alias("previous_page_id"))
 
 
 OP6_SQL = f"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
-q AS (SELECT *, octet_length(payload) AS n, max(page_id) OVER (PARTITION BY payload) AS top FROM p)
-SELECT page_id, n::BIGINT AS payload_bytes, sha1(payload) AS payload_digest,
+u AS (
+  SELECT page_id, lower(trim(coalesce(url, ''))) AS url FROM pages),
+k AS (
+  SELECT page_id, make_timestamp(1704067200000000 + page_id % 31536000 * 1000000) AS ts,
+    array_to_string(list_reverse(string_split(
+      regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1), '^www[.]', ''), '.')), ',') || ')' ||
+    CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/'
+      ELSE regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) END ||
+    CASE WHEN regexp_extract(url, '^[^?#]*[?]([^#]*)', 1) = '' THEN ''
+      ELSE '?' || regexp_extract(url, '^[^?#]*[?]([^#]*)', 1) END AS urlkey FROM u),
+h AS (
+  SELECT page_id, row_number() OVER (ORDER BY urlkey, ts, page_id) AS capture_rank,
+    lag(page_id) OVER (PARTITION BY urlkey ORDER BY ts, page_id) AS previous_page_id FROM k),
+q AS (
+  SELECT p.*, h.capture_rank, h.previous_page_id, octet_length(payload) AS n,
+    max(page_id) OVER (PARTITION BY payload) AS top FROM p JOIN h USING (page_id))
+SELECT page_id, capture_rank, previous_page_id, n::BIGINT AS payload_bytes, sha1(payload) AS payload_digest,
   CASE WHEN n >= {LEAST} AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN n >= {LEAST} AND page_id <> top THEN top END AS refers_to
 FROM q

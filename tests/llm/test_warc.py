@@ -3,7 +3,7 @@ import hashlib
 import random
 
 from kinweave.llm.common import scratch
-from kinweave.llm.warc import LoserTree, merge_runs, parse, read_archives, record, url_key, write_archives
+from kinweave.llm.warc import LoserTree, capture_time, merge_runs, parse, read_archives, record, url_key, write_archives
 
 
 def test_loser_tree():
@@ -28,7 +28,7 @@ def test_archives(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, offset int").repartition(5)
     folder = scratch(spark, "warc")
     index = merge_runs(write_archives(df, folder))
-    order = [(r["urlkey"], r["ts"], r["page_id"]) for r in index.collect()]
+    order = [(r["urlkey"], r["ts"], r["page_id"]) for r in index.orderBy("capture_rank").collect()]
     assert order == sorted(order) and len(order) == len(rows)
     got = {r["page_id"]: r for r in read_archives(index, folder).collect()}
     assert len(got) == len(rows)
@@ -47,3 +47,30 @@ def test_archives(spark):
 
     for f in glob.glob(f"{folder}/*.warc.gz"):
         assert gzip.open(f).read().count(b"WARC-Record-ID") >= 0
+
+
+def test_history(spark):
+    """Ranks and earlier captures over few URLs, many captures of one, in many small runs and ranges."""
+    rng = random.Random(4)
+    pages = rng.sample(range(100_000_000), 600)
+    url = lambda p: f"http://h.example/{p % 7}" if p % 3 else "http://hot.example/"
+    df = spark.createDataFrame([(p, url(p), "t", 0, None) for p in pages], "page_id long, url string, html string, place int, `a.b` int").repartition(9)
+    folder = scratch(spark, "warc")
+    got = {r["page_id"]: r for r in read_archives(merge_runs(write_archives(df, folder)), folder).collect()}
+    order = sorted(pages, key=lambda p: (url_key(url(p)), capture_time(p), p))
+    assert [got[p]["capture_rank"] for p in order] == list(range(1, 601))
+    for a, b in zip([None, *order], order):
+        same = a is not None and url_key(url(a)) == url_key(url(b))
+        assert got[b]["previous_page_id"] == (a if same else None)
+
+
+def test_very_long_and_repeated_pages(spark):
+    rows = [(1, "http://a/", "y" * 3_000_000), (2, "http://a/", "y" * 3_000_000), (2, "http://a/", "y" * 3_000_000)]
+    folder = scratch(spark, "warc")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = read_archives(merge_runs(write_archives(df, folder)), folder).collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"], r["capture_rank"]) for r in got) == [
+        (1, "revisit", 2, 1),
+        (2, "response", None, 2),
+        (2, "response", None, 3),
+    ]
