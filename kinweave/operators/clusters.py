@@ -1,8 +1,9 @@
 """From a tree to clusters: weights, co-similarity, thresholds, extraction, layouts.
 
 Nodes have the columns node_id, parent_id, left_id, right_id, is_leaf,
-branch_length, n_leaves, merge_similarity and the leaf range lo..hi. What lies
-below a node is found by leaf rank, an equi-join, never by recursion.
+branch_length, n_leaves, merge_similarity, the leaf range lo..hi and the place
+post in post-order. Sums along paths and below nodes are running sums over one
+walk around the tree, never recursion, and no node is copied to its leaves.
 """
 
 from __future__ import annotations
@@ -10,53 +11,82 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CANDIDATES = 200
 
 
-def _under(nodes: DataFrame) -> DataFrame:
-    """(rank, columns of nodes): every node once for each leaf below or at it."""
-    return nodes.withColumn("rank", F.explode(F.sequence("lo", "hi")))
+#: Leaf ranks of a block; sums run within blocks, and block totals are a row each.
+BLOCK = 1 << 16
 
 
-def _leaves(nodes: DataFrame) -> DataFrame:
-    return nodes.where("is_leaf").select(F.col("node_id").alias("leaf_id"), F.col("lo").alias("rank"))
+def _running(rows: DataFrame, order: list[str], values: list[str], last: int) -> DataFrame:
+    """rows (rank up to last, ...) with each value replaced by its sum up to the row, in the order of rank and then `order`."""
+    rows = rows.withColumn("block", F.floor(F.col("rank") / BLOCK))
+    within = W.partitionBy("block").orderBy("rank", *order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    kept = [c for c in rows.columns if c not in values and c != "block"]
+    if last < BLOCK:  # one block: nothing comes before it
+        return rows.select(*kept, *[F.sum(v).over(within).alias(v) for v in values])
+    sums = rows.groupBy("block").agg(*[F.sum(v).alias(f"all_{v}") for v in values])
+    before = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    base = sums.select("block", *[F.coalesce(F.sum(f"all_{v}").over(before), F.lit(0)).alias(f"base_{v}") for v in values])
+    rows = rows.join(F.broadcast(base), "block")  # a row for each BLOCK leaves
+    return rows.select(*kept, *[(F.col(f"base_{v}") + F.sum(v).over(within)).alias(v) for v in values])
+
+
+def _tour(nodes: DataFrame, path: dict[str, Column] | None = None, seen: dict[str, Column] | None = None) -> DataFrame:
+    """(node_id, ...): sums along a walk around the tree that opens and closes each node once.
+
+    `path` values are summed from the root down to the node itself; `seen` ones
+    over all nodes opened up to it, and as <name>_end over those opened until
+    it closes. No node is copied to what lies below it.
+    """
+    path, seen = path or {}, seen or {}
+    names = [*path, *seen]
+    opens = F.struct(F.col("lo").alias("rank"), F.lit(0).alias("side"), (-F.col("post")).alias("turn"), *[v.alias(c) for c, v in (path | seen).items()])
+    zero = {c: -v for c, v in path.items()} | {c: v * 0 for c, v in seen.items()}
+    closes = F.struct(F.col("hi").alias("rank"), F.lit(1).alias("side"), F.col("post").alias("turn"), *[v.alias(c) for c, v in zero.items()])
+    rows = nodes.select("node_id", F.explode(F.array(opens, closes)).alias("e")).select("node_id", "e.*")
+    rows = _running(rows, ["side", "turn"], names, nodes.agg(F.max("hi")).first()[0] or 0)
+    at_open = [F.max(F.when(F.col("side") == 0, F.col(c))).alias(c) for c in names]
+    at_end = [F.max(F.when(F.col("side") == 1, F.col(c))).alias(f"{c}_end") for c in seen]
+    return rows.groupBy("node_id").agg(*at_open, *at_end)
 
 
 def leaf_weights(nodes: DataFrame) -> DataFrame:
     """(node_id, weight) of leaves: branch lengths on the path from the root, each shared by the leaves below its parent."""
     parent = nodes.select(F.col("node_id").alias("pid"), F.col("n_leaves").alias("pn"))
-    part = nodes.join(parent, nodes["parent_id"] == parent["pid"]).withColumn("w", F.col("branch_length") / F.col("pn"))
-    out = _leaves(nodes).join(_under(part).select("rank", "w"), "rank", "left").groupBy("leaf_id").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("weight"))
-    return out.withColumnRenamed("leaf_id", "node_id")
+    rows = nodes.join(parent, nodes["parent_id"] == parent["pid"], "left")
+    part = F.coalesce(F.col("branch_length") / F.col("pn"), F.lit(0.0))
+    weights = _tour(rows, path={"weight": part})
+    return nodes.where("is_leaf").select("node_id").join(weights, "node_id")
 
 
 def node_weights(nodes: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """(node_id, weight) of all nodes: sum of the leaf weights below."""
-    w = (leaf_weights(nodes) if weights is None else weights).withColumnRenamed("node_id", "leaf_id")
-    own = _leaves(nodes).join(w, "leaf_id")
-    return _under(nodes).select("rank", "node_id").join(own, "rank").groupBy("node_id").agg(F.sum("weight").alias("weight"))
+    w = (leaf_weights(nodes) if weights is None else weights).select("node_id", F.col("weight").alias("own"))
+    rows = nodes.join(w, "node_id", "left").withColumn("own", F.when(F.col("is_leaf"), F.coalesce("own", F.lit(0.0))))
+    sums = _tour(rows, path={"own": F.coalesce("own", F.lit(0.0))}, seen={"weight": F.coalesce("own", F.lit(0.0))})
+    # from the opening on: what opens below; a leaf's own weight is on its path alone
+    below = F.greatest(F.lit(0.0), F.col("weight_end") - F.col("weight") + F.col("own"))
+    return sums.select("node_id", below.alias("weight"))
 
 
 def depths(nodes: DataFrame) -> DataFrame:
-    """(node_id, depth): ancestors of each node, counted at its first leaf."""
-    at = nodes.select("node_id", F.col("lo").alias("rank"), F.col("hi").alias("own_hi"))
-    up = _under(nodes).select("rank", F.col("node_id").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
-    return at.join(up, "rank").where("ahi >= own_hi and a <> node_id").groupBy("node_id").count().select("node_id", F.col("count").cast("int").alias("depth")).unionAll(nodes.where("parent_id is null").select("node_id", F.lit(0)))
+    """(node_id, depth): the number of ancestors of each node."""
+    return _tour(nodes, path={"depth": F.lit(1)}).select("node_id", (F.col("depth") - 1).cast("int").alias("depth"))
 
 
 def cosimilarity(nodes: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """(node_id, cosim) of inner nodes: harmonic-style product of the children's weights times their similarity."""
     w = node_weights(nodes) if weights is None else weights
-    left = w.select(F.col("node_id").alias("left_id"), F.col("weight").alias("wl"))
-    right = w.select(F.col("node_id").alias("right_id"), F.col("weight").alias("wr"))
-    rows = nodes.where("not is_leaf").join(left, "left_id").join(right, "right_id")
-    total = F.col("wl") + F.col("wr")
-    value = F.when((total != 0) & F.col("merge_similarity").isNotNull(), F.col("wl") * F.col("wr") / total * F.col("merge_similarity")).otherwise(0.0)
-    return rows.select("node_id", value.alias("cosim"))
+    children = nodes.where("parent_id is not null").select("node_id", F.col("parent_id").alias("up")).join(w, "node_id")
+    pairs = children.groupBy("up").agg(F.sum("weight").alias("total"), (F.min("weight") * F.max("weight")).alias("product"))
+    rows = nodes.where("not is_leaf and right_id is not null").join(pairs, F.col("node_id") == F.col("up"))
+    value = F.when((F.col("total") != 0) & F.col("merge_similarity").isNotNull(), F.col("product") / F.col("total") * F.col("merge_similarity"))
+    return rows.select("node_id", F.coalesce(value, F.lit(0.0)).alias("cosim"))
 
 
 def otsu(values: DataFrame, column: str = "cosim") -> float:
@@ -90,24 +120,40 @@ def otsu(values: DataFrame, column: str = "cosim") -> float:
     return float(at)
 
 
+#: Curves closer than this are equally far above their diagonal.
+TIE = 1e-12
+
+
 def kneedle(values: DataFrame, column: str = "cosim") -> float:
-    """The value where the sorted, scaled curve is farthest above its diagonal; under four values their median."""
+    """The value where the sorted, scaled curve is farthest above its diagonal; under four values their median.
+
+    Of equally far values the first counts. The values are read once.
+    """
     v = values.where(F.col(column).isNotNull()).select(F.col(column).alias("v"))
-    span = v.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.median("v").alias("mid")).first()
-    if span["n"] < 4:
-        return float(span["mid"] or 0.0)
     # equal values: the first is the farthest above the diagonal, so a running count over distinct values is enough
-    per = v.groupBy("v").count()
-    rank = F.coalesce(F.sum("count").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    diff = (F.col("v") - span["lo"]) / max(span["hi"] - span["lo"], 1e-12) - F.col("rank") / (span["n"] - 1)
-    return float(per.withColumn("rank", rank).withColumn("d", diff).orderBy(F.desc("d"), "rank").select("v").first()[0])
+    per = v.groupBy("v").agg(F.count("*").alias("c"))
+    every = W.partitionBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    before = W.partitionBy(F.lit(0)).orderBy("v").rowsBetween(W.unboundedPreceding, -1)
+    rows = per.select(
+        "v",
+        F.coalesce(F.sum("c").over(before), F.lit(0)).alias("rank"),
+        F.sum("c").over(every).alias("n"),
+        F.min("v").over(every).alias("lo"),
+        F.max("v").over(every).alias("hi"),
+    )
+    rise = (F.col("v") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-12))
+    rows = rows.where("n >= 4").withColumn("d", rise - F.col("rank") / (F.col("n") - 1))
+    first = rows.withColumn("most", F.max("d").over(every)).where(F.col("d") >= F.col("most") - TIE)
+    knee = first.agg(F.min_by("v", "rank")).first()[0]
+    return float(v.agg(F.median("v")).first()[0] or 0.0) if knee is None else float(knee)
 
 
 def gmm(values: DataFrame, column: str = "cosim", bins: int = 4096) -> float:
     """Where two fitted normal curves cross between their means; their midpoint if they do not, Otsu under six values.
 
     One pass sums the values in narrow bins; expectation and maximisation then
-    run over the bins' means, started from the classes that Otsu's threshold makes.
+    run over the bins' means from five starts, the classes that Otsu's threshold
+    makes and those below and above four quantiles. The likeliest fit counts.
     """
     v = F.col(column)
     known = values.where(v.isNotNull())
@@ -116,11 +162,19 @@ def gmm(values: DataFrame, column: str = "cosim", bins: int = 4096) -> float:
     if span["n"] < 6 or span["lo"] == span["hi"]:
         return at
     place = F.floor((v - span["lo"]) / (span["hi"] - span["lo"]) * (bins - 1))
-    rows = known.groupBy(place.alias("b"), (v <= at).alias("low")).agg(F.avg(v).alias("x"), F.count(v).alias("n")).orderBy("b", "low").collect()
+    sums = known.groupBy(place.alias("b"), (v <= at).alias("low")).agg(F.avg(v).alias("x"), F.count(v).alias("n"))
+    rows = sums.orderBy("b", "low").collect()  # two rows a bin at most
     x, n = np.array([r["x"] for r in rows]), np.array([float(r["n"]) for r in rows])
-    first = np.array([float(r["low"]) for r in rows])
-    share = np.stack([first, 1 - first])
-    before = -math.inf
+    starts = [np.array([float(r["low"]) for r in rows])]
+    share = np.cumsum(n) / n.sum()
+    starts += [(share <= max(q, share[0])).astype(float) for q in (0.2, 0.4, 0.6, 0.8)]
+    fits = [_two_normals(x, n, first) for first in starts]
+    return crossing(*max(fits, key=lambda fit: fit[0])[1])
+
+
+def _two_normals(x: np.ndarray, n: np.ndarray, first: np.ndarray) -> tuple[float, list[tuple[float, float, float]]]:
+    """Mean log-likelihood and (mean, deviation, weight) of two normal curves over values x that occur n times."""
+    share, before, now = np.stack([first, 1 - first]), -math.inf, -math.inf
     for _ in range(200):
         mass = (share * n).sum(axis=1) + 1e-12
         mean = (share * n) @ x / mass
@@ -134,7 +188,7 @@ def gmm(values: DataFrame, column: str = "cosim", bins: int = 4096) -> float:
         if abs(now - before) < 1e-3:
             break
         before = now
-    return crossing(*sorted(zip(mean.tolist(), dev.tolist(), part.tolist(), strict=True)))
+    return now, sorted(zip(mean.tolist(), dev.tolist(), part.tolist(), strict=True))
 
 
 def crossing(first: tuple[float, float, float], second: tuple[float, float, float]) -> float:
@@ -170,20 +224,33 @@ def extract(nodes: DataFrame, cuts: DataFrame, min_size: int = 2, recover: bool
     belongs to none; with recover=True such children are groups too.
     Clusters are numbered by their parents' post-order, left child first.
     """
-    marked = nodes.join(cuts.select(F.col("node_id").alias("c")).distinct(), nodes["node_id"] == F.col("c"), "left").withColumn("is_cut", F.col("c").isNotNull())
-    low = _under(marked.where("is_cut")).groupBy("rank").agg(F.max("depth").alias("deepest"))
-    # a cut at or below a node: some leaf below it lies under a cut that is no higher
-    dirty = _under(marked).select("rank", "node_id", F.col("depth").alias("own")).join(low, "rank").where("deepest >= own").select("node_id").distinct()
-    clean = marked.join(dirty, "node_id", "left_anti")
-    up = marked.join(dirty.withColumnRenamed("node_id", "d"), marked["node_id"] == F.col("d"), "left").select(F.col("node_id").alias("pid"), F.col("is_cut").alias("pcut"), F.col("post").alias("ppost"), F.col("left_id").alias("pleft"), F.col("d").isNotNull().alias("pdirty"))
+    cut_ids = cuts.select(F.col("node_id").alias("c")).distinct()
+    marked = nodes.join(cut_ids, nodes["node_id"] == F.col("c"), "left").withColumn("is_cut", F.col("c").isNotNull())
+    # cuts opened from the node on until it closes: those at or below it
+    opened = F.col("is_cut").cast("long")
+    cut_below = _tour(marked, seen={"cuts": opened}).select("node_id", "cuts", "cuts_end")
+    marked = marked.join(cut_below, "node_id").withColumn("dirty", F.col("cuts_end") - F.col("cuts") + opened > 0)
+    clean = marked.where("not dirty")
+    up = marked.select(
+        F.col("node_id").alias("pid"),
+        F.col("is_cut").alias("pcut"),
+        F.col("post").alias("ppost"),
+        F.col("left_id").alias("pleft"),
+        F.col("dirty").alias("pdirty"),
+    )
     under = clean.join(up, clean["parent_id"] == up["pid"]).where(F.col("pcut") | (F.col("pdirty") & F.lit(recover)))
-    root = clean.where("parent_id is null").select("node_id", "lo", "hi", "n_leaves", F.lit(0).cast("long").alias("ppost"), F.lit(0).alias("side"))
-    groups = under.select("node_id", "lo", "hi", "n_leaves", F.col("ppost").cast("long"), (F.col("node_id") != F.col("pleft")).cast("int").alias("side")).unionAll(root)
-    good = groups.where(F.col("n_leaves") >= min_size).withColumn("cluster_idx", F.row_number().over(W.orderBy("ppost", "side")) - 1)
+    shown = ["node_id", "lo", "hi", "n_leaves"]
+    root = clean.where("parent_id is null").select(*shown, F.lit(0).cast("long").alias("ppost"), F.lit(0).alias("side"))
+    side = (F.col("node_id") != F.col("pleft")).cast("int")
+    groups = under.select(*shown, F.col("ppost").cast("long"), side.alias("side")).unionAll(root)
+    good = groups.where(F.col("n_leaves") >= min_size)
+    good = good.withColumn("cluster_idx", F.row_number().over(W.orderBy("ppost", "side")) - 1)
     groups = groups.join(good.select("node_id", "cluster_idx"), "node_id", "left")
     leaf = nodes.where("is_leaf").select("seq_id", F.col("lo").alias("rank"))
     member = F.row_number().over(W.partitionBy("node_id").orderBy(F.desc("rank"))) - 1
-    return _under(groups).join(leaf, "rank").select("seq_id", "cluster_idx", F.col("cluster_idx").isNull().alias("is_orphan"), member.alias("member"))
+    # groups share no leaf, so this is a row a leaf
+    rows = groups.withColumn("rank", F.explode(F.sequence("lo", "hi"))).join(leaf, "rank")
+    return rows.select("seq_id", "cluster_idx", F.col("cluster_idx").isNull().alias("is_orphan"), member.alias("member"))
 
 
 def unassigned(nodes: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -192,11 +259,8 @@ def unassigned(nodes: DataFrame, clusters: DataFrame) -> DataFrame:
 
 def layout(nodes: DataFrame) -> DataFrame:
     """(node_id, x, rank): branch lengths summed from the root, the root's own included, and the leaf rank of leaves."""
-    at = nodes.select("node_id", "is_leaf", F.col("lo").alias("rank"), F.col("hi").alias("own_hi"))
-    up = _under(nodes).select("rank", F.col("hi").alias("ahi"), "branch_length", F.col("depth").alias("adepth"))
-    own = nodes.select("node_id", F.col("depth").alias("own_depth"))
-    rows = at.join(own, "node_id").join(up, "rank").where("ahi >= own_hi and adepth <= own_depth")
-    return rows.groupBy("node_id").agg(F.sum("branch_length").alias("x"), F.max(F.when(F.col("is_leaf"), F.col("rank"))).alias("rank"))
+    x = _tour(nodes, path={"x": F.coalesce("branch_length", F.lit(0.0))})
+    return x.join(nodes.select("node_id", F.when(F.col("is_leaf"), F.col("lo")).alias("rank")), "node_id")
 
 
 def radial_layout(nodes: DataFrame) -> DataFrame:

@@ -70,10 +70,42 @@ def sizes(clusters: DataFrame) -> DataFrame:
     return clusters.where("cluster_idx is not null").groupBy("cluster_idx").agg(F.count("*").alias("size"))
 
 
-def summary(clusters: DataFrame, parameters: dict, metrics: dict) -> dict:
+def rounded(metrics: dict) -> dict:
+    """Numbers to four places, as files show them; tables keep them whole."""
+    return {k: round(v, 4) if isinstance(v, float) else v for k, v in metrics.items()}
+
+
+def summary(clusters: DataFrame, parameters: dict, metrics: dict, most: int = 100_000) -> dict:
+    """Counts and the sizes of the `most` largest clusters; `n_clusters` says how many there are."""
     n = clusters.agg(F.count("*").alias("n"), F.sum(F.col("is_orphan").cast("long")).alias("o")).first()
-    own = [r["size"] for r in sizes(clusters).orderBy(F.desc("size"), "cluster_idx").limit(10_000).collect()]
-    return {"created": datetime.now(timezone.utc).isoformat(), "parameters": parameters, "n_sequences": n["n"], "n_orphans": n["o"] or 0, "n_clusters": sizes(clusters).count(), "cluster_sizes": own, "metrics": {k: round(v, 4) if isinstance(v, float) else v for k, v in metrics.items()}}
+    own = [r["size"] for r in sizes(clusters).orderBy(F.desc("size"), "cluster_idx").limit(most).collect()]
+    return {
+        "created": datetime.now(timezone.utc).isoformat(),
+        "parameters": parameters,
+        "n_sequences": n["n"],
+        "n_orphans": n["o"] or 0,
+        "n_clusters": sizes(clusters).count(),
+        "cluster_sizes": own,
+        "metrics": rounded(metrics),
+    }
+
+
+def term_table(clusters: DataFrame, terms: DataFrame, tests: DataFrame) -> DataFrame:
+    """(cluster_id, go_id, term, p_value, genes): enriched terms with the sequences of the cluster that have them.
+
+    terms (seq_id, go_terms); tests as `enrichment` gives them. Names are the
+    terms' own where no ontology names them.
+    """
+    own = terms.select("seq_id", F.explode(F.array_distinct("go_terms")).alias("term"))
+    member = clusters.where("cluster_idx is not null").select("seq_id", "cluster_idx")
+    genes = member.join(own, "seq_id").join(tests.select("cluster_idx", "term", "p"), ["cluster_idx", "term"])
+    genes = genes.groupBy("cluster_idx", "term", "p").agg(F.array_join(F.array_sort(F.collect_list("seq_id")), ",").alias("genes"))
+    return genes.select((F.col("cluster_idx") + 1).alias("cluster_id"), F.col("term").alias("go_id"), "term", F.col("p").alias("p_value"), "genes")
+
+
+def dropped_head(dropped: DataFrame, most: int = 15) -> list[str]:
+    """The first dropped sequences with their reasons, for the log."""
+    return [f"{r['seq_id']}: {r['reason']}" for r in dropped.orderBy("seq_id").limit(most).collect()]
 
 
 def to_json(value: dict) -> str:
@@ -138,13 +170,33 @@ def histogram_svg(rows: list[tuple[bool, int, int]]) -> str:
     return _svg(1000, 160, parts)
 
 
-def report_html(info: dict, members: list[tuple[int, str]], orphans: list[str], terms: list[dict], charts: list[str]) -> str:
-    """A page that needs no other file; all names are escaped."""
+def _shown(n: int, total: int, where: str) -> str:
+    return "" if n >= total else f"<p>{n} of {total} shown; all are in {where}.</p>"
+
+
+def report_html(
+    info: dict, members: list[tuple[int, str]], orphans: list[str], terms: list[dict], charts: list[str], n_terms: int | None = None
+) -> str:
+    """A page that needs no other file; all names are escaped, and lists that were cut say so."""
     e = lambda v: html.escape(str(v))
     table = lambda d: "<table>" + "".join(f"<tr><th>{e(k)}</th><td>{e(v)}</td></tr>" for k, v in d.items()) + "</table>"
     per: dict[int, list[str]] = {}
     for c, s in members:
         per.setdefault(c, []).append(s)
-    blocks = "".join(f"<details><summary>Cluster {c + 1} ({len(v)})</summary><ul>{''.join(f'<li>{e(s)}</li>' for s in v)}</ul></details>" for c, v in sorted(per.items()))
+    blocks = "".join(
+        f"<details><summary>Cluster {c + 1} ({len(v)})</summary><ul>{''.join(f'<li>{e(s)}</li>' for s in v)}</ul></details>"
+        for c, v in sorted(per.items())
+    )
     rows = "".join(f"<tr><td>{t['cluster_idx'] + 1}</td><td>{e(t['term'])}</td><td>{t['p']:.3e}</td></tr>" for t in terms)
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>Clusters</title></head><body><h1>Clusters</h1>{''.join(charts)}<h2>Parameters</h2>{table(info['parameters'])}<h2>Metrics</h2>{table(info['metrics'])}<h2>Members</h2>{blocks}<h2>Terms</h2><table>{rows}</table><h2>Orphans</h2><ul>{''.join(f'<li>{e(s)}</li>' for s in orphans)}</ul></body></html>"
+    clustered = info["n_sequences"] - info["n_orphans"]
+    return "".join(
+        [
+            "<!DOCTYPE html><html><head><meta charset='utf-8'><title>Clusters</title></head><body><h1>Clusters</h1>",
+            *charts,
+            f"<h2>Parameters</h2>{table(info['parameters'])}<h2>Metrics</h2>{table(info['metrics'])}",
+            f"<h2>Members</h2>{_shown(len(members), clustered, 'clusters.tsv')}{blocks}",
+            f"<h2>Terms</h2>{_shown(len(terms), len(terms) if n_terms is None else n_terms, 'go_terms.tsv')}<table>{rows}</table>",
+            f"<h2>Orphans</h2>{_shown(len(orphans), info['n_orphans'], 'orphans.tsv')}",
+            f"<ul>{''.join(f'<li>{e(s)}</li>' for s in orphans)}</ul></body></html>",
+        ]
+    )

@@ -122,36 +122,50 @@ def replay(n: int, merges: dict[int, list[tuple[int, int, float]]]) -> list[tupl
     return out
 
 
+#: Criteria closer than this are ties.
+TIE = 1e-12
+
+
 def neighbour_joining(s: np.ndarray) -> list[tuple[int, int, float, float, float]]:
-    """(a, b, similarity, branch of a, branch of b) of each join; least Q first, row-major on ties.
+    """(a, b, similarity, branch of a, branch of b) of each join; of tied pairs the one of smallest node numbers.
 
-    One leaf needs no join.
+    With u the mean distance of a node to the others, scaled by m - 2, the pair
+    of least d - u - u' is joined. The matrix shrinks in place: the new node
+    takes the row of one that it joins, the last row moves to the other's, and
+    the rows' sums follow by what has changed. One leaf needs no join.
     """
-    n = len(s)
-    d = np.zeros((2 * n, 2 * n))
-    d[:n, :n] = 1.0 - s
+    m = n = len(s)
+    d = 1.0 - np.asarray(s, float)
     np.fill_diagonal(d, 0.0)
-    active, out = list(range(n)), []
-    while len(active) > 2:
-        k = np.array(active)
-        sub = d[np.ix_(k, k)]
-        r = sub.sum(axis=1)
-        q = (len(k) - 2) * sub - r[:, None] - r[None, :]
-        np.fill_diagonal(q, np.inf)
-        x, y = divmod(int(np.argmin(q)), len(k))
-        a, b = active[x], active[y]
-        far = d[a, b]
-        la = max(0.0, far / 2 + (r[x] - r[y]) / (2 * (len(k) - 2)))
-        new = n + len(out)
-        out.append((a, b, max(0.0, 1 - far), la, max(0.0, far - la)))
-        rest = k[(k != a) & (k != b)]
-        d[new, rest] = d[rest, new] = np.maximum(0.0, (d[a, rest] + d[b, rest] - far) / 2)
-        active = [*rest.tolist(), new]
-    if len(active) == 2:
-        a, b = active
-        half = max(0.0, d[a, b] / 2)
-        out.append((a, b, max(0.0, 1 - d[a, b]), half, half))
-    return out
+    node, total = np.arange(n), d.sum(axis=1)
+    joins: list[tuple[int, int, float, float, float]] = []
+    while m > 1:
+        near, u = d[:m, :m], total[:m] / max(1, m - 2)
+        if m > 2:
+            score = near - (u[:, None] + u)
+            score[np.diag_indices(m)] = np.inf
+            x, y = np.nonzero(score <= score.min() + TIE)
+            ids = np.sort(node[np.stack([x, y])], axis=0)
+            best = np.lexsort((ids[1], ids[0]))[0]
+            x, y = int(x[best]), int(y[best])
+            lean = (u[x] - u[y]) / 2
+        else:
+            x, y, lean = 0, 1, 0.0
+        if node[x] > node[y]:
+            x, y, lean = y, x, -lean
+        gap = float(d[x, y])
+        arm = max(0.0, gap / 2 + lean)
+        other = max(0.0, gap / 2) if m == 2 else max(0.0, gap - arm)
+        joins.append((int(node[x]), int(node[y]), max(0.0, 1 - gap), arm, other))
+        row = np.maximum(0.0, (d[x, :m] + d[y, :m] - gap) / 2)
+        row[[x, y]] = 0.0
+        total[:m] += row - d[x, :m] - d[y, :m]
+        d[x, :m], d[:m, x], total[x], node[x] = row, row, row.sum(), n + len(joins) - 1
+        m -= 1
+        d[y, : m + 1], total[y], node[y] = d[m, : m + 1], total[m], node[m]
+        d[: m + 1, y] = d[: m + 1, m]
+        d[y, y] = 0.0
+    return joins
 
 
 def node_rows(names: list[str], merges: list[tuple[int, int, float, float, float]]) -> list[tuple]:

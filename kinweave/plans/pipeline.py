@@ -20,7 +20,9 @@ from kinweave.operators import tree as tr
 from kinweave.sources import files
 
 log = logging.getLogger(__name__)
-VERSION = "0.1.0"
+VERSION = "0.2.0"
+#: Settings that name files or tables.
+FILES = ("fasta", "embeddings", "idr_scores", "annotations", "lineages", "ontology", "reference")
 
 
 @dataclass
@@ -59,6 +61,8 @@ class Config:
     plot: bool = False
     plot_style: str = "rect"
     interactive: bool = True
+    report_rows: int = 100_000
+    heatmap_rows: int = 400
     resume: bool = False
     log_level: str = "INFO"
 
@@ -71,8 +75,19 @@ class Pipeline:
 
     def _key(self, *names: str) -> str:
         own = {k: v for k, v in asdict(self.config).items() if k in names}
+        own |= {f"{k} as it is": self._state(own[k]) for k in FILES if own.get(k)}
         return hashlib.sha256(json.dumps(own, sort_keys=True).encode()).hexdigest()[:16]
 
+    def _state(self, path: str) -> list:
+        """Names, sizes and times of the files under a path: a stage of other contents is not the same stage."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = []
+        for top in fs.globStatus(p) or []:
+            inner = fs.listStatus(top.getPath()) if top.isDirectory() else [top]
+            found += [(x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in inner]
+        return sorted(found)
+
     def _stage(self, name: str, settings: tuple[str, ...], build) -> DataFrame:
         path = f"{self.config.out_dir}/checkpoints/{name}-{self._key(*settings)}"
         if not (self.config.resume and self._whole(path)):
@@ -94,6 +109,8 @@ class Pipeline:
         sequences = self._stage("sequences", base, lambda: files.numbered(valid.withColumnRenamed("seq_idx", "at"), "at").select("seq_idx", "seq_id", "seq"))
         if not dropped.isEmpty():
             sinks.write_tsv(dropped, f"{c.out_dir}/dropped.tsv")
+            for line in sinks.dropped_head(dropped):
+                log.warning("dropped %s", line)
 
         def masked() -> DataFrame:
             out = prep.mask_low_complexity(sequences, 12, c.lcr_k1, c.lcr_k2) if c.lcr_mask else sequences
@@ -132,12 +149,15 @@ class Pipeline:
             metrics["silhouette"] = ev.silhouette(both.join(seqs.select("seq_id", "seq_idx"), "seq_id").select("seq_idx", "predicted"), pairs).first()[0]
         terms: list[dict] = []
         if notes is not None:
-            tests = ev.enrichment(found, notes.select("seq_id", "go_terms")).where("enriched")
+            tests_ = ev.enrichment(found, notes.select("seq_id", "go_terms")).where("enriched")
             if c.ontology:
-                kept = ev.reduce_terms(tests.select("cluster_idx", "term"), ev.ancestors(files.read_ontology(spark, c.ontology)))
-                tests = tests.join(kept, ["cluster_idx", "term"])
-            sinks.write_tsv(tests.select((F.col("cluster_idx") + 1).alias("cluster_id"), F.col("term").alias("go_id"), F.col("p").alias("p_value"), "k", "n", "big_k", "big_n"), f"{c.out_dir}/go_terms.tsv")
-            terms = [r.asDict() for r in tests.orderBy("cluster_idx", "p").limit(1000).collect()]
+                closure = ev.ancestors(files.read_ontology(spark, c.ontology))
+                kept = ev.reduce_terms(tests_.select("cluster_idx", "term"), closure)
+                tests_ = tests_.join(kept, ["cluster_idx", "term"])
+            tests = self._stage("terms", (*tree_by, "boundary", "min_size", "recover_unassigned", "ontology"), lambda: tests_)
+            sinks.write_tsv(sinks.term_table(found, notes.select("seq_id", "go_terms"), tests), f"{c.out_dir}/go_terms.tsv")
+            terms = [r.asDict() for r in tests.orderBy("cluster_idx", "p").limit(c.report_rows).collect()]
+            metrics["n_terms"] = tests.count()
         self._write(sequences, found, nodes, pairs, cosim, at, notes, metrics, terms)
         return metrics
 
@@ -147,37 +167,53 @@ class Pipeline:
         sinks.write_tsv(sinks.orphan_table(found, notes), f"{out}/orphans.tsv")
         if c.fasta_out:
             sinks.write_fasta(sinks.fasta_records(found, sequences), out, c.split_fasta)
-        info = sinks.summary(found, asdict(c) | {"version": VERSION}, metrics)
+        info = sinks.summary(found, asdict(c) | {"version": VERSION}, metrics, c.report_rows)
+        by_size = sinks.sizes(found).orderBy(F.desc("size"), "cluster_idx")
+        sinks.write_tsv(by_size.select((F.col("cluster_idx") + 1).alias("cluster_id"), "size"), f"{out}/cluster_sizes.tsv")
         sinks.write_text(spark, f"{out}/summary.json", sinks.to_json(info))
         sinks.write_text(spark, f"{out}/metrics.json", sinks.to_json(info["metrics"]))
         rows = [r.asDict() for r in nodes.collect()]  # a tree file is one text; its builder held the same rows
         sinks.write_text(spark, f"{out}/tree.nwk", tr.newick(rows))
-        charts = [sinks.bars_svg([tuple(r) for r in sinks.sizes(found).orderBy(F.desc("size")).limit(30).collect()])]
-        members = [tuple(r) for r in found.where("cluster_idx is not null").orderBy("cluster_idx", "member").select("cluster_idx", "seq_id").limit(100_000).collect()]
-        orphans = [r[0] for r in found.where("is_orphan").select("seq_id").limit(100_000).collect()]
-        sinks.write_text(spark, f"{out}/report.html", sinks.report_html(info, members, orphans, terms, charts))
+        charts = [sinks.bars_svg([tuple(r) for r in by_size.limit(30).collect()])]
+        clustered = found.where("cluster_idx is not null").orderBy("cluster_idx", "member").select("cluster_idx", "seq_id")
+        members = [tuple(r) for r in clustered.limit(c.report_rows).collect()]
+        orphans = [r[0] for r in found.where("is_orphan").select("seq_id").orderBy("seq_id").limit(c.report_rows).collect()]
+        page = sinks.report_html(info, members, orphans, terms, charts, metrics.get("n_terms"))
+        sinks.write_text(spark, f"{out}/report.html", page)
         if c.plot:
-            own = {s: k for k, s in members}
-            order = [r[0] for r in cl.heatmap_order(found, sequences).orderBy("place").select("seq_id").limit(400).collect()]
-            place = {s: k for k, s in enumerate(order)}
-            names = {r["node_id"]: r["seq_id"] for r in rows if r["is_leaf"]}
-            shown = [(place[names[i]], place[names[j]], s) for i, j, s in pairs.collect() if names.get(i) in place and names.get(j) in place] if len(rows) < 800 else []
-            pictures = {"sms_heatmap": sinks.heatmap_svg(shown, order), "cluster_sizes": charts[0], "cosimilarity": sinks.histogram_svg([tuple(r) for r in ev.cosim_histogram(cosim, at).collect()])}
-            if c.plot_style in ("rect", "both", "radial"):
-                pictures["tree_plot"] = sinks.tree_svg(rows, own)
-                if len(names) <= 200:
-                    pictures["tree_plot_radial"] = sinks.tree_svg(rows, own, radial=True)
-            for name, svg in pictures.items():
-                sinks.write_text(spark, f"{out}/{name}.svg", svg)
-                if c.interactive:
-                    sinks.write_text(spark, f"{out}/{name}.html", f"<!DOCTYPE html><meta charset='utf-8'>{svg}")
+            self._plot(sequences, found, rows, pairs, cosim, at, charts[0])
+
+    def _plot(self, sequences: DataFrame, found: DataFrame, rows: list[dict], pairs: DataFrame, cosim: DataFrame, at: float, bars: str) -> None:
+        c, spark, out = self.config, self.spark, self.config.out_dir
+        order = cl.heatmap_order(found, sequences).where(F.col("place") < c.heatmap_rows).join(sequences.select("seq_id", "seq_idx"), "seq_id")
+        shown = order.orderBy("place").select("seq_id", "seq_idx", "place").collect()  # heatmap_rows at most
+        place = spark.createDataFrame([(r["seq_idx"], r["place"]) for r in shown], "x long, place int")
+        first, second = place.toDF("i", "a"), place.toDF("j", "b")
+        cells = pairs.join(F.broadcast(first), "i").join(F.broadcast(second), "j").select("a", "b", "s")
+        heatmap = sinks.heatmap_svg([tuple(r) for r in cells.collect()], [r["seq_id"] for r in shown])
+        if len(shown) < sum(r["is_leaf"] for r in rows):
+            log.warning("the heatmap shows the first %d sequences", len(shown))
+        pictures = {"sms_heatmap": heatmap, "cluster_sizes": bars}
+        pictures["cosimilarity"] = sinks.histogram_svg([tuple(r) for r in ev.cosim_histogram(cosim, at).collect()])
+        own = {r["seq_id"]: r["cluster_idx"] for r in found.select("seq_id", "cluster_idx").collect()}  # a row a leaf, as the tree
+        few = len(own) <= 200
+        if c.plot_style in ("rect", "both"):
+            pictures["tree_plot"] = sinks.tree_svg(rows, own)
+        if few:
+            pictures["tree_plot_radial"] = sinks.tree_svg(rows, own, radial=True)
+        elif c.plot_style != "rect":
+            log.warning("a radial tree is drawn up to 200 sequences only")
+        for name, svg in pictures.items():
+            sinks.write_text(spark, f"{out}/{name}.svg", svg)
+            if c.interactive:
+                sinks.write_text(spark, f"{out}/{name}.html", f"<!DOCTYPE html><meta charset='utf-8'>{svg}")
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="kinweave", description=__doc__)
     p.add_argument("--version", action="version", version=VERSION)
     p.add_argument("--fasta", required=True)
-    for name, kind, value in (("min-len", int, 10), ("l", int, 4), ("property-weight", float, 0.3), ("sms-weight", float, 0.5), ("lcr-k1", float, 1.8), ("lcr-k2", float, 2.5), ("idr-threshold", float, 0.5), ("min-size", int, 2)):
+    for name, kind, value in (("min-len", int, 10), ("l", int, 4), ("property-weight", float, 0.3), ("sms-weight", float, 0.5), ("lcr-k1", float, 1.8), ("lcr-k2", float, 2.5), ("idr-threshold", float, 0.5), ("min-size", int, 2), ("report-rows", int, 100_000), ("heatmap-rows", int, 400)):
         p.add_argument(f"--{name}", type=kind, default=value)
     for name, options in (("mode", ("sms", "esm2", "hybrid")), ("property-alphabet", ("murphy8", "murphy10")), ("tree-method", ("upgma", "nj")), ("boundary", ("otsu", "gmm", "kneedle")), ("plot-style", ("rect", "radial", "both"))):
         p.add_argument(f"--{name}", choices=options, default=options[0])

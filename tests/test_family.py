@@ -4,6 +4,7 @@ import heapq
 import itertools
 import json
 import math
+import os
 import random
 
 import numpy as np
@@ -16,16 +17,25 @@ from kinweave.operators import prep
 from kinweave.operators import similarity as sim
 from kinweave.operators import tree as tr
 from kinweave.plans.pipeline import Config, Pipeline, parser
+from kinweave.queries import QUERIES
 from kinweave.sources import files
 
-CORES = {"A": "ILVAGMIL", "B": "KRHNTQKR", "C": "DEPYWCDE"}
-FLANKS = {
-    "A": [("ILMVGA", "VMGLAI"), ("GALIVM", "MILAGV"), ("VMGAIL", "GALVIM"), ("AMVLGI", "IVGAML")],
-    "B": [("KTNHRQ", "QRHNKT"), ("RQKNTK", "NKQTHR"), ("HNQTRK", "TRHQNK"), ("QKRHTN", "HNTRKQ")],
-    "C": [("DEYWPC", "PCYWDE"), ("YWCPED", "EDCPYW"), ("PCDYWE", "WYPECD"), ("WEPYCD", "CDEPWY")],
-}
-FAMILY = [(f"{g}{k + 1}", a + CORES[g] + b) for g in "ABC" for k, (a, b) in enumerate(FLANKS[g])]
-GROUPS = {"A": "hydrophobic", "B": "cationic", "C": "anionic"}
+ALPHABETS = {"A": "AGILMV", "B": "HKNQRST", "C": "CDEFPWY"}
+GROUPS = {"A": "first", "B": "second", "C": "third"}
+
+
+def _family(size=4, core=10, flank=5):
+    """Three groups over alphabets without a common residue; the sequences of a group share a core."""
+    rng = random.Random(20)
+    some = lambda g, n: "".join(rng.choice(ALPHABETS[g]) for _ in range(n))
+    rows = []
+    for g in ALPHABETS:
+        shared = some(g, core)
+        rows += [(f"{g}{k + 1}", some(g, flank) + shared + some(g, flank)) for k in range(size)]
+    return rows
+
+
+FAMILY = _family()
 
 
 def sequences(spark, rows):
@@ -148,7 +158,7 @@ def test_family(spark, tmp_path):
     for r in found.where("not is_orphan").collect():
         per.setdefault(r["cluster_idx"], set()).add(r["seq_id"][0])
     assert len(per) >= 2 and all(len(v) == 1 for v in per.values())
-    assert found.where("is_orphan").count() == 1
+    assert found.where("is_orphan").count() <= 2
     truth = spark.createDataFrame([(s, GROUPS[s[0]]) for s, _ in FAMILY], "seq_id string, functional_group string")
     assert ev.q_measure(found, truth).first()["q"] >= 75
 
@@ -331,6 +341,134 @@ def test_neighbour_joining(n):
     s = rng.random((n, n))
     s = (s + s.T) / 2
     np.fill_diagonal(s, 1)
-    rows = tr.node_rows([f"s{k}" for k in range(n)], tr.neighbour_joining(s))
+    joins = tr.neighbour_joining(s)
+    rows = tr.node_rows([f"s{k}" for k in range(n)], joins)
     assert len(rows) == 2 * n - 1 and sum(r[4] for r in rows) == n
     assert all(r[6] >= 0 for r in rows)
+    same_joins(joins, plain_joining(s.tolist()))
+    ties = rng.integers(0, 3, (n, n)) / 2.0
+    ties = np.maximum(ties, ties.T)
+    np.fill_diagonal(ties, 1)
+    same_joins(tr.neighbour_joining(ties), plain_joining(ties.tolist()))
+
+
+def same_joins(got, want):
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert all(abs(a - b) < 1e-9 for x, y in zip(got, want, strict=True) for a, b in zip(x[2:], y[2:], strict=True))
+
+
+def plain_joining(s):
+    """Neighbour joining by its definition over a dictionary of pairs."""
+    far = {frozenset((i, j)): 1 - s[i][j] for i in range(len(s)) for j in range(i)}
+    open_, out = list(range(len(s))), []
+    while len(open_) > 1:
+        m, new = len(open_), len(s) + len(out)
+        total = {i: sum(far[frozenset((i, j))] for j in open_ if j != i) for i in open_}
+        best = None
+        for i, j in itertools.combinations(sorted(open_), 2):
+            q = (m - 2) * far[frozenset((i, j))] - total[i] - total[j]
+            if best is None or q < best[0] - 1e-9:
+                best = (q, i, j)
+        _, i, j = best
+        d = far[frozenset((i, j))]
+        arm = max(0.0, d / 2 + (total[i] - total[j]) / (2 * (m - 2))) if m > 2 else max(0.0, d / 2)
+        out.append((i, j, max(0.0, 1 - d), arm, max(0.0, d - arm)))
+        open_ = [k for k in open_ if k not in (i, j)]
+        for k in open_:
+            far[frozenset((k, new))] = max(0.0, (far[frozenset((i, k))] + far[frozenset((j, k))] - d) / 2)
+        open_.append(new)
+    return out
+
+
+def residues(text):
+    return "".join(c.upper() for c in text if c.isascii() and c.upper() in AA_ORDER + "X")
+
+
+needs_data = pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+
+
+@needs_data
+def test_tree_queries_over_their_whole_table(spark):
+    """Both trees, their Newick text and what is read back, against plain builders over the same similarities."""
+    data = "/root/testdata/sf0.001"
+    d = spark.read.parquet(f"{data}/benchmark.parquet")
+    items = sorted((r["item_id"], residues(r["text"])) for r in d.collect())
+    n = len(items)
+    assert [k for k, _ in items] == list(range(n))
+    sparse = {k: float(np.float32(v)) for k, v in plain_similarity([s for _, s in items]).items()}
+    full = [[1.0 if i == j else sparse.get((min(i, j), max(i, j)), 0.0) for j in range(n)] for i in range(n)]
+    names = [f"b{k}" for k, _ in items]
+    for query, joins in (
+        ("upgma_tree", [(a, b, v, (1 - v) / 2, (1 - v) / 2) for a, b, v in dense_linkage(n, sparse)]),
+        ("nj_tree", plain_joining(full)),
+    ):
+        got = {r["node_id"]: r for r in QUERIES[query](spark, data).collect()}
+        assert len(got) == 2 * n - 1 and [got[k]["seq_id"] for k in range(n)] == names
+        for k, (a, b, v, la, lb) in enumerate(joins):
+            r = got[n + k]
+            assert {r["left_id"], r["right_id"]} == {a, b} and abs(r["merge_similarity"] - v) < 1e-5
+            assert abs(got[a]["branch_length"] - la) < 1e-5 and abs(got[b]["branch_length"] - lb) < 1e-5
+    rows = {r["node_id"]: r for r in QUERIES["upgma_tree"](spark, data).collect()}
+
+    def written(k):
+        r = rows[k]
+        inner = r["seq_id"] if r["is_leaf"] else f"({written(r['left_id'])},{written(r['right_id'])})"
+        return inner if r["parent_id"] is None else f"{inner}:{r['branch_length']:.6f}"
+
+    text = written(2 * n - 2) + ";"
+    assert QUERIES["newick_text"](spark, data).first()[0] == text
+    back = QUERIES["newick_nodes"](spark, data).collect()
+    assert len(back) == 2 * n - 1 and sorted(r["seq_id"] for r in back if r["is_leaf"]) == sorted(names)
+    up = {r["node_id"]: r for r in back}
+    below = lambda table, k: frozenset([table[k]["seq_id"]]) if table[k]["is_leaf"] else below(table, table[k]["left_id"]) | below(table, table[k]["right_id"])
+    assert {below(up, k) for k in up} == {below(rows, k) for k in rows}
+    assert all(abs(up[k]["branch_length"] - r["branch_length"]) < 1e-6 for k in up for r in rows.values() if below(up, k) == below(rows, r["node_id"]))
+
+
+@needs_data
+def test_masking_query_over_its_whole_table(spark):
+    data = "/root/testdata/sf0.001"
+    text = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = {r["seq_idx"]: r["seq"] for r in QUERIES["seg_mask_documents"](spark, data).collect()}
+    assert got.keys() == text.keys()
+    for k, t in text.items():
+        seq = residues(t)
+        if len(seq) < 1_500:
+            assert got[k] == plain_mask(seq, k1=2.35, k2=2.75), k
+
+
+def test_sums_around_a_tree_in_several_blocks(spark, monkeypatch):
+    """Weights, depths, layout and extraction over random trees, blocks of three leaves, against plain recursion."""
+    monkeypatch.setattr(cl, "BLOCK", 3)
+    rng = random.Random(12)
+    for n in (1, 2, 23):
+        left, merges = list(range(n)), []
+        while len(left) > 1:
+            a, b = (left.pop(rng.randrange(len(left))) for _ in range(2))
+            merges.append((a, b, rng.random(), rng.random(), rng.random()))
+            left.append(n + len(merges) - 1)
+        rows = tr.node_rows([f"s{k}" for k in range(n)], merges)
+        nodes = spark.createDataFrame(rows, tr.NODES).cache()
+        by = {r["node_id"]: r for r in nodes.collect()}
+
+        def path(x):
+            return [x, *path(by[x]["parent_id"])] if by[x]["parent_id"] is not None else [x]
+
+        under = {x: [y for y in by if by[y]["is_leaf"] and x in path(y)] for x in by}
+        weight = {y: sum(by[z]["branch_length"] / len(under[by[z]["parent_id"]]) for z in path(y)[:-1]) for y in under if by[y]["is_leaf"]}
+        close = lambda got, want: got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        assert close({r["node_id"]: r["weight"] for r in cl.leaf_weights(nodes).collect()}, weight)
+        assert close({r["node_id"]: r["weight"] for r in cl.node_weights(nodes).collect()}, {x: sum(weight[y] for y in under[x]) for x in by})
+        assert {r["node_id"]: r["depth"] for r in cl.depths(nodes).collect()} == {x: len(path(x)) - 1 for x in by}
+        assert close({r["node_id"]: r["x"] for r in cl.layout(nodes).collect()}, {x: sum(by[z]["branch_length"] for z in path(x)) for x in by})
+        cuts = [x for x in by if not by[x]["is_leaf"] and rng.random() < 0.4]
+        dirty = {z for x in cuts for z in path(x)}
+        want = set()
+        for x in by:
+            up = by[x]["parent_id"]
+            if x not in dirty and (up in cuts if up is not None else True):
+                want.add(frozenset(by[y]["seq_id"] for y in under[x]))
+        got = {}
+        for r in cl.extract(nodes, spark.createDataFrame([(c,) for c in cuts], "node_id long"), 1).collect():
+            got.setdefault(r["cluster_idx"], set()).add(r["seq_id"])
+        assert {frozenset(v) for v in got.values()} == want
