@@ -127,12 +127,6 @@ def taxon_weights(organisms: DataFrame) -> DataFrame:
     return rows.join(per, "organism").select("seq_id", "weight")
 
 
-def lineage_overlap(a: Column, b: Column) -> Column:
-    x, y = F.array_distinct(a), F.array_distinct(b)
-    most = F.greatest(F.size(x), F.size(y))
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / most).otherwise(0.0)
-
-
 def taxon_weights_phylogenetic(organisms: DataFrame, lineages: DataFrame) -> DataFrame:
     """Weights by mean lineage overlap with all other sequences: 1 / (1 + overlap), summing to their number.
 

@@ -442,8 +442,9 @@ def otsu(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(round(cl.otsu(cl.cosimilarity(_heap(spark, sf))), 6),)], "threshold double")
 
 
-@query(f"""WITH {_HEAP}, r AS (SELECT cosim, row_number() OVER (ORDER BY cosim) - 1 AS rn, count(*) OVER () AS n, min(cosim) OVER () AS lo, max(cosim) OVER () AS hi FROM cs)
-SELECT round(cosim, 6) AS threshold FROM r ORDER BY (cosim - lo) / greatest(hi - lo, 1e-12) - rn / (n - 1)::DOUBLE DESC, rn LIMIT 1""")
+@query(f"""WITH {_HEAP}, r AS (SELECT cosim, row_number() OVER (ORDER BY cosim) - 1 AS rn, count(*) OVER () AS n, min(cosim) OVER () AS lo, max(cosim) OVER () AS hi FROM cs),
+d AS (SELECT cosim, rn, (cosim - lo) / greatest(hi - lo, 1e-12) - rn / (n - 1)::DOUBLE AS d FROM r)
+SELECT round(min_by(cosim, rn), 6) AS threshold FROM d WHERE d >= (SELECT max(d) FROM d) - 1e-12""")
 def kneedle(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(round(cl.kneedle(cl.cosimilarity(_heap(spark, sf))), 6),)], "threshold double")
 
@@ -639,4 +640,124 @@ def term_reduction(spark: SparkSession, sf: str) -> DataFrame:
     return ev.reduce_terms(found, ev.ancestors(_ontology(spark, sf)))
 
 
+# --- annotations, caches, sinks ---------------------------------------------
+
+
+def _accession(number) -> F.Column:
+    return F.concat(F.lit("P"), F.lpad(F.conv(number.cast("string"), 10, 36), 5, "0"))
+
+
+def _answers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents as proteins: ids, and service answers for most of them as JSON, some unreadable."""
+    d = _t(spark, sf, "documents")
+    number, acc = F.col("doc_id"), _accession(F.col("doc_id"))
+    ids = d.select(F.when(number % 5 == 0, F.concat(F.lit("own"), number)).otherwise(F.concat(F.lit("sp|"), acc, F.lit("|X"))).alias("seq_id"))
+    value = lambda c: F.struct(F.struct(c.alias("value")).alias("fullName"))
+    terms = F.array(
+        F.struct(F.lit("GO").alias("database"), F.concat(F.lit("GO:"), (number % 50).cast("string")).alias("id")),
+        F.struct(F.lit("PDB").alias("database"), F.lit("1ABC").alias("id")),
+        F.struct(F.lit("GO").alias("database"), F.concat(F.lit("GO:"), (number % 7 + 50).cast("string")).alias("id")),
+    )
+    record = F.struct(
+        F.when(number % 2 == 0, "UniProtKB reviewed (Swiss-Prot)").otherwise("UniProtKB unreviewed (TrEMBL)").alias("entryType"),
+        F.when(number % 11 != 0, acc).alias("primaryAccession"),
+        F.struct(F.when(number % 3 != 0, value(F.col("source"))).alias("recommendedName")).alias("proteinDescription"),
+        F.struct(F.col("lang").alias("scientificName"), number.alias("taxonId")).alias("organism"),
+        F.array(F.struct(F.struct(F.concat(F.lit("g"), (number % 10).cast("string")).alias("value")).alias("geneName"))).alias("genes"),
+        F.when(number % 4 != 0, terms).alias("uniProtKBCrossReferences"),
+    )
+    proteins = d.where("doc_id % 7 <> 0").select(acc.alias("accession"), F.when(number % 13 == 0, "{odd").otherwise(F.to_json(record)).alias("json"))
+    spot = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    inner = F.struct(F.array(F.struct(F.array(spot(number % 20 + 1, number % 20 + 9), spot(number % 20 + 30, number % 20 + 44)).alias("fragments"))).alias("entry_protein_locations"))
+    entry = F.struct(F.struct(F.concat(F.lit("IPR"), (number % 30).cast("string")).alias("accession"), F.col("lang").alias("name")).alias("metadata"), F.array(inner).alias("proteins"))
+    domains = d.where("doc_id % 3 = 1").select(acc.alias("accession"), F.to_json(F.struct(F.array(entry).alias("results"))).alias("json"))
+    return ids, proteins, domains
+
+
+_PROTEINS = """p AS (SELECT doc_id AS k, lang, source, 'P' || to_base(doc_id, 36, 5) AS acc, doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND doc_id % 13 <> 0 AND doc_id % 11 <> 0 AS known FROM documents),
+r AS (SELECT k, CASE WHEN k % 5 = 0 THEN 'own' || k ELSE 'sp|' || acc || '|X' END AS seq_id, known, acc, lang, source FROM p)"""
+
+
+@query(f"""WITH {_PROTEINS}
+SELECT seq_id, CASE WHEN known THEN acc END AS accession, CASE WHEN known AND k % 3 <> 0 THEN source ELSE '' END AS protein_name,
+  CASE WHEN known THEN 'g' || k % 10 ELSE '' END AS gene_name, CASE WHEN known THEN lang ELSE 'Unknown' END AS organism, CASE WHEN known THEN k END AS taxon_id,
+  known AND k % 2 = 0 AS reviewed, CASE WHEN known AND k % 4 <> 0 THEN 'GO:' || k % 50 || ',GO:' || k % 7 + 50 ELSE '' END AS go_terms FROM r""")
+def annotation_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Service answers read into annotations, stubs where there is none."""
+    out = files.annotations(*_answers(spark, sf))
+    return out.drop("domains").withColumn("go_terms", F.array_join("go_terms", ","))
+
+
+@query(f"""WITH {_PROTEINS}
+SELECT seq_id, 'IPR' || k % 30 AS interpro_id, lang AS name, (k % 20 + a)::INT AS "start", (k % 20 + b)::INT AS "end"
+FROM r, (VALUES (1, 9), (30, 44)) f(a, b) WHERE k % 3 = 1 AND k % 5 <> 0""")
+def domain_fragments(spark: SparkSession, sf: str) -> DataFrame:
+    """Domain answers flattened to one row a fragment."""
+    out = files.annotations(*_answers(spark, sf)).select("seq_id", F.explode("domains").alias("d"))
+    return out.select("seq_id", "d.interpro_id", "d.name", "d.start", "d.end")
+
+
+@query("SELECT d.doc_id, l.quality FROM documents d JOIN (SELECT DISTINCT doc_id, quality FROM labels) l USING (doc_id)")
+def cache_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as keys, labels as a cache."""
+    return files.cached(_t(spark, sf, "documents").select("doc_id"), _t(spark, sf, "labels").select("doc_id", "quality").distinct(), "doc_id")[0]
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def cache_misses(spark: SparkSession, sf: str) -> DataFrame:
+    return files.cached(_t(spark, sf, "documents").select("doc_id"), _t(spark, sf, "labels").select("doc_id"), "doc_id")[1]
+
+
+@query("SELECT 't' || p_partkey AS child, 't' || (p_partkey >> 1) AS parent FROM part WHERE p_partkey > 1")
+def ontology_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts written as an OBO file, a block each, and read back."""
+    k = F.col("p_partkey")
+    name = lambda c: F.concat(F.lit("t"), c.cast("string"))
+    up = F.when(k > 1, F.concat(F.lit("is_a: "), name(F.shiftright(k, 1)), F.lit(" ! part"))).otherwise(F.lit("is_obsolete: true"))
+    block = F.array(F.lit("[Term]"), F.concat(F.lit("id: "), name(k)), F.concat(F.lit("name: "), F.col("p_name")), up)
+    lines = _t(spark, sf, "part").select(k, F.posexplode(block).alias("at", "line"))
+    return files.ontology_lines(lines.select((k * 4 + F.col("at")).alias("line_no"), "line"))
+
+
+@query(f"""WITH {_GROUPS} SELECT cluster_idx + 1 AS cluster_id, seq_id, '>' || seq_id || '  ' || CASE WHEN cluster_idx IS NULL THEN 'orphan' ELSE 'cluster=' || (cluster_idx + 1) END || chr(10) || 'SEQ' || seq_id AS record FROM cf""")
+def fasta_records(spark: SparkSession, sf: str) -> DataFrame:
+    leaves = _heap(spark, sf).where("is_leaf").select("seq_id", F.concat(F.lit("SEQ"), "seq_id").alias("seq"))
+    return sinks.fasta_records(_extracted(spark, sf), leaves)
+
+
+@query(f"""WITH {_TERMS}, en AS (SELECT cluster_idx, term, p, coalesce(r <= max(CASE WHEN p <= r / m * 0.05 THEN r END) OVER (PARTITION BY cluster_idx), false) AS enriched FROM bh)
+SELECT (cluster_idx + 1)::INT AS cluster_id, term AS go_id, round(p, 6) AS p_value, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS genes
+FROM en JOIN te USING (cluster_idx, term) WHERE enriched GROUP BY cluster_idx, term, p""")
+def term_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Enriched terms with the documents of the cluster that have them."""
+    found, terms = _terms(spark, sf)
+    tests = ev.enrichment(found, terms).where("enriched")
+    return sinks.term_table(found, terms, tests).select("cluster_id", "go_id", F.round("p_value", 6).alias("p_value"), "genes")
+
+
+@query(f"""WITH {_GROUPS}, z AS (SELECT cluster_idx, count(*) AS n FROM cf WHERE NOT is_orphan GROUP BY 1)
+SELECT (SELECT count(*) FROM cf) AS n_sequences, (SELECT count(*) FROM cf WHERE is_orphan) AS n_orphans, count(*) AS n_clusters, string_agg(n::VARCHAR, ',' ORDER BY n DESC, cluster_idx) AS cluster_sizes FROM z""")
+def run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    info = sinks.summary(_extracted(spark, sf), {}, {})
+    row = (info["n_sequences"], info["n_orphans"], info["n_clusters"], ",".join(map(str, info["cluster_sizes"])))
+    return spark.createDataFrame([row], "n_sequences long, n_orphans long, n_clusters long, cluster_sizes string")
+
+
+@query("""WITH w AS (SELECT 'd' || doc_id AS seq_id, translate(coalesce(text, ''), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS seq FROM documents)
+SELECT seq_id FROM w WHERE length(seq) < 10 OR regexp_matches(seq, '[^ACDEFGHIKLMNPQRSTVWYX]') ORDER BY seq_id LIMIT 15""")
+def dropped_head(spark: SparkSession, sf: str) -> DataFrame:
+    """The first fifteen dropped sequences, as the run logs them."""
+    rows = [(x.split(":")[0],) for x in sinks.dropped_head(validate_dropped(spark, sf))]
+    return spark.createDataFrame(rows, "seq_id string")
+
+
+@query("""WITH v AS (SELECT 1 - 1.0::DOUBLE / (1 + p_partkey) AS v FROM part), r AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS rn, count(*) OVER () AS n, min(v) OVER () AS lo, max(v) OVER () AS hi FROM v),
+d AS (SELECT v, rn, (v - lo) / greatest(hi - lo, 1e-12) - rn / (n - 1)::DOUBLE AS d FROM r)
+SELECT round(min_by(v, rn), 6) AS threshold FROM d WHERE d >= (SELECT max(d) FROM d) - 1e-12""")
+def kneedle_inner(spark: SparkSession, sf: str) -> DataFrame:
+    """A curve with its knee inside."""
+    values = _t(spark, sf, "part").select((1 - F.lit(1.0) / (1 + F.col("p_partkey"))).alias("v"))
+    return spark.createDataFrame([(round(cl.kneedle(values, "v"), 6),)], "threshold double")
+
+
 _ = ALPHABETS, reduced

@@ -129,6 +129,18 @@ def cached(keys: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, Data
     return keys.join(cache, key), keys.join(cache, key, "left_anti")
 
 
+def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A cache table, empty where none is written yet; of a key that was fetched again all answers are there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    known = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return spark.read.schema(schema).parquet(path) if known else spark.createDataFrame([], schema)
+
+
+def add_to_cache(fetched: DataFrame, path: str) -> None:
+    """Append what was fetched; answers that are there already stay as they are."""
+    fetched.write.mode("append").parquet(path)
+
+
 def parse_newick(text: str) -> list[dict]:
     """Newick text -> node rows, ids in breadth-first order, children left to right.
 
