@@ -12,6 +12,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,9 +82,11 @@ def _beside(docs: DataFrame, buckets: int) -> DataFrame:
     One shuffle of the texts. The driver sees one id a bucket.
     """
     rows = docs.select(node_id("doc_id").alias("doc_id"), text_of().alias("text"))
-    edges = sorted({int(e) for e in rows.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.1 / buckets)})
-    bucket = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in edges]), lambda e: e < F.col("doc_id"))) if edges else F.lit(0)
-    rows = rows.withColumn("bucket", bucket)
+    edges = sorted(set(rows.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.1 / buckets)))
+    if edges:  # a binary search a row; ids that are one as doubles share a bucket, so buckets keep the order of ids
+        split = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="at", outputCol="bucket")
+        rows = split.transform(rows.withColumn("at", F.col("doc_id").cast("double"))).drop("at")
+    rows = rows.withColumn("bucket", F.col("bucket").cast("int") if edges else F.lit(0))
     tops = [tuple(r) for r in rows.groupBy("bucket").agg(F.max("doc_id")).orderBy(F.desc("bucket")).collect()]
     goes = [(tops[i - 1][0], tops[i][1]) for i in range(len(tops))]
     if not goes:
@@ -116,15 +119,16 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
                 sigs = signatures(text, chain)
                 if open_ is not None:
                     changed = edited(open_[2], text)
-                    new = signatures(changed, chain)
-                    out.append((open_[1], len(open_[2]), hashlib.sha256(changed.encode()).hexdigest(), fingerprint(own), fingerprint(new), likeness(own, new), likeness(own, sigs)))
+                    new, digest = signatures(changed, chain), hashlib.sha256(changed.encode()).hexdigest()
+                    shown = (fingerprint(own), fingerprint(new), likeness(own, new), likeness(own, sigs))
+                    out.append((open_[1], len(open_[2]), digest, *shown))
                 open_, own = (None, None) if donor else ((bucket, doc, text), sigs)
             if out:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _beside(docs, min(2048, 4 * n))
+    rows = _beside(docs, 4 * n)
     sorted_ = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "donor", F.desc("doc_id"), "text")
     return sorted_.mapInArrow(run, SCHEMA).withColumn("doc_id", shown_id("doc_id"))
 
@@ -136,6 +140,10 @@ def near_groups(docs: DataFrame, least: float = 0.8, chain: int = CHAIN) -> Data
     reach are in the same or the next partition, and meet there by the rarest of
     their signatures, as many as a set in reach must share one of. Pairs are
     compared through pruned Jaccard, and not at all once they are in one class.
+    Null texts count as empty, and texts without words are one class; a null
+    doc_id is shown as null (it is the smallest of its class), rows that repeat
+    give rows that repeat, rows that share an id share its class. No other
+    column is read; an empty table gives no rows.
     """
     rate = math.log(1 / least)
 
@@ -149,7 +157,9 @@ def near_groups(docs: DataFrame, least: float = 0.8, chain: int = CHAIN) -> Data
     often = same.select(F.explode("sigs").alias("sig")).groupBy("sig").count()
     ranked = same.select("id", F.size("sigs").alias("n"), F.explode("sigs").alias("sig")).join(often, "sig")
     order = W.partitionBy("id").orderBy("count", "sig")
-    prefix = ranked.withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("id", "n", "sig")
+    ranked = ranked.withColumn("k", F.row_number().over(order))
+    prefix = ranked.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    prefix = prefix.where("count > 1").select("id", "n", "sig")  # a signature of one set brings no pair
     part = F.floor(F.log("n") / rate + 1e-9).cast("int")
     placed = prefix.join(same.select("id", "rep", "sigs"), "id").withColumn("part", part)
     dealt = placed.withColumn("home", F.lit(True)).unionAll(placed.withColumn("part", F.col("part") + 1).withColumn("home", F.lit(False)))

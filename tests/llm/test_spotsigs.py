@@ -1,7 +1,60 @@
 import hashlib
+import os
 import random
 
-from kinweave.llm.spotsigs import edited, fingerprint, fingerprints, likeness, near_groups, signatures
+import pytest
+import xxhash
+
+from kinweave.llm.spotsigs import edited, fingerprint, fingerprints, likeness, near_groups, op9_spotsigs, signatures
+
+COMMON = """the of and to in is was that it with le la les des et est une que dans pour
+der die das und ist ein eine den zu von el los las que una es con por se para""".split()
+
+
+def plain_signatures(text):
+    """Anchors and the three content words that follow each, straight from the words of a text."""
+    words = "".join(c.lower() if c.isascii() else c for c in text).encode()
+    words = [w.decode() for w in words.split()]
+    chains = set()
+    for i, w in enumerate(words):
+        if w in COMMON:
+            after = [x for x in words[i + 1 :] if x not in COMMON][:3]
+            if len(after) == 3:
+                chains.add(" ".join([w, *after]))
+    if not chains and words:
+        chains = {" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))}
+    return sorted({xxhash.xxh32(c.encode()).intdigest() for c in chains or {text}})
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_query_equals_plain_signatures_on_a_whole_table(spark):
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"])
+    order = sorted(((r["doc_id"], r["text"] or "") for r in table.to_pylist()), reverse=True)
+    got = {r["doc_id"]: r for r in op9_spotsigs(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(order)
+    shown = lambda sigs: "".join(f"{x:08x}" for x in sigs)
+    alike = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    short = lambda t: len(t) < 2_500
+    for (doc, text), (_, after) in zip(order, [*order[1:], order[0]], strict=True):
+        k = len(text) // 2
+        changed = text[: len(text) - k] + after[:k]
+        r = got[doc]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
+        if short(text) and short(after):
+            own, new, other = map(plain_signatures, (text, changed, after))
+            assert (r["fingerprint"], r["edited_fingerprint"]) == (shown(own), shown(new))
+            assert abs(r["near_edited"] - alike(own, new)) < 1e-12 and abs(r["near_next"] - alike(own, other)) < 1e-12
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(3)
+    long_ = " ".join(rng.choice(["the", "of", f"w{rng.randrange(9000)}"]) for _ in range(60_000))
+    df = spark.createDataFrame([(1, long_), (2, long_ + " end of it"), (3, "z" * 400_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprints(df).collect()}
+    assert got[2]["near_next"] > 0.99 and got[3]["near_next"] == 0
+    assert {r["doc_id"]: r["component_id"] for r in near_groups(df).collect()} == {1: 1, 2: 1, 3: 3}
 
 
 def test_signatures():
