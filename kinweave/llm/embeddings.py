@@ -396,3 +396,23 @@ def near_vectors(
 
 def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+OP1_SQL = """
+WITH RECURSIVE fine AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0),
+near AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.vec_id <> b.vec_id
+  WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.95 ELSE FALSE END),
+reach AS (
+  SELECT a, b FROM near
+  UNION
+  SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+links AS (SELECT a, count(*) AS n FROM near GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id,
+  vec_id <= coalesce(b, vec_id) AS kept
+FROM embeddings LEFT JOIN links ON links.a = vec_id LEFT JOIN least ON least.a = vec_id
+"""

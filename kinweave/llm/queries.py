@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from kinweave.llm.bpe import op2_bpe
 from kinweave.llm.chat import OP3_SQL, op3_chat
-from kinweave.llm.embeddings import op1_embeddings
+from kinweave.llm.embeddings import OP1_SQL, op1_embeddings
 from kinweave.llm.lines import OP4_PASSAGES_SQL, OP4_SQL, op4_lines, op4_passages
 from kinweave.llm.mixing import OP5_SQL, op5_mixing
 from kinweave.llm.simhash import op10_simhash
@@ -28,6 +28,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op1_embeddings": OP1_SQL,
     "op3_chat": OP3_SQL,
     "op4_lines": OP4_SQL,
     "op4_passages": OP4_PASSAGES_SQL,

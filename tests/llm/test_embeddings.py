@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from kinweave.llm import embeddings
-from kinweave.llm.embeddings import PairFinder, near_vectors, op1_embeddings
+from kinweave.llm.embeddings import OP1_SQL, PairFinder, near_vectors, op1_embeddings
 
 
 def brute(rows, cosine=0.95):
@@ -81,6 +81,7 @@ def test_pairs_once_each():
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
 def test_query_equals_brute_force_on_a_whole_table(spark, tmp_path):
     """sf0.01 has no pair at 0.95, so near copies of its own vectors are planted beside them."""
+    import duckdb
     import pyarrow.parquet as pq
 
     rng = np.random.default_rng(4)
@@ -95,3 +96,6 @@ def test_query_equals_brute_force_on_a_whole_table(spark, tmp_path):
     want = brute(rows)
     assert got == want
     assert sum(r[1] for r in want) > 100
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(con.execute(OP1_SQL).fetchall()) == want
