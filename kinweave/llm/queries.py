@@ -12,6 +12,7 @@ from kinweave.llm.spotsigs import op9_spotsigs
 from kinweave.llm.suffixes import op8_suffixes
 from kinweave.llm.toxicity import op7_toxicity
 from kinweave.llm.warc import OP6_SQL, op6_warc
+from kinweave.llm.whitening import op12_whitening
 
 QUERIES = {
     "op1_embeddings": op1_embeddings,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_suffixes": op8_suffixes,
     "op9_spotsigs": op9_spotsigs,
     "op10_simhash": op10_simhash,
+    "op12_whitening": op12_whitening,
 }
 
 SQL: dict[str, str] = {
