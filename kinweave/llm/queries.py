@@ -5,6 +5,7 @@ from __future__ import annotations
 from kinweave.llm.bpe import op2_bpe
 from kinweave.llm.chat import OP3_SQL, op3_chat
 from kinweave.llm.embeddings import OP1_SQL, op1_embeddings
+from kinweave.llm.licenses import op11_licenses
 from kinweave.llm.lines import OP4_PASSAGES_SQL, OP4_SQL, op4_lines, op4_passages
 from kinweave.llm.mixing import OP5_SQL, op5_mixing
 from kinweave.llm.simhash import op10_simhash
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_suffixes": op8_suffixes,
     "op9_spotsigs": op9_spotsigs,
     "op10_simhash": op10_simhash,
+    "op11_licenses": op11_licenses,
     "op12_whitening": op12_whitening,
 }
 
