@@ -22,9 +22,14 @@ def _reason(seq: Column, min_len: int) -> Column:
     return F.when(n < min_len, short).when(seq.rlike(f"[^{AA_ORDER}{MASK}]"), strange)
 
 
+def checked(sequences: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
+    """sequences plus `reason`, null for valid ones: length first, then residues outside the 20 and the mask."""
+    return sequences.withColumn("reason", _reason(F.coalesce("seq", F.lit("")), min_len))
+
+
 def validate(sequences: DataFrame, min_len: int = MIN_LEN) -> tuple[DataFrame, DataFrame]:
-    """(valid sequences, dropped (seq_id, reason)): length first, then residues outside the 20 and the mask."""
-    rows = sequences.withColumn("reason", _reason(F.coalesce("seq", F.lit("")), min_len))
+    """(valid sequences, dropped (seq_id, reason)), as `checked` tells them apart."""
+    rows = checked(sequences, min_len)
     return rows.where("reason is null").drop("reason"), rows.where("reason is not null").select("seq_id", "reason")
 
 
@@ -118,13 +123,18 @@ def mask_disordered(sequences: DataFrame, scores: DataFrame, threshold: float =
     return rows.withColumn("seq", F.when(F.col("scores").isNull(), F.col("seq")).otherwise(F.array_join(chars, ""))).drop("seq_hash", "scores")
 
 
+def organism_weights(organisms: DataFrame) -> DataFrame:
+    """(organism) a row a sequence -> (organism, n_sequences, weight of each of them): inverse frequency, over all sequences their number."""
+    per = organisms.groupBy("organism").agg(F.count("*").alias("n_sequences"))
+    n = per.agg(F.sum("n_sequences").alias("n"), F.count("*").alias("k"))
+    weight = F.col("n") / (F.col("n_sequences") * F.col("k"))
+    return per.join(F.broadcast(n)).select("organism", "n_sequences", weight.alias("weight"))  # n is one row
+
+
 def taxon_weights(organisms: DataFrame) -> DataFrame:
     """(seq_id, organism) -> (seq_id, weight): inverse organism frequency, summing to the number of sequences."""
     rows = organisms.withColumn("organism", F.coalesce("organism", F.lit("Unknown")))
-    per = rows.groupBy("organism").agg(F.count("*").alias("c"))
-    n = per.agg(F.sum("c").alias("n"), F.count("*").alias("k"))
-    per = per.join(F.broadcast(n)).select("organism", (F.col("n") / (F.col("c") * F.col("k"))).alias("weight"))  # n is one row
-    return rows.join(per, "organism").select("seq_id", "weight")
+    return rows.join(organism_weights(rows), "organism").select("seq_id", "weight")
 
 
 def taxon_weights_phylogenetic(organisms: DataFrame, lineages: DataFrame) -> DataFrame:

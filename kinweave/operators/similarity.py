@@ -18,12 +18,26 @@ L = 4
 PROPERTY_WEIGHT = 0.3
 
 
+def windows(s: Column, l: int = L) -> Column:
+    """All windows of l letters, from an array of letters of that length at least."""
+    # put together from an array: cutting the n-th piece out of a string walks it from its start
+    return F.transform(F.sequence(F.lit(0), F.size(s) - l), lambda i: F.concat(*[F.get(s, i + k) for k in range(l)]))
+
+
 def lmers(sequences: DataFrame, l: int = L, seq: Column | None = None) -> DataFrame:
     """(seq_idx, p, kmer): unmasked windows by 0-based start."""
-    # windows are put together from an array: cutting the n-th piece out of a string walks it from its start
     s = sequences.select("seq_idx", letters(F.col("seq") if seq is None else seq).alias("s")).where(F.size("s") >= l)
-    windows = F.transform(F.sequence(F.lit(0), F.size("s") - l), lambda i: F.concat(*[F.get("s", i + k) for k in range(l)]))
-    return s.select("seq_idx", F.posexplode(windows).alias("p", "kmer")).where(~F.col("kmer").contains(MASK))
+    return s.select("seq_idx", F.posexplode(windows(F.col("s"), l)).alias("p", "kmer")).where(~F.col("kmer").contains(MASK))
+
+
+def lmer_counts(sequences: DataFrame, l: int = L) -> DataFrame:
+    """(kmer, n, n_seqs): occurrences of each unmasked window, and sequences that have it."""
+    # a sequence's windows are sorted in its own row and the first of equal ones marked, so that one aggregate by l-mer does
+    s = sequences.select(letters(F.col("seq")).alias("s")).where(F.size("s") >= l)
+    s = s.select(F.array_sort(F.filter(windows(F.col("s"), l), lambda w: ~F.contains(w, F.lit(MASK)))).alias("own"))
+    fresh = lambda w, k: F.when((k == 0) | (F.get("own", k - 1) != w), 1).otherwise(0)
+    each = s.select(F.inline(F.transform("own", lambda w, k: F.struct(w.alias("kmer"), fresh(w, k).alias("first")))))
+    return each.groupBy("kmer").agg(F.count("*").alias("n"), F.sum("first").alias("n_seqs"))
 
 
 def shared_windows(sequences: DataFrame, l: int = L, seq: Column | None = None) -> DataFrame:

@@ -48,9 +48,9 @@ def _bench(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(F.col("item_id").cast("long").alias("seq_idx"), F.concat(F.lit("b"), d["item_id"].cast("string")).alias("seq_id"), protein(d["text"]).alias("seq"))
 
 
-_PROTEIN = "translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), 'BJOUZ', '')"
-_DOCS = f"d AS (SELECT doc_id AS seq_idx, 'd' || doc_id AS seq_id, {_PROTEIN} AS seq FROM documents)"
-_BENCH = f"d AS (SELECT item_id::BIGINT AS seq_idx, 'b' || item_id AS seq_id, {_PROTEIN} AS seq FROM benchmark)"
+PROTEIN_SQL = "translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), 'BJOUZ', '')"
+_DOCS = f"d AS (SELECT doc_id AS seq_idx, 'd' || doc_id AS seq_id, {PROTEIN_SQL} AS seq FROM documents)"
+_BENCH = f"d AS (SELECT item_id::BIGINT AS seq_idx, 'b' || item_id AS seq_id, {PROTEIN_SQL} AS seq FROM benchmark)"
 
 
 def _low(alphabet: str) -> str:
@@ -207,7 +207,7 @@ _LMERS = "x AS (SELECT seq_idx, unnest(range(1, greatest(length(seq) - 2, 1))) A
 
 @query(f"WITH {_DOCS}, {_LMERS} SELECT kmer, count(*)::BIGINT AS n, count(DISTINCT seq_idx)::BIGINT AS n_seqs FROM k GROUP BY 1")
 def lmer_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return sim.lmers(_docs(spark, sf)).groupBy("kmer", "seq_idx").agg(F.count("*").alias("n")).groupBy("kmer").agg(F.sum("n").alias("n"), F.count("*").alias("n_seqs"))
+    return sim.lmer_counts(_docs(spark, sf))
 
 
 @query(f"WITH {_BENCH}, {_LMERS} SELECT DISTINCT a.seq_idx AS i, b.seq_idx AS j, a.p::INT - 1 AS p FROM k a JOIN k b ON a.kmer = b.kmer AND a.seq_idx < b.seq_idx")
