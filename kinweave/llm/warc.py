@@ -98,11 +98,14 @@ def with_responses(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """pages (page_id, url, html) plus `sha1` and `response`: the page each revisit refers to, else null."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     keyed = pages.select(node_id("page_id").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    sums = cut(keyed.select("page_id", F.sha2("html", 256).alias("sha"), F.octet_length("html").alias("bytes")).where(F.col("bytes") >= least), "digests")
+    keyed = keyed.withColumn("sha", F.sha2("html", 256))
+    sums = cut(keyed.where(F.octet_length("html") >= least).select("page_id", "sha"), "digests")
     same = sums.groupBy("sha").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1")
-    revisits = cut(sums.join(same, "sha").where("page_id <> response").select("page_id", "response").distinct(), "revisits")
+    # rows may share a page_id: a revisit is known by its page and its payload
+    revisits = cut(sums.join(same, "sha").where("page_id <> response").select("page_id", "sha", "response").distinct(), "revisits")
     n = revisits.count()
-    return keyed.join(F.broadcast(revisits) if n <= SMALL else revisits, "page_id", "left").withColumn("sha1", F.sha1(F.col("html").cast("binary")))
+    rows = keyed.join(F.broadcast(revisits) if n <= SMALL else revisits, ["page_id", "sha"], "left")
+    return rows.drop("sha").withColumn("sha1", F.sha1(F.col("html").cast("binary")))
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
@@ -110,6 +113,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST) -> DataFra
 
     Null html counts as empty and a null url as none; repeated rows are written
     each; of rows that share the largest page_id of a payload all are responses.
+    Rows of one page_id with other payloads are records of their own: each is a
+    response or a revisit by its own payload.
     An empty table writes empty archives and gives no rows.
     """
 

@@ -74,3 +74,29 @@ def test_very_long_and_repeated_pages(spark):
         (2, "response", None, 2),
         (2, "response", None, 3),
     ]
+
+
+def test_rows_that_share_a_page_id(spark):
+    """Each row has one record by its own payload, and every payload can be read back."""
+    rng = random.Random(6)
+    a, b, c, z = ("A" * 1200, "B" * 1100, "C" * 1000, "Z" * 3000)
+    cases = [
+        [(5, a), (5, b), (9, a)],
+        [(7, c), (7, z), (12, c), (13, z), (7, b), (7, b), (12, a)],
+        [(rng.choice([None, 1, 2, 3, 4]), rng.choice([a, b, c, z, None, "small"])) for _ in range(80)],
+    ]
+    for rows in cases:
+        df = spark.createDataFrame([(p, f"http://h/{p}", t) for p, t in rows], "page_id long, url string, html string").repartition(3)
+        folder = scratch(spark, "warc")
+        got = read_archives(merge_runs(write_archives(df, folder)), folder).collect()
+        page = lambda p: -(2**63) if p is None else p
+        top = {}
+        for p, t in rows:
+            top[t or ""] = max(top.get(t or "", page(None)), page(p))
+        want = []
+        for p, t in rows:
+            again = len(t or "") >= 1000 and page(p) != top[t or ""]
+            want.append((page(p), hashlib.sha1((t or "").encode()).hexdigest(), "revisit" if again else "response", top[t or ""] if again else None))
+        assert sorted(map(repr, want)) == sorted(repr((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"])) for r in got)
+        kept = {bytes(r["payload"]) for r in got if r["record_type"] == "response"}
+        assert kept == {(t or "").encode() for _, t in rows}
