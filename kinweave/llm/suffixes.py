@@ -206,8 +206,10 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
         alike = (lo[order] == lo[head]) & (hi[order] == hi[head])
         from_, to = base[order] + p[order] - hi[order], base[head] + p[head] - hi[head]
         same = alike & (new | equal_slices(buffer, from_, to, (hi - lo)[order] + length))
-        first = order[new | ~same]  # equal hash but other bytes: an anchor of its own
-        later = order[same & ((doc[order] != doc[head]) | (at[order] != at[head]))]
+        place = (doc[order] == doc[head]) & (at[order] == at[head])
+        # equal hash but other bytes, or the same place of another text of that id: an anchor of its own
+        first = order[new | ~same | (place & (twin[order] != twin[head]))]
+        later = order[same & ~place]
         later = later[np.lexsort((at[later], twin[later], doc[later]))]
         d, t = doc[later], twin[later]
         begin, end = p[later] - hi[later], p[later] - lo[later] + length
@@ -238,7 +240,7 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     continue
                 g, s, p, lo, hi = found
                 place = (p << 16) | (lo << 8) | hi
-                got.append((g, s, np.full(len(g), doc), np.full(len(g), twin, np.int32), place, np.full(len(g), size)))
+                got.append((g, s, np.full(len(g), doc), np.full(len(g), twin), place, np.full(len(g), size)))
                 texts.append(data)
                 n, size = n + len(g), size + len(data)
                 if n >= BATCH:
@@ -247,7 +249,7 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
         if got:
             yield flush(got, texts)
 
-    return docs.mapInArrow(run, "route long, span int, doc_id long, twin int, a long, b long")
+    return docs.mapInArrow(run, "route long, span int, doc_id long, twin long, a long, b long")
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -303,7 +305,7 @@ def _meeting(anchors: DataFrame, length: int, gram: int) -> DataFrame:
             columns = [np.ones(len(i), np.int32), doc[i], twin[i], key[i], place, part.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=FOUND)
 
-    schema = "open int, doc_id long, twin int, a long, b long, part int"
+    schema = "open int, doc_id long, twin long, a long, b long, part int"
     return anchors.repartition("route").mapInArrow(run, schema)
 
 
@@ -333,7 +335,7 @@ def _slices(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
                     [*columns, pa.array(cut_, pa.binary())], names=["gram", "part", "doc_id", "twin", "at", "bytes"]
                 )
 
-    schema = "gram long, part int, doc_id long, twin int, at long, bytes binary"
+    schema = "gram long, part int, doc_id long, twin long, at long, bytes binary"
     return wanted.select("doc_id", "twin", "text", "asked").mapInArrow(run, schema).repartition("gram", "part")
 
 
@@ -431,7 +433,7 @@ def _solve(slices: DataFrame, length: int, gram: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
             done = upto
 
-    return slices.mapInArrow(run, "doc_id long, twin int, a long, b long")
+    return slices.mapInArrow(run, "doc_id long, twin long, a long, b long")
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -445,9 +447,20 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _twin(text: Column, needed: bool) -> Column:
-    """Tells texts of one doc_id apart, where any id has more than one."""
-    return F.pmod(F.xxhash64(text), F.lit(2**31 - 1)).cast("int") if needed else F.lit(0)
+def _with_twins(own: DataFrame) -> DataFrame:
+    """own (doc_id, text) plus `twin`, which tells different texts of one doc_id apart; 0 where an id has but one.
+
+    Texts are told apart by SHA-256 and numbered; the numbers are kept in the
+    shared folder. Only ids that rows share are looked at.
+    """
+    shared = own.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if shared.isEmpty():
+        return own.select("doc_id", F.lit(0).cast("long").alias("twin"), "text")
+    sha = F.sha2("text", 256).alias("sha")
+    kinds = own.join(shared, "doc_id", "left_semi").select("doc_id", sha).distinct()
+    twins = cut(kinds.withColumn("twin", F.monotonically_increasing_id() + 1), "twins")
+    keyed = own.select("doc_id", "text", sha)
+    return keyed.join(twins, ["doc_id", "sha"], "left").select("doc_id", F.coalesce("twin", F.lit(0)).alias("twin"), "text")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
@@ -455,8 +468,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     if not 0 < gram <= length <= 256 + gram - 1:
         raise ValueError("the gram must fit the length, and windows reach over 256 places at most")
     own = docs.select(node_id("doc_id").alias("doc_id"), text_of().alias("text"))
-    needed = not own.groupBy("doc_id").count().where("count > 1").isEmpty()
-    own = own.select("doc_id", _twin(F.col("text"), needed).alias("twin"), "text")
+    own = _with_twins(own)
     found = cut(_meeting(_anchor_rows(own, length, gram), length, gram), "repeats")
     asked = found.where("open = 1").select("doc_id", "twin", "a", "b", "part")
     edges = _solve(_slices(own, asked, length), length, gram)

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.llm.suffixes import equal_slices, op8_suffixes, remove_repeats, sort_parts, suffix_array
 
@@ -87,6 +88,22 @@ def test_grams_of_many_contexts_meet_in_parts(spark):
     assert got == brute(rows, 20)
 
 
+def test_different_texts_of_one_id(spark):
+    """Rows that share an id, null above all: texts whose 31-bit hashes agree, and passages at the same place."""
+    rng = random.Random(12)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    texts = spark.range(400_000).selectExpr("id", "concat('text number ', id, repeat(' and more', 20)) as t")
+    alike = texts.groupBy(F.expr("pmod(xxhash64(t), 2147483647)")).agg(F.collect_list("t").alias("ts")).where("size(ts) > 1").first()["ts"]
+    a, b = alike[0] + some(150), alike[1]
+    shared, header = some(60), some(40)
+    rows = [(1, a), (5, a), (5, b), (None, some(70)), (None, a), (None, b), (2, shared), (9, shared + some(30)), (9, shared + some(30)), (9, shared + some(30))]
+    rows += [(None, header + some(rng.randint(0, 40))) for _ in range(30)] + [(None, b)] * 3 + [(3, header), (3, header)]
+    for length, gram, parts in ((100, 32, 4), (20, 8, 1), (20, 8, 7)):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = sorted((-1 if r[0] is None else r[0], *r[1:4], bytes(r[4])) for r in remove_repeats(df, length, gram).collect())
+        assert got == brute(rows, length)
+
+
 def test_very_long_texts_and_other_columns(spark):
     rng = random.Random(10)
     long_ = "".join(rng.choice("abcdefgh \n") for _ in range(1_500_000))
