@@ -151,7 +151,7 @@ class Pipeline:
         if notes is not None:
             tests_ = ev.enrichment(found, notes.select("seq_id", "go_terms")).where("enriched")
             if c.ontology:
-                closure = ev.ancestors(files.read_ontology(spark, c.ontology))
+                closure = ev.ancestors(files.ontology_edges(files.read_ontology(spark, c.ontology)))
                 kept = ev.reduce_terms(tests_.select("cluster_idx", "term"), closure)
                 tests_ = tests_.join(kept, ["cluster_idx", "term"])
             tests = self._stage("terms", (*tree_by, "boundary", "min_size", "recover_unassigned", "ontology"), lambda: tests_)

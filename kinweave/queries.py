@@ -19,6 +19,7 @@ from kinweave.operators import prep, sinks
 from kinweave.operators import similarity as sim
 from kinweave.operators import tree as tr
 from kinweave.sources import files
+from kinweave.sources.shared import new_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -68,12 +69,28 @@ _DIAG = "m(name, aa, w) AS (VALUES " + ", ".join(f"('{m}', '{a}', {w})" for m, d
 WITH {_DOCS}
 SELECT row_number() OVER (ORDER BY seq_idx) - 1 AS seq_idx, seq_id, seq FROM d""")
 def fasta_parse(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents written as FASTA lines (header, two body lines in lower case) and parsed back."""
-    d = _docs(spark, sf)
+    """Documents as FASTA chunks (header, two body lines in lower case), parsed."""
+    return files.fasta_chunks(_fasta_text(_docs(spark, sf)).select(F.col("seq_idx").alias("place"), F.substr("value", F.lit(2)).alias("value"), F.lit(False).alias("opens")))
+
+
+def _fasta_text(d: DataFrame) -> DataFrame:
     half = F.floor(F.length("seq") / 2).cast("int")
-    body = F.array(F.concat(F.lit(">"), "seq_id", F.lit(" text")), F.lower(F.substr("seq", F.lit(1), half)), F.lower(F.substr("seq", half + 1)))
-    lines = d.select(F.lit("f").alias("file"), "seq_idx", F.posexplode(body).alias("k", "line")).select("file", (F.col("seq_idx") * 3 + F.col("k")).alias("line_no"), "line")
-    return files.fasta_lines(lines)
+    return d.select("seq_idx", F.concat(F.lit(">"), "seq_id", F.lit(" text\n"), F.lower(F.substr("seq", F.lit(1), half)), F.lit("\n"), F.lower(F.substr("seq", half + 1))).alias("value"))
+
+
+@query(SQL["fasta_parse"])
+def fasta_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as FASTA files and read back in blocks of 64 KB, so that records cross the borders."""
+    folder = new_folder(spark, "fasta")
+    rows = _fasta_text(_docs(spark, sf)).repartitionByRange(3, "seq_idx").sortWithinPartitions("seq_idx")
+    rows.select("value").write.text(folder)
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 1 << 16)
+    try:
+        return files.read_fasta(spark, folder)
+    finally:
+        spark.conf.set(name, before)
 
 
 @query(f"WITH {_DOCS} SELECT seq_idx, seq_id FROM d WHERE length(seq) >= 10")
@@ -714,9 +731,10 @@ def ontology_edges(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     name = lambda c: F.concat(F.lit("t"), c.cast("string"))
     up = F.when(k > 1, F.concat(F.lit("is_a: "), name(F.shiftright(k, 1)), F.lit(" ! part"))).otherwise(F.lit("is_obsolete: true"))
-    block = F.array(F.lit("[Term]"), F.concat(F.lit("id: "), name(k)), F.concat(F.lit("name: "), F.col("p_name")), up)
-    lines = _t(spark, sf, "part").select(k, F.posexplode(block).alias("at", "line"))
-    return files.ontology_lines(lines.select((k * 4 + F.col("at")).alias("line_no"), "line"))
+    block = F.concat_ws("\n", F.lit("[Term]"), F.concat(F.lit("id: "), name(k)), F.concat(F.lit("name: "), F.col("p_name")), up)
+    folder = new_folder(spark, "ontology")
+    _t(spark, sf, "part").select(block.alias("value")).write.text(folder)
+    return files.ontology_edges(files.read_ontology(spark, folder))
 
 
 @query(f"""WITH {_GROUPS} SELECT cluster_idx + 1 AS cluster_id, seq_id, '>' || seq_id || '  ' || CASE WHEN cluster_idx IS NULL THEN 'orphan' ELSE 'cluster=' || (cluster_idx + 1) END || chr(10) || 'SEQ' || seq_id AS record FROM cf""")

@@ -6,48 +6,69 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinweave.sources.shared import stored
+
 ANNOTATION = "accession string, protein_name string, gene_name string, organism string, taxon_id long, reviewed boolean, go_terms array<string>, domains array<struct<interpro_id:string,name:string,start:int,end:int>>"
 
 
-def fasta_lines(lines: DataFrame) -> DataFrame:
-    """lines (file, line_no, line) -> (seq_idx, seq_id, seq).
+def _pieces(spark: SparkSession, path: str, mark: str) -> DataFrame:
+    """(place, value): the texts between marks, by file, block and order in it.
+
+    Spark's text reader takes the mark for the end of a line, so large files are
+    cut into blocks anywhere and a piece that crosses a border is read whole by
+    the task of the block it begins in.
+    """
+    rows = spark.read.option("lineSep", mark).text(path)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return rows.select(place.alias("place"), "value")
+
+
+def fasta_chunks(chunks: DataFrame) -> DataFrame:
+    """chunks (place, value, opens) -> (seq_idx, seq_id, seq).
 
-    A header's first word is the id, what follows up to the next header is the
+    A chunk is what stands after a header's mark up to the next mark at the
+    start of a line, in the order of place; `opens` tells the first chunk of a
+    file, which is a record only behind a mark of its own. A header's first word
+    is the id, the lines after it, without blanks at their ends, are the
     sequence in upper case. A repeated id keeps its first place and its last
     sequence. Text before the first header and headers without an id are left out.
     """
-    line = F.trim(F.regexp_replace("line", r"[\r\n]+$", ""))
-    rows = lines.withColumn("line", line).where("line <> ''").withColumn("head", F.col("line").startswith(">"))
-    order = W.partitionBy("file").orderBy("line_no")
-    rows = rows.withColumn("record", F.sum(F.col("head").cast("long")).over(order)).where("record > 0")
-    records = rows.groupBy("file", "record").agg(
-        F.min("line_no").alias("at"),
-        F.max(F.when(F.col("head"), F.regexp_extract(F.substr("line", F.lit(2)), r"^\s*(\S+)", 1))).alias("seq_id"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("line_no", "line")))), lambda x: F.upper(x["line"])), "").alias("seq"),
+    # a mark counts behind blanks too, which the reader does not see
+    rows = chunks.select("place", "opens", F.posexplode(F.split("value", r"\n[ \t]*>")).alias("k", "piece"))
+    first = F.col("opens") & (F.col("k") == 0)
+    rows = rows.where(~first | F.col("piece").rlike(r"^\s*>"))
+    rows = rows.withColumn("piece", F.when(first, F.regexp_replace("piece", r"^\s*>", "")).otherwise(F.col("piece")))
+    head = F.substring_index("piece", "\n", 1)
+    body = F.substr("piece", F.length(head) + 2)
+    rows = rows.select(
+        F.struct("place", "k").alias("at"),
+        F.regexp_extract(head, r"^\s*(\S+)", 1).alias("seq_id"),
+        F.upper(F.trim(F.regexp_replace(body, r" *\r*\n *| *\r+$", ""))).alias("seq"),
     )
-    records = records.where("seq_id <> ''")
-    one = records.groupBy("seq_id").agg(F.min(F.struct("file", "at")).alias("first"), F.max_by("seq", F.struct("file", "at")).alias("seq"))
+    one = rows.where("seq_id <> ''").groupBy("seq_id").agg(F.min("at").alias("first"), F.max_by("seq", "at").alias("seq"))
     return numbered(one, "first").select("seq_idx", "seq_id", "seq")
 
 
 def numbered(rows: DataFrame, by: str) -> DataFrame:
     """Adds seq_idx, the 0-based place in the order of `by`, without gathering rows in one task.
 
-    Rows are range-partitioned and sorted; the counts of earlier partitions are
-    added to the places within each.
+    Rows are range-partitioned, sorted and written to the shared folder, so that
+    what is counted and what is numbered are the same ranges; the counts of
+    earlier partitions are added to the places within each.
     """
-    rows = rows.repartitionByRange(F.col(by)).sortWithinPartitions(by).withColumn("__part", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id())
-    rows = rows.withColumn("__place", F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))).persist()  # both uses must see the same ranges
+    rows = rows.repartitionByRange(F.col(by)).sortWithinPartitions(by)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = stored(rows.withColumn("__part", F.spark_partition_id()).withColumn("__place", place), "numbered")
     sizes = rows.groupBy("__part").count()
-    before = sizes.withColumn("__before", F.coalesce(F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")
+    before = sizes.withColumn("__before", F.coalesce(F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")  # a row a partition
     return rows.join(F.broadcast(before), "__part").withColumn("seq_idx", (F.col("__before") + F.col("__place")).cast("long")).drop("__part", "__place", "__before")
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """Sequences of one or more FASTA files; a file is read as a whole, so that its line order holds."""
-    whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    lines = whole.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    return fasta_lines(lines)
+    """Sequences of one or more FASTA files of any size, in the order of file names and of records in each."""
+    chunks = stored(_pieces(spark, path, "\n>"), "fasta")
+    opens = chunks.groupBy("place.file").agg(F.min("place").alias("place")).select("place", F.lit(True).alias("opens"))  # a row a file
+    return fasta_chunks(chunks.join(opens, "place", "left").withColumn("opens", F.coalesce("opens", F.lit(False))))
 
 
 def label_lines(lines: DataFrame) -> DataFrame:
@@ -59,8 +80,9 @@ def label_lines(lines: DataFrame) -> DataFrame:
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True)
-    return label_lines(whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")))
+    """Labels of tables of any size; of repeated ids the last by file, block and line counts."""
+    lines = _pieces(spark, path, "\n")
+    return label_lines(lines.select(F.col("place").alias("line_no"), F.regexp_replace("value", r"\r$", "").alias("line")))
 
 
 PROTEIN_JSON = """entryType string, primaryAccession string,
@@ -109,19 +131,30 @@ def annotations(seq_ids: DataFrame, proteins: DataFrame, domains: DataFrame) ->
     )
 
 
-def ontology_lines(lines: DataFrame) -> DataFrame:
-    """lines (line_no, line) of an OBO file -> is_a edges (child, parent)."""
-    order = W.partitionBy(F.lit(0)).orderBy("line_no")
-    block = F.sum(F.col("line").startswith("[").cast("long")).over(order)
-    rows = lines.withColumn("block", block)
-    ids = rows.where(F.col("line").startswith("id: ")).groupBy("block").agg(F.min(F.trim(F.substr("line", F.lit(5)))).alias("child"))
-    up = rows.where(F.col("line").startswith("is_a: ")).select("block", F.regexp_extract("line", r"^is_a:\s*(\S+)", 1).alias("parent"))
-    return up.join(ids, "block").select("child", "parent").distinct()
+def ontology_terms(stanzas: DataFrame) -> DataFrame:
+    """stanzas (value: text from a bracket at the start of a line to the next) -> (term, name, parents).
+
+    Stanzas without an id are left out; a tag counts where it stands first in a line.
+    """
+    lines = F.transform(F.split("value", "\n"), lambda x: F.regexp_replace(x, r"\r$", ""))
+    tagged = lambda tag: F.transform(F.filter("lines", lambda x: x.startswith(tag)), lambda x: F.trim(F.substr(x, F.lit(len(tag) + 1))))
+    rows = stanzas.select(lines.alias("lines"))
+    rows = rows.select(
+        F.try_element_at(tagged("id: "), F.lit(1)).alias("term"),
+        F.try_element_at(tagged("name: "), F.lit(1)).alias("name"),
+        F.transform(tagged("is_a: "), lambda x: F.regexp_extract(x, r"^(\S+)", 1)).alias("parents"),
+    )
+    return rows.where("term is not null")
+
+
+def ontology_edges(terms: DataFrame) -> DataFrame:
+    """is_a edges (child, parent)."""
+    return terms.select(F.col("term").alias("child"), F.explode("parents").alias("parent")).distinct()
 
 
 def read_ontology(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True)
-    return ontology_lines(whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")))
+    """Terms of OBO files of any size: (term, name, parents)."""
+    return ontology_terms(_pieces(spark, path, "\n["))
 
 
 def cached(keys: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

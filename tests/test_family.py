@@ -318,8 +318,58 @@ def test_sources(spark, tmp_path):
     a, b = out["sp|P12345|X"], out["AAA24053"]
     assert a["organism"] == "Homo sapiens" and a["reviewed"] and a["go_terms"] == ["GO:0005488"] and [tuple(d) for d in a["domains"]] == [("IPR1", "dom", 2, 9)]
     assert b["organism"] == "Unknown" and b["accession"] is None and b["domains"] == []
-    (tmp_path / "o.obo").write_text("[Term]\nid: GO:1\nis_a: GO:2 ! two\n\n[Term]\nid: GO:2\nis_a: GO:3\n")
-    assert {tuple(r) for r in files.read_ontology(spark, str(tmp_path / "o.obo")).collect()} == {("GO:1", "GO:2"), ("GO:2", "GO:3")}
+    (tmp_path / "o.obo").write_text("[Term]\nid: GO:1\nname: one\nis_a: GO:2 ! two\n\n[Term]\nid: GO:2\nis_a: GO:3\n")
+    terms = files.read_ontology(spark, str(tmp_path / "o.obo"))
+    assert {tuple(r) for r in files.ontology_edges(terms).collect()} == {("GO:1", "GO:2"), ("GO:2", "GO:3")}
+    assert {(r["term"], r["name"]) for r in terms.collect()} == {("GO:1", "one"), ("GO:2", None)}
+
+
+def plain_fasta(texts):
+    """{id: sequence} of texts read line by line."""
+    out, own = {}, None
+    for text in texts:
+        own = None
+        for line in text.split("\n"):
+            line = line.rstrip("\r").strip(" ")
+            if line.startswith(">"):
+                own = (line[1:].split() or [None])[0]
+                if own is not None:
+                    out[own] = ""
+            elif own is not None:
+                out[own] += line.upper()
+    return [(i, k, v) for i, (k, v) in enumerate(out.items())]
+
+
+@pytest.mark.parametrize("block", [61, 1 << 20])
+def test_files_are_read_in_blocks(spark, tmp_path, block):
+    """FASTA, label and OBO files cut into blocks of any size: the same as line by line, in order."""
+    rng = random.Random(block)
+    ends = ["\n", "\r\n"]
+    texts = []
+    for k in range(3):
+        text = rng.choice(["", "junk\nmore\n", "\n"])
+        for i in range(12):
+            end = rng.choice(ends)
+            text += rng.choice(["", "", "  "]) + f">{rng.choice(['', ' '])}s{rng.randint(0, 60)} a>b" + end
+            text += "".join("".join(rng.choice("acdefXY") for _ in range(rng.randint(0, 12))) + rng.choice(["", " "]) + end for _ in range(rng.randint(0, 3)))
+        texts.append(text + rng.choice(["", ">", ">last"]))
+        (tmp_path / f"f{k}.fasta").write_bytes(texts[-1].encode())
+    (tmp_path / "l.tsv").write_text("#c\n" + "".join(f"s{i % 13}\tg{i}\r\n" for i in range(40)) + "odd\n")
+    (tmp_path / "o.obo").write_text("format-version: 1\n" + "".join(f"\n[Term]\nid: t{i}\nname: n {i}\nis_a: t{i // 2} ! x\n" for i in range(1, 12)))
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, block)
+    try:
+        got = [tuple(r) for r in files.read_fasta(spark, str(tmp_path / "*.fasta")).orderBy("seq_idx").collect()]
+        assert got == plain_fasta(texts)
+        labels = dict(map(tuple, files.read_labels(spark, str(tmp_path / "l.tsv")).collect()))
+        assert labels == {f"s{i % 13}": f"g{i}" for i in range(40)}
+        terms = {(r["term"], r["name"], *r["parents"]) for r in files.read_ontology(spark, str(tmp_path / "o.obo")).collect()}
+        assert terms == {(f"t{i}", f"n {i}", f"t{i // 2}") for i in range(1, 12)}
+        if block == 61:
+            assert spark.read.text(str(tmp_path / "f0.fasta")).rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set(name, before)
 
 
 def test_taxon_weights(spark):
