@@ -3,7 +3,11 @@
 A position of X counts for the pair (X, Y) if an unmasked window of l residues
 of X that covers it occurs in Y. So pairs meet by l-mer: no pair without a
 common l-mer is ever formed, and a pair's score is the weight of the union of
-X's matching windows, summed window by window over the part that each adds.
+X's matching windows. Windows are kept as codes of their residues, five bits a
+position and twelve positions a long: as all windows over a position hold the
+same residue there, the union of a pair's windows is the bitwise or of their
+longs, which needs no order. An l-mer that very many sequences have is dealt
+out as pairs of blocks of them.
 """
 
 from __future__ import annotations
@@ -12,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinweave.functions.residues import BLEND, MASK, letters, reduced, total_weight, weight
+from kinweave.functions.residues import AA_ORDER, BLEND, DIAGONALS, MASK, letters, reduced, total_weight, weight
+from kinweave.sources.shared import stored
 
 L = 4
 PROPERTY_WEIGHT = 0.3
@@ -40,22 +45,77 @@ def lmer_counts(sequences: DataFrame, l: int = L) -> DataFrame:
     return each.groupBy("kmer").agg(F.count("*").alias("n"), F.sum("first").alias("n_seqs"))
 
 
-def shared_windows(sequences: DataFrame, l: int = L, seq: Column | None = None) -> DataFrame:
+#: Sequences with an l-mer beyond which it is dealt out in blocks of about so many.
+BLOCK = 4096
+
+
+def _distinct_lmers(sequences: DataFrame, l: int, seq: Column | None) -> DataFrame:
+    """(seq_idx, kmer): each unmasked window of a sequence once."""
+    s = sequences.select("seq_idx", letters(F.col("seq") if seq is None else seq).alias("s")).where(F.size("s") >= l)
+    own = F.array_distinct(F.filter(windows(F.col("s"), l), lambda w: ~F.contains(w, F.lit(MASK))))
+    return s.select("seq_idx", F.explode(own).alias("kmer"))
+
+
+def hot_lmers(sequences: DataFrame, l: int = L, seq: Column | None = None, block: int = BLOCK) -> DataFrame | None:
+    """(kmer, parts): l-mers of more than `block` sequences, and the blocks that these make; None where there is none."""
+    n = _distinct_lmers(sequences, l, seq).groupBy("kmer").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    hot = stored(n.select("kmer", F.ceil(F.col("n") / block).cast("int").alias("parts")), "hot_lmers")
+    return None if hot.isEmpty() else hot
+
+
+def _meet(x: DataFrame, y: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """x (i, kmer, ...) and y (j, kmer, ...) by equal l-mer, i < j; the rows of hot ones as pairs of blocks, each a key of its own."""
+    keys = ["kmer"]
+    if hot is not None:
+        keys += ["bi", "bj"]
+        own = lambda c: F.when(F.col("parts") > 1, F.pmod(F.xxhash64(c), F.col("parts"))).otherwise(0).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+        x = x.join(hot, "kmer", "left").withColumn("bi", own("i")).withColumn("bj", every).drop("parts")
+        y = y.join(hot, "kmer", "left").withColumn("bj", own("j")).withColumn("bi", every).drop("parts")
+    return x.join(y, keys).where("i < j").drop("bi", "bj")
+
+
+def shared_windows(sequences: DataFrame, l: int = L, seq: Column | None = None, block: int = BLOCK) -> DataFrame:
     """(i, j, p, kmer) for i < j: windows of i that occur in j."""
-    x = lmers(sequences, l, seq)
-    y = x.select(F.col("seq_idx").alias("j"), "kmer").distinct()
-    return x.withColumnRenamed("seq_idx", "i").join(y, "kmer").where("i < j").select("i", "j", "p", "kmer")
+    x = lmers(sequences, l, seq).withColumnRenamed("seq_idx", "i")
+    y = _distinct_lmers(sequences, l, seq).withColumnRenamed("seq_idx", "j")
+    return _meet(x, y, hot_lmers(sequences, l, seq, block)).select("i", "j", "p", "kmer")
 
 
-def _raw(sequences: DataFrame, matrices: list[str], l: int, seq: Column | None, prefix: str) -> DataFrame:
+#: Positions in a long, and bits a position.
+PLACES, BITS = 12, 5
+
+
+def covered(sequences: DataFrame, l: int = L, seq: Column | None = None, block: int = BLOCK) -> DataFrame:
+    """(i, j, word, codes) for i < j: residues of i that windows shared with j cover.
+
+    `codes` holds twelve positions from 12 * word on, five bits each: 0 where none
+    covers, else the residue's place in AA_ORDER from 1.
+    """
+    x = lmers(sequences, l, seq).withColumnRenamed("seq_idx", "i")
+    x = x.withColumn("word", F.explode(F.sequence(F.floor(F.col("p") / PLACES).cast("int"), F.floor((F.col("p") + (l - 1)) / PLACES).cast("int"))))
+    code = lambda k: F.position(F.substr("kmer", F.lit(k + 1), F.lit(1)), F.lit(AA_ORDER)).cast("long")
+    at = lambda k: F.col("p") + k - F.col("word") * PLACES
+    inside = [F.when((at(k) >= 0) & (at(k) < PLACES), F.call_function("shiftleft", code(k), at(k) * BITS)).otherwise(F.lit(0).cast("long")) for k in range(l)]
+    codes = inside[0]
+    for c in inside[1:]:
+        codes = codes.bitwiseOR(c)
+    y = _distinct_lmers(sequences, l, seq).withColumnRenamed("seq_idx", "j")
+    hits = _meet(x.select("i", "kmer", "word", codes.alias("codes")), y, hot_lmers(sequences, l, seq, block))
+    # the hits of a pair come from all over the l-mers: dealt by pair once, later groupings of the pair stay in place
+    return hits.select("i", "j", "word", "codes").repartition("i", "j").groupBy("i", "j", "word").agg(F.bit_or("codes").alias("codes"))
+
+
+def _raw(sequences: DataFrame, matrices: list[str], l: int, seq: Column | None, prefix: str, block: int = BLOCK) -> DataFrame:
     """(i, j, one sum per matrix): weight of the residues of i that motifs shared with j cover."""
-    hits = shared_windows(sequences, l, seq)
-    order = W.partitionBy("i", "j").orderBy("p")
-    step = F.least(F.lit(l), F.col("p") - F.coalesce(F.lag("p").over(order), F.lit(-l)))
-    added = hits.withColumn("step", step)
-    place = range(1, l + 1)
-    gain = lambda m: sum(F.when(F.lit(k) > l - F.col("step"), weight(F.substr("kmer", F.lit(k), F.lit(1)), m)).otherwise(0) for k in place)
-    return added.groupBy("i", "j").agg(*[F.sum(gain(m)).cast("double").alias(f"{prefix}{k}") for k, m in enumerate(matrices)])
+    code = [F.shiftright("codes", BITS * k).bitwiseAND(F.lit(31)).cast("int") for k in range(PLACES)]
+
+    def gain(matrix: str) -> Column:
+        values = F.array(*[F.lit(v) for v in [0, *DIAGONALS[matrix]]])
+        return sum((F.get(values, c) for c in code[1:]), F.get(values, code[0]))
+
+    spans = covered(sequences, l, seq, block)
+    return spans.groupBy("i", "j").agg(*[F.sum(gain(m)).cast("double").alias(f"{prefix}{k}") for k, m in enumerate(matrices)])
 
 
 def longest_weight(sequences: DataFrame, matrices: list[str]) -> DataFrame:
@@ -98,10 +158,12 @@ def motif_similarity(
     return raw.select("i", "j", total.cast("float").alias("s")).where("s > 0")
 
 
-def runs(sequences: DataFrame, l: int = L, seq: Column | None = None) -> DataFrame:
+def runs(sequences: DataFrame, l: int = L, seq: Column | None = None, block: int = BLOCK) -> DataFrame:
     """(i, j, px, py, len): maximal diagonal runs of equal unmasked residues, l long at least."""
     x = lmers(sequences, l, seq)
-    hits = x.select(F.col("seq_idx").alias("i"), F.col("p").alias("px"), "kmer").join(x.select(F.col("seq_idx").alias("j"), F.col("p").alias("py"), "kmer"), "kmer").where("i < j")
+    left = x.select(F.col("seq_idx").alias("i"), F.col("p").alias("px"), "kmer")
+    right = x.select(F.col("seq_idx").alias("j"), F.col("p").alias("py"), "kmer")
+    hits = _meet(left, right, hot_lmers(sequences, l, seq, block))
     diagonal = W.partitionBy("i", "j", "d").orderBy("px")
     hits = hits.withColumn("d", F.col("px") - F.col("py"))
     hits = hits.withColumn("island", F.col("px") - F.row_number().over(diagonal))
@@ -110,12 +172,33 @@ def runs(sequences: DataFrame, l: int = L, seq: Column | None = None) -> DataFra
 
 
 def maximal_matches(matches: DataFrame) -> DataFrame:
-    """Distinct matches that no other match of the pair contains on both sides."""
-    m = matches.distinct()
-    o = m.select("i", "j", F.col("px").alias("ox"), F.col("py").alias("oy"), F.col("len").alias("ol"))
+    """Distinct matches that no other match of the pair contains on both sides.
+
+    A match is a square of positions. One that contains another is as long at
+    least and holds its first corner; so each match is laid on the cells of a
+    grid as wide as its own power of two, nine at most, and looks for others
+    only in the cells that hold its corner, one a width.
+    """
+    pair, own = ["i", "j"], ["px", "py", "len"]
+    m = matches.select(*pair, *own).distinct()
+    level = F.floor(F.log2("len") + 1e-9).cast("int")
+    o = m.select(*pair, F.col("px").alias("ox"), F.col("py").alias("oy"), F.col("len").alias("ol"), level.alias("t"), "px", "py", "len")
+    o = o.withColumn("cx", F.explode(_cells("px"))).withColumn("cy", F.explode(_cells("py"))).drop(*own)
+    used = o.select(*pair, "t").distinct().groupBy(*pair).agg(F.collect_set("t").alias("ts"))  # a few widths a pair
+    asks = m.join(used, pair).select(*pair, *own, F.explode(F.filter("ts", lambda t: t >= level)).alias("t"))
+    asks = asks.withColumn("cx", F.call_function("shiftright", F.col("px"), F.col("t"))).withColumn("cy", F.call_function("shiftright", F.col("py"), F.col("t")))
     inside = (F.col("ox") <= F.col("px")) & (F.col("oy") <= F.col("py")) & (F.col("ox") + F.col("ol") >= F.col("px") + F.col("len")) & (F.col("oy") + F.col("ol") >= F.col("py") + F.col("len"))
     other = (F.col("ox") != F.col("px")) | (F.col("oy") != F.col("py")) | (F.col("ol") != F.col("len"))
-    return m.join(o, (m["i"] == o["i"]) & (m["j"] == o["j"]) & inside & other, "left_anti")
+    keys = [*pair, "t", "cx", "cy"]
+    a, b = asks.alias("a"), o.alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in keys]
+    held = a.join(b, [*same, inside & other], "left_semi").select(*pair, *own).distinct()
+    return m.join(held, [*pair, *own], "left_anti")
+
+
+def _cells(start: str) -> Column:
+    """Cells of a grid 2^t wide that a match touches from `start` on, its end included."""
+    return F.sequence(F.call_function("shiftright", F.col(start), F.col("t")), F.call_function("shiftright", F.col(start) + F.col("len"), F.col("t")))
 
 
 def domain_positions(sequences: DataFrame, domains: DataFrame, inside: float = 2.0, outside: float = 0.5) -> DataFrame:

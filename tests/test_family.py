@@ -9,6 +9,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.functions.residues import AA_ORDER, BLEND, DIAGONALS, accession, classes, encode_classes, encode_residues
 from kinweave.operators import clusters as cl
@@ -522,3 +523,49 @@ def test_sums_around_a_tree_in_several_blocks(spark, monkeypatch):
         for r in cl.extract(nodes, spark.createDataFrame([(c,) for c in cuts], "node_id long"), 1).collect():
             got.setdefault(r["cluster_idx"], set()).add(r["seq_id"])
         assert {frozenset(v) for v in got.values()} == want
+
+
+def _covered_plain(x, y, l):
+    own = {y[k : k + l] for k in range(len(y) - l + 1) if "X" not in y[k : k + l]}
+    hit = set()
+    for k in range(len(x) - l + 1):
+        if x[k : k + l] in own:
+            hit |= set(range(k, k + l))
+    return hit
+
+
+@pytest.mark.parametrize(("l", "block"), [(4, 4096), (4, 3), (1, 2), (13, 2)])
+def test_hot_lmers_are_dealt_as_blocks(spark, l, block):
+    """Sequences that nearly all share l-mers, with more of them than a block takes: every pair once, by the plain form."""
+    rng = random.Random(l)
+    common = "".join(rng.choice(AA_ORDER) for _ in range(30))
+    texts = [common[: rng.randint(13, 30)] + "".join(rng.choice(AA_ORDER + "X") for _ in range(rng.randint(0, 40))) + common[rng.randint(0, 12) :] for _ in range(25)] + ["", "AC", "A" * 50, "A" * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq_idx long, seq string")
+    assert (sim.hot_lmers(df, l, block=block) is not None) == (block < 25)
+    got = {}
+    for r in sim.covered(df, l, block=block).collect():
+        for k in range(sim.PLACES):
+            if code := r["codes"] >> (sim.BITS * k) & 31:
+                at = r["word"] * sim.PLACES + k
+                assert AA_ORDER[code - 1] == texts[r["i"]][at]
+                got.setdefault((r["i"], r["j"]), []).append(at)
+    want = {(i, j): sorted(p) for i in range(len(texts)) for j in range(i + 1, len(texts)) if (p := _covered_plain(texts[i], texts[j], l))}
+    assert {k: sorted(v) for k, v in got.items()} == want
+    windows = {tuple(r) for r in sim.shared_windows(df, l, block=block).select("i", "j", "p").collect()}
+    assert len(windows) == sim.shared_windows(df, l, block=block).count()
+    assert {(i, j) for i, j, _ in windows} == set(want)
+    if l == 4:
+        assert sorted(map(tuple, sim.runs(df, l, block=block).collect())) == sorted(map(tuple, sim.runs(df, l).collect()))
+
+
+def test_maximal_matches_by_cells(spark):
+    """Squares of all sizes against comparing each with each; then a pair with 100,000 of them."""
+    rng = random.Random(3)
+    rows = [(k % 3, 7, rng.randint(0, 60), rng.randint(0, 60), rng.choice([4, 5, 8, 9, 16, 31, 40])) for k in range(900)]
+    rows += rows[:50]
+    df = spark.createDataFrame(rows, "i long, j long, px int, py int, len int")
+    own = set(rows)
+    holds = lambda o, m: o[:2] == m[:2] and o != m and o[2] <= m[2] and o[3] <= m[3] and o[2] + o[4] >= m[2] + m[4] and o[3] + o[4] >= m[3] + m[4]
+    assert {tuple(r) for r in sim.maximal_matches(df).collect()} == {m for m in own if not any(holds(o, m) for o in own)}
+    many = spark.range(100_000).select(F.lit(0).cast("long").alias("i"), F.lit(1).cast("long").alias("j"), (F.col("id") * 3).cast("int").alias("px"), (F.col("id") * 7919 % 300_000).cast("int").alias("py"), (4 + F.col("id") % 13).cast("int").alias("len"))
+    assert sim.maximal_matches(many).count() > 90_000
