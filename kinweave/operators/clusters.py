@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinweave.sources.shared import stored
+
 CANDIDATES = 200
 
 
@@ -124,28 +126,48 @@ def otsu(values: DataFrame, column: str = "cosim") -> float:
 TIE = 1e-12
 
 
+#: Parts that a bin is cut into, a power of two.
+PARTS = 64
+
+
 def kneedle(values: DataFrame, column: str = "cosim") -> float:
     """The value where the sorted, scaled curve is farthest above its diagonal; under four values their median.
 
-    Of equally far values the first counts. The values are read once.
+    Of equally far values the first counts. Exact, without an order of all
+    values: counts by bins tell how far the least value of each bin is, and
+    what no value of it can exceed. Only bins that can still hold the farthest
+    value are cut again, each from its least to its largest value, until they
+    hold one value each.
     """
-    v = values.where(F.col(column).isNotNull()).select(F.col(column).alias("v"))
-    # equal values: the first is the farthest above the diagonal, so a running count over distinct values is enough
-    per = v.groupBy("v").agg(F.count("*").alias("c"))
-    every = W.partitionBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    before = W.partitionBy(F.lit(0)).orderBy("v").rowsBetween(W.unboundedPreceding, -1)
-    rows = per.select(
-        "v",
-        F.coalesce(F.sum("c").over(before), F.lit(0)).alias("rank"),
-        F.sum("c").over(every).alias("n"),
-        F.min("v").over(every).alias("lo"),
-        F.max("v").over(every).alias("hi"),
-    )
-    rise = (F.col("v") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-12))
-    rows = rows.where("n >= 4").withColumn("d", rise - F.col("rank") / (F.col("n") - 1))
-    first = rows.withColumn("most", F.max("d").over(every)).where(F.col("d") >= F.col("most") - TIE)
-    knee = first.agg(F.min_by("v", "rank")).first()[0]
-    return float(v.agg(F.median("v")).first()[0] or 0.0) if knee is None else float(knee)
+    v = stored(values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")), "values")
+    span = v.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.median("v").alias("median")).first()
+    n, lo, hi = span["n"], span["lo"], span["hi"]
+    if n < 4:
+        return float(span["median"] or 0.0)
+    rise = lambda c: (F.col(c) - lo) / max(hi - lo, 1e-12)
+    far = lambda c: rise(c) - F.col("before") / (n - 1)
+    open_ = values.sparkSession.createDataFrame([(0, 0, lo, hi)], "bin long, before long, least double, most double")
+    own, single, best = v.withColumn("bin", F.lit(0).cast("long")), None, -math.inf
+    while True:
+        width = F.col("most") - F.col("least")
+        part = F.when(width > 0, F.floor((F.col("v") - F.col("least")) / width * (PARTS - 1))).otherwise(0).cast("long")
+        # a bin's least and largest value fall in its first and last part, so every cut goes on
+        own = own.join(open_, "bin").select("v", "before", (F.col("bin") * PARTS + F.greatest(F.lit(0), F.least(part, F.lit(PARTS - 1)))).alias("bin"))
+        sums = own.groupBy("bin").agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"), F.first("before").alias("base"))
+        earlier = W.partitionBy(F.shiftright("bin", PARTS.bit_length() - 1)).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)  # PARTS rows at most
+        bins = stored(sums.withColumn("before", F.col("base") + F.coalesce(F.sum("c").over(earlier), F.lit(0))), "bins")
+        best = max(best, bins.agg(F.max(far("least"))).first()[0])
+        done = bins.where((F.col("least") == F.col("most")) & (far("least") >= best - TIE)).select("least", "before")
+        single = done if single is None else single.unionAll(done)
+        rest = bins.where((F.col("least") < F.col("most")) & (far("most") >= best - TIE))
+        if rest.isEmpty():
+            break
+        # bins are numbered anew, so that numbers stay small
+        named = stored(rest.select(F.col("bin").alias("was"), F.monotonically_increasing_id().alias("bin"), "before", "least", "most"), "open")
+        own = stored(own.select("v", F.col("bin").alias("was")).join(named.select("was", "bin"), "was").select("v", "bin"), "values")
+        open_ = named.select("bin", "before", "least", "most")
+    knee = single.where(far("least") >= best - TIE).agg(F.min_by("least", "before")).first()[0]
+    return float(knee)
 
 
 def gmm(values: DataFrame, column: str = "cosim", bins: int = 4096) -> float:
@@ -263,12 +285,69 @@ def layout(nodes: DataFrame) -> DataFrame:
     return x.join(nodes.select("node_id", F.when(F.col("is_leaf"), F.col("lo")).alias("rank")), "node_id")
 
 
+def heights(nodes: DataFrame) -> DataFrame:
+    """(node_id, y): of leaves the leaf rank, of inner nodes the middle of their children, by tree contraction.
+
+    The middle is affine in each child. Every round puts known children into
+    their parents, and where one child is open and itself waits for one, that
+    one takes its place: so a chain halves its way each round, and the rounds go
+    with the logarithm of the nodes, whatever the tree's depth. A node of one
+    child stands where that stands. Rounds are kept in the shared folder.
+    """
+    leaves = nodes.where("is_leaf").select("node_id", F.col("lo").cast("double").alias("y"))
+    both = F.col("left_id").isNotNull() & F.col("right_id").isNotNull()
+    none = F.lit(None).cast("long")
+    # y = base + a * y(u) + b * y(w)
+    waiting = nodes.where("not is_leaf").select(
+        "node_id",
+        F.lit(0.0).alias("base"),
+        F.when(both, 0.5).otherwise(1.0).alias("a"),
+        F.coalesce("left_id", "right_id").alias("u"),
+        F.lit(0.5).alias("b"),
+        F.when(both, F.col("right_id")).otherwise(none).alias("w"),
+    )
+    known = new = stored(leaves, "heights")
+    waiting = stored(waiting, "waiting")
+    while not waiting.isEmpty():
+        for child, share in (("u", "a"), ("w", "b")):
+            have = new.select(F.col("node_id").alias("had"), "y")
+            waiting = waiting.join(have, F.col(child) == F.col("had"), "left")
+            base = F.col("base") + F.coalesce(F.col(share) * F.col("y"), F.lit(0.0))
+            waiting = waiting.withColumn("base", base).withColumn(child, F.when(F.col("had").isNull(), F.col(child))).drop("had", "y")
+        # one open child stands as u
+        one = F.col("u").isNull() & F.col("w").isNotNull()
+        waiting = waiting.select("node_id", "base", F.when(one, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(one, F.col("w")).otherwise(F.col("u")).alias("u"), "b", F.when(one, none).otherwise(F.col("w")).alias("w"))
+        waiting = stored(waiting, "waiting")
+        new = waiting.where("u is null").select("node_id", F.col("base").alias("y"))
+        known = known.unionAll(new)
+        waiting = waiting.where("u is not null")
+        # where the one open child waits for one other, that one takes its place; what waits for known ones is filled next round
+        hop = waiting.where("w is null").select(F.col("node_id").alias("mid"), F.col("base").alias("add"), F.col("a").alias("times"), F.col("u").alias("next"))
+        waiting = waiting.join(hop, (F.col("u") == F.col("mid")) & F.col("w").isNull(), "left")
+        hopped = F.col("mid").isNotNull()
+        waiting = waiting.select(
+            "node_id",
+            F.when(hopped, F.col("base") + F.col("a") * F.col("add")).otherwise(F.col("base")).alias("base"),
+            F.when(hopped, F.col("a") * F.col("times")).otherwise(F.col("a")).alias("a"),
+            F.when(hopped, F.col("next")).otherwise(F.col("u")).alias("u"),
+            "b",
+            "w",
+        )
+        waiting, new = stored(waiting, "waiting"), stored(known, "heights")
+        known = new
+    return known
+
+
+def layout_points(nodes: DataFrame) -> DataFrame:
+    """(node_id, x, y) of all nodes: summed branch lengths, and the height among the leaves."""
+    return layout(nodes).select("node_id", "x").join(heights(nodes), "node_id")
+
+
 def radial_layout(nodes: DataFrame) -> DataFrame:
-    """(node_id, x, y) of leaves on a circle: angle by leaf rank, radius by summed branch lengths."""
+    """(node_id, x, y) of all nodes on circles: angle by height among the leaves, radius by summed branch lengths."""
     n = nodes.where("is_leaf").count()
-    rows = layout(nodes).where("rank is not null")
-    angle = 2 * math.pi * F.col("rank") / max(1, n)
-    return rows.select("node_id", (F.col("x") * F.cos(angle)).alias("x"), (F.col("x") * F.sin(angle)).alias("y"))
+    angle = 2 * math.pi * F.col("y") / max(1, n)
+    return layout_points(nodes).select("node_id", (F.col("x") * F.cos(angle)).alias("x"), (F.col("x") * F.sin(angle)).alias("y"))
 
 
 def heatmap_order(clusters: DataFrame, sequences: DataFrame) -> DataFrame:

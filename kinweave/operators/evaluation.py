@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinweave.sources.shared import stored
+
 
 def q_measure(clusters: DataFrame, reference: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """clusters (seq_id, cluster_idx null for orphans), reference (seq_id, functional_group) -> one row (q).
@@ -130,20 +132,34 @@ def benjamini_hochberg(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     return ranked.withColumn("enriched", F.coalesce(F.col("rank") <= last, F.lit(False))).drop("rank", "m")
 
 
-def ancestors(edges: DataFrame) -> DataFrame:
-    """is_a edges (child, parent) -> (term, ancestor), all levels; paths double in length each round."""
-    reach = edges.select(F.col("child").alias("term"), F.col("parent").alias("ancestor")).distinct()
-    n = -1
-    while (now := reach.count()) != n:
-        n = now
-        step = reach.alias("x").join(reach.alias("y"), F.col("x.ancestor") == F.col("y.term")).select("x.term", "y.ancestor")
-        reach = reach.unionAll(step).distinct().persist()
-    return reach
-
+def ancestors(edges: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """is_a edges (child, parent) -> (term, ancestor), all levels, of all terms or of `terms` (term) alone.
 
-def reduce_terms(enriched: DataFrame, closure: DataFrame) -> DataFrame:
-    """(cluster_idx, term) without terms that are an ancestor of another of the cluster."""
-    up = enriched.join(closure, "term").select("cluster_idx", F.col("ancestor").alias("term")).distinct()
+    Of all terms, paths double in length each round. Of some, each round goes
+    one level up from what the last one found new, so that only what lies above
+    them is looked at; a cycle ends where nothing is new, and its terms are
+    ancestors of themselves. Rounds are kept in the shared folder.
+    """
+    up = edges.select(F.col("child").alias("term"), F.col("parent").alias("ancestor")).distinct()
+    if terms is None:
+        reach, n = stored(up, "ancestors"), -1
+        while (now := reach.count()) != n:
+            n = now
+            step = reach.alias("x").join(reach.alias("y"), F.col("x.ancestor") == F.col("y.term")).select("x.term", "y.ancestor")
+            reach = stored(reach.unionAll(step).distinct(), "ancestors")
+        return reach
+    up = stored(up, "edges")
+    new = found = stored(up.join(terms.select("term").distinct(), "term", "left_semi"), "ancestors")
+    while not new.isEmpty():
+        step = new.alias("x").join(up.alias("y"), F.col("x.ancestor") == F.col("y.term")).select("x.term", "y.ancestor").distinct()
+        new = stored(step.join(found, ["term", "ancestor"], "left_anti"), "ancestors")
+        found = found.unionAll(new)
+    return found
+
+
+def reduce_terms(enriched: DataFrame, edges: DataFrame) -> DataFrame:
+    """(cluster_idx, term) without terms that, by is_a edges (child, parent), are an ancestor of another of the cluster."""
+    up = enriched.join(ancestors(edges, enriched), "term").where("term <> ancestor").select("cluster_idx", F.col("ancestor").alias("term")).distinct()
     return enriched.join(up, ["cluster_idx", "term"], "left_anti")
 
 

@@ -140,15 +140,19 @@ def taxon_weights(organisms: DataFrame) -> DataFrame:
 def taxon_weights_phylogenetic(organisms: DataFrame, lineages: DataFrame) -> DataFrame:
     """Weights by mean lineage overlap with all other sequences: 1 / (1 + overlap), summing to their number.
 
-    Only organisms that share a taxon overlap, so they meet by taxon; pairs of
-    organisms are counted with their sequences, sequences never meet.
+    Two organisms overlap by the taxa they share over the longer lineage. No two
+    organisms meet: sequences are counted by taxon and lineage length, and what
+    a taxon adds for an organism is a running sum over the lengths up to its
+    own, each counted by its own length, and one over the longer ones.
     """
     rows = organisms.withColumn("organism", F.coalesce("organism", F.lit("Unknown")))
     per = rows.groupBy("organism").agg(F.count("*").alias("c")).join(lineages, "organism", "left")
     per = per.withColumn("taxa", F.array_distinct(F.coalesce("lineage", F.array().cast("array<string>"))))
     taxa = per.select("organism", "c", F.size("taxa").alias("k"), F.explode("taxa").alias("taxon"))
-    both = taxa.alias("a").join(taxa.alias("b"), F.col("a.taxon") == F.col("b.taxon")).groupBy(F.col("a.organism").alias("organism"), F.col("b.organism").alias("other"), F.col("b.c").alias("c"), (F.greatest("a.k", "b.k")).alias("k")).count()
-    shared = both.groupBy("organism").agg(F.sum(F.col("count") / F.col("k") * (F.col("c") - (F.col("organism") == F.col("other")).cast("long"))).alias("s"))
+    held = taxa.groupBy("taxon", "k").agg(F.sum("c").alias("held"))
+    upto, over = W.partitionBy("taxon").orderBy("k"), W.partitionBy("taxon").orderBy("k").rowsBetween(1, W.unboundedFollowing)  # a row a length
+    share = F.sum("held").over(upto) / F.col("k") + F.coalesce(F.sum(F.col("held") / F.col("k")).over(over), F.lit(0.0))
+    shared = taxa.join(held.select("taxon", "k", share.alias("share")), ["taxon", "k"]).groupBy("organism").agg((F.sum("share") - 1).alias("s"))  # itself, once
     n = per.agg(F.sum("c").alias("n"))
     raw = per.join(shared, "organism", "left").join(F.broadcast(n)).withColumn("raw", 1 / (1 + F.coalesce(F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1)), F.lit(0.0))))
     total = raw.agg(F.sum(F.col("raw") * F.col("c")).alias("t"))

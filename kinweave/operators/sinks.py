@@ -90,17 +90,18 @@ def summary(clusters: DataFrame, parameters: dict, metrics: dict, most: int = 10
     }
 
 
-def term_table(clusters: DataFrame, terms: DataFrame, tests: DataFrame) -> DataFrame:
+def term_table(clusters: DataFrame, terms: DataFrame, tests: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(cluster_id, go_id, term, p_value, genes): enriched terms with the sequences of the cluster that have them.
 
-    terms (seq_id, go_terms); tests as `enrichment` gives them. Names are the
-    terms' own where no ontology names them.
+    terms (seq_id, go_terms); tests as `enrichment` gives them; names (term,
+    name). `term` is the name, or the id where no ontology names it.
     """
     own = terms.select("seq_id", F.explode(F.array_distinct("go_terms")).alias("term"))
     member = clusters.where("cluster_idx is not null").select("seq_id", "cluster_idx")
     genes = member.join(own, "seq_id").join(tests.select("cluster_idx", "term", "p"), ["cluster_idx", "term"])
     genes = genes.groupBy("cluster_idx", "term", "p").agg(F.array_join(F.array_sort(F.collect_list("seq_id")), ",").alias("genes"))
-    return genes.select((F.col("cluster_idx") + 1).alias("cluster_id"), F.col("term").alias("go_id"), "term", F.col("p").alias("p_value"), "genes")
+    genes = genes.withColumn("name", F.lit(None).cast("string")) if names is None else genes.join(names.groupBy("term").agg(F.min("name").alias("name")), "term", "left")
+    return genes.select((F.col("cluster_idx") + 1).alias("cluster_id"), F.col("term").alias("go_id"), F.coalesce("name", "term").alias("term"), F.col("p").alias("p_value"), "genes")
 
 
 def dropped_head(dropped: DataFrame, most: int = 15) -> list[str]:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.sources.shared import stored
+
 NODES = "node_id long, parent_id long, left_id long, right_id long, is_leaf boolean, seq_id string, branch_length double, n_leaves long, merge_similarity double, depth int, lo long, hi long, post long, leaf_weight double"
 MERGES = "component long, k long, a long, b long, s double"
 
@@ -24,28 +26,20 @@ MERGES = "component long, k long, a long, b long, s double"
 def components(leaves: DataFrame, edges: DataFrame) -> DataFrame:
     """(i, component): smallest leaf reachable over edges; each round takes labels two hops on."""
     sides = edges.where("s > 0").select(F.col("i").alias("a"), F.col("j").alias("b"))
-    sides = sides.unionAll(sides.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint() if _may_checkpoint(edges) else sides.unionAll(sides.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    sides = stored(sides.unionAll(sides.select(F.col("b").alias("a"), F.col("a").alias("b"))), "sides")
     labels = leaves.select(F.col("seq_idx").alias("i"), F.col("seq_idx").alias("component"))
     while True:
         near = sides.join(labels, sides["b"] == labels["i"]).groupBy("a").agg(F.min("component").alias("m"))
         new = labels.join(near, labels["i"] == near["a"], "left").select("i", F.least("component", F.coalesce("m", "component")).alias("component"))
         up = new.select(F.col("i").alias("c"), F.col("component").alias("top"))
         new = new.join(up, new["component"] == up["c"], "left").select("i", F.least("component", "top").alias("component"))
-        new = new.checkpoint() if _may_checkpoint(edges) else new.persist()
+        new = stored(new, "labels")
         changed = new.join(labels.withColumnRenamed("component", "old"), "i").where("component <> old").limit(1).count()
         labels = new
         if not changed:
             return labels
 
 
-def _may_checkpoint(df: DataFrame) -> bool:
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(at)
-    return bool(spark.sparkContext.getCheckpointDir())
-
-
 def average_linkage(pairs: dict[int, dict[int, float]]) -> list[tuple[int, int, float]]:
     """Merges (a, b, s) of one component; leaves by their numbers, merges numbered on from 2**40.
 
@@ -216,6 +210,7 @@ def build_tree(sequences: DataFrame, edges: DataFrame, method: str = "upgma") ->
         rows = names.select(kind.alias("kind"), F.col("seq_idx").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("s"), "seq_id", F.lit(0).cast("long").alias("k"))
         rows = rows.unionAll(edges.select(F.lit(1), "i", "j", F.col("s").cast("double"), F.lit(None).cast("string"), F.lit(0).cast("long")))
     else:
+        edges = stored(edges.select("i", "j", "s"), "edges")  # read by every round and by the merges
         merges = _component_merges(edges, components(names, edges))
         rows = names.select(F.lit(0).alias("kind"), F.col("seq_idx").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("s"), "seq_id", F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
         rows = rows.unionAll(merges.select(F.lit(1), "a", "b", "s", F.lit(None).cast("string"), "k", F.col("component")))

@@ -11,7 +11,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.functions.residues import BLEND
+from kinweave.functions.residues import BLEND, DIAGONALS, register_matrix
 from kinweave.operators import clusters as cl
 from kinweave.operators import evaluation as ev
 from kinweave.operators import prep, sinks
@@ -58,6 +58,7 @@ class Config:
     reference: str = ""
     split_fasta: bool = False
     fasta_out: bool = True
+    matrix_table: str = ""
     plot: bool = False
     plot_style: str = "rect"
     interactive: bool = True
@@ -71,6 +72,8 @@ class Pipeline:
     """Stages as DataFrames; with a folder each stage is written there and, on resume, read again if its settings are the same."""
 
     def __init__(self, spark: SparkSession, config: Config):
+        if wrong := missing(config):
+            raise ValueError(wrong)
         self.spark, self.config = spark, config
 
     def _key(self, *names: str) -> str:
@@ -150,12 +153,12 @@ class Pipeline:
         terms: list[dict] = []
         if notes is not None:
             tests_ = ev.enrichment(found, notes.select("seq_id", "go_terms")).where("enriched")
-            if c.ontology:
-                closure = ev.ancestors(files.ontology_edges(files.read_ontology(spark, c.ontology)))
-                kept = ev.reduce_terms(tests_.select("cluster_idx", "term"), closure)
+            ontology = files.read_ontology(spark, c.ontology) if c.ontology else None
+            if ontology is not None:
+                kept = ev.reduce_terms(tests_.select("cluster_idx", "term"), files.ontology_edges(ontology))
                 tests_ = tests_.join(kept, ["cluster_idx", "term"])
             tests = self._stage("terms", (*tree_by, "boundary", "min_size", "recover_unassigned", "ontology"), lambda: tests_)
-            sinks.write_tsv(sinks.term_table(found, notes.select("seq_id", "go_terms"), tests), f"{c.out_dir}/go_terms.tsv")
+            sinks.write_tsv(sinks.term_table(found, notes.select("seq_id", "go_terms"), tests, ontology), f"{c.out_dir}/go_terms.tsv")
             terms = [r.asDict() for r in tests.orderBy("cluster_idx", "p").limit(c.report_rows).collect()]
             metrics["n_terms"] = tests.count()
         self._write(sequences, found, nodes, pairs, cosim, at, notes, metrics, terms)
@@ -217,6 +220,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument(f"--{name}", type=kind, default=value)
     for name, options in (("mode", ("sms", "esm2", "hybrid")), ("property-alphabet", ("murphy8", "murphy10")), ("tree-method", ("upgma", "nj")), ("boundary", ("otsu", "gmm", "kneedle")), ("plot-style", ("rect", "radial", "both"))):
         p.add_argument(f"--{name}", choices=options, default=options[0])
+    p.add_argument("--matrix-table", default="", help="JSON file of further matrices: name to diagonal, by residue order")
     for name in ("embeddings", "idr-scores", "annotations", "lineages", "ontology", "reference"):
         p.add_argument(f"--{name}", default="", help="path of a table or file")
     p.add_argument("--out-dir", default="output")
@@ -234,9 +238,34 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def missing(config: Config) -> str | None:
+    """What the settings ask for without the table it takes; nothing is left out or replaced silently."""
+    c = config
+    needs = [
+        (c.annotate, "annotate", c.annotations, "annotations"),
+        (c.mask_idr, "mask-idr", c.idr_scores, "idr-scores"),
+        (c.taxon_phylo, "taxon-phylo", c.lineages, "lineages"),
+        (c.taxon_phylo, "taxon-phylo", c.annotate, "annotate"),
+        (c.mode != "sms", f"mode {c.mode}", c.embeddings, "embeddings"),
+    ]
+    wrong = [f"--{flag} needs --{table}" for asked, flag, given, table in needs if asked and not given]
+    if len(c.matrices) != len(c.matrix_weights):
+        wrong.append("--matrices and --matrix-weights differ in number")
+    unknown = [m for m in c.matrices if m not in DIAGONALS]
+    if unknown:
+        wrong.append(f"unknown matrices {unknown}; name them in --matrix-table")
+    return "; ".join(wrong) or None
+
+
 def main(argv: list[str] | None = None) -> None:
     args = vars(parser().parse_args(argv))
+    if args["matrix_table"]:
+        with open(args["matrix_table"]) as file:
+            for name, diagonal in json.load(file).items():
+                register_matrix(name, diagonal)
     config = Config(**{k: v for k, v in args.items() if k in Config.__dataclass_fields__})
+    if wrong := missing(config):
+        parser().error(wrong)
     logging.basicConfig(level=config.log_level)
     spark = SparkSession.builder.appName("kinweave").getOrCreate()
     log.info("%s", Pipeline(spark, config).run())

@@ -445,6 +445,24 @@ def tree_layout(spark: SparkSession, sf: str) -> DataFrame:
 o AS (SELECT node_id, n, row_number() OVER (ORDER BY node_id * (1 << (20 - floor(log2(node_id + 0.5))::INT))) - 1 AS rank FROM v WHERE is_leaf)
 SELECT node_id, round(r * cos(2 * pi() * rank / n), 4) + 0.0 AS x, round(r * sin(2 * pi() * rank / n), 4) + 0.0 AS y FROM s JOIN o USING (node_id)""")
 def radial_layout(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = _heap(spark, sf)
+    points = cl.radial_layout(nodes).join(nodes.where("is_leaf").select("node_id"), "node_id")
+    return points.select("node_id", (F.round("x", 4) + 0.0).alias("x"), (F.round("y", 4) + 0.0).alias("y"))
+
+
+#: A node stands where its leaves stand, each weighing half as much for each step down to it.
+_MIDDLE = f"""{_HEAP}, s AS (SELECT a.id AS node_id, sum(x.bl) AS r FROM a JOIN v x ON x.node_id = a.up GROUP BY 1),
+o AS (SELECT node_id, row_number() OVER (ORDER BY node_id * (1 << (20 - floor(log2(node_id + 0.5))::INT))) - 1 AS rank FROM v WHERE is_leaf),
+y AS (SELECT up AS node_id, sum(rank / pow(2, floor(log2(a.id + 0.5)) - floor(log2(a.up + 0.5)))) AS y FROM a JOIN o ON o.node_id = a.id GROUP BY 1)"""
+
+
+@query(f"WITH {_MIDDLE} SELECT node_id, round(r + 1e-9, 6) AS x, round(y + 1e-9, 6) AS y FROM s JOIN y USING (node_id)")
+def layout_y(spark: SparkSession, sf: str) -> DataFrame:
+    return cl.layout_points(_heap(spark, sf)).select("node_id", F.round(F.col("x") + 1e-9, 6).alias("x"), F.round(F.col("y") + 1e-9, 6).alias("y"))
+
+
+@query(f"WITH {_MIDDLE} SELECT node_id, round(r * cos(2 * pi() * y / n), 4) + 0.0 AS x, round(r * sin(2 * pi() * y / n), 4) + 0.0 AS y FROM s JOIN y USING (node_id), c")
+def radial_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return cl.radial_layout(_heap(spark, sf)).select("node_id", (F.round("x", 4) + 0.0).alias("x"), (F.round("y", 4) + 0.0).alias("y"))
 
 
@@ -654,7 +672,7 @@ def term_ancestors(spark: SparkSession, sf: str) -> DataFrame:
 SELECT cluster_idx::INT AS cluster_idx, 't' || k AS term FROM e WHERE (cluster_idx, k) NOT IN (SELECT cluster_idx, k FROM up)""")
 def term_reduction(spark: SparkSession, sf: str) -> DataFrame:
     found = _t(spark, sf, "part").select((F.col("p_size") % 5).cast("int").alias("cluster_idx"), F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("term"))
-    return ev.reduce_terms(found, ev.ancestors(_ontology(spark, sf)))
+    return ev.reduce_terms(found, _ontology(spark, sf))
 
 
 # --- annotations, caches, sinks ---------------------------------------------

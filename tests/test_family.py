@@ -302,9 +302,9 @@ def test_metrics_and_terms(spark):
     terms = spark.createDataFrame([(f"s{k}", ["t", "t"] if k < 3 else ["u"]) for k in range(8)], "seq_id string, go_terms array<string>")
     tests = {(r["cluster_idx"], r["term"]): r for r in ev.enrichment(found, terms).collect()}
     assert abs(tests[0, "t"]["p"] - 1 / math.comb(8, 3)) < 1e-12 and tests[0, "t"]["enriched"]
-    closure = ev.ancestors(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "c")], "child string, parent string"))
-    assert closure.count() == 8
-    left = ev.reduce_terms(spark.createDataFrame([(0, "a"), (0, "c"), (0, "z"), (1, "c")], "cluster_idx int, term string"), closure)
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "c")], "child string, parent string")
+    assert ev.ancestors(edges).count() == 8
+    left = ev.reduce_terms(spark.createDataFrame([(0, "a"), (0, "c"), (0, "z"), (1, "c")], "cluster_idx int, term string"), edges)
     assert {tuple(r) for r in left.collect()} == {(0, "a"), (0, "z"), (1, "c")}
 
 
@@ -569,3 +569,83 @@ def test_maximal_matches_by_cells(spark):
     assert {tuple(r) for r in sim.maximal_matches(df).collect()} == {m for m in own if not any(holds(o, m) for o in own)}
     many = spark.range(100_000).select(F.lit(0).cast("long").alias("i"), F.lit(1).cast("long").alias("j"), (F.col("id") * 3).cast("int").alias("px"), (F.col("id") * 7919 % 300_000).cast("int").alias("py"), (4 + F.col("id") % 13).cast("int").alias("len"))
     assert sim.maximal_matches(many).count() > 90_000
+
+
+def test_ancestors_of_some_terms(spark):
+    """A deep chain, a branch beside it, and a cycle; only what lies above the terms asked for is looked at."""
+    chain = [(f"c{k}", f"c{k + 1}") for k in range(25)] + [("y", "c24"), ("p", "q"), ("q", "r"), ("r", "p"), ("r", "s")]
+    edges = spark.createDataFrame(chain, "child string, parent string")
+    asked = spark.createDataFrame([("c3",), ("q",), ("s",), ("c3",)], "term string")
+    got = {tuple(r) for r in ev.ancestors(edges, asked).collect()}
+    assert got == {("c3", f"c{k}") for k in range(4, 26)} | {("q", x) for x in "rpqs"}
+    left = ev.reduce_terms(spark.createDataFrame([(0, "c3"), (0, "c25"), (0, "p"), (0, "q"), (1, "c25"), (1, "q")], "cluster_idx int, term string"), edges)
+    assert {tuple(r) for r in left.collect()} == {(0, "c3"), (1, "c25"), (1, "q")}
+
+
+def test_many_organisms_under_one_root(spark):
+    """20,000 organisms that all share the root taxon, against sums by taxon over plain rows of a few."""
+    few = [("a", ["root", "x", "a"]), ("b", ["root", "x"]), ("c", ["root"]), ("d", ["other"]), ("e", None)]
+    seqs = [(f"s{k}", "aabcde"[k % 6]) for k in range(40)]
+    got = {r["seq_id"]: r["weight"] for r in prep.taxon_weights_phylogenetic(spark.createDataFrame(seqs, "seq_id string, organism string"), spark.createDataFrame(few, "organism string, lineage array<string>")).collect()}
+    line, raw = dict(few), {}
+    for sid, o in seqs:
+        part = [len(set(line[o] or []) & set(line[q] or [])) / max(1, len(line[o] or []), len(line[q] or [])) for t, q in seqs if t != sid]
+        raw[sid] = 1 / (1 + sum(part) / len(part))
+    assert all(abs(got[s] - raw[s] * len(seqs) / sum(raw.values())) < 1e-9 for s in raw)
+    many = spark.range(20_000).select(F.concat(F.lit("s"), "id").alias("seq_id"), F.concat(F.lit("o"), "id").alias("organism"))
+    lines = many.select("organism", F.array(F.lit("root"), F.concat(F.lit("g"), (F.crc32("organism") % 9).cast("string")), F.col("organism")).alias("lineage"))
+    assert abs(prep.taxon_weights_phylogenetic(many, lines).agg(F.sum("weight")).first()[0] - 20_000) < 1e-6
+
+
+@pytest.mark.parametrize("shape", ["even", "steps", "bend", "noise", "tiny", "far"])
+def test_kneedle_opens_only_some_bins(spark, shape):
+    """Curves whose knee lies in one bin, in ties, along a line, and among values closer than any first cut."""
+    rng = np.random.default_rng(4)
+    arr = {
+        "even": np.arange(5000) / 7,
+        "steps": np.repeat([0.0, 0.1, 0.7, 0.7, 1.0], 400),
+        "bend": 1 - 1 / (1 + np.arange(4000)),
+        "noise": rng.random(5000),
+        "tiny": np.concatenate([0.5 + rng.random(3000) * 1e-13, [0, 1]]),
+        "far": np.concatenate([rng.random(2000), [1e300, -1e300]]),
+    }[shape]
+    s = np.unique(arr)
+    d = (s - s[0]) / max(s[-1] - s[0], 1e-12) - np.searchsorted(np.sort(arr), s) / (len(arr) - 1)
+    want = s[np.flatnonzero(d >= d.max() - cl.TIE)[0]]
+    df = spark.createDataFrame([(float(x),) for x in rng.permutation(arr)], "cosim double")
+    assert cl.kneedle(df) == want
+
+
+def test_flags_that_lack_their_table():
+    from kinweave.plans.pipeline import main, missing
+
+    assert missing(Config()) is None
+    for wrong in (Config(annotate=True), Config(mask_idr=True), Config(taxon_phylo=True, annotate=True, annotations="a"), Config(mode="esm2"), Config(matrices=["ODD"], matrix_weights=[1.0])):
+        assert missing(wrong)
+        with pytest.raises(SystemExit):
+            main(["--fasta", "f", *{"annotate": ["--annotate"], "mask": ["--mask-idr"], "phylo": ["--taxon-phylo"], "mode": ["--mode", "esm2"], "matrix": ["--matrices", "ODD", "--matrix-weights", "1"]}["annotate" if wrong.annotate and not wrong.taxon_phylo else "mask" if wrong.mask_idr else "phylo" if wrong.taxon_phylo else "mode" if wrong.mode != "sms" else "matrix"]])
+
+
+@pytest.mark.parametrize("shape", ["chain", "random", "one", "only child"])
+def test_heights_of_any_tree(spark, shape):
+    """A chain of 20,000 nodes, a random tree, a leaf alone and nodes of one child, against a plain walk."""
+    rng = random.Random(8)
+    n = {"chain": 10_000, "random": 700, "one": 1, "only child": 3}[shape]
+    left, right, roots = {}, {}, list(range(n))
+    if shape == "chain":
+        left, right = {n + k: (0 if k == 0 else n + k - 1) for k in range(n - 1)}, {n + k: k + 1 for k in range(n - 1)}
+    else:
+        while len(roots) > 1:
+            k = rng.randrange(len(roots) - 1)
+            new = n + len(left)
+            left[new], right[new] = roots[k], roots[k + 1]
+            roots[k : k + 2] = [new]
+        if shape == "only child":
+            left[50], left[51], right[50], right[51] = roots[0], 50, None, None
+    want = {k: float(k) for k in range(n)}
+    for v in sorted(left, key=lambda v: (v >= 50 and shape == "only child", v)):
+        want[v] = want[left[v]] if right[v] is None else (want[left[v]] + want[right[v]]) / 2
+    rows = [(k, None, None, True, k) for k in range(n)] + [(v, left[v], right[v], False, None) for v in left]
+    df = spark.createDataFrame(rows, "node_id long, left_id long, right_id long, is_leaf boolean, lo long")
+    got = dict(map(tuple, cl.heights(df).collect()))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
