@@ -170,47 +170,68 @@ def kneedle(values: DataFrame, column: str = "cosim") -> float:
     return float(knee)
 
 
-def gmm(values: DataFrame, column: str = "cosim", bins: int = 4096) -> float:
+#: Narrow bins whose counts tell where quantiles lie, for the fits' starts alone.
+BINS = 4096
+
+
+def gmm(values: DataFrame, column: str = "cosim") -> float:
     """Where two fitted normal curves cross between their means; their midpoint if they do not, Otsu under six values.
 
-    One pass sums the values in narrow bins; expectation and maximisation then
-    run over the bins' means from five starts, the classes that Otsu's threshold
-    makes and those below and above four quantiles. The likeliest fit counts.
+    Expectation and maximisation over all values, an aggregate a step for all
+    starts at once: the classes that Otsu's threshold makes and those below and
+    above four quantiles. The likeliest fit counts.
     """
-    v = F.col(column)
-    known = values.where(v.isNotNull())
+    known = stored(values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")), "values")
+    v = F.col("v")
     span = known.agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).first()
-    at = otsu(known, column)
-    if span["n"] < 6 or span["lo"] == span["hi"]:
+    n, lo, hi = span["n"], span["lo"], span["hi"]
+    at = otsu(known, "v")
+    if n < 6 or lo == hi:
         return at
-    place = F.floor((v - span["lo"]) / (span["hi"] - span["lo"]) * (bins - 1))
-    sums = known.groupBy(place.alias("b"), (v <= at).alias("low")).agg(F.avg(v).alias("x"), F.count(v).alias("n"))
-    rows = sums.orderBy("b", "low").collect()  # two rows a bin at most
-    x, n = np.array([r["x"] for r in rows]), np.array([float(r["n"]) for r in rows])
-    starts = [np.array([float(r["low"]) for r in rows])]
-    share = np.cumsum(n) / n.sum()
-    starts += [(share <= max(q, share[0])).astype(float) for q in (0.2, 0.4, 0.6, 0.8)]
-    fits = [_two_normals(x, n, first) for first in starts]
-    return crossing(*max(fits, key=lambda fit: fit[0])[1])
-
-
-def _two_normals(x: np.ndarray, n: np.ndarray, first: np.ndarray) -> tuple[float, list[tuple[float, float, float]]]:
-    """Mean log-likelihood and (mean, deviation, weight) of two normal curves over values x that occur n times."""
-    share, before, now = np.stack([first, 1 - first]), -math.inf, -math.inf
+    place = F.floor((v - lo) / (hi - lo) * (BINS - 1))
+    bins = known.groupBy(place.alias("b")).agg(F.count(v).alias("c"), F.max(v).alias("most")).orderBy("b").collect()  # a row a bin
+    share = np.cumsum([r["c"] for r in bins]) / n
+    edges = [at] + [bins[max(0, int(np.searchsorted(share, max(q, share[0]), "right")) - 1)]["most"] for q in (0.2, 0.4, 0.6, 0.8)]
+
+    def sums(curves: dict) -> dict:
+        """By start: masses, and first and second sums about the means so far, of both curves, and the mean log-likelihood."""
+        out = []
+        for s, (shares, means, total) in curves.items():
+            for k in (0, 1):
+                off = v - means[k]
+                out += [F.sum(x).alias(f"{y}{k}_{s}") for x, y in ((shares[k], "m"), (shares[k] * off, "d"), (shares[k] * off * off, "q"))]
+            out.append(F.avg(total).alias(f"l_{s}"))
+        row = known.agg(*out).first()
+        return {s: [[row[f"{y}{k}_{s}"] for y in "mdq"] for k in (0, 1)] + [row[f"l_{s}"]] for s in curves}
+
+    def expected(curves: list) -> tuple:
+        log = [F.lit(math.log(w) - math.log(d)) - 0.5 * ((v - m) / d) * ((v - m) / d) for m, d, w in curves]
+        most = F.greatest(*log)
+        total = most + F.log(F.exp(log[0] - most) + F.exp(log[1] - most))
+        return [F.exp(x - total) for x in log], [m for m, _, _ in curves], total
+
+    def fitted(own: list, means: list) -> list:
+        mass = [own[k][0] + 1e-12 for k in (0, 1)]
+        step = [own[k][1] / mass[k] for k in (0, 1)]
+        # what the 1e-12 keeps back from the mean, as over values themselves
+        mean = [means[k] * own[k][0] / mass[k] + step[k] for k in (0, 1)]
+        var = [own[k][2] / mass[k] - 2 * (mean[k] - means[k]) * own[k][1] / mass[k] + (mean[k] - means[k]) ** 2 * own[k][0] / mass[k] for k in (0, 1)]
+        return [(mean[k], math.sqrt(max(0.0, var[k]) + 1e-6), mass[k] / sum(mass)) for k in (0, 1)]
+
+    middle = (lo + hi) / 2
+    hard = {s: ([F.when(v <= e, 1.0).otherwise(0.0), F.when(v <= e, 0.0).otherwise(1.0)], [middle, middle], F.lit(0.0)) for s, e in enumerate(edges)}
+    curves = {s: fitted(own, [middle, middle]) for s, own in sums(hard).items()}
+    before, fits = dict.fromkeys(curves, -math.inf), {}
     for _ in range(200):
-        mass = (share * n).sum(axis=1) + 1e-12
-        mean = (share * n) @ x / mass
-        dev = np.sqrt(np.array([(share[k] * n) @ (x - mean[k]) ** 2 / mass[k] for k in (0, 1)]) + 1e-6)
-        part = mass / mass.sum()
-        log = np.log(part)[:, None] - np.log(dev)[:, None] - 0.5 * ((x - mean[:, None]) / dev[:, None]) ** 2
-        most = log.max(axis=0)
-        total = most + np.log(np.exp(log - most).sum(axis=0))
-        share = np.exp(log - total)
-        now = float(total @ n / n.sum())
-        if abs(now - before) < 1e-3:
+        for s, own in sums({s: expected(c) for s, c in curves.items()}).items():
+            fits[s] = (own[2], sorted(curves[s]))
+            if abs(own[2] - before[s]) < 1e-3:
+                del curves[s]
+            else:
+                before[s], curves[s] = own[2], fitted(own, [m for m, _, _ in curves[s]])
+        if not curves:
             break
-        before = now
-    return now, sorted(zip(mean.tolist(), dev.tolist(), part.tolist(), strict=True))
+    return crossing(*max((fits[s] for s in sorted(fits)), key=lambda fit: fit[0])[1])
 
 
 def crossing(first: tuple[float, float, float], second: tuple[float, float, float]) -> float:

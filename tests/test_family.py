@@ -649,3 +649,63 @@ def test_heights_of_any_tree(spark, shape):
     df = spark.createDataFrame(rows, "node_id long, left_id long, right_id long, is_leaf boolean, lo long")
     got = dict(map(tuple, cl.heights(df).collect()))
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_fisher_tail(spark):
+    """Against whole sums of integers, for small counts all of them, and over ten million."""
+    from fractions import Fraction
+
+    rows = [(k, n, a, m) for m in (1, 2, 5, 9) for n in range(m + 1) for a in range(1, m + 1) for k in range(max(0, n + a - m), min(n, a) + 1)]
+    rng = random.Random(7)
+    for _ in range(150):
+        m = rng.choice([30, 300, 3000])
+        n, a = rng.randint(1, m), rng.randint(1, m)
+        rows.append((rng.randint(max(0, n + a - m), min(n, a)), n, a, m))
+    df = spark.createDataFrame(rows, "k long, n long, big_k long, big_n long")
+    got = df.select("*", ev.fisher_greater("k", "n", "big_k", "big_n").alias("p")).collect()
+    for r in got:
+        k, n, a, m = r[:4]
+        want = float(Fraction(sum(math.comb(a, x) * math.comb(m - a, n - x) for x in range(k, min(n, a) + 1)), math.comb(m, n)))
+        assert abs(r["p"] - want) <= 1e-10 * want + 1e-14, (r, want)
+    many = spark.createDataFrame([(5_100, 10_000, 20_000_000, 40_000_000), (4_900, 10_000, 20_000_000, 40_000_000), (30, 1_000, 100_000, 10_000_000_000)], "k long, n long, big_k long, big_n long")
+    p = [r["p"] for r in many.select(ev.fisher_greater("k", "n", "big_k", "big_n").alias("p")).collect()]
+    # the tails of so large a pool are a binomial's: by log factorials of the small sample alone
+    tail = lambda k, n, q: math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1) + x * math.log(q) + (n - x) * math.log1p(-q)) for x in range(k, n + 1))
+    for got_, want in zip(p, [tail(5_100, 10_000, 0.5), tail(4_900, 10_000, 0.5), tail(30, 1_000, 1e-5)], strict=True):
+        assert abs(got_ - want) < 1e-2 * want  # the pool is finite
+
+
+def _plain_mixture(x, first):
+    """Mean log-likelihood and (mean, deviation, weight) of two normal curves, by expectation and maximisation over all values."""
+    share, before, now = np.stack([first, 1 - first]), -math.inf, -math.inf
+    for _ in range(200):
+        mass = share.sum(axis=1) + 1e-12
+        mean = share @ x / mass
+        dev = np.sqrt(np.array([share[k] @ (x - mean[k]) ** 2 / mass[k] for k in (0, 1)]) + 1e-6)
+        part = mass / mass.sum()
+        log = np.log(part)[:, None] - np.log(dev)[:, None] - 0.5 * ((x - mean[:, None]) / dev[:, None]) ** 2
+        total = np.logaddexp(log[0], log[1])
+        share = np.exp(log - total)
+        now = float(total.mean())
+        if abs(now - before) < 1e-3:
+            break
+        before = now
+    return now, sorted(zip(mean.tolist(), dev.tolist(), part.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mixture_over_all_values(spark, seed):
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(0, 0.1 * seed, 3000), rng.normal(2, 0.4, 1000 * seed), [5.0]])
+    df = spark.createDataFrame([(float(v),) for v in x], "cosim double").repartition(5)
+    at, lo, hi = cl.otsu(df), x.min(), x.max()
+    edges = [at]
+    bins = np.floor((x - lo) / (hi - lo) * (cl.BINS - 1))
+    for q in (0.2, 0.4, 0.6, 0.8):
+        own, count = np.unique(bins, return_counts=True)
+        share = np.cumsum(count) / len(x)
+        edges.append(x[bins <= own[max(0, np.searchsorted(share, max(q, share[0]), "right") - 1)]].max())
+    fits = [_plain_mixture(x, (x <= e).astype(float)) for e in edges]
+    want = cl.crossing(*max(fits, key=lambda fit: fit[0])[1])
+    assert abs(cl.gmm(df) - want) < 1e-6
+    assert cl.gmm(df.limit(0)) == 0.0 and cl.gmm(df.limit(1)) == df.limit(1).first()[0]
