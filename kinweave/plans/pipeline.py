@@ -18,11 +18,12 @@ from kinweave.operators import prep, sinks
 from kinweave.operators import similarity as sim
 from kinweave.operators import tree as tr
 from kinweave.sources import files
+from kinweave.sources.shared import stored
 
 log = logging.getLogger(__name__)
 VERSION = "0.2.0"
 #: Settings that name files or tables.
-FILES = ("fasta", "embeddings", "idr_scores", "annotations", "lineages", "ontology", "reference")
+FILES = ("fasta", "embeddings", "idr_scores", "annotations", "answers", "lineages", "ontology", "reference")
 
 
 @dataclass
@@ -51,6 +52,8 @@ class Config:
     recover_unassigned: bool = False
     annotate: bool = False
     annotations: str = ""
+    answers: str = ""
+    cache: str = ""
     interpro: bool = True
     taxon_phylo: bool = False
     lineages: str = ""
@@ -105,7 +108,7 @@ class Pipeline:
         c, spark = self.config, self.spark
         base = ("fasta", "min_len")
         masked_by = (*base, "lcr_mask", "lcr_k1", "lcr_k2", "mask_idr", "idr_threshold", "idr_scores")
-        scored_by = (*masked_by, "mode", "matrices", "matrix_weights", "l", "property_pass", "property_alphabet", "property_weight", "embeddings", "sms_weight", "annotate", "annotations", "interpro")
+        scored_by = (*masked_by, "mode", "matrices", "matrix_weights", "l", "property_pass", "property_alphabet", "property_weight", "embeddings", "sms_weight", "annotate", "annotations", "answers", "interpro")
         tree_by = (*scored_by, "tree_method")
         parsed = self._stage("parsed", ("fasta",), lambda: files.read_fasta(spark, c.fasta))
         valid, dropped = prep.validate(parsed, c.min_len)
@@ -120,7 +123,10 @@ class Pipeline:
             return prep.mask_disordered(out, spark.read.parquet(c.idr_scores), c.idr_threshold) if c.mask_idr and c.idr_scores else out
 
         seqs = self._stage("masked", masked_by, masked)
-        notes = spark.read.parquet(c.annotations) if c.annotate and c.annotations else None
+        notes = None
+        if c.annotate:
+            cache = c.cache or f"{c.out_dir}/cache"
+            notes = spark.read.parquet(c.annotations) if c.annotations else stored(files.annotate(sequences.select("seq_id"), c.answers, cache), "annotations")
         domains = None
         if notes is not None and c.interpro:
             domains = notes.where(F.size("domains") > 0).join(seqs.select("seq_id", "seq_idx"), "seq_id").select("seq_idx", F.explode("domains").alias("d")).select("seq_idx", "d.start", "d.end")
@@ -143,6 +149,9 @@ class Pipeline:
         weights = None
         if notes is not None:
             organisms = notes.select("seq_id", "organism")
+            most = organisms.groupBy("organism").count().orderBy(F.desc("count"), "organism").first()
+            if most:
+                log.info("%d organisms; most sequences are of %s (%d)", organisms.select("organism").distinct().count(), *most)
             weights = prep.taxon_weights_phylogenetic(organisms, spark.read.parquet(c.lineages)) if c.taxon_phylo and c.lineages else prep.taxon_weights(organisms)
         if c.reference:
             labels = files.read_labels(spark, c.reference)
@@ -221,7 +230,7 @@ def parser() -> argparse.ArgumentParser:
     for name, options in (("mode", ("sms", "esm2", "hybrid")), ("property-alphabet", ("murphy8", "murphy10")), ("tree-method", ("upgma", "nj")), ("boundary", ("otsu", "gmm", "kneedle")), ("plot-style", ("rect", "radial", "both"))):
         p.add_argument(f"--{name}", choices=options, default=options[0])
     p.add_argument("--matrix-table", default="", help="JSON file of further matrices: name to diagonal, by residue order")
-    for name in ("embeddings", "idr-scores", "annotations", "lineages", "ontology", "reference"):
+    for name in ("embeddings", "idr-scores", "annotations", "answers", "cache", "lineages", "ontology", "reference"):
         p.add_argument(f"--{name}", default="", help="path of a table or file")
     p.add_argument("--out-dir", default="output")
     p.add_argument("--log-level", default="INFO")
@@ -242,7 +251,7 @@ def missing(config: Config) -> str | None:
     """What the settings ask for without the table it takes; nothing is left out or replaced silently."""
     c = config
     needs = [
-        (c.annotate, "annotate", c.annotations, "annotations"),
+        (c.annotate, "annotate", c.annotations or c.answers, "annotations or --answers"),
         (c.mask_idr, "mask-idr", c.idr_scores, "idr-scores"),
         (c.taxon_phylo, "taxon-phylo", c.lineages, "lineages"),
         (c.taxon_phylo, "taxon-phylo", c.annotate, "annotate"),

@@ -66,7 +66,7 @@ def numbered(rows: DataFrame, by: str) -> DataFrame:
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """Sequences of one or more FASTA files of any size, in the order of file names and of records in each."""
-    chunks = stored(_pieces(spark, path, "\n>"), "fasta")
+    chunks = _pieces(spark, path, "\n>")  # both scans of it are cut alike
     opens = chunks.groupBy("place.file").agg(F.min("place").alias("place")).select("place", F.lit(True).alias("opens"))  # a row a file
     return fasta_chunks(chunks.join(opens, "place", "left").withColumn("opens", F.coalesce("opens", F.lit(False))))
 
@@ -162,16 +162,56 @@ def cached(keys: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, Data
     return keys.join(cache, key), keys.join(cache, key, "left_anti")
 
 
-def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A cache table, empty where none is written yet; of a key that was fetched again all answers are there."""
+#: An annotation in the cache, by accession; of one that was fetched again the row of the largest version counts.
+CACHED = ANNOTATION + ", status string, version long"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    known = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    return spark.read.schema(schema).parquet(path) if known else spark.createDataFrame([], schema)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The annotation cache, the latest row of each accession; empty where none is written yet."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], CACHED)
+    rows = spark.read.schema(CACHED).parquet(path)
+    others = [c for c in rows.columns if c != "accession"]
+    return rows.groupBy("accession").agg(F.max_by(F.struct(*others), "version").alias("r")).select("accession", "r.*").select(*rows.columns)
 
 
-def add_to_cache(fetched: DataFrame, path: str) -> None:
-    """Append what was fetched; answers that are there already stay as they are."""
-    fetched.write.mode("append").parquet(path)
+def annotate(seq_ids: DataFrame, answers: str, cache: str) -> DataFrame:
+    """seq_ids (seq_id) -> annotations as `annotations` gives them, through a cache that keeps what was read before.
+
+    Accessions that the cache holds are taken from it. Only the others, those
+    that failed before among them, are looked up in the landed service answers,
+    the tables `proteins` and `domains` under `answers` (accession, json), and
+    added to the cache with their status (found or failed) in a folder of its
+    own version. A run that broke off while adding leaves earlier versions as
+    they are; the next one replaces the folder of the version it did not finish
+    or, if its rows are whole, takes them as known. Ids without accession and
+    failures give the stub.
+    """
+    from kinweave.functions.residues import accession
+
+    spark = seq_ids.sparkSession
+    ids = seq_ids.select("seq_id", accession(F.col("seq_id")).alias("accession"))
+    known = read_cache(spark, cache)
+    last = known.agg(F.max("version")).first()[0]
+    misses = cached(ids.where("accession is not null").select("accession").distinct(), known.where("status = 'found'"), "accession")[1]
+    keys = stored(misses.select(F.concat(F.lit("sp|"), "accession", F.lit("|")).alias("seq_id"), "accession"), "misses")
+    if not keys.isEmpty():
+        proteins, domains = (spark.read.parquet(f"{answers}/{t}") for t in ("proteins", "domains"))
+        got = annotations(keys.select("seq_id"), proteins, domains)
+        status = F.when(F.col("accession").isNotNull(), "found").otherwise("failed")
+        got = got.withColumn("status", status).drop("accession").join(keys, "seq_id").withColumn("version", F.lit((last or 0) + 1).cast("long"))
+        got.select(*[x.split()[0] for x in CACHED.split(", ")]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(cache)
+        known = read_cache(spark, cache)
+    found = F.col("status") == "found"
+    empty = {"protein_name": F.lit(""), "gene_name": F.lit(""), "organism": F.lit("Unknown"), "reviewed": F.lit(False), "go_terms": F.array().cast("array<string>")}
+    rows = ids.join(known, "accession", "left")
+    own = [F.when(found, F.col(c)).otherwise(empty.get(c, F.lit(None))).alias(c) for c in ("accession", "protein_name", "gene_name", "organism", "taxon_id", "reviewed", "go_terms")]
+    return rows.select("seq_id", *own, F.coalesce("domains", F.array().cast("array<struct<interpro_id:string,name:string,start:int,end:int>>")).alias("domains"))
 
 
 def parse_newick(text: str) -> list[dict]:

@@ -709,3 +709,32 @@ def test_mixture_over_all_values(spark, seed):
     want = cl.crossing(*max(fits, key=lambda fit: fit[0])[1])
     assert abs(cl.gmm(df) - want) < 1e-6
     assert cl.gmm(df.limit(0)) == 0.0 and cl.gmm(df.limit(1)) == df.limit(1).first()[0]
+
+
+def test_annotations_through_the_cache(spark, tmp_path):
+    """The second run reads misses and failures only; a row that comes again replaces the one before."""
+    answer = lambda k, name: json.dumps({"entryType": "UniProtKB reviewed (Swiss-Prot)", "primaryAccession": f"P0000{k}", "organism": {"scientificName": name, "taxonId": k}})
+    shape = json.dumps({"results": [{"metadata": {"accession": "IPR1", "name": "dom"}, "proteins": [{"entry_protein_locations": [{"fragments": [{"start": 2, "end": 9}]}]}]}]})
+    ids = spark.createDataFrame([(f"sp|P0000{k}|X",) for k in range(6)] + [("own",), ("sp|P00001|Y",)], "seq_id string")
+    schema, cache = "accession string, json string", str(tmp_path / "cache")
+
+    def landed(name, proteins):
+        spark.createDataFrame(proteins, schema).write.parquet(str(tmp_path / name / "proteins"))
+        spark.createDataFrame([("P00001", shape)], schema).write.parquet(str(tmp_path / name / "domains"))
+        return {r["seq_id"]: r for r in files.annotate(ids, str(tmp_path / name), cache).collect()}
+
+    first = landed("a", [(f"P0000{k}", answer(k, f"o{k}")) for k in range(3)] + [("P00003", "{odd")])
+    assert [first[f"sp|P0000{k}|X"]["organism"] for k in range(6)] == ["o0", "o1", "o2", "Unknown", "Unknown", "Unknown"]
+    assert first["own"]["accession"] is None and len(first["sp|P00001|Y"]["domains"]) == 1
+    # answers of known ones have changed: they are not read again
+    second = landed("b", [(f"P0000{k}", answer(k, f"new{k}")) for k in range(5)])
+    assert [second[f"sp|P0000{k}|X"]["organism"] for k in range(6)] == ["o0", "o1", "o2", "new3", "new4", "Unknown"]
+    rows = spark.read.parquet(cache)
+    assert {(r["version"], r["accession"], r["status"]) for r in rows.where("version = 2").collect()} == {(2, "P00003", "found"), (2, "P00004", "found"), (2, "P00005", "failed")}
+    assert rows.where("version = 1").count() == 6
+    # a version that was not finished is written again
+    import shutil
+
+    shutil.rmtree(f"{cache}/version=2")
+    third = landed("c", [(f"P0000{k}", answer(k, f"new{k}")) for k in range(5)])
+    assert {k: tuple(v) for k, v in third.items()} == {k: tuple(v) for k, v in second.items()}
