@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinweave.sources.files import numbered
 from kinweave.sources.shared import stored
 
 CANDIDATES = 200
@@ -286,8 +287,8 @@ def extract(nodes: DataFrame, cuts: DataFrame, min_size: int = 2, recover: bool
     root = clean.where("parent_id is null").select(*shown, F.lit(0).cast("long").alias("ppost"), F.lit(0).alias("side"))
     side = (F.col("node_id") != F.col("pleft")).cast("int")
     groups = under.select(*shown, F.col("ppost").cast("long"), side.alias("side")).unionAll(root)
-    good = groups.where(F.col("n_leaves") >= min_size)
-    good = good.withColumn("cluster_idx", F.row_number().over(W.orderBy("ppost", "side")) - 1)
+    good = groups.where(F.col("n_leaves") >= min_size).withColumn("turn", F.struct("ppost", "side"))
+    good = numbered(good, "turn").withColumn("cluster_idx", F.col("seq_idx").cast("int"))
     groups = groups.join(good.select("node_id", "cluster_idx"), "node_id", "left")
     leaf = nodes.where("is_leaf").select("seq_id", F.col("lo").alias("rank"))
     member = F.row_number().over(W.partitionBy("node_id").orderBy(F.desc("rank"))) - 1
@@ -375,4 +376,5 @@ def heatmap_order(clusters: DataFrame, sequences: DataFrame) -> DataFrame:
     """(seq_id, place): clusters by number, then orphans, then the rest in input order."""
     rows = sequences.join(clusters, "seq_id", "left")
     kind = F.when(F.col("cluster_idx").isNotNull(), 0).when(F.coalesce("is_orphan", F.lit(False)), 1).otherwise(2)
-    return rows.select("seq_id", (F.row_number().over(W.orderBy(kind, "cluster_idx", "member", "seq_idx")) - 1).alias("place"))
+    rows = rows.select("seq_id", F.struct(kind.alias("kind"), "cluster_idx", "member", "seq_idx").alias("turn"))
+    return numbered(rows, "turn").select("seq_id", F.col("seq_idx").cast("int").alias("place"))

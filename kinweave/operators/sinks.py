@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinweave.sources.files import numbered
+
 PALETTE = ["#e41a1c", "#377eb8", "#4daf4a", "#984ea3", "#ff7f00", "#a65628", "#f781bf", "#17becf", "#bcbd22", "#1f77b4"]
 ORPHAN = "#aaaaaa"
 
@@ -66,6 +68,13 @@ def write_text(spark, path: str, text: str) -> None:
         out.close()
 
 
+def write_newick(nodes: DataFrame, path: str) -> None:
+    """The tree as Newick in a folder of text files: joined in the order of their names, they are the text."""
+    from kinweave.operators.tree import newick_pieces
+
+    numbered(newick_pieces(nodes), "at").orderBy("seq_idx").select("piece").write.mode("overwrite").text(path)
+
+
 def sizes(clusters: DataFrame) -> DataFrame:
     return clusters.where("cluster_idx is not null").groupBy("cluster_idx").agg(F.count("*").alias("size"))
 

@@ -241,6 +241,24 @@ def build_tree(sequences: DataFrame, edges: DataFrame, method: str = "upgma") ->
     return rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(assemble, NODES)
 
 
+def newick_pieces(nodes: DataFrame) -> DataFrame:
+    """(at, piece): the pieces of the Newick text, in the order of `at`: what opens and what closes each node.
+
+    A node's piece before it is the comma that parts it from its left neighbour
+    and, of inner nodes, the bracket; the one after it the bracket or the name,
+    and its length. No task holds the tree; line ends between pieces are blanks.
+    """
+    up = nodes.select(F.col("node_id").alias("pid"), F.col("right_id").alias("pright"))
+    rows = nodes.join(up, nodes["parent_id"] == up["pid"], "left")
+    comma = F.when(F.col("node_id") == F.col("pright"), ",").otherwise("")
+    before = F.concat(comma, F.when(F.col("is_leaf"), "").otherwise("("))
+    length = F.when(F.col("parent_id").isNull(), ";").otherwise(F.concat(F.lit(":"), F.format_string("%.6f", "branch_length")))
+    after = F.concat(F.when(F.col("is_leaf"), F.col("seq_id")).otherwise(")"), length)
+    turn = lambda rank, side, order, piece: F.struct(F.struct(F.col(rank).alias("rank"), F.lit(side).alias("side"), order.alias("turn")).alias("at"), piece.alias("piece"))
+    both = F.array(turn("lo", 0, -F.col("post"), before), turn("hi", 1, F.col("post"), after))
+    return rows.select(F.inline(both)).where("piece <> ''")
+
+
 def newick(nodes: list[dict], support: dict[int, float] | None = None, end: str = ";") -> str:
     """Newick text of a node table's rows; branch lengths to six places, support as a rounded percentage."""
     by = {r["node_id"]: r for r in nodes}

@@ -9,7 +9,6 @@ heap-shaped tree with a leaf for each `part` row: node k has the children 2k and
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinweave.functions.residues import AA_ORDER, ALPHABETS, BLEND, DIAGONALS, accession, classes, encode_classes, encode_residues, protein, reduced
@@ -212,7 +211,7 @@ SELECT d.seq_idx, CASE WHEN s.embedding IS NULL OR seq = '' THEN seq ELSE array_
 FROM d LEFT JOIN s ON s.seq_idx = d.seq_idx""")
 def idr_mask(spark: SparkSession, sf: str) -> DataFrame:
     d = _bench(spark, sf)
-    e = _t(spark, sf, "embeddings").select((F.row_number().over(W.orderBy("vec_id")) - 1).cast("long").alias("seq_idx"), F.col("embedding").cast("array<double>").alias("scores"))
+    e = files.numbered(_t(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("scores")), "vec_id").select("seq_idx", "scores")
     scores = d.join(e, "seq_idx").select(prep.disorder_key(d["seq"], 0.1).alias("seq_hash"), "scores")
     return prep.mask_disordered(d, scores, 0.1).select("seq_idx", "seq")
 
@@ -400,7 +399,8 @@ def _heap(spark: SparkSession, sf: str) -> DataFrame:
         rank(right).alias("hi"),
     )
     nodes = nodes.withColumn("n_leaves", F.col("hi") - F.col("lo") + 1)
-    return nodes.withColumn("post", F.row_number().over(W.orderBy("hi", F.desc("depth"))).cast("long"))
+    # of the leaves up to a node's last, each joins one earlier tree but those where the way down goes right
+    return nodes.withColumn("post", 2 * (F.col("hi") + 1) - F.bit_count("node_id"))
 
 
 _HEAP = """c AS (SELECT count(*)::BIGINT AS n FROM part),
@@ -414,6 +414,17 @@ cs AS (SELECT v.node_id, CASE WHEN l.weight + r.weight = 0 THEN 0.0 ELSE l.weigh
   FROM v JOIN nw l ON l.node_id = 2 * v.node_id JOIN nw r ON r.node_id = 2 * v.node_id + 1 WHERE NOT is_leaf)"""
 
 
+@query(f"""WITH {_HEAP}, o AS (SELECT node_id, row_number() OVER (ORDER BY node_id * (1 << (20 - floor(log2(node_id + 0.5))::INT))) - 1 AS rank FROM v WHERE is_leaf),
+w AS (SELECT up AS node_id, min(rank) AS lo, max(rank) AS hi FROM a JOIN o ON o.node_id = a.id GROUP BY 1),
+e AS (
+  SELECT lo AS rank, 0 AS side, floor(log2(node_id + 0.5)) AS turn, CASE WHEN node_id > 1 AND node_id % 2 = 1 THEN ',' ELSE '' END || CASE WHEN is_leaf THEN '' ELSE '(' END AS piece FROM v JOIN w USING (node_id)
+  UNION ALL SELECT hi, 1, -floor(log2(node_id + 0.5)), CASE WHEN is_leaf THEN 'n' || node_id ELSE ')' END || CASE WHEN node_id = 1 THEN ';' ELSE ':' || printf('%.6f', bl) END FROM v JOIN w USING (node_id))
+SELECT row_number() OVER (ORDER BY rank, side, turn) - 1 AS at, piece FROM e WHERE piece <> ''""")
+def newick_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """The text of the heap-shaped tree, piece by piece."""
+    return files.numbered(tr.newick_pieces(_heap(spark, sf)), "at").select(F.col("seq_idx").alias("at"), "piece")
+
+
 @query(f"WITH {_HEAP} SELECT node_id, round(weight + 1e-9, 6) AS weight FROM lw")
 def leaf_weights(spark: SparkSession, sf: str) -> DataFrame:
     return cl.leaf_weights(_heap(spark, sf)).select("node_id", F.round(F.col("weight") + 1e-9, 6).alias("weight"))

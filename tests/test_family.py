@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from kinweave.functions.residues import AA_ORDER, BLEND, DIAGONALS, accession, classes, encode_classes, encode_residues
 from kinweave.operators import clusters as cl
 from kinweave.operators import evaluation as ev
-from kinweave.operators import prep
+from kinweave.operators import prep, sinks
 from kinweave.operators import similarity as sim
 from kinweave.operators import tree as tr
 from kinweave.plans.pipeline import Config, Pipeline, parser
@@ -180,6 +180,10 @@ def test_pipeline_writes_everything(spark, tmp_path):
     assert (out / "tree.nwk").read_text().endswith(";") and "<svg" in (out / "tree_plot.svg").read_text()
     rows = files.parse_newick((out / "tree.nwk").read_text())
     assert len(rows) == 23 and rows[0]["n_leaves"] == 12
+    nodes = spark.read.parquet(next(str(p) for p in (out / "checkpoints").iterdir() if p.name.startswith("nodes-")))
+    sinks.write_newick(nodes, str(tmp_path / "pieces"))
+    pieces = "".join(p.read_text() for p in sorted((tmp_path / "pieces").glob("part-*"))).replace("\n", "")
+    assert pieces == (out / "tree.nwk").read_text().strip()
     assert len(spark.read.csv(str(out / "dropped.tsv"), sep="\t", header=True).collect()) == 2
     for boundary, method in (("kneedle", "nj"), ("gmm", "upgma")):
         Pipeline(spark, Config(**{**c.__dict__, "boundary": boundary, "tree_method": method, "plot": False})).run()
