@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from jobs.settings import command, settings
-from kinweave.functions.residues import MASK, letters, protein, total_weight
+from kinweave.functions.residues import protein, total_weight
 from kinweave.operators import prep
 from kinweave.operators import similarity as sim
 
@@ -52,15 +52,14 @@ def catalogue(docs: DataFrame, config: Settings) -> DataFrame:
     rows = prep.checked(rows, config.min_len)
     kept = F.col("reason").isNull()
     weights = prep.organism_weights(rows.where(kept).select("organism")).select("organism", "weight")
-    rows = rows.withColumn("s", letters(F.col("seq")))  # a column of its own, so that it is made once a row
-    own = F.array_distinct(F.filter(sim.windows(F.col("s"), config.l), lambda w: ~F.contains(w, F.lit(MASK))))
+    own = F.array_distinct(sim.unmasked_windows(F.col("seq"), config.l))
     rows = rows.select(
         "seq_id",
         "organism",
         F.length("seq").cast("long").alias("n_residues"),
         "reason",
         F.when(kept, total_weight(F.col("seq"), config.matrix)).alias("self_score"),
-        F.when(kept, F.when(F.length("seq") >= config.l, F.size(own)).otherwise(0)).cast("long").alias("n_lmers"),
+        F.when(kept, F.size(own)).cast("long").alias("n_lmers"),
         F.when(kept, "kept").otherwise("dropped").alias("status"),
         "lang",
     )

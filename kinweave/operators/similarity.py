@@ -23,26 +23,28 @@ L = 4
 PROPERTY_WEIGHT = 0.3
 
 
-def windows(s: Column, l: int = L) -> Column:
-    """All windows of l letters, from an array of letters of that length at least."""
-    # put together from an array: cutting the n-th piece out of a string walks it from its start
-    return F.transform(F.sequence(F.lit(0), F.size(s) - l), lambda i: F.concat(*[F.get(s, i + k) for k in range(l)]))
+def unmasked_windows(seq: Column, l: int = L) -> Column:
+    """All windows of l letters without a masked one, in order."""
+    # a look ahead matches at every letter and takes none, so windows overlap
+    return F.regexp_extract_all(seq, F.lit(f"(?s)(?=([^{MASK}]{{{l}}}))"), F.lit(1))
 
 
 def lmers(sequences: DataFrame, l: int = L, seq: Column | None = None) -> DataFrame:
     """(seq_idx, p, kmer): unmasked windows by 0-based start."""
-    s = sequences.select("seq_idx", letters(F.col("seq") if seq is None else seq).alias("s")).where(F.size("s") >= l)
-    return s.select("seq_idx", F.posexplode(windows(F.col("s"), l)).alias("p", "kmer")).where(~F.col("kmer").contains(MASK))
+    every = F.regexp_extract_all(F.col("seq") if seq is None else seq, F.lit(f"(?s)(?=(.{{{l}}}))"), F.lit(1))
+    return sequences.select("seq_idx", F.posexplode(every).alias("p", "kmer")).where(~F.col("kmer").contains(MASK))
 
 
 def lmer_counts(sequences: DataFrame, l: int = L) -> DataFrame:
     """(kmer, n, n_seqs): occurrences of each unmasked window, and sequences that have it."""
-    # a sequence's windows are sorted in its own row and the first of equal ones marked, so that one aggregate by l-mer does
-    s = sequences.select(letters(F.col("seq")).alias("s")).where(F.size("s") >= l)
-    s = s.select(F.array_sort(F.filter(windows(F.col("s"), l), lambda w: ~F.contains(w, F.lit(MASK)))).alias("own"))
-    fresh = lambda w, k: F.when((k == 0) | (F.get("own", k - 1) != w), 1).otherwise(0)
-    each = s.select(F.inline(F.transform("own", lambda w, k: F.struct(w.alias("kmer"), fresh(w, k).alias("first")))))
-    return each.groupBy("kmer").agg(F.count("*").alias("n"), F.sum("first").alias("n_seqs"))
+    # a sequence's distinct windows follow all of them with a mark, so that one pass counts both
+    own = sequences.select(unmasked_windows(F.col("seq"), l).alias("own"))
+    marked = F.concat("own", F.transform(F.array_distinct("own"), lambda w: F.concat(F.lit(MASK), w)))
+    counts = own.select(F.explode(marked).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+    of_seqs = F.col("w").startswith(MASK)
+    kmer = F.when(of_seqs, F.substr("w", F.lit(2))).otherwise(F.col("w")).alias("kmer")
+    total = lambda which: F.sum(F.when(which, F.col("c")).otherwise(0))
+    return counts.groupBy(kmer).agg(total(~of_seqs).alias("n"), total(of_seqs).alias("n_seqs"))
 
 
 #: Sequences with an l-mer beyond which it is dealt out in blocks of about so many.
@@ -51,9 +53,8 @@ BLOCK = 4096
 
 def _distinct_lmers(sequences: DataFrame, l: int, seq: Column | None) -> DataFrame:
     """(seq_idx, kmer): each unmasked window of a sequence once."""
-    s = sequences.select("seq_idx", letters(F.col("seq") if seq is None else seq).alias("s")).where(F.size("s") >= l)
-    own = F.array_distinct(F.filter(windows(F.col("s"), l), lambda w: ~F.contains(w, F.lit(MASK))))
-    return s.select("seq_idx", F.explode(own).alias("kmer"))
+    own = F.array_distinct(unmasked_windows(F.col("seq") if seq is None else seq, l))
+    return sequences.select("seq_idx", F.explode(own).alias("kmer"))
 
 
 def hot_lmers(sequences: DataFrame, l: int = L, seq: Column | None = None, block: int = BLOCK) -> DataFrame | None:
@@ -239,7 +240,8 @@ def cosine_similarity(vectors: DataFrame) -> DataFrame:
 
     def multiply(t: pa.Table) -> pa.Table:
         idx, b = t.column("seq_idx").to_numpy(), t.column("b").to_numpy()
-        x = np.array(t.column("embedding").to_pylist(), float)
+        flat = t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        x = flat.reshape(t.num_rows, -1).astype(float)
         x = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
         p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
         left, right = np.flatnonzero(b == p), np.flatnonzero(b == q)
