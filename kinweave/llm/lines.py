@@ -112,8 +112,8 @@ def dedup_lines(
     gone = repeated_chunks(_named(plain.select(doc_id, text), doc_id, text), every, least)
     gone = gone.withColumnRenamed("gone", "__gone")
     rows = _chunked(_named(plain, doc_id, text).join(gone.hint("shuffle_hash"), ID, "left"), every)
-    stays = lambda c, k: ~F.coalesce(F.array_contains("__gone", k), F.lit(False))
-    rows = rows.withColumn("__kept", F.filter("__chunks", stays))
+    stay = F.array_except(_numbers(0, F.size("__chunks") - 1), F.coalesce("__gone", F.array().cast("array<int>")))
+    rows = rows.withColumn("__stay", stay).withColumn("__kept", F.transform("__stay", lambda k: F.get("__chunks", k)))
     left = F.aggregate("__kept", F.lit(0), lambda a, c: a + c["n"])
     parts = F.flatten(F.transform("__kept", lambda c: F.slice("__lines", c["at"], c["n"])))
     new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(parts, "\n"))
