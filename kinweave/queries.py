@@ -8,7 +8,7 @@ heap-shaped tree with a leaf for each `part` row: node k has the children 2k and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions.residues import AA_ORDER, ALPHABETS, BLEND, DIAGONALS, accession, classes, encode_classes, encode_residues, protein, reduced
@@ -79,13 +79,14 @@ def _fasta_text(d: DataFrame) -> DataFrame:
 
 @query(SQL["fasta_parse"])
 def fasta_file(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents written as FASTA files and read back in blocks of 64 KB, so that records cross the borders."""
+    """Documents, whose files go by id, written as FASTA files and read back in 64 blocks or more, of 64 KB at least, so that records cross the borders."""
     folder = new_folder(spark, "fasta")
-    rows = _fasta_text(_docs(spark, sf)).repartitionByRange(3, "seq_idx").sortWithinPartitions("seq_idx")
-    rows.select("value").write.text(folder)
+    seen = Observation()
+    rows = _fasta_text(_docs(spark, sf)).sortWithinPartitions("seq_idx").observe(seen, F.sum(F.length("value")).alias("size"))
+    rows.select("value").write.option("maxRecordsPerFile", 100_000).text(folder)
     name = "spark.sql.files.maxPartitionBytes"
     before = spark.conf.get(name)
-    spark.conf.set(name, 1 << 16)
+    spark.conf.set(name, max(1 << 16, min(1 << 27, (seen.get["size"] or 0) // 64)))
     try:
         return files.read_fasta(spark, folder)
     finally:

@@ -27,8 +27,8 @@ def fasta_chunks(chunks: DataFrame) -> DataFrame:
     """chunks (place, value, opens) -> (seq_idx, seq_id, seq).
 
     A chunk is what stands after a header's mark up to the next mark at the
-    start of a line, in the order of place; `opens` tells the first chunk of a
-    file, which is a record only behind a mark of its own. A header's first word
+    start of a line, in the order of place, which has to be settled (places that
+    are counted anew may differ); `opens` tells the first chunk of a file, which is a record only behind a mark of its own. A header's first word
     is the id, the lines after it, without blanks at their ends, are the
     sequence in upper case. A repeated id keeps its first place and its last
     sequence. Text before the first header and headers without an id are left out.
@@ -40,13 +40,17 @@ def fasta_chunks(chunks: DataFrame) -> DataFrame:
     rows = rows.withColumn("piece", F.when(first, F.regexp_replace("piece", r"^\s*>", "")).otherwise(F.col("piece")))
     head = F.substring_index("piece", "\n", 1)
     body = F.substr("piece", F.length(head) + 2)
+    plain = ~F.contains("body", F.lit(" ")) & ~F.contains("body", F.lit("\r"))
+    rows = rows.select("place", "k", head.alias("head"), body.alias("body"))
     rows = rows.select(
         F.struct("place", "k").alias("at"),
-        F.regexp_extract(head, r"^\s*(\S+)", 1).alias("seq_id"),
-        F.upper(F.trim(F.regexp_replace(body, r" *\r*\n *| *\r+$", ""))).alias("seq"),
+        F.regexp_extract("head", r"^\s*(\S+)", 1).alias("seq_id"),
+        F.upper(F.when(plain, F.replace("body", F.lit("\n"), F.lit(""))).otherwise(F.trim(F.regexp_replace("body", r" *\r*\n *| *\r+$", "")))).alias("seq"),
     )
-    one = rows.where("seq_id <> ''").groupBy("seq_id").agg(F.min("at").alias("first"), F.max_by("seq", "at").alias("seq"))
-    return numbered(one, "first").select("seq_idx", "seq_id", "seq")
+    # ids are numbered without their sequences, which then move once
+    ids = rows.where("seq_id <> ''").groupBy("seq_id").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    ids = numbered(ids, "first").select("seq_idx", F.col("last").alias("at")).hint("merge")  # as many as sequences: never broadcast
+    return rows.where("seq_id <> ''").join(ids, "at").select("seq_idx", "seq_id", "seq")
 
 
 def numbered(rows: DataFrame, by: str) -> DataFrame:
@@ -66,7 +70,8 @@ def numbered(rows: DataFrame, by: str) -> DataFrame:
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """Sequences of one or more FASTA files of any size, in the order of file names and of records in each."""
-    chunks = _pieces(spark, path, "\n>")  # both scans of it are cut alike
+    # kept, as another scan may cut the files otherwise
+    chunks = stored(_pieces(spark, path, "\n>"), "fasta")
     opens = chunks.groupBy("place.file").agg(F.min("place").alias("place")).select("place", F.lit(True).alias("opens"))  # a row a file
     return fasta_chunks(chunks.join(opens, "place", "left").withColumn("opens", F.coalesce("opens", F.lit(False))))
 
