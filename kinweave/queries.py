@@ -1,7 +1,8 @@
 """Every operator as a query over whole tables, with the same in SQL where SQL can say it.
 
 Sequences are the residue projection of whole texts: per-row operators run over
-`documents`, operators on pairs over `benchmark`. Tree operators run over a
+`documents`, operators on pairs, and those that give rows by window or residue,
+over `benchmark`. Tree operators run over a
 heap-shaped tree with a leaf for each `part` row: node k has the children 2k and
 2k + 1, and a is an ancestor of b if b shifted right by some t is a.
 """
