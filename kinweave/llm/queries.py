@@ -9,7 +9,7 @@ from kinweave.llm.licenses import op11_licenses
 from kinweave.llm.lines import OP4_PASSAGES_SQL, OP4_SQL, op4_lines, op4_passages
 from kinweave.llm.mixing import OP5_SQL, op5_mixing
 from kinweave.llm.simhash import op10_simhash
-from kinweave.llm.spotsigs import op9_spotsigs
+from kinweave.llm.spotsigs import op9_groups, op9_spotsigs
 from kinweave.llm.suffixes import op8_suffixes
 from kinweave.llm.toxicity import op7_toxicity
 from kinweave.llm.warc import OP6_SQL, op6_warc
@@ -26,6 +26,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_suffixes": op8_suffixes,
     "op9_spotsigs": op9_spotsigs,
+    "op9_groups": op9_groups,
     "op10_simhash": op10_simhash,
     "op11_licenses": op11_licenses,
     "op12_whitening": op12_whitening,

@@ -11,16 +11,20 @@ import hashlib
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import cut, node_id, shown_id, table, text_of
 from kinweave.llm.components import connected_components
 
 CHAIN = 3
+#: Signatures are counted by ranges; those of ranges over the HEAVY-th part of all come last in the order of meeting.
+BUCKETS, HEAVY = 1 << 20, 1 << 16
+#: Hashes by which each set finds sets to be compared with at first; pairs to one copy of a set.
+STARS, SALT = 4, 2_000
 ANCHORS = frozenset(
     w.encode()
     for w in (
@@ -133,62 +137,176 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     return sorted_.mapInArrow(run, SCHEMA).withColumn("doc_id", shown_id("doc_id"))
 
 
-def near_groups(docs: DataFrame, least: float = 0.8, chain: int = CHAIN) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, component_id): classes of documents linked by a likeness of `least` or more.
+def _sets(docs: DataFrame, chain: int) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, sigs, mark): sorted signatures, four bytes each, and their SHA-256."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs = [np.sort(np.fromiter(signatures(t.as_py(), chain), "<u4")).tobytes() for t in batch.column("text")]
+            marks = [hashlib.sha256(x).digest() for x in sigs]
+            columns = [batch.column("doc_id"), pa.array(sigs, pa.binary()), pa.array(marks, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sigs", "mark"])
 
-    Equal sets collapse first. Sets are partitioned by length, so that those in
-    reach are in the same or the next partition, and meet there by the rarest of
-    their signatures, as many as a set in reach must share one of. Pairs are
-    compared through pruned Jaccard, and not at all once they are in one class.
-    Null texts count as empty, and texts without words are one class; a null
-    doc_id is shown as null (it is the smallest of its class), rows that repeat
-    give rows that repeat, rows that share an id share its class. No other
-    column is read; an empty table gives no rows.
+    rows = docs.select(node_id("doc_id").alias("doc_id"), text_of().alias("text"))
+    return rows.mapInArrow(run, "doc_id long, sigs binary, mark binary")
+
+
+def _commonness(sets: DataFrame) -> np.ndarray:
+    """How often signatures of each of BUCKETS ranges occur, where that is over the HEAVY-th part of all; else 0.
+
+    Counts cover all sets. The driver sees at most HEAVY rows, as no more ranges can hold so large a part.
     """
-    rate = math.log(1 / least)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            sigs = [sorted(signatures(t.as_py(), chain)) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "sigs"])
-
-    rows = cut(docs.select(node_id("doc_id").alias("doc_id"), text_of().alias("text")).mapInArrow(sets, "doc_id long, sigs array<long>"), "spots")
-    same = cut(rows.groupBy("sigs").agg(F.min("doc_id").alias("rep")).withColumn("id", F.monotonically_increasing_id()), "spotsets")
-    often = same.select(F.explode("sigs").alias("sig")).groupBy("sig").count()
-    ranked = same.select("id", F.size("sigs").alias("n"), F.explode("sigs").alias("sig")).join(often, "sig")
-    order = W.partitionBy("id").orderBy("count", "sig")
-    ranked = ranked.withColumn("k", F.row_number().over(order))
-    prefix = ranked.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
-    prefix = prefix.where("count > 1").select("id", "n", "sig")  # a signature of one set brings no pair
-    part = F.floor(F.log("n") / rate + 1e-9).cast("int")
-    placed = prefix.join(same.select("id", "rep", "sigs"), "id").withColumn("part", part)
-    dealt = placed.withColumn("home", F.lit(True)).unionAll(placed.withColumn("part", F.col("part") + 1).withColumn("home", F.lit(False)))
-
-    def compare(t: pa.Table) -> pa.Table:
-        rep, home = t.column("rep").to_pylist(), t.column("home").to_pylist()
-        own = [frozenset(x) for x in t.column("sigs").to_pylist()]
-        by = sorted(range(len(own)), key=lambda i: (len(own[i]), rep[i]))
-        labels, links = list(range(len(own))), []
-
-        def top(i: int) -> int:
-            while labels[i] != i:
-                labels[i] = labels[labels[i]]
-                i = labels[i]
-            return i
-
-        for x, i in enumerate(by):
-            for j in by[x + 1 :]:
-                if len(own[i]) < least * len(own[j]) - 1e-9:
-                    break
-                if (home[i] or home[j]) and top(i) != top(j) and likeness(own[i], own[j]) >= least - 1e-12:
-                    labels[top(j)] = top(i)
-                    links.append((rep[i], rep[j]))
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
-
-    links = dealt.select("sig", "part", "home", "rep", "sigs").groupBy("sig", "part").applyInArrow(compare, "a long, b long")
-    classes = connected_components(links.distinct())
-    named = rows.join(same.select("sigs", "rep"), "sigs").join(classes, F.col("rep") == F.col("node"), "left")
-    return named.select(shown_id("doc_id").alias("doc_id"), shown_id(F.coalesce("component", "rep")).alias("component_id"))
+            for x in batch.column("sigs"):
+                np.add.at(counts, np.frombuffer(x.as_py(), "<u4") // (2**32 // BUCKETS), 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["range", "n"])
+
+    counts = cut(sets.select("sigs").mapInArrow(run, "range long, n long").groupBy("range").agg(F.sum("n").alias("n")), "spotcounts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    out = np.zeros(BUCKETS, np.int64)
+    for r in counts.where(F.col("n") > total / HEAVY).collect():
+        out[r["range"]] = r["n"]
+    return out
+
+
+def _spots(sets: DataFrame, least: float) -> DataFrame:
+    """(id, n, sig, pos): of each set, in one order for all, rare signatures first, as many as a set in reach must share one of."""
+    common = sets.sparkSession.sparkContext.broadcast(_commonness(sets))  # BUCKETS numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes, sigs, places = [], [], [], []
+            for i, x in zip(batch.column("id").to_pylist(), batch.column("sigs"), strict=True):
+                own = np.frombuffer(x.as_py(), "<u4")
+                n = len(own)
+                first = np.argsort(common.value[own // (2**32 // BUCKETS)], kind="stable")[: n - math.ceil(n * least - 1e-9) + 1]
+                ids.append(np.full(len(first), i))
+                sizes.append(np.full(len(first), n))
+                sigs.append(own[first].astype(np.int64))
+                places.append(np.arange(len(first)))
+            if ids:
+                columns = [pa.array(np.concatenate(c), pa.int64()) for c in (ids, sizes, sigs, places)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "sig", "pos"])
+
+    return sets.select("id", "sigs").mapInArrow(run, "id long, n long, sig long, pos long")
+
+
+def _leaders(sets: DataFrame) -> DataFrame:
+    """(a, b): each set beside the first set that has the same least signature under one of STARS hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns = np.random.default_rng(5).integers(0, 2**31, STARS, np.uint64) * np.uint64(2) + np.uint64(1)
+        for batch in batches:
+            keys = []
+            for x in batch.column("sigs"):
+                own = np.frombuffer(x.as_py(), "<u4").astype(np.uint64)
+                mixed = (own[None, :] * turns[:, None]) & np.uint64(2**32 - 1)
+                keys += (mixed.min(1) * np.uint64(STARS) + np.arange(STARS, dtype=np.uint64)).tolist()
+            ids = np.repeat(batch.column("id").to_numpy(), STARS)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], names=["a", "key"])
+
+    keys = cut(sets.select("id", "sigs").mapInArrow(run, "a long, key long"), "spotstars")
+    first = keys.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return keys.join(first, "key").where("a != b").select("a", "b").distinct()
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of ids whose sets have a Jaccard index of `least` or more.
+
+    The set of an id that many pairs name is dealt out in copies, one to SALT pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [
+                jaccard(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4"), least) >= least - 1e-12
+                for x, y in zip(batch.column("sigs_a"), batch.column("sigs_b"), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in "ab"], names=["a", "b"])
+
+    out = cut(pairs, "spotpairs")
+    for side, other in (("a", "b"), ("b", "a")):
+        often = out.groupBy(side).agg(F.ceil(F.count("*") / SALT).alias("copies"))
+        dealt = sets.select(F.col("id").alias(side), F.col("sigs").alias(f"sigs_{side}")).join(often, side)
+        dealt = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+        out = out.join(often, side).withColumn("salt", F.pmod(F.xxhash64(other), F.col("copies"))).drop("copies")
+        out = out.join(dealt, [side, "salt"]).drop("salt")
+    return out.select("a", "b", "sigs_a", "sigs_b").mapInArrow(run, "a long, b long")
+
+
+def jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
+    """As `likeness`, of sorted arrays."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)) - 1e-9:
+        return 0.0
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def _in_reach(spots: DataFrame, least: float) -> DataFrame:
+    """spots (id, n, sig, pos, class) -> (a, b): sets of different classes that can reach `least`, by length and by place of a shared signature.
+
+    Sets are partitioned by length, so that those in reach are in the same
+    partition or the next. Classes meet before their members do: a signature
+    that one class alone has, however large, brings nothing, and members of one
+    class are never paired.
+    """
+    mixed = spots.groupBy("sig").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("sig")
+    part = F.floor(F.log("n") / math.log(1 / least) + 1e-9)
+    spots = cut(spots.join(mixed, "sig", "left_semi").withColumn("part", part), "spots")
+    longer = spots.toDF(*(c if c in ("sig", "part") else f"{c}_a" for c in spots.columns))
+    shorter = spots.withColumn("part", F.explode(F.array("part", F.col("part") + 1)))
+    shorter = shorter.toDF(*(c if c in ("sig", "part") else f"{c}_b" for c in spots.columns))
+    held = [
+        x.groupBy("sig", "part", f"class_{s}").agg(F.min(f"n_{s}").alias(f"low_{s}"), F.max(f"n_{s}").alias(f"high_{s}"))
+        for x, s in ((longer, "a"), (shorter, "b"))
+    ]
+    meets = held[0].join(held[1], ["sig", "part"]).where("class_a != class_b and low_b <= high_a")
+    meets = meets.where(F.col("high_b") >= F.col("low_a") * least - 1e-9).select("sig", "part", "class_a", "class_b")
+    both = meets.join(longer, ["sig", "part", "class_a"]).join(shorter, ["sig", "part", "class_b"])
+    both = both.where("n_b < n_a or (n_b = n_a and id_b < id_a)").where(F.col("n_b") >= F.col("n_a") * least - 1e-9)
+    most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    both = both.where(most >= (F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - 1e-9)
+    return both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
+def near_groups(docs: DataFrame, least: float = 0.8, chain: int = CHAIN) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, component_id): classes of documents linked by a likeness of `least` or more.
+
+    Equal sets collapse first. Then each set is compared with the first one of
+    its least signature under a few hashes, which joins most of a large group at
+    one comparison a set. Last, sets of different classes are partitioned by
+    length, meet by the rarest of their signatures, as many as a set in reach
+    must share one of, and are compared through pruned Jaccard: no link is lost.
+    Ids travel, and sets only to pairs that length and places leave.
+    Null texts count as empty, and empty texts are one class (texts of blanks
+    alone are by their own hash); a null doc_id is shown as null (it is the
+    smallest of its class), rows that repeat give rows that repeat, rows that
+    share an id share its class. No other column is read; an empty table gives
+    no rows.
+    """
+    rows = cut(_sets(docs, chain), "spotrows")
+    one = rows.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("sigs").alias("sigs"))
+    sets = cut(one.withColumn("id", F.monotonically_increasing_id()), "spotsets")
+    stars = cut(_linked(_leaders(sets), sets, least), "spotlinks")
+    classes = connected_components(stars).select(F.col("node").alias("id"), F.col("component").alias("class"))
+    spots = _spots(sets, least).join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    links = stars.unionAll(_linked(_in_reach(spots, least), sets, least))
+    for side in "ab":
+        named = sets.select(F.col("id").alias(side), F.col("rep").alias(f"rep_{side}"))
+        links = links.join(named, side)
+    links = links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    copies = rows.select("doc_id", "mark").join(sets.select("mark", "rep"), "mark").where("doc_id != rep")
+    ends = connected_components(links.unionAll(copies.select("doc_id", "rep")))
+    out = rows.select("doc_id").join(ends, F.col("doc_id") == F.col("node"), "left")
+    return out.select(shown_id("doc_id").alias("doc_id"), shown_id(F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def op9_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
 
 
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

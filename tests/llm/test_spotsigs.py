@@ -5,7 +5,7 @@ import random
 import pytest
 import xxhash
 
-from kinweave.llm.spotsigs import edited, fingerprint, fingerprints, likeness, near_groups, op9_spotsigs, signatures
+from kinweave.llm.spotsigs import edited, fingerprint, fingerprints, likeness, near_groups, op9_groups, op9_spotsigs, signatures
 
 COMMON = """the of and to in is was that it with le la les des et est une que dans pour
 der die das und ist ein eine den zu von el los las que una es con por se para""".split()
@@ -116,3 +116,61 @@ def test_groups_equal_brute_force(spark):
     got = sorted(tuple(r) for r in near_groups(df).collect())
     assert got == sorted((d, rows[find(i)][0]) for i, (d, _) in enumerate(rows))
     assert near_groups(df.limit(0)).count() == 0
+
+
+def plain_classes(rows):
+    """(id, text) rows -> (id, smallest id reachable) by comparing all texts with all, ids that repeat being one."""
+    ids, sigs = [d for d, _ in rows], [signatures(t or "") for _, t in rows]
+    at = {d: d for d in ids}
+
+    def find(d):
+        while at[d] != d:
+            d = at[d]
+        return d
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if likeness(sigs[i], sigs[j]) >= 0.8:
+                a, b = find(ids[i]), find(ids[j])
+                at[max(a, b)] = min(a, b)
+    return sorted((d, find(d)) for d in ids)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_groups_query_equals_brute_force_on_a_whole_table(spark):
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"])
+    want = plain_classes([(r["doc_id"], r["text"]) for r in table.to_pylist()])
+    assert len({c for _, c in want}) < len(want)
+    assert sorted(tuple(r) for r in op9_groups(spark, "/root/testdata/sf0.01").collect()) == want
+
+
+def test_groups_with_a_hot_group_shared_ids_and_a_bridge(spark, monkeypatch):
+    """A third of the rows near copies of one text, ids that repeat, and chains that only their links hold together."""
+    import kinweave.llm.spotsigs as module
+
+    monkeypatch.setattr(module, "SALT", 7)
+    rng = random.Random(4)
+    word = lambda: f"the w{rng.randrange(4000)}"
+    base = [word() for _ in range(80)]
+    rows = []
+    for i in range(120):
+        own = base[:]
+        own[rng.randrange(80)] = word()
+        rows.append((i, " ".join(own)))
+    for k in range(40):
+        own = [word() for _ in range(60)]
+        for i in range(5):
+            own = own[3:] + [word() for _ in range(3)]
+            rows.append((1_000 + 10 * k + i, " ".join(own)))
+    rows += [(-5, rows[3][1]), (-5, rows[150][1]), (7_000, rows[0][1]), (7_000, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(tuple(r) for r in near_groups(df).collect()) == plain_classes(rows)
+
+
+def test_groups_of_null_ids(spark):
+    rows = [(None, "the cat sat far away"), (4, "the cat sat far away"), (None, "z"), (9, "z"), (3, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in near_groups(df).collect()), key=repr)
+    assert got == [(3, 3), (4, None), (9, None), (None, None), (None, None)]
