@@ -17,14 +17,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import cut, node_id, shown_id, table, text_of
+from kinweave.llm.common import cut, cut_at, node_id, removed, shown_id, table, text_of
 from kinweave.llm.components import connected_components
 
 CHAIN = 3
 #: Signatures are counted by ranges; those of ranges over the HEAVY-th part of all come last in the order of meeting.
 BUCKETS, HEAVY = 1 << 20, 1 << 16
-#: Hashes by which each set finds sets to be compared with at first; pairs to one copy of a set.
-STARS, SALT = 4, 2_000
+#: Each set is first compared with one that shares so many least signatures with it, under hashes of their own; pairs to one copy of a set.
+BANDS, SALT = (2, 2, 4, 4, 8, 8), 2_000
 ANCHORS = frozenset(
     w.encode()
     for w in (
@@ -173,41 +173,53 @@ def _commonness(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def _spots(sets: DataFrame, least: float) -> DataFrame:
-    """(id, n, sig, pos): of each set, in one order for all, rare signatures first, as many as a set in reach must share one of."""
-    common = sets.sparkSession.sparkContext.broadcast(_commonness(sets))  # BUCKETS numbers
+def _spots(sets: DataFrame, classes: DataFrame, common: np.ndarray, least: float) -> DataFrame:
+    """(id, class, n, sig, pos): of each set, in one order for all, rare signatures first, as many as a set in reach must share one of.
+
+    Sets that classes (id, class) lacks are classes of their own.
+    """
+    common = sets.sparkSession.sparkContext.broadcast(common)  # BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, sigs, places = [], [], [], []
-            for i, x in zip(batch.column("id").to_pylist(), batch.column("sigs"), strict=True):
-                own = np.frombuffer(x.as_py(), "<u4")
+            ids, kinds, sizes, sigs, places = [], [], [], [], []
+            for i, kind, x in zip(*(batch.column(c).to_pylist() for c in ("id", "class", "sigs")), strict=True):
+                own = np.frombuffer(x, "<u4")
                 n = len(own)
                 first = np.argsort(common.value[own // (2**32 // BUCKETS)], kind="stable")[: n - math.ceil(n * least - 1e-9) + 1]
                 ids.append(np.full(len(first), i))
+                kinds.append(np.full(len(first), kind))
                 sizes.append(np.full(len(first), n))
                 sigs.append(own[first].astype(np.int64))
                 places.append(np.arange(len(first)))
             if ids:
-                columns = [pa.array(np.concatenate(c), pa.int64()) for c in (ids, sizes, sigs, places)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "sig", "pos"])
+                columns = [pa.array(np.concatenate(c), pa.int64()) for c in (ids, kinds, sizes, sigs, places)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "class", "n", "sig", "pos"])
 
-    return sets.select("id", "sigs").mapInArrow(run, "id long, n long, sig long, pos long")
+    classed = sets.select("id", "sigs").join(classes, "id", "left")  # sets travel before they are taken apart
+    classed = classed.select("id", F.coalesce("class", "id").alias("class"), "sigs")
+    return classed.mapInArrow(run, "id long, class long, n long, sig long, pos long")
 
 
-def _leaders(sets: DataFrame) -> DataFrame:
-    """(a, b): each set beside the first set that has the same least signature under one of STARS hashes."""
+def _leaders(sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): each set beside the first set of its partition of lengths that has the same least signatures under the hashes of one of BANDS."""
+    starts = np.cumsum([0, *BANDS[:-1]])
+    tags = np.arange(len(BANDS), dtype=np.uint64)
+    rate = math.log(1 / least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns = np.random.default_rng(5).integers(0, 2**31, STARS, np.uint64) * np.uint64(2) + np.uint64(1)
+        turns = np.random.default_rng(5).integers(0, 2**31, sum(BANDS), np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
             keys = []
             for x in batch.column("sigs"):
                 own = np.frombuffer(x.as_py(), "<u4").astype(np.uint64)
-                mixed = (own[None, :] * turns[:, None]) & np.uint64(2**32 - 1)
-                keys += (mixed.min(1) * np.uint64(STARS) + np.arange(STARS, dtype=np.uint64)).tolist()
-            ids = np.repeat(batch.column("id").to_numpy(), STARS)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], names=["a", "key"])
+                low = ((own[None, :] * turns[:, None]) & np.uint64(2**32 - 1)).min(1)
+                part = np.uint64(math.log(len(own)) / rate + 1e-9) * turns[-1]
+                mixed = (np.add.reduceat((low + np.uint64(1)) * turns, starts) + part) * np.uint64(len(BANDS)) + tags
+                keys.append(mixed.view(np.int64))
+            if keys:
+                ids = np.repeat(batch.column("id").to_numpy(), len(BANDS))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(keys))], names=["a", "key"])
 
     keys = cut(sets.select("id", "sigs").mapInArrow(run, "a long, key long"), "spotstars")
     first = keys.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -246,13 +258,14 @@ def jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _in_reach(spots: DataFrame, least: float) -> DataFrame:
+def _in_reach(spots: DataFrame, least: float, once: bool = False) -> DataFrame:
     """spots (id, n, sig, pos, class) -> (a, b): sets of different classes that can reach `least`, by length and by place of a shared signature.
 
     Sets are partitioned by length, so that those in reach are in the same
     partition or the next. Classes meet before their members do: a signature
     that one class alone has, however large, brings nothing, and members of one
-    class are never paired.
+    class are never paired. With `once`, of a set's pairs with another class one
+    is given, of nearest lengths.
     """
     mixed = spots.groupBy("sig").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("sig")
     part = F.floor(F.log("n") / math.log(1 / least) + 1e-9)
@@ -270,17 +283,26 @@ def _in_reach(spots: DataFrame, least: float) -> DataFrame:
     both = both.where("n_b < n_a or (n_b = n_a and id_b < id_a)").where(F.col("n_b") >= F.col("n_a") * least - 1e-9)
     most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     both = both.where(most >= (F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - 1e-9)
+    if once:
+        nearest = F.min(F.struct(F.col("n_a") - F.col("n_b"), F.col("id_b")))["id_b"]
+        both = both.groupBy("id_a", "class_b").agg(nearest.alias("id_b"))
     return both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
+def _classes(links: DataFrame) -> DataFrame:
+    return connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("class"))
+
+
 def near_groups(docs: DataFrame, least: float = 0.8, chain: int = CHAIN) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, component_id): classes of documents linked by a likeness of `least` or more.
 
     Equal sets collapse first. Then each set is compared with the first one of
-    its least signature under a few hashes, which joins most of a large group at
-    one comparison a set. Last, sets of different classes are partitioned by
+    its least signatures under a few hashes, which joins most of a large group at
+    one comparison a set. Then sets of different classes are partitioned by
     length, meet by the rarest of their signatures, as many as a set in reach
-    must share one of, and are compared through pruned Jaccard: no link is lost.
+    must share one of, and are compared through pruned Jaccard: first each with
+    one of another class, then, between the classes that are left, each with
+    all, so that no link is lost.
     Ids travel, and sets only to pairs that length and places leave.
     Null texts count as empty, and empty texts are one class (texts of blanks
     alone are by their own hash); a null doc_id is shown as null (it is the
@@ -288,13 +310,17 @@ def near_groups(docs: DataFrame, least: float = 0.8, chain: int = CHAIN) -> Data
     share an id share its class. No other column is read; an empty table gives
     no rows.
     """
-    rows = cut(_sets(docs, chain), "spotrows")
-    one = rows.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("sigs").alias("sigs"))
+    spark = docs.sparkSession
+    whole, path = cut_at(_sets(docs, chain), "spotrows")
+    one = whole.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("sigs").alias("sigs"))
     sets = cut(one.withColumn("id", F.monotonically_increasing_id()), "spotsets")
-    stars = cut(_linked(_leaders(sets), sets, least), "spotlinks")
-    classes = connected_components(stars).select(F.col("node").alias("id"), F.col("component").alias("class"))
-    spots = _spots(sets, least).join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
-    links = stars.unionAll(_linked(_in_reach(spots, least), sets, least))
+    rows = cut(whole.select("doc_id", "mark"), "spotmarks")
+    removed(spark, path)
+    common = _commonness(sets)
+    links = cut(_linked(_leaders(sets, least), sets, least), "spotlinks")
+    for once in (True, False):
+        spots = _spots(sets, _classes(links), common, least)
+        links = cut(links.unionAll(_linked(_in_reach(spots, least, once), sets, least)), "spotlinks")
     for side in "ab":
         named = sets.select(F.col("id").alias(side), F.col("rep").alias(f"rep_{side}"))
         links = links.join(named, side)
