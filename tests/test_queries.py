@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.queries import QUERIES, SQL
 
@@ -36,3 +37,13 @@ def test_equals_sql(spark, con, name):
     want = rows_of(want.fetchall())
     assert want
     assert rows_of(df.select(*order).collect()) == want
+
+
+def test_fasta_file_of_many_files(spark, tmp_path):
+    """Files of a table that do not go by id, the largest last: numbers still go by id."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    last = docs.agg(F.max("doc_id")).first()[0]
+    for rows in (docs.where(F.col("doc_id") > last // 2), docs.where(F.col("doc_id") <= last // 8), docs.where((F.col("doc_id") <= last // 2) & (F.col("doc_id") > last // 8))):
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["fasta_file"](spark, str(tmp_path)).collect()
+    assert rows_of(got) == rows_of(QUERIES["fasta_parse"](spark, DATA).collect())
