@@ -137,8 +137,7 @@ class Pipeline:
             if c.mode == "sms":
                 return motif
             vectors = spark.read.parquet(c.embeddings).join(seqs.select("seq_id", "seq_idx"), "seq_id").select("seq_idx", "embedding")
-            embedded = sim.cosine_similarity(vectors)
-            return embedded if c.mode == "esm2" else sim.hybrid_similarity(motif, embedded, c.sms_weight)
+            return sim.cosine_similarity(vectors) if c.mode == "esm2" else sim.blended_similarity(motif, vectors, c.sms_weight)
 
         pairs = self._stage("edges", scored_by, edges)
         nodes = self._stage("nodes", tree_by, lambda: tr.build_tree(seqs, pairs, c.tree_method))

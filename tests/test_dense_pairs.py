@@ -44,3 +44,21 @@ def test_rounded_as_round(spark):
     both = _rounded(edges).join(edges.select("j", F.round(F.col("s").cast("double"), 4).alias("r")), "j")
     assert both.where("not s <=> r").count() == 0
     assert "round(" not in _rounded(edges)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blend_as_join(spark, dense, monkeypatch):
+    """Motif edges within and across blocks, some with an end without a vector, give what the join of both edge tables gives; dense pairs are in no shuffle."""
+    ids, vectors, _ = dense
+    monkeypatch.setattr(sim, "TILE", 200)
+    rng = np.random.default_rng(6)
+    ends = {tuple(sorted(map(int, rng.choice([*ids, 2, 5, 8], 2, replace=False)))) for _ in range(3_000)} | {(2, 5)}
+    motif = spark.createDataFrame([(i, j, float(rng.random())) for i, j in sorted(ends)], "i long, j long, s float")
+    got = sim.blended_similarity(motif, vectors, 0.3)
+    want = sim.hybrid_similarity(motif, sim.cosine_similarity(vectors), 0.3)
+    both = got.join(want.withColumnRenamed("s", "t"), ["i", "j"], "full")
+    assert both.count() == want.count() == got.count() and both.where("not s <=> t").count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in plan
+    few = sim.blended_similarity(motif.where("false"), vectors)
+    assert few.count() == N * (N - 1) // 2
+    assert sim.blended_similarity(motif, vectors.where("false")).count() == len(ends)
