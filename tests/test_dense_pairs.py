@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinweave.operators import evaluation as ev
 from kinweave.operators import similarity as sim
 from kinweave.queries import _rounded
 
@@ -62,3 +63,17 @@ def test_blend_as_join(spark, dense, monkeypatch):
     few = sim.blended_similarity(motif.where("false"), vectors)
     assert few.count() == N * (N - 1) // 2
     assert sim.blended_similarity(motif, vectors.where("false")).count() == len(ends)
+
+
+def test_silhouette_by_blocks(spark, dense):
+    """Sums by label within pairs of blocks give what the silhouette over all pairs gives; no pair leaves its task."""
+    ids, vectors, want = dense
+    labels = spark.createDataFrame([(i, "one" if i == ids[3] else f"l{i * 7 % 5}") for i in ids], "seq_idx long, predicted string")
+    plain = ev.silhouette(labels, sim.cosine_similarity(vectors)).first()[0]
+    near = sim.cosine_sums(vectors.join(labels, "seq_idx"))
+    assert abs(ev.silhouette_of_sums(labels, near).first()[0] - plain) < 1e-7
+    assert near.count() <= N * 6 * 3
+    own = {i: f"l{i * 7 % 5}" if i != ids[3] else "one" for i in ids}
+    for r in near.groupBy("a", "predicted").agg(F.sum("s").alias("s")).where("a % 100 = 1").collect():
+        k = ids.index(r["a"])
+        assert abs(r["s"] - sum(want[k, m] for m in range(N) if m != k and own[ids[m]] == r["predicted"])) < 1e-9
