@@ -68,9 +68,15 @@ def silhouette(labels: DataFrame, edges: DataFrame) -> DataFrame:
     Distances are 1 - s, absent pairs at 1, so a row's distance to a cluster is
     the cluster's size less its summed similarities: no dense matrix is needed.
     """
-    size = labels.groupBy("predicted").agg(F.count("*").alias("size"))
     sides = edges.select(F.col("i").alias("a"), F.col("j").alias("b"), "s").unionAll(edges.select(F.col("j"), F.col("i"), "s"))
-    near = sides.join(labels.select(F.col("seq_idx").alias("b"), "predicted"), "b").groupBy("a", "predicted").agg(F.sum(F.col("s").cast("double")).alias("s"))
+    near = sides.join(labels.select(F.col("seq_idx").alias("b"), "predicted"), "b").select("a", "predicted", "s")
+    return silhouette_of_sums(labels, near)
+
+
+def silhouette_of_sums(labels: DataFrame, near: DataFrame) -> DataFrame:
+    """As `silhouette`, by parts (a, predicted, s) of the summed similarity of row a to the other rows of a cluster."""
+    size = labels.groupBy("predicted").agg(F.count("*").alias("size"))
+    near = near.groupBy("a", "predicted").agg(F.sum(F.col("s").cast("double")).alias("s"))
     own = labels.join(size, "predicted").select(F.col("seq_idx").alias("a"), F.col("predicted").alias("mine"), F.col("size").alias("own_size"))
     # clusters that share no edge with a row stand at distance 1; only the touched ones need a row
     rows = own.join(near, "a", "left").join(size, "predicted", "left")
@@ -169,26 +175,33 @@ def benjamini_hochberg(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
 def ancestors(edges: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """is_a edges (child, parent) -> (term, ancestor), all levels, of all terms or of `terms` (term) alone.
 
-    Of all terms, paths double in length each round. Of some, each round goes
-    one level up from what the last one found new, so that only what lies above
-    them is looked at; a cycle ends where nothing is new, and its terms are
-    ancestors of themselves. Rounds are kept in the shared folder.
+    `hop` holds the pairs that a path of 1, 2, 4, ... edges joins. Once it holds
+    those of h edges, all paths under h are known, and each of them and h edges
+    more give those under 2 h: in a tree every pair is made once, in its own
+    round. It ends where no path is that long or, with a cycle, where nothing is
+    new; a cycle's terms are ancestors of themselves. Rounds are kept in the
+    shared folder.
     """
-    up = edges.select(F.col("child").alias("term"), F.col("parent").alias("ancestor")).distinct()
-    if terms is None:
-        reach, n = stored(up, "ancestors"), -1
-        while (now := reach.count()) != n:
-            n = now
-            step = reach.alias("x").join(reach.alias("y"), F.col("x.ancestor") == F.col("y.term")).select("x.term", "y.ancestor")
-            reach = stored(reach.unionAll(step).distinct(), "ancestors")
-        return reach
-    up = stored(up, "edges")
-    new = found = stored(up.join(terms.select("term").distinct(), "term", "left_semi"), "ancestors")
-    while not new.isEmpty():
-        step = new.alias("x").join(up.alias("y"), F.col("x.ancestor") == F.col("y.term")).select("x.term", "y.ancestor").distinct()
-        new = stored(step.join(found, ["term", "ancestor"], "left_anti"), "ancestors")
-        found = found.unionAll(new)
-    return found
+    hop = stored(edges.select(F.col("child").alias("term"), F.col("parent").alias("ancestor")).distinct(), "hop")
+    asked = lambda pairs: pairs if terms is None else pairs.join(terms.select("term").distinct(), "term", "left_semi")
+    reach = asked(hop)
+    if terms is not None:
+        reach = stored(reach, "ancestors")
+    n = reach.count()
+    while True:
+        hop = stored(_steps(hop, hop).distinct(), "hop")
+        if hop.isEmpty():
+            return reach
+        reach = stored(reach.unionAll(asked(hop)).unionAll(_steps(reach, hop)).distinct(), "ancestors")
+        before, n = n, reach.count()
+        if n == before:
+            return reach
+
+
+def _steps(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Pairs (term, ancestor) of x, each gone on by a pair of y."""
+    far = y.select(F.col("term").alias("at"), F.col("ancestor").alias("next")).hint("merge")  # as many as terms: never broadcast
+    return x.join(far, F.col("ancestor") == F.col("at")).select("term", F.col("next").alias("ancestor"))
 
 
 def reduce_terms(enriched: DataFrame, edges: DataFrame) -> DataFrame:
