@@ -183,7 +183,7 @@ def ancestors(edges: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     shared folder.
     """
     hop = stored(edges.select(F.col("child").alias("term"), F.col("parent").alias("ancestor")).distinct(), "hop")
-    asked = lambda pairs: pairs if terms is None else pairs.join(terms.select("term").distinct(), "term", "left_semi")
+    asked = lambda pairs: pairs if terms is None else pairs.join(terms.select("term").distinct().hint("merge"), "term", "left_semi")
     reach = asked(hop)
     if terms is not None:
         reach = stored(reach, "ancestors")
@@ -206,8 +206,8 @@ def _steps(x: DataFrame, y: DataFrame) -> DataFrame:
 
 def reduce_terms(enriched: DataFrame, edges: DataFrame) -> DataFrame:
     """(cluster_idx, term) without terms that, by is_a edges (child, parent), are an ancestor of another of the cluster."""
-    up = enriched.join(ancestors(edges, enriched), "term").where("term <> ancestor").select("cluster_idx", F.col("ancestor").alias("term")).distinct()
-    return enriched.join(up, ["cluster_idx", "term"], "left_anti")
+    up = enriched.join(ancestors(edges, enriched).hint("merge"), "term").where("term <> ancestor").select("cluster_idx", F.col("ancestor").alias("term")).distinct()
+    return enriched.join(up.hint("merge"), ["cluster_idx", "term"], "left_anti")
 
 
 def cosim_histogram(cosim: DataFrame, at: float) -> DataFrame:
