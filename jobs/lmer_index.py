@@ -41,12 +41,16 @@ class Settings:
     min_len: int = prep.MIN_LEN
     l: int = sim.L
     files_a_batch: int = 1000
+    #: At most, in each batch.
+    files_a_head: int = 8
     state: str = "rocksdb"
 
 
 def counts(docs: DataFrame, config: Settings) -> DataFrame:
     """documents (text) -> (kmer, n, n_seqs) of the valid sequences among them."""
-    return sim.lmer_counts(prep.checked(docs.select(protein(F.col("text")).alias("seq")), config.min_len).where("reason is null"), config.l)
+    rows = prep.checked(docs.select(protein(F.col("text")).alias("seq")), config.min_len)
+    # dropped ones are null and have no l-mers: a filter would move below and clean each text again
+    return sim.lmer_counts(rows.select(F.when(F.col("reason").isNull(), F.col("seq")).alias("seq")), config.l)
 
 
 def add_batch(batch: DataFrame, number: int, config: Settings) -> None:
@@ -56,6 +60,8 @@ def add_batch(batch: DataFrame, number: int, config: Settings) -> None:
     rows = counts(batch, config).observe(made, F.count("*").alias("rows"))
     rows = rows.select("kmer", "n", "n_seqs", F.lit(number).cast("long").alias("batch"), F.substr("kmer", F.lit(1), F.lit(1)).alias("head"))
     at = f"{config.output.rstrip('/')}/counts"
+    # a head's l-mers go into a few files, not into one for each task
+    rows = rows.repartition("head", F.pmod(F.xxhash64("kmer"), F.lit(config.files_a_head)))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "head").parquet(at)
     log.info("batch %d: %d new documents read, %d l-mers written to %s", number, seen.get["rows"], made.get["rows"], at)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import logging
+import os
 from collections.abc import Callable
 from dataclasses import asdict, fields
 
@@ -37,6 +38,9 @@ def settings(kind: type, argv: list[str] | None, about: str):
 def command(name: str, run: Callable, config) -> None:
     """Run a job in a session of its own."""
     spark = SparkSession.builder.appName(name).getOrCreate()
+    # Python workers find the library where this process does; on a cluster where they cannot, give it by --py-files
+    here, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    env["PYTHONPATH"] = os.pathsep.join(filter(None, [here, env.get("PYTHONPATH", "")]))
     try:
         run(spark, config)
     finally:
