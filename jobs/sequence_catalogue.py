@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from jobs.settings import command, settings
-from kinweave.functions.residues import protein, total_weight
+from kinweave.functions.residues import protein
 from kinweave.operators import prep
 from kinweave.operators import similarity as sim
 
@@ -40,8 +40,8 @@ class Settings:
     matrix: str = "BLOSUM62"
 
 
-def catalogue(docs: DataFrame, config: Settings) -> DataFrame:
-    """documents (doc_id, text, lang, source) -> a row each; null or empty sources are Unknown, languages unknown, texts empty."""
+def measured(docs: DataFrame, config: Settings) -> DataFrame:
+    """documents (doc_id, text, lang, source) -> a row each, without weights; null or empty sources are Unknown, languages unknown, texts empty."""
     named = lambda c, none: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(none))
     rows = docs.select(
         F.concat(F.lit("d"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).alias("seq_id"),
@@ -51,18 +51,22 @@ def catalogue(docs: DataFrame, config: Settings) -> DataFrame:
     )
     rows = prep.checked(rows, config.min_len)
     kept = F.col("reason").isNull()
-    weights = prep.organism_weights(rows.where(kept).select("organism")).select("organism", "weight")
-    own = F.array_distinct(sim.unmasked_windows(F.col("seq"), config.l))
-    rows = rows.select(
+    rows = rows.withColumn("of", sim.measures(F.col("seq"), config.matrix, config.l))
+    return rows.select(
         "seq_id",
         "organism",
         F.length("seq").cast("long").alias("n_residues"),
         "reason",
-        F.when(kept, total_weight(F.col("seq"), config.matrix)).alias("self_score"),
-        F.when(kept, F.size(own)).cast("long").alias("n_lmers"),
+        F.when(kept, F.col("of.weight")).alias("self_score"),
+        F.when(kept, F.col("of.n_lmers")).alias("n_lmers"),
         F.when(kept, "kept").otherwise("dropped").alias("status"),
         "lang",
     )
+
+
+def weighed(rows: DataFrame) -> DataFrame:
+    """The measured rows with the weight of the organism of kept ones."""
+    weights = prep.organism_weights(rows.where("status = 'kept'").select("organism")).select("organism", "weight")
     rows = rows.join(weights, "organism", "left").withColumn("weight", F.when(F.col("status") == "kept", F.col("weight")))
     return rows.select(*[c.split()[0] for c in SEQUENCES.split(", ")])
 
@@ -71,10 +75,15 @@ def run(spark: SparkSession, config: Settings) -> DataFrame:
     """Write both tables and return the sequences, read back."""
     at = f"{config.output.rstrip('/')}/sequences"
     seen = Observation()
-    rows = catalogue(spark.read.parquet(config.documents), config)
-    rows = rows.observe(seen, F.count("*").alias("rows"), F.coalesce(F.sum("n_residues"), F.lit(0)).alias("residues"), F.count_if(F.col("status") == "kept").alias("kept"))
-    # partitions of any weight are cut into even files
-    rows.hint("rebalance", "status", "lang").write.mode("overwrite").partitionBy("status", "lang").parquet(at)
+    # weights need all rows counted first: these are kept, without texts, so that each text is read and cleaned once
+    held = measured(spark.read.parquet(config.documents), config).persist()
+    rows = weighed(held).observe(seen, F.count("*").alias("rows"), F.coalesce(F.sum("n_residues"), F.lit(0)).alias("residues"), F.count_if(F.col("status") == "kept").alias("kept"))
+    try:
+        held.count()  # all are held before several stages at once ask for them
+        # partitions of any weight are cut into even files
+        rows.hint("rebalance", "status", "lang").write.mode("overwrite").partitionBy("status", "lang").parquet(at)
+    finally:
+        held.unpersist()
     log.info("read %s: %d documents, %d residues", config.documents, seen.get["rows"], seen.get["residues"])
     log.info("wrote %s: %d sequences kept, %d dropped", at, seen.get["kept"], seen.get["rows"] - seen.get["kept"])
     out = spark.read.schema(SEQUENCES).parquet(at)
