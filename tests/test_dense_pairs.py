@@ -77,3 +77,66 @@ def test_silhouette_by_blocks(spark, dense):
     for r in near.groupBy("a", "predicted").agg(F.sum("s").alias("s")).where("a % 100 = 1").collect():
         k = ids.index(r["a"])
         assert abs(r["s"] - sum(want[k, m] for m in range(N) if m != k and own[ids[m]] == r["predicted"])) < 1e-9
+
+
+def written(spark, df) -> int:
+    """Bytes of shuffle files that running df leaves."""
+    def files() -> dict:
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        out = {}
+        while found.hasNext():
+            f = found.next()
+            out[f.getPath()] = f.length()
+        return out
+
+    before = files()
+    df.write.format("noop").mode("overwrite").save()
+    return sum(size for path, size in files().items() if path not in before)
+
+
+@pytest.fixture(scope="module")
+def wide(spark):
+    x = np.random.default_rng(8).normal(size=(800, 64)).astype(np.float32)
+    return spark.createDataFrame([(2 * k, [float(v) for v in r], f"l{k % 3}") for k, r in enumerate(x)], "seq_idx long, embedding array<float>, predicted string")
+
+
+def some_edges(spark, n: int):
+    rng = np.random.default_rng(9)
+    ends = {tuple(sorted(map(int, rng.choice(1_650, 2, replace=False)))) for _ in range(n)}  # odd ids have no vector
+    return spark.createDataFrame([(i, j, float(rng.random())) for i, j in sorted(ends)], "i long, j long, s float")
+
+
+def sized(monkeypatch, size: int) -> None:
+    monkeypatch.setattr(sim, "LEAST", size)
+    monkeypatch.setattr(sim, "MOST", size)
+
+
+@pytest.mark.parametrize("of", ["hybrid"])
+def test_no_copies_of_vectors_are_written(spark, wide, monkeypatch, of):
+    """Twice the blocks, as more vectors would make, write no more: a block is dealt once, not once for each block that it meets."""
+    motif = some_edges(spark, 500)
+    run = {"hybrid": lambda: sim.blended_similarity(motif, wide), "cosine": lambda: sim.cosine_similarity(wide), "sums": lambda: sim.cosine_sums(wide)}[of]
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 64)  # in few parts, copies lie side by side and are compressed to one
+    try:
+        sized(monkeypatch, 50)
+        few = written(spark, run())
+        sized(monkeypatch, 25)
+        many = written(spark, run())
+    finally:
+        spark.conf.set(name, before)
+    assert few < 6 * 800 * 64 * 4 and many < 1.5 * few, (few, many)
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_blend_over_many_blocks(spark, wide, monkeypatch, most):
+    """Edges reach the tiles of their blocks, whether a task holds those of one pair of blocks or of several."""
+    motif = some_edges(spark, 20_000)
+    want = sim.hybrid_similarity(motif, sim.cosine_similarity(wide), 0.4)
+    sized(monkeypatch, 48)
+    monkeypatch.setattr(sim, "TILE", 20)
+    monkeypatch.setattr(sim, "EDGES", most)
+    got = sim.blended_similarity(motif, wide, 0.4)
+    both = got.join(want.withColumnRenamed("s", "t"), ["i", "j"], "full")
+    assert both.count() == want.count() == got.count() and both.where("not s <=> t").count() == 0
