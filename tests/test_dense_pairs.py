@@ -111,7 +111,7 @@ def sized(monkeypatch, size: int) -> None:
     monkeypatch.setattr(sim, "MOST", size)
 
 
-@pytest.mark.parametrize("of", ["hybrid"])
+@pytest.mark.parametrize("of", ["hybrid", "cosine", "sums"])
 def test_no_copies_of_vectors_are_written(spark, wide, monkeypatch, of):
     """Twice the blocks, as more vectors would make, write no more: a block is dealt once, not once for each block that it meets."""
     motif = some_edges(spark, 500)
@@ -140,3 +140,27 @@ def test_blend_over_many_blocks(spark, wide, monkeypatch, most):
     got = sim.blended_similarity(motif, wide, 0.4)
     both = got.join(want.withColumnRenamed("s", "t"), ["i", "j"], "full")
     assert both.count() == want.count() == got.count() and both.where("not s <=> t").count() == 0
+
+
+def test_equal_ids_over_blocks(spark, monkeypatch):
+    """Rows that share an id make no pair with each other, also where they fill more than a block; all others do."""
+    sized(monkeypatch, 16)
+    monkeypatch.setattr(sim, "TILE", 10)
+    ids = sorted([k // 3 for k in range(150)] + [20] * 100)
+    x = np.random.default_rng(10).normal(size=(len(ids), 4))
+    vectors = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in zip(ids, x, strict=True)], "seq_idx long, embedding array<double>")
+    unit = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
+    s = np.clip(unit @ unit.T, 0, 1).astype(np.float32)
+    want = sorted((ids[a], ids[b], float(s[a, b])) for a in range(len(ids)) for b in range(len(ids)) if ids[a] < ids[b])
+    got = sorted(map(tuple, sim.cosine_similarity(vectors).collect()))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.abs(np.array(got)[:, 2] - np.array(want)[:, 2]).max() < 1e-6
+
+
+def test_sums_over_many_blocks(spark, wide, monkeypatch):
+    """Summed over the parts, each vector has the same sums by label, its own similarity to itself left out."""
+    want = {(r["a"], r["predicted"]): r["s"] for r in sim.cosine_sums(wide).groupBy("a", "predicted").agg(F.sum("s").alias("s")).collect()}
+    sized(monkeypatch, 48)
+    parts = sim.cosine_sums(wide)
+    got = {(r["a"], r["predicted"]): r["s"] for r in parts.groupBy("a", "predicted").agg(F.sum("s").alias("s")).collect()}
+    assert got.keys() == want.keys() and len(got) == 2_400 and max(abs(got[k] - want[k]) for k in want) < 1e-9
+    assert parts.count() <= sim.PARTS * 2_400
